@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words as W
 from .common import stored
 
 SEQUENCE_TOKENS = 4096
@@ -33,7 +35,7 @@ END_TOKEN = 1
 #: Pieces that one task packs.
 GROUP_ROWS = 100_000
 #: Chunks of text whose ids a Python worker keeps.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -44,7 +46,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkIds(dict):
-    """Ids (little-endian, unsigned, 32 bits) of chunks without ASCII white space, in lower case.
+    """Ids (little-endian, unsigned, 32 bits) of chunks without ASCII white space, in lower case, where the machine's own order of bytes is little-endian.
 
     The tokenizer drops white space and lower-cases, so a text's ids are those of its chunks in
     order.  A chunk that ends with a full stop or comma after a letter is the two parts' ids.
@@ -56,19 +58,36 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in b".," and 97 <= chunk[-2] <= 122:
-            return self[chunk[:-1]] + self[chunk[-1:]]
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = chunk.decode()
+        # a Latin letter (but for the dotted capital I) stays one letter in lower case and in any normal form
+        if text[-1] in ".," and text[-2:-1].isalpha() and text[-2] < "\u0250" and text[-2] != "\u0130":
+            return self[text[:-1].encode()] + self[text[-1].encode()]
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) < CACHE_CHUNKS and len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
     def text(self, data: bytes) -> bytes:
         if b"<|" in data:  # a special token's name is told by its exact letters
-            return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(data.decode(), add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, data.lower().split()))
 
-
+    def column(self, text: pa.Array):
+        """Ids of each text in turn.  A stop or comma between an ASCII letter and white space is set apart first, which leaves the ids as they are."""
+        for a, b in W.row_slices(text):
+            part = text.slice(a, b - a)
+            data, off = W.column_bytes(part)
+            mark = np.flatnonzero((data[1:-1] == 46) | (data[1:-1] == 44)) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+            mark = mark[(_LETTER[data[mark - 1]]) & (_SPACE[data[mark + 1]])]
+            whole = np.insert(data, mark, 32).tobytes()
+            off = (off + np.searchsorted(mark, off)).tolist()
+            for x, y in zip(off[:-1], off[1:], strict=True):
+                yield self.text(whole[x:y])
+
+
+_LETTER, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _kept: dict[str, ChunkIds] = {}
 
 
@@ -91,10 +110,8 @@ def pieces(docs: DataFrame, path: str, tokens: int = SEQUENCE_TOKENS, keep_ids:
         for batch in batches:
             row: list[int] = []
             out: list[list] = [[], [], [], [], []]
-            text = batch.column(1)
-            for i in range(len(text)):
-                x = text[i]
-                ids = ids_of.text(x.as_buffer().to_pybytes() if x.is_valid and x.as_buffer() else b"") + end
+            for i, ids in enumerate(ids_of.column(batch.column(1))):
+                ids += end
                 for k, a in enumerate(range(0, len(ids), step)):
                     part = ids[a : a + step]
                     row.append(i)
