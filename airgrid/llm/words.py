@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; one longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Rows that are worked on at a time.
+SLICE_ROWS = 60_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
@@ -84,7 +86,7 @@ def row_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
     _, off = column_bytes(col)
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
+        b = min(a + SLICE_ROWS, max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1))
         yield a, b
         a = b
 
