@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its stored rows are at most this many.
@@ -53,3 +53,8 @@ def small_or_join(left: DataFrame, right: DataFrame, on, how: str, limit: int =
     """Join with a stored ``right``; it is broadcast only if its counted rows fit ``limit``."""
     n = right.count()
     return left.join(F.broadcast(right) if n <= limit else right, on, how)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is bound to a lambda variable and so is computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -86,7 +86,7 @@ def inverse_frequencies(docs: DataFrame, bits: int = FEATURE_BITS) -> np.ndarray
         f = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(seen[f], n))], names=["feature", "n"])
 
-    got = docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     n = int(got.n[got.feature == -1].sum())
     df = np.zeros(1 << bits)
     real = got[got.feature >= 0]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_or_join, stored
+from .common import fresh, let, small_or_join, stored
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in windows found twice
@@ -35,11 +35,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is bound to a lambda variable and so is computed once a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeated_words(w: Column, k: int = 3) -> Column:
     """How many words lie in windows of ``k`` words that occur twice or more in the text; ``w``: a bound variable.
 
