@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, neardup, packing, pii, quality, sharding, warc
+from . import decontaminate, langid, licenses, neardup, packing, pii, quality, sharding, tokencount, warc
 from .common import table
 
 
@@ -34,10 +34,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_sharding": op5_sharding,
         "op6_langid": op6_langid,
+        "op7_licenses": op7_licenses,
         "op8_pii": op8_pii,
+        "op9_tokencount": op9_tokencount,
         "op10_decontaminate": op10_decontaminate,
     }
 
