@@ -113,14 +113,19 @@ def disclosing(documents: DataFrame, holders: DataFrame, support: int = SUPPORT,
     seen = small_or_join(lines, enough, "entity", "inner").select("entity", "n_entity", "key", "n", "line_hash", F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term"))
     seen = seen.groupBy("entity", "n_entity", "term", "key").agg(F.first("n").alias("n"), F.min("line_hash").alias("line_hash"))
     pairs = seen.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count_distinct("line_hash").alias("k")).where(F.col("k") >= support)
-    pairs = stored(pairs, "pairs")
-    terms = stored(pairs.select("term").distinct(), "terms")
+    # A pair discloses enough only if the term is in at most n_both (n / n_entity) ** (1 - disclosure) documents.
+    # The lines with entities alone show for most terms that they are in more; only the rest are counted in all texts.
     total = documents.count()
+    n = F.lit(float(max(total, 1)))
+    near = lines.select("key", "n", F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term")).groupBy("term", "key").agg(F.first("n").alias("n"))
+    near = near.groupBy("term").agg(F.sum("n").alias("n_near"))
+    most = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    pairs = stored(pairs.join(near, "term").where(F.col("n_near") <= most), "pairs")
+    terms = stored(pairs.select("term").distinct(), "terms")
     if not terms.limit(1).count():
         return pairs.select("entity", "term")
     words = documents.select(F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term"))
     common = small_or_join(words, terms, "term", "left_semi", SLIM_ROWS).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(max(total, 1)))
     content = -F.log2(F.col("n_entity") / n)
     mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     rated = pairs.join(common, "term").withColumn("share", F.when(content > 0, mutual / content).otherwise(0.0))
