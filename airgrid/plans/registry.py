@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic
+from . import basic, joined
 
-_ALL = basic.QUERIES
+_ALL = basic.QUERIES | joined.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
