@@ -56,7 +56,7 @@ def groups(rows: DataFrame, minutes: int = MINUTES) -> DataFrame:
         out = []
         made: list[list[tuple]] = []
         last = None
-        for title, piece, ord_, channel, t, sport, tournament in zip(p.norm_title, p.piece, p["ord"], p.channel, p.at, p.norm_sport, p.norm_tournament, strict=True):
+        for title, piece, ord_, channel, t, sport, tournament in zip(p.norm_title, p.piece, p["ord"], p.channel, p["at"], p.norm_sport, p.norm_tournament, strict=True):
             if (title, piece) != last:
                 made, last = [], (title, piece)
             row = (ord_, channel, t, sport, tournament)
