@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic, joined
+from . import basic, joined, scanned
 
-_ALL = basic.QUERIES | joined.QUERIES
+_ALL = basic.QUERIES | joined.QUERIES | scanned.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
