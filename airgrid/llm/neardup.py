@@ -39,8 +39,10 @@ SIMILARITY = 0.8
 #: Hashed features, as a power of two.
 FEATURE_BITS = 18
 BANDS, ROWS = 14, 4
-#: Nodes of one side in a block of comparisons.
-BLOCK = 256
+#: Shingles of one side in a block of comparisons, about; long texts make blocks of few nodes.
+BLOCK_SHINGLES = 1 << 17
+#: Shingles of one side that are compared at a time.
+STEP_SHINGLES = 1 << 18
 #: Slim rows (an id or a digest) that may be broadcast.
 SLIM_ROWS = 100_000
 _HASH_BITS = 48
@@ -153,7 +155,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """node, vec: the sorted shingle hashes of ``text``, each as often as it stands there (8 bytes each)."""
+    """node, n, vec: the sorted shingle hashes of ``text``, each as often as it stands there (n times 8 bytes)."""
 
     def work(batches):
         for batch in batches:
@@ -162,9 +164,10 @@ def vectors(rows: DataFrame) -> DataFrame:
                 h, count, bounds = document_shingles(part.column(1))
                 ends = np.concatenate([[0], np.cumsum(count)])[bounds].tolist()
                 whole = np.repeat(h, count)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([whole[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["node", "vec"])
+                vecs = [whole[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), pa.array(vecs, pa.binary())], names=["node", "n", "vec"])
 
-    return rows.select("node", "text").mapInArrow(work, "node long, vec binary")
+    return rows.select("node", "text").mapInArrow(work, "node long, n long, vec binary")
 
 
 def _weights(vecs: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,14 +202,26 @@ def similar(probes: list[bytes], members: list[bytes], idf: np.ndarray) -> np.nd
     return out
 
 
-def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _steps(vecs: list[bytes]) -> list[tuple[int, int]]:
+    """Ranges of vectors of at most STEP_SHINGLES together, or of one."""
+    ends = np.cumsum([len(v) // 8 for v in vecs])
+    out, a = [], 0
+    while a < len(vecs):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP_SHINGLES, "right")))
+        out.append((a, b))
+        a = b
+    return out
+
+
+def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, block: int = BLOCK_SHINGLES) -> DataFrame:
     """g, a, b: the links between ``probes`` and ``members`` (both g, node) of the same g.
 
-    Both sides are dealt into blocks of about ``block`` nodes, and each task compares one
+    Both sides are dealt into blocks of about ``block`` shingles, and each task compares one
     block of either; what it returns are links.
     """
     sent = vecs.sparkSession.sparkContext.broadcast(idf)
-    blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+    lengths = vecs.select("node", "n")
+    blocks = lambda df, name: df.join(lengths, "node").groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block)), F.lit(1)).cast("int").alias(name))
     sizes = stored(blocks(probes, "np").join(blocks(members, "nm"), "g"), "block-sizes")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -217,13 +232,18 @@ def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.nda
         left, right = rows[rows.probe], rows[~rows.probe]
         if not len(left) or not len(right):
             return pd.DataFrame({"g": [], "a": [], "b": []}, dtype="int64")
-        found = similar(list(left.vec), list(right.vec), sent.value) >= similarity
-        x, y = np.nonzero(found)
-        a, b = left.node.to_numpy()[x], right.node.to_numpy()[y]
+        lv, rv, ln, rn = list(left.vec), list(right.vec), left.node.to_numpy(), right.node.to_numpy()
+        a, b = [], []
+        for p0, p1 in _steps(lv):
+            for m0, m1 in _steps(rv):
+                x, y = np.nonzero(similar(lv[p0:p1], rv[m0:m1], sent.value) >= similarity)
+                a.append(ln[x + p0])
+                b.append(rn[y + m0])
+        a, b = np.concatenate(a), np.concatenate(b)
         keep = a != b
         return pd.DataFrame({"g": np.full(keep.sum(), rows.g.iloc[0]), "a": a[keep], "b": b[keep]})
 
-    return p.unionByName(m).join(vecs, "node").groupBy("g", "i", "j").applyInPandas(work, "g long, a long, b long")
+    return p.unionByName(m).join(vecs.select("node", "vec"), "node").groupBy("g", "i", "j").applyInPandas(work, "g long, a long, b long")
 
 
 def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
