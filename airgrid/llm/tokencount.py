@@ -62,7 +62,7 @@ def section_bounds(data: bytes) -> np.ndarray:
 
 def attributed(ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section; ``ends``: where each token ends, in bytes."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
     inner = bounds[1:-1]
     first = np.searchsorted(inner, starts, "right")
     if rule == "start":
