@@ -25,6 +25,8 @@ MAX_SYMBOLS = 10  # symbols to 100 words
 MAX_DUP_LINES = 30  # per cent of lines with a word
 #: A host is bad when it is this likely that its next document fails a rule.
 MAX_HOST_RATE = 0.9
+#: Documents that the prior is worth at least, so that a host of one or two is never judged by them alone.
+LEAST_STRENGTH = 10.0
 RULES = ("short", "repeated", "symbols", "dup_lines")
 
 SPACE = r"[ \t-\r]"
@@ -91,7 +93,7 @@ def shrunk_rates(hosts: DataFrame, rules=RULES) -> DataFrame:
     """``hosts`` (n and a count for each rule) with rate_<rule>: the posterior mean under a beta prior.
 
     The prior has the pooled rate m and, by the moments of the hosts' rates r (weighted by n),
-    the strength s = m (1 - m) / v - 1, with v their variance beyond what binomial draws explain.
+    the strength s = m (1 - m) / v - 1, with v their variance beyond what binomial draws explain, and at least LEAST_STRENGTH.
     """
     total, more = [F.sum("n").alias("_n"), F.count("*").alias("_hosts"), F.sum(F.col("n") * F.col("n")).alias("_nn")], []
     for r in rules:
@@ -105,7 +107,7 @@ def shrunk_rates(hosts: DataFrame, rules=RULES) -> DataFrame:
         chance = m * (1 - m) * (F.col("_hosts") - 1) / F.col("_n")
         scale = 1 - F.col("_nn") / (F.col("_n") * F.col("_n"))
         v = F.greatest((spread - chance) / F.greatest(scale, F.lit(1e-9)), F.lit(1e-9))
-        s = F.greatest(m * (1 - m) / v - 1, F.lit(1e-3))
+        s = F.greatest(m * (1 - m) / v - 1, F.lit(LEAST_STRENGTH))
         more.append(((F.col(r) + m * s) / (F.col("n") + s)).alias(f"rate_{r}"))
     return out.select(*hosts.columns, *more)
 
