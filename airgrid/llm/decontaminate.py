@@ -32,7 +32,7 @@ WINDOW = 10
 #: Bytes of test texts in one broadcast block.
 BLOCK_BYTES = 16 << 20
 #: Bytes of training text in one suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 MATCH = T.StructType(
     [

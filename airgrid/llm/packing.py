@@ -35,7 +35,7 @@ END_TOKEN = 1
 #: Pieces that one task packs.
 GROUP_ROWS = 100_000
 #: Chunks of text whose ids a Python worker keeps.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -109,13 +109,13 @@ def pieces(docs: DataFrame, path: str, tokens: int = SEQUENCE_TOKENS, keep_ids:
         step = 4 * tokens
         for batch in batches:
             row: list[int] = []
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(5 if keep_ids else 4)]
             for i, ids in enumerate(ids_of.column(batch.column(1))):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), step)):
                     part = ids[a : a + step]
                     row.append(i)
-                    for column, value in zip(out, (k, a >> 2, len(part) >> 2, zlib.crc32(part), part), strict=True):
+                    for column, value in zip(out, (k, a >> 2, len(part) >> 2, zlib.crc32(part), part), strict=False):
                         column.append(value)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 if keep_ids else 4]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, k) for x, k in zip(out, kinds, strict=False))], names=schema.names)

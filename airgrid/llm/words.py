@@ -110,7 +110,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     """64-bit hashes of the words; ``fold``: A-Z as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = max(SLICE_BYTES + 1, 1 << int(len(data)).bit_length())
+    n = SLICE_BYTES if len(data) <= SLICE_BYTES else 1 << int(len(data) - 1).bit_length()
     power, inverse = _powers(n)
     with np.errstate(over="ignore"):
         run = np.zeros(len(data) + 1, np.uint64)
