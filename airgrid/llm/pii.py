@@ -105,14 +105,16 @@ def disclosing(documents: DataFrame, holders: DataFrame, support: int = SUPPORT,
     spans = holders.select("key", "text", "n", F.explode("spans").alias("s"))
     before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("s.start").cast("int")), "\n", -1)
     after = F.substring_index(F.substring(F.col("text"), F.col("s.end").cast("int") + 1, F.length("text")), "\n", 1)
-    lines = stored(spans.select("key", "n", entity(F.col("s")).alias("entity"), F.concat(before, F.lit(" "), after).alias("line")).withColumn("line_hash", F.xxhash64("line")), "entity-lines")
+    lines = stored(spans.select("key", "n", entity(F.col("s")).alias("entity"), F.concat(before, F.lit(" "), after).alias("line"), F.xxhash64(F.replace(F.concat(before, F.col("s.value"), after), F.col("s.value"), F.lit(" "))).alias("line_hash")), "entity-lines")
     # most entities are in too few lines; the rest go on
     enough = lines.groupBy("entity").agg(F.count_distinct("line_hash").alias("k")).where(F.col("k") >= support)
     per_text = lines.dropDuplicates(["entity", "key"]).groupBy("entity").agg(F.sum("n").alias("n_entity"))
     enough = stored(enough.join(per_text, "entity").select("entity", "n_entity"), "entities")
     seen = small_or_join(lines, enough, "entity", "inner").select("entity", "n_entity", "key", "n", "line_hash", F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term"))
-    seen = seen.groupBy("entity", "n_entity", "term", "key").agg(F.first("n").alias("n"), F.min("line_hash").alias("line_hash"))
-    pairs = seen.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count_distinct("line_hash").alias("k")).where(F.col("k") >= support)
+    # all lines count, also several of one text and those that texts share; documents count once for each text
+    often = stored(seen.select("entity", "term", "line_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("entity", "term"), "often")
+    both = small_or_join(seen, often, ["entity", "term"], "left_semi").groupBy("entity", "n_entity", "term", "key").agg(F.first("n").alias("n"))
+    pairs = both.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"))
     # A pair discloses enough only if the term is in at most n_both (n / n_entity) ** (1 - disclosure) documents.
     # The lines with entities alone show for most terms that they are in more; only the rest are counted in all texts.
     total = documents.count()

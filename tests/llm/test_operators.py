@@ -306,6 +306,17 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[0].startswith("Casea contact [TERM] at [EMAIL] now numberaaaaa\nplain") and clean[107] == out[12][1]
 
 
+def test_terms_in_different_lines_of_few_texts(spark):
+    other = [(100 + i, f"contact someone else now for words {i}") for i in range(50)]
+    long = [(0, "\n".join(f"line{'abc'[i] * 3} Zorblatt has zed@corp.example.com" for i in range(3)))]  # one text, three lines
+    shared = [(i, f"own{'abc'[i] * 3} Quuxford has q@corp.example.com\nQuuxford boilerplate q@corp.example.com") for i in range(3)]
+    twice = [(7, "zed@a.example.com Wibble zed@a.example.com Wibble zed@a.example.com Wibble")]  # one line, however often
+    for mine, term, n in ((long, "Zorblatt", 1), (shared, "Quuxford", 3), (twice, "Wibble", 0)):
+        docs = spark.createDataFrame(mine + other, "doc_id long, text string")
+        clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+        assert sum(term not in clean[i] for i, _ in mine) == n, clean
+
+
 def test_token_counts(docs, rows):
     encoder, _ = tokencount.encoding(tokencount.vocabulary())
     for rule in tokencount.RULES:
