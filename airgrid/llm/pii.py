@@ -6,6 +6,8 @@ information about e is IC(e) = -log2 p(e), and t discloses PMI(e; t) = log2 p(e,
 of it; p are shares of all documents, and e and t occur together when t stands in a line with
 e.  A term that discloses at least ``DISCLOSURE`` of an entity's information, seen with it in
 ``SUPPORT`` different lines or more, is removed from the documents that hold the entity.
+Every word is a term, of any script and length, with or without digits, compared without case.
+Only one to three small letters ("at") must stand with the entity in capitals ("Kim") at least once.
 
 Patterns are written so that a match is the leftmost one and no text, however long, makes them
 recurse or look at a character more than a few times: possessive, and anchored to the start of
@@ -25,7 +27,8 @@ from .common import let, small_or_join, stored
 
 SUPPORT = 3
 DISCLOSURE = 0.9
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{M}\p{N}]+"
+SMALL = r"^\p{Ll}{1,3}$"
 TERM_ORDER = 4
 SPAN = "array<struct<start:long,order:int,kind:string,end:long,value:string>>"
 SLIM_ROWS = 20_000
@@ -96,6 +99,12 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def named_terms(line: Column) -> Column:
+    """The distinct terms of a line, and for each spelling whether more than a few small letters."""
+    words = F.regexp_extract_all(line, F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(words, lambda w: F.struct(F.lower(w).alias("term"), (~w.rlike(SMALL)).alias("named"))))
+
+
 def disclosing(documents: DataFrame, holders: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term: the terms that give an entity away.
 
@@ -110,11 +119,11 @@ def disclosing(documents: DataFrame, holders: DataFrame, support: int = SUPPORT,
     enough = lines.groupBy("entity").agg(F.count_distinct("line_hash").alias("k")).where(F.col("k") >= support)
     per_text = lines.dropDuplicates(["entity", "key"]).groupBy("entity").agg(F.sum("n").alias("n_entity"))
     enough = stored(enough.join(per_text, "entity").select("entity", "n_entity"), "entities")
-    seen = small_or_join(lines, enough, "entity", "inner").select("entity", "n_entity", "key", "n", "line_hash", F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term"))
+    seen = small_or_join(lines, enough, "entity", "inner").select("entity", "n_entity", "key", "n", "line_hash", F.inline(named_terms(F.col("line"))))
     # all lines count, also several of one text and those that texts share; documents count once for each text
-    often = stored(seen.select("entity", "term", "line_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("entity", "term"), "often")
-    both = small_or_join(seen, often, ["entity", "term"], "left_semi").groupBy("entity", "n_entity", "term", "key").agg(F.first("n").alias("n"))
-    pairs = both.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"))
+    often = stored(seen.groupBy("entity", "term", "line_hash").agg(F.max("named").alias("named")).groupBy("entity", "term").agg(F.count("*").alias("k"), F.max("named").alias("named")).where((F.col("k") >= support) & F.col("named")).select("entity", "term"), "often")
+    both = seen.groupBy("entity", "n_entity", "term", "key").agg(F.first("n").alias("n")).groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"))
+    pairs = small_or_join(both, often, ["entity", "term"], "left_semi")
     # A pair discloses enough only if the term is in at most n_both (n / n_entity) ** (1 - disclosure) documents.
     # The lines with entities alone show for most terms that they are in more; only the rest are counted in all texts.
     total = documents.count()

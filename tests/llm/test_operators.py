@@ -317,6 +317,15 @@ def test_terms_in_different_lines_of_few_texts(spark):
         assert sum(term not in clean[i] for i, _ in mine) == n, clean
 
 
+def test_terms_of_any_script_and_length(spark):
+    terms = ["Kim", "Li", "X", "李", "金明", "K7", "A1B2C3", "हिन्दी", "कि", "42"]
+    out = [(10 * i + j, f"row {t} has e{i}@corp.example.com now {j}") for i, t in enumerate(terms) for j in range(3)]
+    docs = spark.createDataFrame(out + [(1000 + i, f"row has other words now {i + 100}") for i in range(50)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all(clean[i] == f"row [TERM] has [EMAIL] now {i % 10}" for i, _ in out), clean
+    assert clean[1003] == "row has other words now 103"
+
+
 def test_token_counts(docs, rows):
     encoder, _ = tokencount.encoding(tokencount.vocabulary())
     for rule in tokencount.RULES:
