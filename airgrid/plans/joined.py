@@ -175,6 +175,14 @@ def systemic_shift(spark, sf_dir):
     return diff.systemic_shift(schedule.first_by(rows, [F.col("identity")], ["ord"]))
 
 
+@query(f"select count(*) as n, count(distinct identity) as events, count(distinct identity) >= 3 and count(*) = count(distinct identity) and count(distinct channel) = 1 and count(distinct minutes) = 1 and abs(min(minutes)) = 1440 as systemic from (select identity, channel, date_diff('minute', strptime(\"old\", '%Y-%m-%d %H:%M'), strptime(\"new\", '%Y-%m-%d %H:%M')) as minutes from ({QUERIES['channel_diff'][1]}) where field = 'time')")
+def systemic_shift_whole(spark, sf_dir):
+    """The guard over every start moved between the two versions."""
+    moved = channel_diff(spark, sf_dir).where("field = 'time'")
+    at = lambda c: F.unix_timestamp(c, "yyyy-MM-dd HH:mm")
+    return diff.systemic_shift(moved.select("identity", "channel", ((at("new") - at("old")) / 60).cast("long").alias("minutes")))
+
+
 @query(duck(f"select ord, coalesce(slot_end > timestamp '{NOW}', false) as relevant from bx"))
 def expired_suppression(spark, sf_dir):
     return bx(spark, sf_dir).select("ord", diff.still_relevant(F.col("slot_end"), NOW).alias("relevant"))

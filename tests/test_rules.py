@@ -265,3 +265,10 @@ def test_messages_are_packed_in_order(spark):
 
 def test_word_lists_are_whole():
     assert len(lexicon.EDITORIAL_MARKERS) == 30 and len(lexicon.SPORT_MARKERS) == 29 and len(lexicon.SPORT_HINTS) == 22 and len(lexicon.DURATIONS) == 13 and len(lexicon.ALIASES) == 54
+
+
+def test_systemic_shift_sees_the_whole_diff(spark, sf):
+    from airgrid.plans import joined
+
+    got = joined.systemic_shift_whole(spark, sf).collect()[0]
+    assert got.n == joined.channel_diff(spark, sf).where("field = 'time'").count() > joined.systemic_shift(spark, sf).collect()[0].n and not got.systemic
