@@ -143,8 +143,8 @@ def last_good_fallback(spark, sf_dir):
 
 @query()
 def message_packing(spark, sf_dir):
-    rows = bx(spark, sf_dir).where("date = '2024-01-14'").select("source", "ord", F.concat_ws(" ", "time", "channel", "title").alias("text"))
-    return schedule.packed(rows, ["source"], 300).select("source", "message", F.length("body").alias("n_chars"))
+    rows = bx(spark, sf_dir).select("source", "date", "ord", F.concat_ws(" ", "time", "channel", "title").alias("text"))
+    return schedule.packed(rows, ["source", "date"], 300).select("source", "date", "message", F.length("body").alias("n_chars"))
 
 
 # streams -----------------------------------------------------------------------------------

@@ -272,3 +272,12 @@ def test_systemic_shift_sees_the_whole_diff(spark, sf):
 
     got = joined.systemic_shift_whole(spark, sf).collect()[0]
     assert got.n == joined.channel_diff(spark, sf).where("field = 'time'").count() > joined.systemic_shift(spark, sf).collect()[0].n and not got.systemic
+
+
+def test_message_packing_packs_all_rows(spark, sf):
+    from airgrid.plans import adapter, scanned
+
+    rows = adapter.bx(spark, sf).select("source", "date", "time", "channel", "title").collect()
+    got = scanned.message_packing(spark, sf).collect()
+    assert {(r.source, r.date) for r in got} == {(r.source, r.date) for r in rows}
+    assert sum(r.n_chars for r in got) == sum(len(f"{r.time} {r.channel} {r.title}") for r in rows) + 2 * (len(rows) - len(got))
