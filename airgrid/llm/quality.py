@@ -1,15 +1,25 @@
 """Host-level quality rules, in DataFrame functions only.
 
-Each document is measured; five rules say whether it fails.  Failures are summed by
+Each document is measured; four rules say whether it fails.  Failures are summed by
 host (``source``), partial sums first, so that a host with a third of all rows is no
 burden.  Each rule's rate is shrunk by a beta prior that is fitted to all hosts by
-moments (``shrunk_rates``): a host with few documents stays near the corpus rate.  A
-host whose shrunk rate of any rule exceeds ``max_host_rate`` is bad, and the verdict
-is joined back to its documents.
+moments (``shrunk_rates``): a host with few documents stays near the corpus rate.
+
+Verdicts compare a host with the corpus, never with a fixed rate:
+
+* A host is bad where the odds that its documents fail a rule are more than ``BAD_ODDS`` times
+  the corpus's, even at the lower bound of its posterior (``DEVIATIONS`` standard deviations
+  below the mean).  All of its documents go.
+* For the rules that a lone document may break by chance (symbols, repeated lines) each
+  host has a limit of its own: the rule's limit, times the corpus's rate over the host's
+  shrunk one, between half and twice.  Documents over their host's limit go.
+
+Where hosts differ no more than chance explains, the prior outweighs every host: none is
+bad, and all have the rule's own limit.
 
 Defined cases: a null text has no words and fails the length rule; a null source is a
-host of its own; repeated rows count each; an empty table gives no rows; a corpus whose
-hosts do not differ more than chance explains has a prior that outweighs every host.
+host of its own; repeated rows and equal hosts count each; very long texts are measured
+whole; columns of any name are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,17 +27,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let, small_or_join, stored
+from .common import BROADCAST_ROWS, fresh, let, stored
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in windows found twice
-MAX_SYMBOLS = 10  # symbols to 100 words
+MAX_SYMBOLS = 10  # symbols to 100 characters of words
 MAX_DUP_LINES = 30  # per cent of lines with a word
-#: A host is bad when it is this likely that its next document fails a rule.
-MAX_HOST_RATE = 0.9
-#: Documents that the prior is worth at least, so that a host of one or two is never judged by them alone.
-LEAST_STRENGTH = 10.0
+#: A bad host's odds of failing a rule, as a multiple of the corpus's.
+BAD_ODDS = 20.0
+#: Standard deviations of the posterior that a bad host must be above that.
+DEVIATIONS = 2.0
+#: A host's limit is the rule's, this many times more or less at most.
+LIMIT_RANGE = 2.0
+#: Documents that the prior is worth at least: those of a uniform one.
+UNIFORM = 2.0
+#: A host with more than this share of all documents is joined apart, so at most so many are.
+HOT_SHARE = 1 / 5_000
 RULES = ("short", "repeated", "symbols", "dup_lines")
+#: Rules with a limit for each host.
+SOFT = {"symbols": MAX_SYMBOLS, "dup_lines": MAX_DUP_LINES}
 
 SPACE = r"[ \t-\r]"
 
@@ -90,10 +108,10 @@ def failures(q: str) -> dict[str, Column]:
 
 
 def shrunk_rates(hosts: DataFrame, rules=RULES) -> DataFrame:
-    """``hosts`` (n and a count for each rule) with rate_<rule>: the posterior mean under a beta prior.
+    """``hosts`` (n and a count for each rule) with, for each rule, rate_<rule> and low_<rule> (mean of the posterior under a beta prior, and DEVIATIONS below it) and pooled_<rule>.
 
     The prior has the pooled rate m and, by the moments of the hosts' rates r (weighted by n),
-    the strength s = m (1 - m) / v - 1, with v their variance beyond what binomial draws explain, and at least LEAST_STRENGTH.
+    the strength s = m (1 - m) / v - 1, with v their variance beyond what binomial draws explain.
     """
     total, more = [F.sum("n").alias("_n"), F.count("*").alias("_hosts"), F.sum(F.col("n") * F.col("n")).alias("_nn")], []
     for r in rules:
@@ -107,26 +125,46 @@ def shrunk_rates(hosts: DataFrame, rules=RULES) -> DataFrame:
         chance = m * (1 - m) * (F.col("_hosts") - 1) / F.col("_n")
         scale = 1 - F.col("_nn") / (F.col("_n") * F.col("_n"))
         v = F.greatest((spread - chance) / F.greatest(scale, F.lit(1e-9)), F.lit(1e-9))
-        s = F.greatest(m * (1 - m) / v - 1, F.lit(LEAST_STRENGTH))
-        more.append(((F.col(r) + m * s) / (F.col("n") + s)).alias(f"rate_{r}"))
+        s = F.greatest(m * (1 - m) / v - 1, F.lit(UNIFORM))
+        mean = (F.col(r) + m * s) / (F.col("n") + s)
+        more += [mean.alias(f"rate_{r}"), (mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (F.col("n") + s + 1))).alias(f"low_{r}"), m.alias(f"pooled_{r}")]
     return out.select(*hosts.columns, *more)
 
 
-def host_verdicts(rows: DataFrame, host_col: str, quality_col: str, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per host: host, n, a count and a shrunk rate for each rule, bad."""
+def host_verdicts(rows: DataFrame, host_col: str, quality_col: str, bad_odds: float = BAD_ODDS) -> DataFrame:
+    """One row per host: host, n, a count, rate_, low_ and pooled_ for each rule, bad, limit_<rule> for the soft rules."""
     fails = failures(quality_col)
     hosts = rows.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), *(F.count_if(c).alias(r) for r, c in fails.items()))
     rated = shrunk_rates(stored(hosts, "hosts"))
-    return stored(rated.withColumn("bad", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > max_host_rate), "host-verdicts")
+    worse = lambda r: F.col(f"low_{r}") * (1 - F.col(f"pooled_{r}")) > bad_odds * F.col(f"pooled_{r}") * (1 - F.col(f"low_{r}"))
+    bad = worse(RULES[0])
+    for r in RULES[1:]:
+        bad = bad | worse(r)
+    times = lambda r: F.when(F.col(f"rate_{r}") > 0, F.least(F.greatest(F.col(f"pooled_{r}") / F.col(f"rate_{r}"), F.lit(1 / LIMIT_RANGE)), F.lit(LIMIT_RANGE))).otherwise(1.0)
+    return stored(rated.withColumn("bad", bad).withColumns({f"limit_{r}": times(r) * limit for r, limit in SOFT.items()}), "host-verdicts")
+
+
+def _host_key(host: Column) -> Column:
+    """A null host is matched by null."""
+    return F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit(""))
 
 
 def _joined(rows: DataFrame, verdicts: DataFrame, host_col: str, name: str) -> DataFrame:
-    """``rows`` with a boolean column ``name``: the host is bad.  A null host is matched by null."""
-    bad = stored(verdicts.where("bad").select(F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit("")).alias(name)), "bad-hosts")
+    """``rows`` with a struct column ``name``: its host's bad and limits.
+
+    Few hosts are broadcast.  Of many, those with more than ``HOT_SHARE`` of all documents are (there
+    are at most 1 / HOT_SHARE of them), and only the rows of the others are shuffled.
+    """
     key = fresh(rows.columns, "_host")
-    keyed = rows.withColumn(key, F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("")))
-    flag = bad.withColumnRenamed(name, key).withColumn(name, F.lit(True))
-    return small_or_join(keyed, flag, key, "left").withColumn(name, F.coalesce(name, F.lit(False))).drop(key)
+    slim = verdicts.select(_host_key(F.col("host")).alias(key), "n", F.struct("bad", *(f"limit_{r}" for r in SOFT)).alias(name))
+    keyed = rows.withColumn(key, _host_key(F.col(host_col)))
+    if verdicts.count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(slim.drop("n")), key).drop(key)
+    least = (verdicts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
+    hot, cold = slim.where(F.col("n") > least).drop("n"), slim.where(F.col("n") <= least).drop("n")
+    first = keyed.join(F.broadcast(hot), key)
+    rest = keyed.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return first.unionByName(rest).drop(key)
 
 
 def base_failed(q: str) -> Column:
@@ -134,22 +172,69 @@ def base_failed(q: str) -> Column:
     return fails["short"] | fails["repeated"]
 
 
-def judged(docs: DataFrame, host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def rejected(q: str, verdict: str) -> Column:
+    """The method's verdict on a measured document beyond the base rules: its host is bad, or it is over its host's limits."""
+    m = lambda what: measure(q, what)
+    of = lambda r: F.col(verdict)[f"limit_{r}"]
+    return F.col(verdict)["bad"] | (100 * m("n_symbols") > of("symbols") * m("word_chars")) | (100 * m("n_dup_lines") > of("dup_lines") * m("n_lines"))
+
+
+def judged(docs: DataFrame, host_col: str = "source", bad_odds: float = BAD_ODDS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad, kept."""
     rows, q = measured(docs.select("doc_id", "text", F.col(host_col).alias("host")))
     rows = stored(rows.drop("text"), "quality")
-    out = _joined(rows, host_verdicts(rows, "host", q, max_host_rate), "host", "host_bad")
+    out = _joined(rows, host_verdicts(rows, "host", q, bad_odds), "host", "verdict")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     failed = base_failed(q)
-    return out.select("doc_id", *(measure(q, x).alias(x) for x in names), failed.alias("base_failed"), "host_bad", (~failed & ~F.col("host_bad")).alias("kept"))
+    return out.select("doc_id", *(measure(q, x).alias(x) for x in names), failed.alias("base_failed"), F.col("verdict.bad").alias("host_bad"), (~failed & ~rejected(q, "verdict")).alias("kept"))
 
 
-def keep_good(docs: DataFrame, host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``docs`` without those that fail the base rules or come from a bad host.
+def keep_good(docs: DataFrame, host_col: str = "source", bad_odds: float = BAD_ODDS) -> DataFrame:
+    """``docs`` without those that fail the base rules, come from a bad host or are over their host's limits.
 
     The measures are stored with the documents once, so that the text is not measured twice.
     """
     rows, q = measured(docs)
     rows = stored(rows, "quality")
-    good = _joined(rows.where(~base_failed(q)), host_verdicts(rows, host_col, q, max_host_rate), host_col, fresh(rows.columns, "_bad"))
-    return good.where(~F.col(good.columns[-1])).select(*docs.columns)
+    verdict = fresh(rows.columns, "_verdict")
+    return _joined(rows.where(~base_failed(q)), host_verdicts(rows, host_col, q, bad_odds), host_col, verdict).where(~rejected(q, verdict)).select(*docs.columns)
+
+
+def oracle_sql(host_col: str = "source") -> str:
+    """``judged`` as DuckDB SQL over documents."""
+    fails = {
+        "short": f"n_words < {MIN_WORDS}",
+        "repeated": f"100 * n_repeat_words > {MAX_REPEATED} * n_words",
+        "symbols": f"100 * n_symbols > {MAX_SYMBOLS} * word_chars",
+        "dup_lines": f"100 * n_dup_lines > {MAX_DUP_LINES} * n_lines",
+    }
+    rules, sums = list(fails), "sum(n)"
+    pooled = ", ".join(f"sum({r}) / {sums} AS m_{r}, sum(n * (cast({r} AS DOUBLE) / n) * (cast({r} AS DOUBLE) / n)) / {sums} AS q_{r}" for r in rules)
+    strength = ", ".join(f"greatest(m_{r} * (1 - m_{r}) / greatest((q_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * (hosts - 1) / total) / greatest(1 - nn / (total * total), 1e-9), 1e-9) - 1, {UNIFORM}) AS s_{r}" for r in rules)
+    rate = ", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r}) AS r_{r}" for r in rules)
+    low = ", ".join(f"r_{r} - {DEVIATIONS} * sqrt(r_{r} * (1 - r_{r}) / (n + s_{r} + 1)) AS l_{r}" for r in rules)
+    bad = " OR ".join(f"l_{r} * (1 - m_{r}) > {BAD_ODDS} * m_{r} * (1 - l_{r})" for r in rules)
+    limit = ", ".join(f"{n} * CASE WHEN r_{r} > 0 THEN least(greatest(m_{r} / r_{r}, {1 / LIMIT_RANGE}), {LIMIT_RANGE}) ELSE 1.0 END AS limit_{r}" for r, n in SOFT.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {host_col} AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+g AS (SELECT id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+twice AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, gram) AS k FROM g WHERE gram IS NOT NULL) WHERE k > 1),
+r AS (SELECT id, count(DISTINCT i + j) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS v(j) GROUP BY id),
+ww AS (SELECT id, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY id),
+l AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+m AS (
+  SELECT id, doc_id, host, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines
+  FROM d LEFT JOIN ww USING (id) LEFT JOIN l USING (id) LEFT JOIN r USING (id)),
+h AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER ({c}) AS {r}" for r, c in fails.items())} FROM m GROUP BY host),
+p AS (SELECT cast(sum(n) AS DOUBLE) AS total, count(*) AS hosts, cast(sum(n * n) AS DOUBLE) AS nn, {pooled} FROM h),
+s AS (SELECT h.*, p.*, {strength} FROM h, p),
+f AS (SELECT *, {rate} FROM s),
+b AS (SELECT *, {low} FROM f),
+v AS (SELECT host, {bad} AS host_bad, {limit} FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad,
+  NOT base_failed AND NOT host_bad AND NOT 100 * n_symbols > limit_symbols * word_chars AND NOT 100 * n_dup_lines > limit_dup_lines * n_lines AS kept
+FROM (SELECT m.*, v.host_bad, limit_symbols, limit_dup_lines, {fails["short"]} OR {fails["repeated"]} AS base_failed FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host)
+"""

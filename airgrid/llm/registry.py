@@ -68,4 +68,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.ORACLE_SQL,
+        "op4_quality": quality.oracle_sql(),
     }
