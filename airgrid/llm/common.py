@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only when its stored rows are at most this many.
 BROADCAST_ROWS = 20_000
+#: And only when the strings in them have at most this many bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +53,12 @@ def fresh(taken, base: str) -> str:
 
 
 def small_or_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a stored ``right``; it is broadcast only if its counted rows fit ``limit``."""
-    n = right.count()
-    return left.join(F.broadcast(right) if n <= limit else right, on, how)
+    """Join with a stored ``right``; it is broadcast only if its counted rows and the bytes of its strings fit."""
+    wide = [F.octet_length(f.name) for f in right.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in right.schema.fields):
+        raise ValueError("nested columns have no counted size")
+    size = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(wide, F.lit(0))), F.lit(0)).alias("bytes") if wide else F.lit(0).alias("bytes")).first()
+    return left.join(F.broadcast(right) if size.n <= limit and size.bytes <= BROADCAST_BYTES else right, on, how)
 
 
 def let(value: Column, body) -> Column:

@@ -2,20 +2,23 @@
 
 Patterns find the protected entities: e-mail and IP addresses, payment cards, phone numbers.
 The corpus then says which terms give an entity away.  For a term t and an entity e,
-information about e is IC(e) = -log2 p(e), and t discloses PMI(e; t) = log2 p(e, t) / (p(e) p(t))
+information about e is IC(e) = -log2 p(e), and t discloses PMI(e; t) = log2 p(e | t) / p(e)
 of it; p are shares of all documents, and e and t occur together when t stands in a line with
-e.  A term that discloses at least ``DISCLOSURE`` of an entity's information, seen with it in
-``SUPPORT`` different lines or more, is removed from the documents that hold the entity.
-Every word is a term, of any script and length, with or without digits, compared without case.
-Only one to three small letters ("at") must stand with the entity in capitals ("Kim") at least once.
+e, at most ``NEAR`` words away.  p(e | t) is a smoothed lower bound: seen together in k
+different lines, it is k / (k + 1) of the share of the term's documents, so a single line
+leaves one bit in doubt.  A term that discloses at least ``DISCLOSURE`` of an entity's
+information is removed from the documents that hold the entity.  Every word is a term, of any
+script and length, with or without digits, compared without case.  Only one to three small
+letters ("at") must stand with the entity in capitals ("Kim") at least once.
 
 Patterns are written so that a match is the leftmost one and no text, however long, makes them
 recurse or look at a character more than a few times: possessive, and anchored to the start of
 a run of characters or the end of the match before.
 
 Defined cases: a null text is empty and has no spans (its masked text stays null); repeated
-rows get equal results and count each in p; a corpus where no entity is in enough lines removes no
-terms; an empty table gives no rows.
+rows get equal results and count each in p; in a corpus of few documents an entity has little
+information, and more lines are asked for (102 documents for one line, 15 for two); equal spans of two kinds both stay;
+columns of any name are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import let, small_or_join, stored
 
-SUPPORT = 3
-DISCLOSURE = 0.9
+DISCLOSURE = 0.85
+#: Words on either side of an entity, within its line.
+NEAR = 8
 TERM = r"[\p{L}\p{M}\p{N}]+"
 SMALL = r"^\p{Ll}{1,3}$"
 TERM_ORDER = 4
@@ -53,6 +57,18 @@ KINDS = (
 )
 
 
+def running(numbers: Column) -> Column:
+    """Running sums of an array, in blocks of about the square root of its length, so that no long array is copied for each number; ``numbers``: a bound variable."""
+    n = F.size(numbers)
+    block = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+    sums = lambda a: F.aggregate(a, begin, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["sums"], s["at"] + x).alias("sums")), lambda s: s["sums"])
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, block)).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda i: sums(F.slice(numbers, i + 1, block)))
+    whole = lambda bs: let(sums(F.transform(bs, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(bs, lambda x, i: F.transform(x, lambda y: y + F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long"))))))
+    return let(blocks, whole)
+
+
 def located(text: Column, pattern: str, can: Column) -> Column:
     """Start, end (code points, end exclusive) and value of each match, in order."""
     none = F.array().cast("array<string>")
@@ -60,19 +76,9 @@ def located(text: Column, pattern: str, can: Column) -> Column:
 
     def placed(m: Column) -> Column:
         gaps = F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none)
-
-        def walk(g: Column) -> Column:
-            begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,value:string>>").alias("found"))
-            pairs = F.zip_with(m, F.slice(g, 1, F.size(m)), lambda x, gap: F.struct(x.alias("value"), F.length(x).alias("n"), F.length(gap).alias("gap")))
-
-            def step(s: Column, p: Column) -> Column:
-                a = s["at"] + p["gap"]
-                one = F.struct(a.alias("start"), (a + p["n"]).alias("end"), p["value"].alias("value"))
-                return F.struct((a + p["n"]).alias("at"), F.array_append(s["found"], one).alias("found"))
-
-            return F.aggregate(pairs, begin, step, lambda s: s["found"])
-
-        return let(gaps, walk)
+        steps = lambda g: F.transform(m, lambda x, i: (F.length(F.get(g, i)) + F.length(x)).cast("long"))
+        ends = let(let(gaps, steps), running)
+        return F.zip_with(m, ends, lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("value")))
 
     return let(matches, placed)
 
@@ -99,48 +105,59 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def named_terms(line: Column) -> Column:
-    """The distinct terms of a line, and for each spelling whether more than a few small letters."""
-    words = F.regexp_extract_all(line, F.lit(TERM), F.lit(0))
-    return F.array_distinct(F.transform(words, lambda w: F.struct(F.lower(w).alias("term"), (~w.rlike(SMALL)).alias("named"))))
+def near_terms(before: Column, after: Column, near: int) -> Column:
+    """The distinct terms at most ``near`` words before or after, and for each spelling whether more than a few small letters."""
+    words = lambda x: F.regexp_extract_all(x, F.lit(TERM), F.lit(0))
+    last = let(words(before), lambda w: F.slice(w, F.greatest(F.size(w) - near + 1, F.lit(1)), F.lit(near)))
+    first = let(words(after), lambda w: F.slice(w, F.lit(1), F.lit(near)))
+    return F.array_distinct(F.transform(F.concat(last, first), lambda w: F.struct(F.lower(w).alias("term"), (~w.rlike(SMALL)).alias("named"))))
 
 
-def disclosing(documents: DataFrame, holders: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_term: how many documents (``text``) have each of ``terms`` (stored).
+
+    Few terms are picked out before the shuffle.  Of many, all words of all documents are counted under a
+    64-bit hash, one number a word and task, and the terms picked from the counts.
+    """
+    words = documents.select(F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term"))
+    if terms.limit(SLIM_ROWS + 1).count() <= SLIM_ROWS:
+        return small_or_join(words, terms, "term", "left_semi", SLIM_ROWS).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = words.groupBy(F.xxhash64("term").alias("_h")).agg(F.count("*").alias("n_term"))
+    return terms.withColumn("_h", F.xxhash64("term")).join(counts, "_h").select("term", "n_term")
+
+
+def disclosing(documents: DataFrame, holders: DataFrame, disclosure: float = DISCLOSURE, near: int = NEAR) -> DataFrame:
     """entity, term: the terms that give an entity away.
 
     ``documents``: text, all of them.  ``holders``: key, text, spans, n: the texts that hold
     entities, each once, and how many documents have it.
+
+    A pair discloses enough if and only if the term is in at most
+    n_both k / (k + 1) (n / n_entity) ** (1 - disclosure) documents.
     """
+    n = F.lit(float(max(documents.count(), 1)))
     spans = holders.select("key", "text", "n", F.explode("spans").alias("s"))
     before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("s.start").cast("int")), "\n", -1)
     after = F.substring_index(F.substring(F.col("text"), F.col("s.end").cast("int") + 1, F.length("text")), "\n", 1)
-    lines = stored(spans.select("key", "n", entity(F.col("s")).alias("entity"), F.concat(before, F.lit(" "), after).alias("line"), F.xxhash64(F.replace(F.concat(before, F.col("s.value"), after), F.col("s.value"), F.lit(" "))).alias("line_hash")), "entity-lines")
-    # most entities are in too few lines; the rest go on
-    enough = lines.groupBy("entity").agg(F.count_distinct("line_hash").alias("k")).where(F.col("k") >= support)
-    per_text = lines.dropDuplicates(["entity", "key"]).groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    enough = stored(enough.join(per_text, "entity").select("entity", "n_entity"), "entities")
-    seen = small_or_join(lines, enough, "entity", "inner").select("entity", "n_entity", "key", "n", "line_hash", F.inline(named_terms(F.col("line"))))
+    line_hash = F.xxhash64(F.replace(F.concat(before, F.col("s.value"), after), F.col("s.value"), F.lit(" ")))
+    lines = stored(spans.select("key", "n", entity(F.col("s")).alias("entity"), near_terms(before, after, near).alias("terms"), line_hash.alias("line_hash")), "entity-lines")
+    # an entity counts once for each document; if even a term of its own in all its lines would not do, it goes no further
+    room = F.pow(n / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    sure = F.col("k") / (F.col("k") + 1)
+    per_text = lines.groupBy("entity", "key").agg(F.first("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    different = lines.groupBy("entity", "line_hash").agg(F.lit(1)).groupBy("entity").agg(F.count("*").alias("k"))
+    enough = stored(per_text.join(different, "entity").where(sure * room >= 1).select("entity", "n_entity"), "entities")
+    seen = small_or_join(lines, enough, "entity", "inner").select("entity", "n_entity", "key", "n", "line_hash", F.inline("terms"))
     # all lines count, also several of one text and those that texts share; documents count once for each text
-    often = stored(seen.groupBy("entity", "term", "line_hash").agg(F.max("named").alias("named")).groupBy("entity", "term").agg(F.count("*").alias("k"), F.max("named").alias("named")).where((F.col("k") >= support) & F.col("named")).select("entity", "term"), "often")
+    often = seen.groupBy("entity", "term", "line_hash").agg(F.max("named").alias("named")).groupBy("entity", "term").agg(F.count("*").alias("k"), F.max("named").alias("named")).where("named").drop("named")
     both = seen.groupBy("entity", "n_entity", "term", "key").agg(F.first("n").alias("n")).groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"))
-    pairs = small_or_join(both, often, ["entity", "term"], "left_semi")
-    # A pair discloses enough only if the term is in at most n_both (n / n_entity) ** (1 - disclosure) documents.
-    # The lines with entities alone show for most terms that they are in more; only the rest are counted in all texts.
-    total = documents.count()
-    n = F.lit(float(max(total, 1)))
-    near = lines.select("key", "n", F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term")).groupBy("term", "key").agg(F.first("n").alias("n"))
-    near = near.groupBy("term").agg(F.sum("n").alias("n_near"))
-    most = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
-    pairs = stored(pairs.join(near, "term").where(F.col("n_near") <= most), "pairs")
+    pairs = both.join(often, ["entity", "term"]).select("entity", "term", (F.col("n_both") * sure * room).alias("most")).where(F.col("most") >= 1)
+    # The lines with entities alone show for most terms that they are in more documents; only the rest are counted in all texts.
+    known = lines.select("key", "n", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).groupBy("term", "key").agg(F.first("n").alias("n"))
+    known = known.groupBy("term").agg(F.sum("n").alias("n_near"))
+    pairs = stored(pairs.join(known, "term").where(F.col("n_near") <= F.col("most")).drop("n_near"), "pairs")
     terms = stored(pairs.select("term").distinct(), "terms")
-    if not terms.limit(1).count():
-        return pairs.select("entity", "term")
-    words = documents.select(F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term"))
-    common = small_or_join(words, terms, "term", "left_semi", SLIM_ROWS).groupBy("term").agg(F.count("*").alias("n_term"))
-    content = -F.log2(F.col("n_entity") / n)
-    mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    rated = pairs.join(common, "term").withColumn("share", F.when(content > 0, mutual / content).otherwise(0.0))
-    return stored(rated.where(F.col("share") >= disclosure).select("entity", "term"), "disclosing")
+    return stored(pairs.join(term_counts(documents, terms), "term").where(F.col("n_term") <= F.col("most")).select("entity", "term"), "disclosing")
 
 
 def term_spans(holders: DataFrame, disclosed: DataFrame) -> DataFrame:
@@ -182,19 +199,26 @@ def _found(docs: DataFrame, columns: list, **options) -> tuple[DataFrame, DataFr
     return rows, stored(term_spans(holders, disclosed).where(F.size("more") > 0).select(F.col("key").alias("_key"), "more"), "term-spans")
 
 
+def _with_terms(rows: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the term spans of their texts as ``name``; only rows that hold an entity are shuffled, and no spans are broadcast."""
+    none = F.array().cast(SPAN)
+    held = rows.where(F.size("_spans") > 0).join(more.withColumnRenamed("more", name), "_key", "left").withColumn(name, F.coalesce(name, none))
+    return rows.where(F.size("_spans") == 0).withColumn(name, none).unionByName(held)
+
+
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     rows, more = _found(docs.select("doc_id", "text"), ["doc_id"], **options)
-    out = small_or_join(rows.drop("_text"), more, "_key", "left")
-    every = F.array_sort(F.concat("_spans", F.coalesce("more", F.array().cast(SPAN))))
+    out = _with_terms(rows.drop("_text"), more, "_more")
+    every = F.array_sort(F.concat("_spans", "_more"))
     counts = [count_of("_spans", k[0]).alias(f"n_{k[0]}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(written(F.col("_spans")), 256).alias("base_sha256"), written(every).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_term"))
+    return out.select("doc_id", *counts, F.sha2(written(F.col("_spans")), 256).alias("base_sha256"), written(every).alias("spans"), F.size("_more").cast("long").alias("n_term"))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with spans of personal data and disclosing terms replaced in text; other columns and rows as they were."""
-    rows, more = _found(docs, [F.struct(*docs.columns).alias("_row")], **options)
-    out = small_or_join(rows, more, "_key", "left")
-    every = F.array_sort(F.concat("_spans", F.coalesce("more", F.array().cast(SPAN))))
+    rows, more = _found(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")], **options)
+    out = _with_terms(rows, more, "_more")
+    every = F.array_sort(F.concat("_spans", "_more"))
     text = F.when(F.size("_spans") > 0, masked(F.col("_text"), every)).otherwise(F.col("_row.text"))
     return out.select(*(text.alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
