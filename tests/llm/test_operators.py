@@ -396,9 +396,9 @@ def test_disclosing_terms_are_those_counted_by_hand(spark, docs, rows, slim):
         pii.SLIM_ROWS = held
     for d, t in enumerate(texts):
         mine = {k + ":" + (digits(m[0]) if k in ("card", "phone") else m[0].lower()) for k, p, good in KINDS for m in re.finditer(p, t) if good(m[0])}
-        terms = set().union(*(want[e] for e in mine))
+        terms = {w for e in mine for w in want[e] if w in t.lower()}
         assert got.get(d, set()) <= terms and all(w in got.get(d, set()) or any(w in e for e in mine) for w in terms), (d, terms, got.get(d))
-    assert any("oxbrandt" in x for x in got.values()) and any("vixley" in x for x in got.values())
+    assert any("oxbrandt" in x for x in got.values()) and not any("vixley" in x for x in got.values())  # who has two entities gives away neither
 
 
 def test_running_sums(spark):
