@@ -9,16 +9,22 @@
    (shingle, level) a document; two documents agree on a sample as often as their weighted
    Jaccard similarity says.
 3. Equal texts become one node.  Nodes that agree on all rows of a band share a bucket.
-4. Verification.  In each bucket the node that shares most with others is the hub; all others
-   are compared with it.  Those that turn out similar are one class with it already; each of
-   the rest is compared with all others of its bucket, in blocks of bounded size.  So every
-   two nodes of a bucket are compared or already linked through the hub, and no pair is
-   written down that is not a link.
+4. Verification.  In each bucket the node that shares most with others is the first pivot; all
+   others are compared with it, and those that are similar are one class with it.  What is left
+   of the bucket gets the next pivot, which again is compared with the whole bucket, up to
+   ``PIVOTS`` times.  One minus the similarity is a metric, so two nodes whose distances to a
+   pivot differ by more than one minus the threshold cannot be similar: nodes are dealt into
+   cells by their distances, and only nodes of cells that touch, and of different pivots, are
+   compared, in blocks of bounded size.  So every two nodes of a bucket are compared, proved
+   dissimilar or linked already; a family of copies costs as many links as it has members, and a
+   block writes no more links than connect what it found.
 5. Classes are the connected components of the links.
 
 Defined cases: a null text, or one without a word, has a class of its own; shorter texts have
-one shingle of all their words; of repeated rows or ids all get the same class; a class is
-named by its smallest doc_id (null ids do not name one); an empty table gives no rows.
+one shingle of all their words; very long texts are compared whole, in blocks of few; of repeated
+rows or ids all get the same class; a class is named by its smallest doc_id (null ids do not name
+one); ties of pivots go to the smallest node; columns of any name are kept as they are; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ SIMILARITY = 0.8
 #: Hashed features, as a power of two.
 FEATURE_BITS = 18
 BANDS, ROWS = 14, 4
+#: Pivots of a bucket.
+PIVOTS = 3
 #: Shingles of one side in a block of comparisons, about; long texts make blocks of few nodes.
 BLOCK_SHINGLES = 1 << 17
 #: Shingles of one side that are compared at a time.
@@ -213,11 +221,58 @@ def _steps(vecs: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """g, a, b: the links between ``probes`` and ``members`` (both g, node) of the same g.
+class Forest:
+    """Which of some nodes are connected."""
+
+    def __init__(self, nodes):
+        self.parent = {int(x): int(x) for x in nodes}
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """True if they were apart."""
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _all_similarities(left: pd.DataFrame, right: pd.DataFrame, idf: np.ndarray) -> list[tuple]:
+    """a, b and similarity of every probe and member."""
+    lv, rv, ln, rn = list(left.vec), list(right.vec), left.node.to_numpy(), right.node.to_numpy()
+    out = []
+    for p0, p1 in _steps(lv):
+        for m0, m1 in _steps(rv):
+            s = similar(lv[p0:p1], rv[m0:m1], idf)
+            out.append((np.repeat(ln[p0:p1], m1 - m0), np.tile(rn[m0:m1], p1 - p0), s.ravel()))
+    return out
+
+
+def _connecting(left: pd.DataFrame, right: pd.DataFrame, idf: np.ndarray, similarity: float) -> list[tuple]:
+    """Links between nodes of different owners (-1: none) that connect all that are similar; nodes of one owner are connected already."""
+    forest = Forest([*left.node, *right.node])
+    for _, own in pd.concat([left, right]).loc[lambda x: x.owner >= 0].groupby("owner"):
+        for x in own.node:
+            forest.join(int(own.node.iloc[0]), int(x))
+    out = []
+    for owner, probes in left.groupby("owner"):
+        members = right if owner < 0 else right[right.owner != owner]
+        pv, mv, pn, mn = list(probes.vec), list(members.vec), probes.node.tolist(), members.node.tolist()
+        for p0, p1 in _steps(pv):
+            for m0, m1 in _steps(mv):
+                s = similar(pv[p0:p1], mv[m0:m1], idf)
+                new = [(pn[x + p0], mn[y + m0], s[x, y]) for x, y in zip(*np.nonzero(s >= similarity), strict=True) if forest.join(pn[x + p0], mn[y + m0])]
+                out += [tuple(np.array(c) for c in zip(*new, strict=True))] if new else []
+    return out
+
+
+def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float | None = None, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """g, a, b, s: of ``probes`` and ``members`` (both g, node, owner) of the same g, all similarities, or only links enough to connect those of ``similarity`` or more.
 
     Both sides are dealt into blocks of about ``block`` shingles, and each task compares one
-    block of either; what it returns are links.
+    block of either.
     """
     sent = vecs.sparkSession.sparkContext.broadcast(idf)
     lengths = vecs.select("node", "n")
@@ -225,47 +280,84 @@ def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.nda
     sizes = stored(blocks(probes, "np").join(blocks(members, "nm"), "g"), "block-sizes")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    p = small_or_join(probes, sizes, "g", "inner", SLIM_ROWS).select("g", own("np").alias("i"), every("nm").alias("j"), "node", F.lit(True).alias("probe"))
-    m = small_or_join(members, sizes, "g", "inner", SLIM_ROWS).select("g", every("np").alias("i"), own("nm").alias("j"), "node", F.lit(False).alias("probe"))
+    p = small_or_join(probes, sizes, "g", "inner", SLIM_ROWS).select("g", own("np").alias("i"), every("nm").alias("j"), "node", "owner", F.lit(True).alias("probe"))
+    m = small_or_join(members, sizes, "g", "inner", SLIM_ROWS).select("g", every("np").alias("i"), own("nm").alias("j"), "node", "owner", F.lit(False).alias("probe"))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.probe], rows[~rows.probe]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"g": [], "a": [], "b": []}, dtype="int64")
-        lv, rv, ln, rn = list(left.vec), list(right.vec), left.node.to_numpy(), right.node.to_numpy()
-        a, b = [], []
-        for p0, p1 in _steps(lv):
-            for m0, m1 in _steps(rv):
-                x, y = np.nonzero(similar(lv[p0:p1], rv[m0:m1], sent.value) >= similarity)
-                a.append(ln[x + p0])
-                b.append(rn[y + m0])
-        a, b = np.concatenate(a), np.concatenate(b)
+        found = []
+        if len(left) and len(right):
+            found = _all_similarities(left, right, sent.value) if similarity is None else _connecting(left, right, sent.value, similarity)
+        a, b, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         keep = a != b
-        return pd.DataFrame({"g": np.full(keep.sum(), rows.g.iloc[0]), "a": a[keep], "b": b[keep]})
+        return pd.DataFrame({"g": np.full(keep.sum(), rows.g.iloc[0]), "a": a[keep], "b": b[keep], "s": s[keep]})
 
-    return p.unionByName(m).join(vecs.select("node", "vec"), "node").groupBy("g", "i", "j").applyInPandas(work, "g long, a long, b long")
+    return p.unionByName(m).join(vecs.select("node", "vec"), "node").groupBy("g", "i", "j").applyInPandas(work, "g long, a long, b long, s double")
 
 
-def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """a, b: verified links that connect all similar nodes that share a bucket."""
     rows = nodes.select("node", F.explode("bands").alias("h"))
     shared = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stored(small_or_join(rows, shared, "h", "inner", SLIM_ROWS), "members")
     centre = members.groupBy("node").agg(F.sum("n").alias("centre"))
-    hubs = members.join(centre, "node").groupBy("h").agg(F.max_by("node", F.struct("centre", -F.col("node"))).alias("hub"))
-    starred = stored(members.join(hubs, "h").select("h", "node", "hub"), "starred")
 
-    active = stored(nodes.join(members.select("node").distinct(), "node").select("node", "key", F.col("doc_id").alias("_first")), "active")
+    active = stored(nodes.join(centre.select("node"), "node").select("node", "key", F.col("doc_id").alias("_first")), "active")
     text = docs.select(F.col("doc_id").alias("_first"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32).alias("key"), "text")
     of_key = small_or_join(text, active.withColumnRenamed("_first", "_want"), "key", "inner", SLIM_ROWS).where(F.col("_first").eqNullSafe(F.col("_want")))
     vecs = stored(vectors(of_key).dropDuplicates(["node"]), "vectors")
 
-    pairs = stored(starred.where("node <> hub").select(F.col("hub").alias("g"), "node").distinct(), "pairs")
-    first = stored(compared(pairs.select("g").distinct().select("g", F.col("g").alias("node")), pairs, vecs, idf, similarity), "links-to-hubs")
-    rest = stored(starred.where("node <> hub").join(first.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select(F.col("h").alias("g"), "node"), "not-of-hubs")
-    others = starred.where("node <> hub").select(F.col("h").alias("g"), "node").join(rest.select("g").distinct(), "g", "left_semi")
-    second = compared(rest, others, vecs, idf, similarity)
-    return first.select("a", "b").union(second.select("a", "b")).distinct()
+    # buckets that still have nodes without a pivot, all nodes of them; owner: the pivot's number
+    state = stored(members.join(centre, "node").select("h", "node", "centre", F.lit(-1).alias("owner"), F.array().cast("array<double>").alias("at")), "starred")
+    found, mixed = [], []
+    for k in range(pivots):
+        hubs = state.where("owner < 0").groupBy("h").agg(F.max_by("node", F.struct("centre", -F.col("node"))).alias("hub"))
+        state = stored(state.join(hubs, "h"), "with-hubs")
+        pairs = stored(state.where("node <> hub").select(F.col("hub").alias("g"), "node", "owner").dropDuplicates(["g", "node"]), "pairs")
+        hub = pairs.select("g").distinct().select("g", F.col("g").alias("node"), F.lit(-1).alias("owner"))
+        near = stored(compared(hub, pairs, vecs, idf).select(F.col("a").alias("hub"), F.col("b").alias("node"), "s"), "similarities")
+        found.append(near.where(F.col("s") >= similarity).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        close = F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.coalesce("s", F.lit(0.0)))
+        owner = F.when((F.col("owner") < 0) & (close >= similarity), F.lit(k)).otherwise(F.col("owner"))
+        state = stored(state.join(near, ["hub", "node"], "left").select("h", "node", "centre", owner.alias("owner"), F.array_append("at", 1 - close).alias("at")), "after-pivot")
+        kinds = stored(state.groupBy("h").agg(F.min("owner").alias("least"), F.max("owner").alias("most")), "kinds")
+        # no node is left, but more than one pivot was needed: compare across; nodes are left: next pivot, or compare all
+        last = k == pivots - 1
+        across = kinds.where("least <> most or least < 0") if last else kinds.where("least >= 0 and least <> most")
+        mixed.append(state.join(across.select("h"), "h", "left_semi").select("h", "node", "owner", "at"))
+        state = stored(state.join(kinds.where("least < 0").select("h"), "h", "left_semi"), "open")
+        if last or not state.limit(1).count():
+            break
+    rest = mixed[0]
+    for x in mixed[1:]:
+        rest = rest.unionByName(x)
+    found.append(across_cells(stored(rest, "mixed"), vecs, idf, similarity).select("a", "b"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.distinct()
+
+
+def across_cells(mixed: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links between nodes (h, node, owner, at: distances to the bucket's pivots) of a bucket that have different owners or none.
+
+    Distances are cut into steps of one minus ``similarity``; similar nodes are in the same step or in
+    neighbours, for every pivot.  Members stay in their cell, probes go to all cells around theirs.
+    """
+    width = (1 - similarity) * (1 + 1e-9)
+    cells = mixed.withColumn("cell", F.transform("at", lambda d: F.floor(d / F.lit(width)).cast("int")))
+    around = F.array(F.array().cast("array<int>"))
+    for i in range(PIVOTS):
+        step = lambda have, i=i: F.flatten(F.transform(have, lambda head: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.array_append(head, F.get("cell", F.lit(i)) + d))))
+        around = F.when(F.size("cell") > i, step(around)).otherwise(around)
+    group = lambda cell: F.xxhash64("h", F.concat_ws(",", F.transform(cell, lambda x: x.cast("string")))).alias("g")
+    members = stored(cells.select(group(F.col("cell")), "node", "owner"), "cell-members")
+    probes = cells.where("owner <> 0").select("h", "node", "owner", F.explode(around).alias("cell")).select(group(F.col("cell")), "node", "owner")
+    probes = stored(probes.join(members.select("g").distinct(), "g", "left_semi"), "cell-probes")
+    # where all of a cell and all around it have one pivot there is nothing to compare
+    kinds = probes.unionByName(members).groupBy("g").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least <> most or least < 0")
+    worth = stored(kinds.join(probes.select("g").distinct(), "g", "left_semi").select("g"), "cells")
+    return compared(probes.join(worth, "g", "left_semi"), members.join(worth, "g", "left_semi"), vecs, idf, similarity)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

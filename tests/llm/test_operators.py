@@ -114,6 +114,46 @@ def test_hot_bucket_links_only_through_its_hub(spark):
     assert got == weighted_classes(spark, docs, sorted(docs.collect()))
 
 
+def families(m, gap, changed=1):
+    """Two families of m copies each; their templates differ in the first ``gap`` words of 100, each copy in the last ones."""
+    out = []
+    for f in range(2):
+        for k in range(m):
+            words = [f"f{f}w{i}" if i < gap else f"w{i}" for i in range(100)]
+            words[99 - k % 7] = f"own{f}x{k}"
+            out.append((f * 10_000 + k, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("gap", [12, 24, 60])
+def test_families_in_one_bucket_have_links_in_proportion(spark, gap, monkeypatch):
+    """All copies share all buckets; links grow with the copies, not with their square."""
+    monkeypatch.setattr(neardup, "ROWS", 1)
+    n_links = {}
+    for m in (10, 40):
+        docs = spark.createDataFrame(families(m, gap), "doc_id long, text string")
+        idf = neardup.inverse_frequencies(docs)
+        signed = neardup.signatures(docs, idf, rows=1)
+        nodes = signed.select("key", "doc_id", "bands", neardup.F.col("doc_id").alias("node"))
+        found = neardup.links(nodes, docs, idf)
+        n_links[m] = found.count()
+        label = {r.node: r.label for r in components.components(found).collect()}
+        want = weighted_classes(spark, docs, sorted(docs.collect()))
+        assert {d: label.get(d, d) for d in want} == want
+    assert n_links[40] <= 14 * 2 * 80 and n_links[40] < 8 * n_links[10]
+
+
+def test_chains_across_pivots(spark):
+    """Texts that drift from one another: neighbours are similar, ends are not; all are one class."""
+    out = [(k, " ".join(f"z{i}" if i < 2 * k else f"w{i}" for i in range(100))) for k in range(30)]
+    docs = spark.createDataFrame(out, "doc_id long, text string")
+    idf = neardup.inverse_frequencies(docs)
+    nodes = docs.selectExpr("substring(sha2(text, 256), 1, 32) AS key", "doc_id", "array(1L, 2L) AS bands", "doc_id AS node")  # one bucket
+    label = {r.node: r.label for r in components.components(neardup.links(nodes, docs, idf)).collect()}
+    want = weighted_classes(spark, docs, sorted(docs.collect()))
+    assert {d: label.get(d, d) for d in want} == want and len(set(want.values())) < 30
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
