@@ -5,19 +5,22 @@ shards and builds a suffix array over the words of each shard.  Every suffix of
 every test text is binary-searched in the array of each shard, which gives its
 longest verbatim match and all places of it.  No training text is shuffled.
 
-The test texts are the stated query set.  They are collected in blocks whose
-bytes are bounded (``BLOCK_BYTES``); each block is one more pass in the same
-Spark stage, so a large benchmark costs time and not memory.
+The test texts are the stated query set.  They come to the driver once, one partition at a
+time, and leave it as broadcast blocks whose bytes are bounded (``BLOCK_BYTES``).  A task
+holds the arrays of at most ``GROUP_SHARDS`` shards and one block at a time, so a large
+benchmark costs time and not memory.
 
 Defined cases: null and wordless texts have no words and no hits; a test text of
 fewer words than ``window`` is one window of all its words; repeated rows give
-repeated results; repeated item ids count once; a null item id marks words but
-is not listed; empty tables give empty results.
+repeated results; repeated item ids count once; of equally long matches of an item
+the first place is told; a very long text is a shard of its own; a null item id marks
+words but is not listed; columns of any name are kept as they are; empty tables give
+empty results.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 #: Bytes of training text in one suffix array.
 SHARD_BYTES = 2 << 20
+#: Shards that a task searches with one block after the other.
+GROUP_SHARDS = 8
 
 MATCH = T.StructType(
     [
@@ -126,13 +131,12 @@ def _bound(w: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: int
         hi = np.where(open_ & ~go, mid, hi)
 
 
-def search_shard(w64: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(w64: np.ndarray, sa: np.ndarray, keys: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All places of all windows: their test suffix, their word in the shard, and the words that match from there on."""
     none = np.zeros(0, np.int64)
     if not len(w64) or not len(block.start):
         return none, none, none
     w, test = (w64 >> np.uint64(32)).astype(np.uint32), (block.word >> np.uint64(32)).astype(np.uint32)
-    sa, keys = suffix_array(w, max(2, int(block.need.max())))
     one = block.need == 1
     first = test[block.start].astype(np.uint64) << np.uint64(32)
     second = np.where(one, 0, test[np.minimum(block.start + 1, len(test) - 1)]).astype(np.uint64)
@@ -167,29 +171,30 @@ def search_shard(w64: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndar
     return suffix[real], place[real], length[real]
 
 
-def _shard(col: pa.Array, block: TestBlock) -> tuple[np.ndarray, list[list], list[list]]:
-    data, off = W.column_bytes(col)
-    s, e, bounds = W.word_spans(data, off, W.ALNUM)
-    n = np.diff(bounds)
-    # a word of its own after each text, so that no match runs on into the next
-    h = np.zeros(len(s) + len(n), np.uint64)
-    at = bounds[:-1] + np.arange(len(n))
-    inside = np.arange(len(s)) + np.repeat(np.arange(len(n)), n)
-    h[inside] = W.word_hashes(data, s, e)
-    h[bounds[1:] + np.arange(len(n))] = W.mix(np.arange(1, len(n) + 1, dtype=np.uint64))
-    suffix, place, length = search_shard(h, block)
-    spans: list[list] = [[] for _ in n]
-    matches: list[list] = [[] for _ in n]
-    if len(place):
-        delta = np.zeros(len(h) + 1, np.int64)
-        np.add.at(delta, place, 1)
-        np.add.at(delta, place + block.need[suffix], -1)
-        hit = np.concatenate([[False], np.cumsum(delta)[:-1] > 0, [False]])
-        a, b = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(~hit[1:] & hit[:-1])
-        row = np.searchsorted(at, a, "right") - 1
-        for r, x, y in zip(row.tolist(), (a - at[row]).tolist(), (b - at[row]).tolist(), strict=True):
-            spans[r].append({"start": x, "end": y})
-        row = np.searchsorted(at, place, "right") - 1
+class Shard:
+    """Some rows of a batch, the suffix array over their words, and what has been found in them."""
+
+    def __init__(self, part: pa.RecordBatch, text_at: int, window: int):
+        self.part = part
+        data, off = W.column_bytes(part.column(text_at))
+        s, e, bounds = W.word_spans(data, off, W.ALNUM)
+        self.n = n = np.diff(bounds)
+        # a word of its own after each text, so that no match runs on into the next
+        self.h = np.zeros(len(s) + len(n), np.uint64)
+        self.at = bounds[:-1] + np.arange(len(n))
+        self.h[np.arange(len(s)) + np.repeat(np.arange(len(n)), n)] = W.word_hashes(data, s, e)
+        self.h[bounds[1:] + np.arange(len(n))] = W.mix(np.arange(1, len(n) + 1, dtype=np.uint64))
+        self.sa, self.keys = suffix_array((self.h >> np.uint64(32)).astype(np.uint32), max(2, window))
+        self.delta = np.zeros(len(self.h) + 1, np.int64)
+        self.matches: list[list] = [[] for _ in n]
+
+    def search(self, block: TestBlock) -> None:
+        suffix, place, length = search_shard(self.h, self.sa, self.keys, block)
+        if not len(place):
+            return
+        np.add.at(self.delta, place, 1)
+        np.add.at(self.delta, place + block.need[suffix], -1)
+        row = np.searchsorted(self.at, place, "right") - 1
         # of the places of one item in a text, the longest
         item = block.item[suffix]
         order = np.lexsort((place, -length, item, row))
@@ -197,35 +202,51 @@ def _shard(col: pa.Array, block: TestBlock) -> tuple[np.ndarray, list[list], lis
         keep = np.ones(len(row), bool)
         keep[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
         word = block.start[suffix] - block.begin[suffix]
-        for r, i, p, q, k in zip(*(x[keep].tolist() for x in (row, item, place - at[row], word, length)), strict=True):
-            matches[r].append({"item_id": block.ids[i], "doc_word": p, "item_word": q, "length": k})
-    return n, spans, matches
-
+        for r, i, p, q, k in zip(*(x[keep].tolist() for x in (row, item, place - self.at[row], word, length)), strict=True):
+            self.matches[r].append({"item_id": block.ids[i], "doc_word": p, "item_word": q, "length": k})
 
-def _joined(old: list[dict], new: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for x in sorted(old + new, key=lambda x: x["start"]):
-        if out and x["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], x["end"])
-        else:
-            out.append(dict(x))
-    return out
+    def result(self) -> pa.Array:
+        hit = np.concatenate([[False], np.cumsum(self.delta)[:-1] > 0, [False]])
+        a, b = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(~hit[1:] & hit[:-1])
+        row = np.searchsorted(self.at, a, "right") - 1
+        spans: list[list] = [[] for _ in self.n]
+        for r, x, y in zip(row.tolist(), (a - self.at[row]).tolist(), (b - self.at[row]).tolist(), strict=True):
+            spans[r].append({"start": x, "end": y})
+        return pa.array([{"n_words": int(k), "spans": x, "matches": m} for k, x, m in zip(self.n, spans, self.matches, strict=True)], _ARROW)
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple[list, list]]:
-    """The test texts in blocks of about ``block_bytes`` each (a longer text is a block by itself)."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == k)
-        got = part.orderBy("i", "t").collect()
-        yield [r.i for r in got], [r.t for r in got]
+def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list]]:
+    """The test texts in blocks of at most ``block_bytes`` each (a longer text is a block by itself)."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").orderBy("i", "t")
+    ids, texts, n = [], [], 0
+    for r in rows.toLocalIterator():
+        size = len(r.t.encode())
+        if texts and n + size > block_bytes:
+            yield ids, texts
+            ids, texts, n = [], [], 0
+        ids.append(r.i)
+        texts.append(r.t)
+        n += size
+    yield ids, texts
 
 
 test_blocks.__test__ = False
 
 
+def _groups(batches: Iterator[pa.RecordBatch], text_col: str, window: int, size: int) -> Iterator[list[Shard]]:
+    """Shards, ``size`` of them at a time."""
+    group: list[Shard] = []
+    for batch in batches:
+        at = batch.schema.names.index(text_col)
+        for a, b in W.row_slices(batch.column(at), SHARD_BYTES):
+            group.append(Shard(batch.slice(a, b - a), at, window))
+            if len(group) == size:
+                yield group
+                group = []
+    if group:
+        yield group
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, column: str = "contamination") -> tuple[DataFrame, str]:
     """``docs`` with a struct column more (named ``column``, or so that it clashes with none).
 
@@ -234,31 +255,22 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     the item and length in words.
     """
     name = fresh(docs.columns, column)
-    spark = docs.sparkSession
-    plain = list(docs.columns)
-    out = docs
-    for ids, texts in test_blocks(benchmark, id_col, bench_text, block_bytes):
-        sent = spark.sparkContext.broadcast((ids, texts))
-        schema = T.StructType([*docs.schema.fields, T.StructField(name, MATCH)])
-
-        def work(batches, sent=sent, plain=plain, name=name):
-            block = TestBlock(*sent.value, window)
-            for batch in batches:
-                at = batch.schema.names.index(text_col)
-                before = batch.column(batch.schema.names.index(name)) if name in batch.schema.names else None
-                for a, b in W.row_slices(batch.column(at), SHARD_BYTES):
-                    part = batch.slice(a, b - a)
-                    n, spans, matches = _shard(part.column(at), block)
-                    if before is not None:
-                        for r, old in enumerate(before.slice(a, b - a).to_pylist()):
-                            spans[r] = _joined(old["spans"], spans[r])
-                            matches[r] = old["matches"] + matches[r]
-                    found = pa.array([{"n_words": int(k), "spans": x, "matches": m} for k, x, m in zip(n, spans, matches, strict=True)], _ARROW)
-                    columns = [part.column(i) for i in range(len(plain))]
-                    yield pa.RecordBatch.from_arrays([*columns, found], names=[*plain, name])
-
-        out = out.mapInArrow(work, schema)
-    return out, name
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in test_blocks(benchmark, id_col, bench_text, block_bytes)]
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, MATCH)])
+
+    def work(batches):
+        only = TestBlock(*sent[0].value, window) if len(sent) == 1 else None
+        for group in _groups(batches, text_col, window, 1 if only else GROUP_SHARDS):
+            for one in sent:
+                block = only or TestBlock(*one.value, window)
+                for shard in group:
+                    shard.search(block)
+                del block
+                vars(one).pop("_value", None)  # read again from the worker's disk when it is needed again
+            for shard in group:
+                yield pa.RecordBatch.from_arrays([*shard.part.columns, shard.result()], names=schema.names)
+
+    return docs.mapInArrow(work, schema), name
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

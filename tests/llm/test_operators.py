@@ -521,6 +521,37 @@ def test_decontamination(spark, sf, docs, rows, block_bytes):
     assert clean == {r.doc_id for r in got.values() if not r.contaminated}
 
 
+def test_many_blocks_are_held_one_at_a_time(spark, docs, monkeypatch):
+    """Fifty blocks give what one gives, in tasks that hold one block and few shards."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"b{x}" for x in rng.integers(0, 5000, 400)) for _ in range(100)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    some = spark.createDataFrame([(i, f"start {texts[i][100:900]} end {texts[(i * 7) % 100][:300]}") for i in range(0, 100, 3)], "doc_id long, text string").union(docs.select("doc_id", "text").limit(30))
+    n = len(list(decontaminate.test_blocks(bench, "item_id", "text", 5000)))
+    assert n >= 50
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
+    key = lambda rows: sorted(map(str, rows))
+    assert key(decontaminate.digest(some, bench, block_bytes=5000).collect()) == key(decontaminate.digest(some, bench).collect())
+    alive, most = [0], [0]
+
+    class Counted(decontaminate.TestBlock):
+        def __init__(self, *a):
+            super().__init__(*a)
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    shards = [decontaminate.Shard(pa.RecordBatch.from_pydict({"text": [t]}), 0, 10) for t in texts[:3]]
+    for ids, block in decontaminate.test_blocks(bench, "item_id", "text", 5000):
+        one = Counted(ids, block, 10)
+        for shard in shards:
+            shard.search(one)
+        del one
+    assert most[0] == 1 and all(s.result()[0].as_py()["matches"] for s in shards)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(1)
     w = rng.integers(1, 4, 300).astype(np.uint32)
