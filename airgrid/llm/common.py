@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: A side of a join is broadcast only when its stored rows are at most this many.
 BROADCAST_ROWS = 20_000
+#: Or when its key has more than this share of all rows, so at most so many have.
+HOT_SHARE = 1 / 5_000
 #: And only when the strings in them have at most this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -61,6 +63,20 @@ def small_or_join(left: DataFrame, right: DataFrame, on, how: str, limit: int =
     return left.join(F.broadcast(right) if size.n <= limit and size.bytes <= BROADCAST_BYTES else right, on, how)
 
 
+def join_by_share(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+    """Join with a stored ``right`` that has one row a ``key`` and tells in ``weight`` how many of the ``total`` rows of ``left`` have it.
+
+    Few rows are broadcast.  Of many, those with more than ``HOT_SHARE`` of all rows are (there are at
+    most 1 / HOT_SHARE of them), and only the rows of the others are shuffled.  ``how``: left or inner.
+    """
+    slim = right.drop(weight)
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(slim), key, how)
+    hot, cold = (right.where(c).drop(weight) for c in (F.col(weight) > total * HOT_SHARE, F.col(weight) <= total * HOT_SHARE))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is bound to a lambda variable and so is computed once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, let, stored
+from .common import fresh, join_by_share, let, stored
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in windows found twice
@@ -41,8 +41,6 @@ DEVIATIONS = 2.0
 LIMIT_RANGE = 2.0
 #: Documents that the prior is worth at least: those of a uniform one.
 UNIFORM = 2.0
-#: A host with more than this share of all documents is joined apart, so at most so many are.
-HOT_SHARE = 1 / 5_000
 RULES = ("short", "repeated", "symbols", "dup_lines")
 #: Rules with a limit for each host.
 SOFT = {"symbols": MAX_SYMBOLS, "dup_lines": MAX_DUP_LINES}
@@ -150,21 +148,12 @@ def _host_key(host: Column) -> Column:
 
 
 def _joined(rows: DataFrame, verdicts: DataFrame, host_col: str, name: str) -> DataFrame:
-    """``rows`` with a struct column ``name``: its host's bad and limits.
-
-    Few hosts are broadcast.  Of many, those with more than ``HOT_SHARE`` of all documents are (there
-    are at most 1 / HOT_SHARE of them), and only the rows of the others are shuffled.
-    """
+    """``rows`` with a struct column ``name``: its host's bad and limits."""
     key = fresh(rows.columns, "_host")
-    slim = verdicts.select(_host_key(F.col("host")).alias(key), "n", F.struct("bad", *(f"limit_{r}" for r in SOFT)).alias(name))
-    keyed = rows.withColumn(key, _host_key(F.col(host_col)))
-    if verdicts.count() <= BROADCAST_ROWS:
-        return keyed.join(F.broadcast(slim.drop("n")), key).drop(key)
-    least = (verdicts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
-    hot, cold = slim.where(F.col("n") > least).drop("n"), slim.where(F.col("n") <= least).drop("n")
-    first = keyed.join(F.broadcast(hot), key)
-    rest = keyed.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return first.unionByName(rest).drop(key)
+    weight = fresh(rows.columns, "_n")
+    slim = verdicts.select(_host_key(F.col("host")).alias(key), F.col("n").alias(weight), F.struct("bad", *(f"limit_{r}" for r in SOFT)).alias(name))
+    total = verdicts.agg(F.sum("n")).first()[0] or 0
+    return join_by_share(rows.withColumn(key, _host_key(F.col(host_col))), slim, key, weight, total, "inner").drop(key)
 
 
 def base_failed(q: str) -> Column:

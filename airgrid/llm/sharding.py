@@ -1,29 +1,33 @@
 """Shards cut from a Hilbert curve over several metadata dimensions.
 
-Language, source, size and content hash are quantised by their quantiles, in an
-order that keeps the columns' own order, so that neighbours on the curve have
-near values in every dimension and the minima and maxima of a shard's files prune
-well for any of them.  Rows are sorted by curve index (range partitions, ties
-split by size, id and place), counted, and cut into runs: shards differ by at
-most one row, and a slot is the rank within its run.
-
-Defined cases: nulls come before all values; a null text has size 8 and the
-CRC of no bytes; repeated rows and ties are dealt like others; an empty table
-gives no rows.
+Language, source and size are quantised by their quantiles, in an order that keeps the
+columns' own order, so that neighbours on the curve have near values in every dimension and
+the minima and maxima of a shard's files prune well for any of them.  Rows are sorted by
+curve index (range partitions, ties split by size, digest, id and place), counted, and cut
+into runs: shards differ by at most one row, and a slot is the rank within its run.
+
+Equal texts are one group: all stand on the curve where the group's first (language, source)
+stands, so that they follow each other.  A group is in one shard, or in shards that follow
+each other where its rows lie across a cut or are more than a shard holds.
+
+Defined cases: nulls come before all values; a null text has size 8 and the CRC of no bytes,
+and is in the group of empty texts; repeated rows and ties are dealt like others; very long
+texts are rows like others; columns of any name are kept as they are; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, join_by_share, stored
 
 SHARDS = 24
 #: Levels of each dimension, as a power of two.
-BITS = 4
+BITS = 5
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -58,17 +62,27 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_order(column: str):
-    """A number that orders strings by their first seven bytes; null is below all."""
-    head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def number_cuts(df: DataFrame, column: str, cuts: int) -> list:
+    """Approximate quantiles at 1 / cuts, 2 / cuts and so on, each once."""
+    shares = [i / cuts for i in range(1, cuts)]
+    return sorted(set(df.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)), 1000).alias("q")).first().q or []))
 
 
-def quantised(df: DataFrame, dimensions: list[str], bits: int = BITS) -> list:
-    """A level from 0 to 2**bits - 1 for each numeric column, by approximate quantiles; equal values have equal levels."""
-    cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    got = df.agg(*(F.percentile_approx(c, F.array(*map(F.lit, cuts)), 1000).alias(c) for c in dimensions)).first()
-    return [sum((F.col(c) > F.lit(cut)).cast("int") for cut in sorted(set(got[c] or []))) + F.lit(0) for c in dimensions]
+def text_cuts(df: DataFrame, column: str, cuts: int) -> list[str]:
+    """The same for strings, exactly: distinct values are counted, sorted over partitions and summed; only the cuts reach the driver."""
+    values = stored(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("run", F.spark_partition_id()), "values")
+    runs = values.groupBy("run").agg(F.sum("n").alias("all"))  # one row for each partition
+    runs = runs.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = values.agg(F.sum("n")).first()[0] or 0
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("run").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    step = lambda x: F.floor(x * cuts / F.lit(max(total, 1)))
+    placed = values.join(F.broadcast(runs), "run").withColumn("upto", upto)
+    return [r.v for r in placed.where((step(F.col("upto")) > step(F.col("upto") - F.col("n"))) & (F.col("upto") < total)).select("v").orderBy("v").collect()]
+
+
+def level(column: Column, cuts: list) -> Column:
+    """How many cuts a value is above; null is above none.  Equal values have equal levels."""
+    return sum((F.coalesce((column > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
 
 
 def hilbert(levels: list, bits: int = BITS):
@@ -81,8 +95,8 @@ def hilbert(levels: list, bits: int = BITS):
     return index(*levels)
 
 
-def dealt_in_runs(df: DataFrame, keys: list, shards: int) -> DataFrame:
-    """``df`` with shard and slot: its rows in the order of ``keys``, cut into runs whose counts differ by one at most."""
+def dealt_in_runs(df: DataFrame, keys: list, shards: int, shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """``df`` with ``shard`` and ``slot``: its rows in the order of ``keys``, cut into runs whose counts differ by one at most."""
     run, at, total, before = (fresh(df.columns, x) for x in ("_run", "_at", "_total", "_before"))
     tie = fresh(df.columns, "_tie")
     # equal keys are still split over partitions, by where they stood
@@ -101,30 +115,46 @@ def dealt_in_runs(df: DataFrame, keys: list, shards: int) -> DataFrame:
     small, more = divmod(n, shards)
     edge = more * (small + 1)
     rank = F.col(before) + F.col(at)
-    shard = F.when(rank < edge, F.floor(rank / F.lit(small + 1))).otherwise(more + F.floor((rank - edge) / F.lit(max(1, small)))).cast("int")
-    slot = F.when(rank < edge, rank % F.lit(small + 1)).otherwise((rank - edge) % F.lit(max(1, small))).cast("long")
-    return placed.join(F.broadcast(counts), run).withColumn("shard", shard).withColumn("slot", slot).drop(run, at, before)
+    which = F.when(rank < edge, F.floor(rank / F.lit(small + 1))).otherwise(more + F.floor((rank - edge) / F.lit(max(1, small)))).cast("int")
+    where = F.when(rank < edge, rank % F.lit(small + 1)).otherwise((rank - edge) % F.lit(max(1, small))).cast("long")
+    return placed.join(F.broadcast(counts), run).withColumn(shard, which).withColumn(slot, where).drop(run, at, before)
+
+
+def on_curve(base: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """``base`` with a struct column ``key`` (lang, source, size, digest) and a column <key>_index: the curve index of the row's group of equal texts."""
+    shared = base.groupBy(F.col(f"{key}.digest").alias(f"{key}_digest")).agg(F.count("*").alias("n"), F.min(F.struct(f"{key}.lang", f"{key}.source")).alias(f"{key}_first")).where("n > 1")
+    first, digest = f"{key}_first", f"{key}_digest"
+    grouped = join_by_share(base.withColumn(digest, F.col(f"{key}.digest")), stored(shared, "equal-texts"), digest, "n", base.count()).drop(digest)
+    own = F.struct(F.col(f"{key}.lang"), F.col(f"{key}.source"))
+    grouped = grouped.withColumn(first, F.coalesce(first, own))
+    cuts = 1 << bits
+    levels = [level(F.col(f"{first}.{c}"), text_cuts(base.select(F.col(f"{key}.{c}").alias("v")), "v", cuts)) for c in ("lang", "source")]
+    levels.append(level(F.col(f"{key}.size"), number_cuts(base.select(F.col(f"{key}.size").alias("v")), "v", cuts)))
+    return grouped.withColumn(f"{key}_index", hilbert(levels, bits)).drop(first)
+
+
+def _key() -> Column:
+    return F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+
+
+def _order(key: str) -> list[Column]:
+    return [F.col(f"{key}_index"), F.col(f"{key}.size"), F.col(f"{key}.digest"), F.col("doc_id")]
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert_index."""
-    base = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        text_order("lang").alias("_lang"),
-        text_order("source").alias("_source"),
-    )
-    base = stored(base, "shard-keys")
-    levels = quantised(base, ["_lang", "_source", "size", "text_crc32"], bits)
-    on_curve = base.select("doc_id", "size", "text_crc32", hilbert(levels, bits).alias("hilbert_index"))
-    out = dealt_in_runs(on_curve, [F.col("hilbert_index"), F.col("size"), F.col("text_crc32"), F.col("doc_id")], shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert_index")
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:
-    """The documents as Parquet, one folder for each shard, rows in slot order."""
-    base = docs.withColumns({"_lang": text_order("lang"), "_source": text_order("source"), "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
-    levels = quantised(base, ["_lang", "_source", "_size"], bits)
-    placed = dealt_in_runs(base.withColumn("_curve", hilbert(levels, bits)), [F.col("_curve"), F.col("_size"), F.col("doc_id")], shards)
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("_lang", "_source", "_size", "_curve").write.partitionBy("shard").parquet(path)
+    base = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), _key().alias("key"))
+    out = dealt_in_runs(on_curve(stored(base, "shard-keys"), "key", bits), _order("key"), shards)
+    return out.select("doc_id", F.col("key.size").alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("key_index").alias("hilbert_index"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> str:
+    """The documents as Parquet, one folder for each shard, in the order and shards of ``shard_documents``.
+
+    A shard's files follow each other in slot order, one for each range partition that it lies in, so no
+    task has a whole shard.  Returns the name of the folders' column: shard, or a like one that the documents do not have.
+    """
+    key, shard, slot = fresh(docs.columns, "_key"), fresh(docs.columns, "shard"), fresh(docs.columns, "slot")
+    placed = dealt_in_runs(on_curve(stored(docs.withColumn(key, _key()), "shard-rows"), key, bits), _order(key), shards, shard, slot)
+    placed.sortWithinPartitions(shard, slot).drop(key, f"{key}_index", slot).write.partitionBy(shard).parquet(path)
+    return shard

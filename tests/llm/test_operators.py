@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from airgrid.llm import components, decontaminate, langid, licenses, neardup, packing, pii, quality, sharding, tokencount, warc
+from airgrid.llm import common, components, decontaminate, langid, licenses, neardup, packing, pii, quality, sharding, tokencount, warc
 from airgrid.llm.common import shared_dir, table
 
 
@@ -256,7 +256,7 @@ def test_host_rates_and_limits(spark, docs, rows):
     assert sorted(got, key=str) == sorted(hosts, key=str)
 
 
-def test_hosts_have_limits_of_their_own(spark):
+def test_hosts_have_limits_of_their_own(spark, monkeypatch):
     """The same document passes on a host that is better than the corpus and is rejected on a worse one; many hosts give what few give."""
     plain = " ".join(f"w{i}" for i in range(80))
     n = len(plain.replace(" ", ""))
@@ -266,11 +266,9 @@ def test_hosts_have_limits_of_their_own(spark):
     docs = spark.createDataFrame(out, "doc_id long, text string, source string")
     got = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
     assert [got[i] for i in range(5000, 5005)] == [True, False, False, True, True]
-    whole, quality.BROADCAST_ROWS, share, quality.HOT_SHARE = quality.BROADCAST_ROWS, 0, quality.HOT_SHARE, 0.1
-    try:
-        assert {r.doc_id: r.kept for r in quality.judged(docs).collect()} == got
-    finally:
-        quality.BROADCAST_ROWS, quality.HOT_SHARE = whole, share
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.1)
+    assert {r.doc_id: r.kept for r in quality.judged(docs).collect()} == got
 
 
 def test_sharding(docs, rows):
@@ -286,6 +284,45 @@ def test_sharding(docs, rows):
     assert order == sorted(order)
 
 
+def test_equal_texts_follow_each_other(spark, docs, rows, monkeypatch):
+    """A group of equal texts is in one shard but for those across a cut; few and many groups are joined alike."""
+    got = {r.doc_id: r for r in sharding.shard_documents(docs).collect()}
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r.text or ""].append(r.doc_id)
+    start = {s: sum(r.shard < s for r in got.values()) for s in range(24)}
+    cut = 0
+    for ids in groups.values():
+        places = sorted(start[got[i].shard] + got[i].slot for i in ids)
+        assert places == list(range(places[0], places[0] + len(ids)))
+        cut += len({got[i].shard for i in ids}) > 1
+    assert any(len(x) > 1 for x in groups.values()) and cut <= 23
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.012)
+    assert {r.doc_id: r for r in sharding.shard_documents(docs).collect()} == got
+
+
+def test_levels_are_quantiles_of_whole_values(spark):
+    """URLs that begin alike are told apart, and a level holds about as many rows as another."""
+    urls = [(f"https://example.com/{i % 100:03d}",) for i in range(1000)] + [(None,)]
+    df = spark.createDataFrame(urls, "u string")
+    cuts = sharding.text_cuts(df, "u", 8)
+    n = collections.Counter(r[0] for r in df.select(sharding.level(sharding.F.col("u"), cuts)).collect())
+    assert sorted(n) == list(range(8)) and max(n.values()) - min(n.values()) <= 21
+    assert cuts == sorted(f"https://example.com/{i:03d}" for i in {-(-100 * k // 8) - 1 for k in range(1, 8)})
+
+
+def test_written_shards_are_those_of_the_query(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    more = docs.withColumns({"_lang": F.lit("a"), "_key": F.lit(1), "slot": F.lit(7), "SHARD": F.lit(5)})
+    name = sharding.write_shards(more, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect()}
+    assert name.lower() != "shard" and {r.doc_id: r[name] for r in back.collect()} == want
+    assert back.drop(name).columns == more.columns and back.where("slot = 7 and _lang = 'a' and SHARD = 5 and _key = 1").count() == docs.count()
+
+
 def test_hilbert_curve_steps_by_one():
     grid = np.array(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1).T
     index = sharding.hilbert_index(grid, 3)
