@@ -377,6 +377,30 @@ def test_license_wording():
     assert (one["license"], one["start"], one["lacks"], one["extra"]) == ("MIT", 4, "person", "human")
 
 
+def test_whole_licenses_and_many_cues():
+    import time
+
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "Apache-2.0"):
+        text = licenses.TEMPLATES[name][-1]
+        wrapped = "Copyright (c) 2020 Foo\n\n" + "\n * ".join(re.findall(r".{1,70}(?: |$)", text)) + "\nand code"
+        (one,) = licenses.notices(wrapped)
+        assert one["license"] == name and one["end"] - one["start"] > 0.9 * len(text)
+    assert [x["license"] for x in licenses.notices("x All rights\n reserved. y")] == ["Proprietary"]
+    begin = time.time()
+    assert licenses.notices("license " * 30_000) == [] and licenses.notices("All rights reserved license permission warranty " * 3000) != []
+    assert time.time() - begin < 20
+
+
+def test_all_templates_that_save_enough_are_compared():
+    """By brute force: of all templates with few enough differences anywhere in the text, the longest wins."""
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            got = licenses.notices(f"some words before. {t} some words after")
+            words = re.findall(r"\w+", t.lower())
+            longer = [n for n, x in licenses.TEMPLATES.items() for y in x if len(licenses.differences(re.findall(r"\w+", y.lower()), words)[2:][0]) == 0 and len(y) > len(t)]
+            assert got and (got[0]["license"] == name or got[0]["license"] in longer or len(got) > 1), (name, got)
+
+
 KINDS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
