@@ -9,11 +9,16 @@ a language is the sum over all of its bytes; the shortest code wins.
 Following the longest known context is an automaton whose state after a byte depends on the
 last bytes only, so states come order by order from table look-ups over whole columns.
 
-The learning sample is bounded: at most about ``SAMPLE_DOCS`` labelled texts a language,
-chosen by a hash of their id, and the commonest contexts, as many as ``TABLE_CELLS`` numbers hold.
+The learning sample is bounded: at most about ``SAMPLE_DOCS`` labelled texts a language, chosen
+by a hash of their id, of the ``LANGUAGES`` languages with most of them.  All runs of bytes in the
+sample are counted.  Contexts are kept up to a table of ``TABLE_CELLS`` numbers (or
+``LEAST_CONTEXTS`` contexts, if many languages leave less): every language in turn adds its
+commonest one that is not in yet, so a rare language has as many contexts as a common one.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a null or
-empty table of labels makes all texts ``und``; ties go to the first language by name.
+empty table of labels makes all texts ``und``; ties go to the first language by name; very long
+texts are read whole; repeated rows get equal results; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -31,8 +36,10 @@ ORDER = 4
 SAMPLE_DOCS = 1500
 #: Numbers in the frozen table (contexts x 256 bytes x languages).
 TABLE_CELLS = 6_000_000
-#: Runs that are rarer than this in the sample, over all languages, are not kept.
-LEAST_COUNT = 4
+#: Contexts that are kept however many languages there are.
+LEAST_CONTEXTS = 1_000
+#: Languages that are learned.
+LANGUAGES = 400
 UND = "und"
 
 
@@ -40,14 +47,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
+def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> DataFrame:
     """text, lang: about so many rows a language, by a hash of the id; of fewer, all."""
     has = labelled.where("text is not null and lang is not null")
-    total = has.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # one row a language
-    share = F.lit(0.0)
-    for r in total:
-        share = F.when(F.col("lang") == r.lang, min(1.0, docs_per_language / r.n)).otherwise(share)
-    return has.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
+    total = stored(has.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(languages), "languages")
+    share = F.least(F.lit(docs_per_language) / F.col("_n"), F.lit(1.0))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)
+    return has.select("doc_id", "text", "lang").join(F.broadcast(total), "lang").where(drawn).select("text", "lang")  # at most ``languages`` rows
 
 
 def run_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -76,21 +82,30 @@ def run_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return texts.select("text", "lang").mapInArrow(count, "lang string, size int, run long, n long").groupBy("lang", "size", "run").agg(F.sum("n").alias("n"))
 
 
+def chosen_contexts(counts: DataFrame, order: int, limit: int) -> DataFrame:
+    """size, run of the contexts to keep: every language's commonest in turn, ``limit`` in all.
+
+    A context's own suffix and beginning are as common or commoner in each language, and shorter, so they come before it.
+    """
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "size", "run"))
+    ranked = counts.where(F.col("size") <= order).withColumn("rank", rank).where(F.col("rank") <= limit)
+    return ranked.groupBy("size", "run").agg(F.min("rank").alias("rank")).orderBy("rank", "size", "run").limit(limit).select("size", "run")
+
+
 class Model:
-    """Frozen trees: ``step[k]`` gives the state of order k + 1 from that of order k before and the byte; ``cost[state, byte, language]`` the bits."""
+    """Frozen trees: ``step[k]`` gives the state of order k + 1 from that of order k before and the byte; ``cost[state, byte, language]`` the bits.
+
+    ``counts``: lang, size, run, n of all runs of one byte more than a context; ``contexts``: size, run.
+    """
 
-    def __init__(self, langs: list[str], counts: pd.DataFrame, order: int = ORDER, cells: int = TABLE_CELLS):
+    def __init__(self, langs: list[str], counts: pd.DataFrame, contexts: pd.DataFrame, order: int = ORDER):
         self.langs, self.order = langs, order
         n = len(langs)
-        contexts = cells // (256 * max(1, n))
         at = {x: i for i, x in enumerate(langs)}
         tables: list[dict[int, np.ndarray]] = [{} for _ in range(order + 1)]
         lang = counts.lang.map(at).to_numpy()
         size, run, num = counts["size"].to_numpy(), counts.run.to_numpy(), counts.n.to_numpy()
-        # contexts of each order, the commonest first over all orders; a context's own suffix and prefix are commoner
-        total = pd.DataFrame({"size": size, "run": run, "n": num})[size <= order].groupby(["size", "run"]).n.sum().reset_index()
-        total = total.sort_values(["n", "size", "run"], ascending=[False, True, True]).head(contexts)
-        known = [set()] + [set(total.run[total["size"] == k].tolist()) for k in range(1, order + 1)]
+        known = [set()] + [set(contexts.run[contexts["size"] == k].tolist()) for k in range(1, order + 1)]
         for k in range(2, order + 1):
             known[k] = {x for x in known[k] if (x >> 8) in known[k - 1] and (x & ((1 << (8 * (k - 1))) - 1)) in known[k - 1]}
         for k in range(order + 1):
@@ -158,11 +173,15 @@ class Model:
 
 
 def learn(labelled: DataFrame, order: int = ORDER, cells: int = TABLE_CELLS, docs_per_language: int = SAMPLE_DOCS) -> Model:
-    """A model of ``labelled`` (doc_id, text, lang)."""
+    """A model of ``labelled`` (doc_id, text, lang).  At most 256 rows a context and language reach the driver."""
     counts = stored(run_counts(sample(labelled, docs_per_language), order), "runs")
-    common = counts.groupBy("size", "run").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_COUNT)
-    got = counts.join(common.select("size", "run"), ["size", "run"], "left_semi").toArrow().to_pandas().sort_values(["size", "run", "lang"])
-    return Model(sorted(set(got.lang)), got, order, cells)
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # at most LANGUAGES rows
+    contexts = stored(chosen_contexts(counts, order, max(cells // (256 * max(1, len(langs))), LEAST_CONTEXTS)), "contexts")
+    ends = F.when(F.col("size") == 1, F.lit(0)).otherwise(F.shiftright("run", 8))
+    known = contexts.unionByName(contexts.sparkSession.createDataFrame([(0, 0)], contexts.schema))
+    own = counts.withColumns({"_size": F.col("size") - 1, "_run": ends}).join(known.select(F.col("size").alias("_size"), F.col("run").alias("_run")), ["_size", "_run"], "left_semi")
+    got = own.select("lang", "size", "run", "n").toArrow().to_pandas().sort_values(["size", "run", "lang"])
+    return Model(langs, got, contexts.toArrow().to_pandas(), order)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

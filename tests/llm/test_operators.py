@@ -377,6 +377,64 @@ def test_license_wording():
     assert (one["license"], one["start"], one["lacks"], one["extra"]) == ("MIT", 4, "person", "human")
 
 
+def test_frozen_costs_are_those_counted_by_hand(spark, docs):
+    """Code lengths of short texts by the recursion itself: a context's own share, or escape and exclusion down to order zero."""
+    import math
+
+    few = docs.where("doc_id < 40").select("doc_id", "text", "lang")
+    model = langid.learn(few)
+    texts = collections.defaultdict(list)
+    for r in few.where("text is not null and lang is not null").collect():
+        texts[r.lang].append(r.text.encode())
+    assert model.langs == sorted(texts)
+    known = {k: set() for k in range(1, langid.ORDER + 1)}
+    counts = langid.run_counts(langid.sample(few))
+    for r in langid.chosen_contexts(counts, langid.ORDER, max(langid.TABLE_CELLS // 256 // len(texts), langid.LEAST_CONTEXTS)).collect():
+        known[r.size].add(int(r.run).to_bytes(r.size, "big"))
+
+    def seen(lang, ctx):
+        out = collections.Counter()
+        for t in texts[lang]:
+            for i in range(len(ctx), len(t)):
+                if t[i - len(ctx) : i] == ctx:
+                    out[t[i]] += 1
+        return out
+
+    def probabilities(lang, ctx):
+        below = [1 / 256] * 256 if not ctx else probabilities(lang, ctx[1:])
+        own = seen(lang, ctx)
+        if not own:
+            return below
+        whole, rest = sum(own.values()) + len(own), sum(p for b, p in enumerate(below) if b not in own)
+        return [own[b] / whole if b in own else len(own) / whole * below[b] / rest for b in range(256)]
+
+    from airgrid.llm.words import column_bytes
+
+    text = "Ofthe q\u00e9".encode()
+    bits = model.bits(*column_bytes(pa.array([text.decode()])))[0]
+    for g, lang in enumerate(model.langs):
+        want = 0
+        for i, byte in enumerate(text):
+            k = min(i, langid.ORDER)
+            while k and text[i - k : i] not in known[k]:
+                k -= 1
+            want -= math.log2(probabilities(lang, text[i - k : i])[byte])
+        assert math.isclose(bits[g], want, rel_tol=1e-3), lang
+
+
+def test_rare_languages_keep_their_contexts(spark):
+    """With few texts of one language among many of another, held-out texts of both are told."""
+    rng = np.random.default_rng(4)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(3, 8)))
+    make = lambda letters: " ".join(word(letters) for _ in range(60))
+    out = [(i, make("abcdefgh"), "common") for i in range(400)] + [(1000 + i, make("ghijklm"), "rare") for i in range(8)] + [(2000 + i, make("mnopqr"), None) for i in range(4)]
+    docs = spark.createDataFrame(out, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, cells=256 * 2 * 40).collect()}
+    assert all(got[i] == "common" for i in range(400)) and all(got[1000 + i] == "rare" for i in range(8))
+    contexts = langid.chosen_contexts(spark.createDataFrame([("a", 1, i, 1000 - i) for i in range(50)] + [("b", 1, 100 + i, 50 - i) for i in range(20)], "lang string, size int, run long, n long"), 4, 20).collect()
+    assert sum(r.run >= 100 for r in contexts) == 10
+
+
 def test_whole_licenses_and_many_cues():
     import time
 
