@@ -48,6 +48,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert n == 8 and payload == 2000 + 0 + 2 + 2 + 2000
 
 
+def test_warc_members_ids_and_salts(spark, tmp_path, monkeypatch):
+    """A gzip member holds one record; ids may be strings of any letters; many records of one payload are salted; clashing columns are not read."""
+    monkeypatch.setattr(warc, "SALT_ROWS", 3)
+    html = "y" * 1500
+    ids = ["a:b>c", "é\r\n", "", "10", "9", None, *map(str, range(20, 40))]
+    pages = spark.createDataFrame([(i, "u", html, "x", "x", 1) for i in ids], "page_id string, url string, html string, sha256 string, payload string, salt int")
+    path = f"{shared_dir(spark)}/archive-salts"
+    got = warc.archive_pages(pages, path).collect()
+    assert len(got) == len(ids) and all(r.verified for r in got)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(i, "response" if i == "é\r\n" else "revisit", None if i == "é\r\n" else "é\r\n") for i in ids}
+    assert spark.read.parquet(f"{path}/payloads").count() == 1
+    warc.export_warc(spark, path, str(tmp_path / "out"))
+    import zlib
+
+    n = 0
+    for f in (tmp_path / "out").iterdir():
+        assert f.name.endswith(".warc.gz")
+        data = f.read_bytes()
+        while data:
+            one = zlib.decompressobj(31)
+            record = one.decompress(data)
+            assert record.startswith(b"WARC/1.1\r\n") and record.count(b"WARC/1.1") == 1 and record.endswith(b"\r\n\r\n")
+            data, n = one.unused_data, n + 1
+    assert n == len(ids)
+
+
 def weighted_classes(spark, docs, rows):
     idf = neardup.inverse_frequencies(docs)
     h, count, bounds = neardup.document_shingles(pa.array([r.text for r in rows]))
