@@ -9,15 +9,16 @@
    (shingle, level) a document; two documents agree on a sample as often as their weighted
    Jaccard similarity says.
 3. Equal texts become one node.  Nodes that agree on all rows of a band share a bucket.
-4. Verification.  In each bucket the node that shares most with others is the first pivot; all
-   others are compared with it, and those that are similar are one class with it.  What is left
-   of the bucket gets the next pivot, which again is compared with the whole bucket, up to
-   ``PIVOTS`` times.  One minus the similarity is a metric, so two nodes whose distances to a
-   pivot differ by more than one minus the threshold cannot be similar: nodes are dealt into
-   cells by their distances, and only nodes of cells that touch, and of different pivots, are
-   compared, in blocks of bounded size.  So every two nodes of a bucket are compared, proved
-   dissimilar or linked already; a family of copies costs as many links as it has members, and a
-   block writes no more links than connect what it found.
+4. Verification.  Small buckets with the same nodes are looked at once.  In each bucket the node
+   that shares most with others is the first pivot; all others are compared with it.  What is
+   not similar gets the next pivot, which again is compared with the whole bucket, up to
+   ``PIVOTS`` times.  Nodes that the links so far connect, in whatever bucket, need no more
+   comparisons.  The others are dealt into cells: one minus the similarity is a metric, so two
+   nodes whose distances to a pivot differ by more than one minus the threshold cannot be
+   similar, and only nodes of cells that touch are compared, in blocks of bounded size.  So
+   every two nodes of a bucket are compared, proved dissimilar or connected already; a family of
+   copies costs as many links as it has members, and a block writes no more links than connect
+   what it found.
 5. Classes are the connected components of the links.
 
 Defined cases: a null text, or one without a word, has a class of its own; shorter texts have
@@ -46,7 +47,9 @@ SIMILARITY = 0.8
 FEATURE_BITS = 18
 BANDS, ROWS = 14, 4
 #: Pivots of a bucket.
-PIVOTS = 3
+PIVOTS = 2
+#: Nodes of a bucket that need no cells.
+SMALL_BUCKET = 64
 #: Shingles of one side in a block of comparisons, about; long texts make blocks of few nodes.
 BLOCK_SHINGLES = 1 << 17
 #: Shingles of one side that are compared at a time.
@@ -251,19 +254,18 @@ def _all_similarities(left: pd.DataFrame, right: pd.DataFrame, idf: np.ndarray)
 
 
 def _connecting(left: pd.DataFrame, right: pd.DataFrame, idf: np.ndarray, similarity: float) -> list[tuple]:
-    """Links between nodes of different owners (-1: none) that connect all that are similar; nodes of one owner are connected already."""
-    forest = Forest([*left.node, *right.node])
-    for _, own in pd.concat([left, right]).loc[lambda x: x.owner >= 0].groupby("owner"):
-        for x in own.node:
-            forest.join(int(own.node.iloc[0]), int(x))
+    """Links between nodes of different owners that connect all that are similar; nodes of one owner are connected already."""
+    forest = Forest([*left.owner, *right.owner])
+    often = left.owner.map(left.owner.value_counts()) > 8  # no need to compare these with their like
+    parts = [(left[~often], right)] + [(p, right[right.owner != owner]) for owner, p in left[often].groupby("owner")]
     out = []
-    for owner, probes in left.groupby("owner"):
-        members = right if owner < 0 else right[right.owner != owner]
-        pv, mv, pn, mn = list(probes.vec), list(members.vec), probes.node.tolist(), members.node.tolist()
+    for probes, members in parts:
+        pv, mv, pn, mn, po, mo = list(probes.vec), list(members.vec), probes.node.tolist(), members.node.tolist(), probes.owner.to_numpy(), members.owner.to_numpy()
         for p0, p1 in _steps(pv):
             for m0, m1 in _steps(mv):
                 s = similar(pv[p0:p1], mv[m0:m1], idf)
-                new = [(pn[x + p0], mn[y + m0], s[x, y]) for x, y in zip(*np.nonzero(s >= similarity), strict=True) if forest.join(pn[x + p0], mn[y + m0])]
+                s[po[p0:p1, None] == mo[None, m0:m1]] = 0
+                new = [(pn[x + p0], mn[y + m0], s[x, y]) for x, y in zip(*np.nonzero(s >= similarity), strict=True) if forest.join(int(po[x + p0]), int(mo[y + m0]))]
                 out += [tuple(np.array(c) for c in zip(*new, strict=True))] if new else []
     return out
 
@@ -295,11 +297,18 @@ def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.nda
     return p.unionByName(m).join(vecs.select("node", "vec"), "node").groupBy("g", "i", "j").applyInPandas(work, "g long, a long, b long, s double")
 
 
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """h, node, n (nodes of the bucket) of all buckets with two nodes or more; of small ones with the same nodes only one."""
+    rows = nodes.select("node", F.explode("bands").alias("h"))
+    counted = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("least"), F.max("node").alias("most")).where("n > 1")
+    same = F.when(F.col("n") <= SMALL_BUCKET, F.struct("n", "sum", "least", "most")).otherwise(F.struct("n", F.col("h").cast("decimal(38,0)").alias("sum"), F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("most")))
+    shared = stored(counted.groupBy(same.alias("same")).agg(F.min("h").alias("h"), F.first("n").alias("n")).select("h", "n"), "buckets")
+    return stored(small_or_join(rows, shared, "h", "inner", SLIM_ROWS), "members")
+
+
 def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """a, b: verified links that connect all similar nodes that share a bucket."""
-    rows = nodes.select("node", F.explode("bands").alias("h"))
-    shared = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = stored(small_or_join(rows, shared, "h", "inner", SLIM_ROWS), "members")
+    members = shared_buckets(nodes)
     centre = members.groupBy("node").agg(F.sum("n").alias("centre"))
 
     active = stored(nodes.join(centre.select("node"), "node").select("node", "key", F.col("doc_id").alias("_first")), "active")
@@ -307,57 +316,60 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
     of_key = small_or_join(text, active.withColumnRenamed("_first", "_want"), "key", "inner", SLIM_ROWS).where(F.col("_first").eqNullSafe(F.col("_want")))
     vecs = stored(vectors(of_key).dropDuplicates(["node"]), "vectors")
 
-    # buckets that still have nodes without a pivot, all nodes of them; owner: the pivot's number
-    state = stored(members.join(centre, "node").select("h", "node", "centre", F.lit(-1).alias("owner"), F.array().cast("array<double>").alias("at")), "starred")
-    found, mixed = [], []
+    # nodes of a bucket that have not been its pivot; near: similar to one of its pivots; at: distances to them
+    state = stored(members.join(centre, "node").select("h", "node", "centre", F.lit(False).alias("near"), F.array().cast("array<double>").alias("at")), "starred")
+    found, left = [], []
     for k in range(pivots):
-        hubs = state.where("owner < 0").groupBy("h").agg(F.max_by("node", F.struct("centre", -F.col("node"))).alias("hub"))
-        state = stored(state.join(hubs, "h"), "with-hubs")
-        pairs = stored(state.where("node <> hub").select(F.col("hub").alias("g"), "node", "owner").dropDuplicates(["g", "node"]), "pairs")
-        hub = pairs.select("g").distinct().select("g", F.col("g").alias("node"), F.lit(-1).alias("owner"))
-        near = stored(compared(hub, pairs, vecs, idf).select(F.col("a").alias("hub"), F.col("b").alias("node"), "s"), "similarities")
-        found.append(near.where(F.col("s") >= similarity).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        close = F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.coalesce("s", F.lit(0.0)))
-        owner = F.when((F.col("owner") < 0) & (close >= similarity), F.lit(k)).otherwise(F.col("owner"))
-        state = stored(state.join(near, ["hub", "node"], "left").select("h", "node", "centre", owner.alias("owner"), F.array_append("at", 1 - close).alias("at")), "after-pivot")
-        kinds = stored(state.groupBy("h").agg(F.min("owner").alias("least"), F.max("owner").alias("most")), "kinds")
-        # no node is left, but more than one pivot was needed: compare across; nodes are left: next pivot, or compare all
+        hubs = state.where("not near").groupBy("h").agg(F.max_by("node", F.struct("centre", -F.col("node"))).alias("hub"))
+        others = stored(state.join(hubs, "h").where("node <> hub"), "with-hubs")
+        pairs = stored(others.select(F.col("hub").alias("g"), "node", F.col("node").alias("owner")).dropDuplicates(["g", "node"]), "pairs")
+        hub = pairs.select("g").distinct().select("g", F.col("g").alias("node"), F.col("g").alias("owner"))
+        close = stored(compared(hub, pairs, vecs, idf).select(F.col("a").alias("hub"), F.col("b").alias("node"), "s"), "similarities")
+        found.append(close.where(F.col("s") >= similarity).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        s = F.coalesce("s", F.lit(0.0))
+        state = stored(others.join(close, ["hub", "node"], "left").select("h", "node", "centre", (F.col("near") | (s >= similarity)).alias("near"), F.array_append("at", 1 - s).alias("at")), "after-pivot")
+        # a node that is left alone has been compared with all
+        kinds = stored(state.groupBy("h").agg(F.count("*").alias("n"), F.bool_and("near").alias("all")).where("n > 1"), "kinds")
+        # all near one pivot: all are connected; near different ones, or near none after the last: they may be apart
         last = k == pivots - 1
-        across = kinds.where("least <> most or least < 0") if last else kinds.where("least >= 0 and least <> most")
-        mixed.append(state.join(across.select("h"), "h", "left_semi").select("h", "node", "owner", "at"))
-        state = stored(state.join(kinds.where("least < 0").select("h"), "h", "left_semi"), "open")
+        if k:
+            left.append(state.join(kinds.where("all" if not last else "true").select("h"), "h", "left_semi").select("h", "node", "at"))
+        state = stored(state.join(kinds.where("not all").select("h"), "h", "left_semi"), "open")
         if last or not state.limit(1).count():
             break
-    rest = mixed[0]
-    for x in mixed[1:]:
+    rest, out = state.limit(0).select("h", "node", "at"), found[0]
+    for x in left:
         rest = rest.unionByName(x)
-    found.append(across_cells(stored(rest, "mixed"), vecs, idf, similarity).select("a", "b"))
-    out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return out.distinct()
+    out = stored(out.distinct(), "pivot-links")
+    owners = rest.join(components(out).withColumnRenamed("label", "owner"), "node", "left").select("h", "node", "at", F.coalesce("owner", "node").alias("owner"))
+    return out.union(across_cells(stored(owners, "mixed"), vecs, idf, similarity).select("a", "b")).distinct()
 
 
 def across_cells(mixed: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """Links between nodes (h, node, owner, at: distances to the bucket's pivots) of a bucket that have different owners or none.
+    """Links between nodes (h, node, owner, at: distances to the bucket's pivots) of a bucket that have different owners.
 
     Distances are cut into steps of one minus ``similarity``; similar nodes are in the same step or in
-    neighbours, for every pivot.  Members stay in their cell, probes go to all cells around theirs.
+    neighbours, for every pivot.  Members stay in their cell, probes (all but those of the bucket's
+    commonest owner) go to all cells around theirs.  A small bucket is one cell.
     """
     width = (1 - similarity) * (1 + 1e-9)
-    cells = mixed.withColumn("cell", F.transform("at", lambda d: F.floor(d / F.lit(width)).cast("int")))
+    each = mixed.groupBy("h", "owner").agg(F.count("*").alias("k"))
+    worth = stored(each.groupBy("h").agg(F.max_by("owner", F.struct("k", "owner")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("owners")).where("owners > 1").drop("owners"), "mixed-buckets")
+    cell = F.transform("at", lambda d: F.floor(d / F.lit(width)).cast("int"))
+    cells = mixed.join(worth, "h").withColumn("cell", F.when(F.col("n") > SMALL_BUCKET, cell).otherwise(F.array().cast("array<int>")))
     around = F.array(F.array().cast("array<int>"))
     for i in range(PIVOTS):
         step = lambda have, i=i: F.flatten(F.transform(have, lambda head: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.array_append(head, F.get("cell", F.lit(i)) + d))))
         around = F.when(F.size("cell") > i, step(around)).otherwise(around)
     group = lambda cell: F.xxhash64("h", F.concat_ws(",", F.transform(cell, lambda x: x.cast("string")))).alias("g")
     members = stored(cells.select(group(F.col("cell")), "node", "owner"), "cell-members")
-    probes = cells.where("owner <> 0").select("h", "node", "owner", F.explode(around).alias("cell")).select(group(F.col("cell")), "node", "owner")
-    probes = stored(probes.join(members.select("g").distinct(), "g", "left_semi"), "cell-probes")
-    # where all of a cell and all around it have one pivot there is nothing to compare
-    kinds = probes.unionByName(members).groupBy("g").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least <> most or least < 0")
-    worth = stored(kinds.join(probes.select("g").distinct(), "g", "left_semi").select("g"), "cells")
-    return compared(probes.join(worth, "g", "left_semi"), members.join(worth, "g", "left_semi"), vecs, idf, similarity)
+    probes = cells.where("owner <> main").select("h", "node", "owner", F.explode(around).alias("cell")).select(group(F.col("cell")), "node", "owner")
+    # a probe stays where a member of another owner is
+    kinds = stored(members.groupBy("g").agg(F.min("owner").alias("least"), F.max("owner").alias("most")), "cells")
+    probes = stored(probes.join(kinds, "g").where("owner <> least or owner <> most").drop("least", "most"), "cell-probes")
+    return compared(probes, members.join(probes.select("g").distinct(), "g", "left_semi"), vecs, idf, similarity)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
