@@ -62,6 +62,15 @@ DOMAIN_HOURS = {
     "baidu.com": 8, "sohu.com": 8, "qq.com": 8, "xinhuanet.com": 8, "thairath.co.th": 7, "thailandedition.com": 7, "bangkokpost.com": 7, "vietnam.vn": 7, "chosun.com": 9, "sbs.co.kr": 9, "sports.ru": 3, "championat.com": 3, "sport24.ru": 3, "matchtv.ru": 3,
 }
 SUFFIX_HOURS = {"cn": 8, "th": 7, "vn": 7, "kr": 9, "ru": 3, "kz": 5}
+#: Zones of the bare clocks of pages, by base domain, then by country.
+DOMAIN_ZONES = {
+    "ufc.com": "America/New_York", "khl.ru": "Europe/Moscow", "sports.ru": "Europe/Moscow", "championat.com": "Europe/Moscow", "sport24.ru": "Europe/Moscow", "matchtv.ru": "Europe/Moscow", "sports.kz": "Asia/Almaty", "qazsporttv.kz": "Asia/Almaty",
+}
+SUFFIX_ZONES = {"kz": "Asia/Almaty", "ru": "Europe/Moscow"}
+#: Sites of those who hold the events.
+OFFICIAL_EVENT_DOMAINS = (
+    "ufc.com", "pflmma.com", "formula1.com", "fia.com", "fiawec.com", "wrc.com", "motogp.com", "khl.ru", "nhl.com", "nba.com", "fiba.basketball", "ijf.org", "uefa.com", "fifa.com", "the-afc.com", "premierleague.com", "laliga.com", "bundesliga.com", "legaseriea.it", "ligue1.com", "kff.kz", "kffleague.kz", "atptour.com", "wtatennis.com", "itftennis.com", "wst.tv", "olympics.com", "worldathletics.org", "worldaquatics.com", "fivb.com", "asianvolleyball.net",
+)
 BETTING_WORDS = ("bet", "odds", "prediction", "bookmaker")
 GENERIC_WORDS = ("uefa", "fifa", "league", "лига", "cup", "кубок", "championship", "чемпионат", "tournament", "турнир", "qualifying", "квалификационный", "playoff", "плей", "women", "женщины", "men", "мужчины")
 TWO_LEVEL_SUFFIXES = ("co.uk", "co.kr", "co.th", "com.au", "com.cn")

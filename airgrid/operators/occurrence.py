@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
@@ -19,75 +20,128 @@ from pyspark.sql import types as T
 from . import verify
 from .reconcile import minutes_between
 
-#: Months by name, zones by the letters after a clock.
+# Months by name, cue words, zones by the letters after a clock, and which of them want am or pm.
 MONTH_NAMES = {
-    **{n: i + 1 for i, n in enumerate("january february march april may june july august september october november december".split())},
-    **{n: i + 1 for i, n in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())},
-    **{n: i + 1 for i, n in enumerate("января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split())},
-}
-ZONES = {"utc": "UTC", "gmt": "UTC", "msk": "Europe/Moscow", "мск": "Europe/Moscow", "edt": "America/New_York", "et": "America/New_York", "est": -5, "pdt": "America/Los_Angeles", "pt": "America/Los_Angeles", "pst": -8, "cest": 2, "cet": 1}
+    "january": 1, "jan": 1, "января": 1, "январь": 1,
+    "february": 2, "feb": 2, "февраля": 2, "февраль": 2,
+    "march": 3, "mar": 3, "марта": 3, "март": 3,
+    "april": 4, "apr": 4, "апреля": 4, "апрель": 4,
+    "may": 5, "мая": 5, "май": 5,
+    "june": 6, "jun": 6, "июня": 6, "июнь": 6,
+    "july": 7, "jul": 7, "июля": 7, "июль": 7,
+    "august": 8, "aug": 8, "августа": 8, "август": 8,
+    "september": 9, "sep": 9, "sept": 9, "сентября": 9, "сентябрь": 9,
+    "october": 10, "oct": 10, "октября": 10, "октябрь": 10,
+    "november": 11, "nov": 11, "ноября": 11, "ноябрь": 11,
+    "december": 12, "dec": 12, "декабря": 12, "декабрь": 12,
+}
 CUES = re.compile(r"kick[\s-]?off|start(?:s|ing)?|begins?|main card|prelims|начал[оа]?|старт|начн[её]тся|время|эфир", re.I)
 CUE_REACH = 100
 CONFIRM_MINUTES = 30
-
-_MONTH = "|".join(sorted(MONTH_NAMES, key=len, reverse=True))
-_DATES = re.compile(rf"(?<!\d)(?P<y1>20\d\d)-(?P<m1>\d\d?)-(?P<d1>\d\d?)(?!\d)|(?<!\d)(?P<d2>\d\d?)[./](?P<m2>\d\d?)[./](?P<y2>20\d\d)(?!\d)|\b(?P<n3>{_MONTH})\s+(?P<d3>\d\d?)(?:st|nd|rd|th)?,?\s+(?P<y3>20\d\d)\b|\b(?P<d4>\d\d?)\s+(?P<n4>{_MONTH}),?\s+(?P<y4>20\d\d)\b", re.I)
-_CLOCK = re.compile(rf"(?<![\d:])(?P<h>\d\d?)(?::(?P<m>\d\d))?\s*(?P<half>am|pm)?(?:\s*(?P<zone>{'|'.join(sorted(ZONES, key=len, reverse=True))})\b)?(?!\w)", re.I)
+ZONES = {
+    "utc": "UTC", "gmt": "UTC", "msk": "Europe/Moscow", "мск": "Europe/Moscow", "edt": "America/New_York", "et": "America/New_York", "est": -5,
+    "pdt": "America/Los_Angeles", "pt": "America/Los_Angeles", "pst": -8, "cest": 2, "cet": 1,
+}
+HALF_DAY_ZONES = ("edt", "et", "est", "pdt", "pt", "pst")
+FULL_DAY_ZONES = ("cest", "cet")
+
+_MONTH_WORD = re.compile(rf"\b({'|'.join(sorted(MONTH_NAMES, key=len, reverse=True))})\b", re.I)
+_NUMBERS = re.compile(r"(?<!\d)(?=(\d{1,4})([-./])(\d\d?)([-./])(\d{1,4})(?!\d))")
+_DAY_AFTER = re.compile(r"\s+(\d\d?)(?:st|nd|rd|th)?,?\s+(20\d\d)\b", re.I)
+_DAY_BEFORE = re.compile(r"\b(\d\d?)\s+$")
+_YEAR_AFTER = re.compile(r",?\s+(20\d\d)\b")
+_CLOCK = re.compile(r"(?<!\d)(?P<h>\d\d?)(?::(?P<m>\d\d))?\s*(?P<half>am|pm)?(?:(?!\w)|(?=(?:utc|gmt|msk|мск|edt|est|et|pdt|pst|pt|cest|cet)\b))", re.I)
+_ZONE = re.compile(rf"\s*({'|'.join(sorted(ZONES, key=len, reverse=True))})\b", re.I)
+
+
+def _stated(said: str) -> Iterator[tuple[int, int, int, int]]:
+    """Year, month, day and place of everything that has the form of a date."""
+    for m in _NUMBERS.finditer(said):
+        a, one, b, two, c = m.groups()
+        if len(a) == 4 and a.startswith("20") and one == two == "-" and len(c) <= 2:
+            yield int(a), int(b), int(c), m.start()
+        elif len(a) <= 2 and len(c) == 4 and c.startswith("20") and "-" not in (one, two):
+            yield int(c), int(b), int(a), m.start()
+    for m in _MONTH_WORD.finditer(said):
+        month = MONTH_NAMES[m[1].lower()]
+        if after := _DAY_AFTER.match(said, m.end()):
+            yield int(after[2]), month, int(after[1]), m.start()
+        before, year = _DAY_BEFORE.search(said, max(0, m.start() - 40), m.start()), _YEAR_AFTER.match(said, m.end())
+        if before and year:
+            yield int(year[1]), month, int(before[1]), before.start()
 
 
 def dates_in(said: str) -> list[tuple[dt.date, int]]:
     """Dates that a text states, each where it is first stated, in order of date."""
     first: dict[dt.date, int] = {}
-    for m in _DATES.finditer(said):
-        g = {k[0]: v for k, v in m.groupdict().items() if v}
+    for year, month, day, at in _stated(said):
         try:
-            day = dt.date(int(g["y"]), MONTH_NAMES[g["n"].lower()] if "n" in g else int(g["m"]), int(g["d"]))
+            date = dt.date(year, month, day)
         except ValueError:
             continue
-        first.setdefault(day, m.start())
+        first[date] = min(at, first.get(date, at))
     return sorted(first.items())
 
 
-def clocks_in(said: str, hours: int | None) -> list[tuple[dt.datetime, bool, bool]]:
+def _zone_of(m: re.Match, said: str, home) -> tuple[bool, object]:
+    """Whether a number is a clock, and its zone: the one stated after it, if that goes with such a clock, or else the page's own."""
+    letters = _ZONE.match(said, m.end())
+    if not letters:
+        return home is not None and said[m.start() - 1 : m.start()] != ":", home
+    name = letters[1].lower()
+    fits = m["half"] if name in HALF_DAY_ZONES else m["m"] and not (m["half"] and name in FULL_DAY_ZONES)
+    return bool(fits), ZONES[name]
+
+
+def clocks_in(said: str, home: str | int | None) -> list[tuple[dt.datetime, bool, bool]]:
     """instant (UTC, no zone), zone stated, cue near, of each clock; bare numbers are clocks of the page's own zone, if that is known.
 
-    ``hours``: the page's hours east.  A clock is of the date that stands nearest to it.
+    ``home``: the page's zone, by name or in hours east.  American zones go with am or pm only, Central
+    European ones without, and a clock beside a zone it does not go with is none.  A clock is of the date
+    that stands nearest to it.
     """
     dates = dates_in(said)
     out = []
-    for m in _CLOCK.finditer(said):
-        zone = ZONES.get((m["zone"] or "").lower())
-        if not dates or (zone is None and hours is None) or (m["zone"] and not m["m"] and not m["half"]):
-            continue
+    for m in _CLOCK.finditer(said) if dates else ():
+        is_clock, zone = _zone_of(m, said, home)
         h, minute = int(m["h"]), int(m["m"] or 0)
-        if minute > 59 or (m["half"] and not 1 <= h <= 12):
+        if not is_clock or minute > 59 or (m["half"] and not 1 <= h <= 12):
             continue
         if m["half"]:
             h = h % 12 + 12 * (m["half"].lower() == "pm")
         if h > 23:
             continue
         day = min(dates, key=lambda d: abs(d[1] - m.start()))[0]
-        at = dt.datetime(day.year, day.month, day.day, h, minute)
-        if isinstance(zone, str):
-            at = at.replace(tzinfo=ZoneInfo(zone)).astimezone(dt.timezone.utc).replace(tzinfo=None)
-        else:
-            at -= dt.timedelta(hours=hours if zone is None else zone)
+        east = ZoneInfo(zone) if isinstance(zone, str) else dt.timezone(dt.timedelta(hours=zone))
+        at = dt.datetime(day.year, day.month, day.day, h, minute, tzinfo=east).astimezone(dt.timezone.utc).replace(tzinfo=None)
         cue = bool(CUES.search(said, max(0, m.start() - CUE_REACH), min(len(said), m.end() + CUE_REACH)))
-        out.append((at, zone is not None, cue))
+        out.append((at, _ZONE.match(said, m.end()) is not None, cue))
     return out
 
 
+def dates(results: DataFrame, key: str = "ord", said: str = "said") -> DataFrame:
+    """key, date: every date that a page states, each once."""
+    schema = T.StructType([results.schema[key], T.StructField("date", T.DateType())])
+
+    def work(batches):
+        for batch in batches:
+            found = [(i, d) for i, x in enumerate(batch.column(1).to_pylist()) for d, _ in dates_in(x or "")]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([d for _, d in found], pa.date32())], names=schema.names)
+
+    return results.select(key, said).mapInArrow(work, schema)
+
+
 def candidates(results: DataFrame, key: str = "ord", url: str = "url", said: str = "said") -> DataFrame:
     """key, at (UTC), explicit, score, organisation, weight of every clock in every page."""
     name = verify.host(F.col(url))
-    zoned = results.select(key, F.coalesce(said, F.lit("")).alias("said"), verify.zone_hours(name).alias("hours"), verify.base_domain(name).alias("organisation"))
+    zoned = results.select(key, F.coalesce(said, F.lit("")).alias("said"), verify.zone_name(name).alias("zone"), verify.base_domain(name).alias("organisation"))
     schema = T.StructType([results.schema[key], *(T.StructField(n, t) for n, t in (("at", T.TimestampNTZType()), ("explicit", T.BooleanType()), ("cue", T.BooleanType()), ("organisation", T.StringType())))])
 
     def work(batches):
         for batch in batches:
             row, found = [], []
-            for i, (text, hours) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for c in clocks_in(text, hours):
+            for i, (text, zone) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for c in clocks_in(text, zone):
                     row.append(i)
                     found.append(c)
             take = pa.array(row, pa.int64())
@@ -96,23 +150,29 @@ def candidates(results: DataFrame, key: str = "ord", url: str = "url", said: str
 
     got = zoned.mapInArrow(work, schema)
     score = F.when(F.col("explicit"), 100).otherwise(0) + F.when(F.col("cue"), 80).otherwise(0)
-    return got.select(key, F.col("at").cast("timestamp").alias("at"), "explicit", score.alias("score"), "organisation", verify.source_weight(F.col("organisation")).alias("weight"))
+    return got.select(key, F.col("at").cast("timestamp").alias("at"), "explicit", score.alias("score"), "organisation", verify.occurrence_weight(F.col("organisation")).alias("weight"))
 
 
-def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int = CONFIRM_MINUTES) -> DataFrame:
+def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int = CONFIRM_MINUTES, stated: DataFrame | None = None) -> DataFrame:
     """Per slot: state, difference of the time it rests on, organisations.
 
-    ``slots``: keys, start_at; ``found``: keys, at, weight, score, organisation.  Confirmed by one
-    source of weight 100, or by two with 100 together, each organisation heard once; else any
-    time at all is a mismatch, told by the nearest; else unknown.
+    ``slots``: keys, start_at; ``found``: keys, at, weight, score, organisation; ``stated``: keys, date.
+    Confirmed by one source of weight 100, or by two with 100 together, each organisation heard once; else
+    any time at all is a mismatch, told by the nearest; without times, dates that are all more than a day
+    from the slot's are a mismatch too; else unknown.
     """
     diff = slots.join(found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
     near = F.abs(F.col("difference")) <= minutes
     heard = diff.where(near).groupBy(*keys, "organisation").agg(F.max(F.struct("weight", "score", (-F.abs("difference")).alias("close"), "difference")).alias("v"))
     tally = heard.groupBy(*keys).agg(F.count("*").alias("organisations"), F.sum("v.weight").alias("weight"), F.max("v").alias("best"))
     close = diff.groupBy(*keys).agg(F.min(F.struct(F.abs("difference").alias("far"), "difference")).alias("nearest"))
-    out = slots.select(*keys).join(tally, keys, "left").join(close, keys, "left")
+    out = slots.select(*keys, "start_at").join(tally, keys, "left").join(close, keys, "left")
     sure: Column = (F.col("best.weight") >= 100) | ((F.col("organisations") >= 2) & (F.col("weight") >= 100))
-    state = F.when(F.coalesce(sure, F.lit(False)), "confirmed_direct").when(F.col("nearest").isNotNull(), "mismatch").otherwise("unknown")
+    elsewhere = F.lit(False)
+    if stated is not None:
+        days = slots.join(stated, keys).groupBy(*keys).agg(F.min(F.abs(F.date_diff("date", F.col("start_at").cast("date")))).alias("days"))
+        out, elsewhere = out.join(days, keys, "left"), F.coalesce(F.col("days") > 1, F.lit(False))
+    state = F.when(F.coalesce(sure, F.lit(False)), "confirmed_direct").when(F.col("nearest").isNotNull() | elsewhere, "mismatch").otherwise("unknown")
     told = F.when(state == "confirmed_direct", F.col("best.difference")).otherwise(F.col("nearest.difference"))
-    return out.select(*keys, state.alias("state"), told.alias("difference"), F.coalesce("organisations", F.lit(0)).alias("organisations"))
+    reason = F.when(F.col("nearest").isNull() & elsewhere, "external_event_date_mismatch")
+    return out.select(*keys, state.alias("state"), told.alias("difference"), F.coalesce("organisations", F.lit(0)).alias("organisations"), reason.alias("reason"))

@@ -39,6 +39,19 @@ def zone_hours(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), F.try_element_at(table, base_domain(name)), F.try_element_at(ends, F.element_at(F.split(name, r"\."), -1)))
 
 
+def zone_name(name: Column) -> Column:
+    """The zone of a page's bare clocks, by name: by base domain, then by country, else null."""
+    domain = base_domain(name)
+    table = F.create_map(*(F.lit(v) for p in lexicon.DOMAIN_ZONES.items() for v in p))
+    ends = F.create_map(*(F.lit(v) for p in lexicon.SUFFIX_ZONES.items() for v in p))
+    return F.coalesce(F.try_element_at(table, domain), F.try_element_at(ends, F.element_at(F.split(domain, r"\."), -1)))
+
+
+def occurrence_weight(domain: Column) -> Column:
+    """As ``source_weight``, but a wider list of official domains weighs 100 at least."""
+    return F.when(domain.isin(*lexicon.OFFICIAL_EVENT_DOMAINS), 100).otherwise(source_weight(domain))
+
+
 def search_dedup(results: DataFrame) -> DataFrame:
     """The first of results with equal url and title, without case."""
     from .schedule import first_by

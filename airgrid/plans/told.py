@@ -66,17 +66,25 @@ def live_stripped(spark, sf_dir):
 
 
 # pages about events: the same clock told in several zones
-_TOLD = "case event_id % 4 when 0 then 'Kick-off ' || {iso} || ' at ' || {clock} || ' UTC' when 1 then {dmy} || ', начало в ' || {clock} || ' МСК' when 2 then 'On ' || {iso} || ' from ' || {clock} || ' EST' else {dmy} || ' в ' || {clock} end"
+_TOLD = "case event_id % 5 when 0 then 'Kick-off ' || {iso} || ' at ' || {clock} || ' UTC' when 1 then {dmy} || ', начало в ' || {clock} || ' МСК' when 2 then 'On ' || {iso} || ' from ' || {clock} || ' EST' when 3 then {dmy} || ' в ' || {clock} else 'Main card ' || {half} || ' ET, ' || {worded} end"
 _URL = "case event_id % 3 when 0 then 'https://www.uefa.com/m/' when 1 then 'https://news.sports.ru/' else 'http://example.com/' end"
 
 
 def _told(spark, sf_dir):
-    said = _TOLD.format(iso="date_format(ts, 'yyyy-MM-dd')", dmy="date_format(ts, 'dd.MM.yyyy')", clock="date_format(ts, 'HH:mm')").replace("UTC'", "UTC'")
+    said = _TOLD.format(iso="date_format(ts, 'yyyy-MM-dd')", dmy="date_format(ts, 'dd.MM.yyyy')", clock="date_format(ts, 'HH:mm')", half="date_format(ts, 'h:mm a')", worded="date_format(ts, 'MMMM d, yyyy')")
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), "user_id", "ts", F.expr(_URL).alias("url"), F.expr(said).alias("said"))
 
 
+# Clocks with a zone that they go with; and on pages of sports.ru, whose clocks are Moscow's, bare numbers: the day and month of a
+# date, if they can be hours, and the clock itself where no zone follows it.
 _ORG = "case event_id % 3 when 0 then 'uefa.com' when 1 then 'sports.ru' else 'example.com' end"
-_CANDIDATES = f"told as (select event_id as ord, user_id, ts, date_trunc('minute', ts) + to_hours(case event_id % 4 when 0 then 0 when 1 then -3 when 2 then 5 else -3 end) as \"at\", event_id % 4 <> 3 as explicit, case when event_id % 4 = 3 then 0 else 100 end + case when event_id % 4 in (0, 1) then 80 else 0 end as score, {_ORG} as organisation, case event_id % 3 when 0 then 100 when 1 then 70 else 40 end as weight from events where event_id % 4 <> 3 or event_id % 3 = 1)"
+_CANDIDATES = f"""minutes as (select *, date_trunc('minute', ts) as mi, date_trunc('day', ts) as d0 from events),
+clocks as (
+  select event_id, user_id, ts, mi + to_hours(case event_id % 5 when 1 then -3 when 4 then 5 else 0 end) as "at", true as explicit from minutes where event_id % 5 in (0, 1, 4)
+  union all select event_id, user_id, ts, mi + to_hours(-3), false from minutes where event_id % 3 = 1 and event_id % 5 = 3
+  union all select event_id, user_id, ts, d0 + to_hours(cast(month(ts) as integer) - 3), false from minutes where event_id % 3 = 1 and event_id % 5 <> 4
+  union all select event_id, user_id, ts, d0 + to_hours(cast(day(ts) as integer) - 3), false from minutes where event_id % 3 = 1 and day(ts) <= 23),
+told as (select event_id as ord, user_id, ts, "at", explicit, case when explicit then 100 else 0 end + case when event_id % 5 in (0, 1, 4) then 80 else 0 end as score, {_ORG} as organisation, case event_id % 3 when 0 then 100 when 1 then 70 else 40 end as weight from clocks)"""
 
 
 @query(f"with {_CANDIDATES} select ord, strftime(\"at\", '%Y-%m-%d %H:%M') as at_text, explicit, score, organisation, weight from told")
@@ -98,4 +106,15 @@ def occurrence_verdict(spark, sf_dir):
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")
     slots = told.groupBy("user_id", day).agg(F.min(F.date_trunc("minute", "ts")).alias("start_at"))
     found = occurrence.candidates(told).join(told.select("ord", "user_id", day), "ord")
-    return occurrence.verdicts(slots, found, ["user_id", "day"]).withColumn("difference", F.coalesce("difference", F.lit(-99999)))
+    return occurrence.verdicts(slots, found, ["user_id", "day"]).withColumn("difference", F.coalesce("difference", F.lit(-99999))).drop("reason")
+
+
+# pages that state dates only, some of another day than the slot's
+@query("select event_id as ord, case when event_id % 4 >= 2 then 'mismatch' else 'unknown' end as state, case when event_id % 4 >= 2 then 'external_event_date_mismatch' else '' end as reason, 1 + cast(event_id % 2 = 1 as int) as n_dates from events")
+def occurrence_dates(spark, sf_dir):
+    shift = "date_add(cast(ts as date), cast(event_id % 4 as int))"
+    said = F.expr(f"'The final is on ' || date_format({shift}, 'd MMMM yyyy') || case when event_id % 2 = 1 then ' or ' || date_format(date_add({shift}, 7), 'dd/MM/yyyy') || ', not 99.99.2024' else ' (' || date_format({shift}, 'yyyy-MM-dd') || ')' end")
+    pages = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.date_trunc("minute", "ts").alias("start_at"), F.lit("http://example.com/").alias("url"), said.alias("said"))
+    stated = occurrence.dates(pages)
+    out = occurrence.verdicts(pages.select("ord", "start_at"), occurrence.candidates(pages), ["ord"], stated=stated)
+    return out.join(stated.groupBy("ord").agg(F.count("*").cast("int").alias("n_dates")), "ord").select("ord", "state", F.coalesce("reason", F.lit("")).alias("reason"), "n_dates")
