@@ -28,6 +28,7 @@ MONTHS = ("января", "февраля", "марта", "апреля", "ма
 
 #: Letters that are matched as their Russian neighbours.
 MATCH_FROM, MATCH_TO = "қғәңөұүіһё", "кганоууихе"
+KAZAKH_LETTERS, RUSSIAN_LETTERS = "ҚқҒғҢңӨөҰұҮүІіҺһӘә", "КкГгНнОоУуУуИиХхАа"
 MATCH_ALIASES = {"kairat": "кайрат"}
 
 #: Sports told by a word in the text, in this order.
@@ -73,6 +74,8 @@ OFFICIAL_EVENT_DOMAINS = (
 )
 BETTING_WORDS = ("bet", "odds", "prediction", "bookmaker")
 GENERIC_WORDS = ("uefa", "fifa", "league", "лига", "cup", "кубок", "championship", "чемпионат", "tournament", "турнир", "qualifying", "квалификационный", "playoff", "плей", "women", "женщины", "men", "мужчины")
+#: Words that tell nothing either where only long words are looked at.
+STOP_WORDS = ("match", "матч", "final", "финал", "round", "тур", "season", "сезон", "championship", "чемпионат", "league", "лига", "cup", "кубок", "live", "main", "card", "grand", "prix", "sport", "sports")
 TWO_LEVEL_SUFFIXES = ("co.uk", "co.kr", "co.th", "com.au", "com.cn")
 
 STATUS_MARKERS = ("Не начался", "Не началось", "Окончен", "Окончено", "Идёт", "Идет", "Перерыв", "Отложен", "Отложено", "Перенесен", "Перенесён", "Отменен", "Отменён")

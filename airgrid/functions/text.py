@@ -76,9 +76,26 @@ def storage_id(source: Column, scope: Column, date: Column, time: Column, channe
 VERSUS = r"\s+(?:-|–|—|vs\.?|v\.)\s+"
 
 
+def stage_stripped(title: Column) -> Column:
+    """Without the stage of a cup that a title begins with, such as 1/4 finals."""
+    stage = r"^\s*(?:1[/\\][24]|¼|½)\s*финала?\s*[-:.–—]?\s*"
+    return F.btrim(F.regexp_replace(F.coalesce(title, F.lit("")), f"(?iu){stage}", ""))
+
+
+def transliterated(x: Column) -> Column:
+    """Kazakh letters as their Russian neighbours, in either case."""
+    return F.translate(F.coalesce(x, F.lit("")), L.KAZAKH_LETTERS, L.RUSSIAN_LETTERS)
+
+
+def aliases(name: Column) -> Column:
+    """A side's name as texts may have it: as it is, transliterated, in English, and both; for comparison, each once."""
+    said = [name, transliterated(name), englished(name), englished(transliterated(name))]
+    return F.filter(F.array_distinct(F.array(*map(norm_verify, said))), lambda x: x != "")
+
+
 def participants(title: Column) -> Column:
     """The two sides of a match, or an empty array."""
-    parts = F.split(title, f"(?i){VERSUS}", 2)
+    parts = F.split(stage_stripped(title), f"(?i){VERSUS}", 2)
     sides = F.filter(F.transform(parts, lambda p: F.btrim(F.regexp_replace(p, r"\s*\([^)]*\)", ""))), lambda p: p != "")
     return F.when((F.size(parts) == 2) & (F.size(sides) == 2), sides).otherwise(F.array().cast("array<string>"))
 

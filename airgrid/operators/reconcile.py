@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import verify
 
 EARLIEST, LATEST = -10, 45
 
@@ -21,27 +22,40 @@ def minutes_between(a: Column, b: Column) -> Column:
     return ((F.unix_timestamp(b) - F.unix_timestamp(a)) / 60).cast("long")
 
 
-def mentions(titles: DataFrame, calendar_titles: DataFrame) -> DataFrame:
-    """title, cal_title: calendar texts that contain both sides of a match, also inside words.
+#: An event's text, by which calendar rows are looked up.
+EVENT = ("title", "tournament", "sport")
+#: Characters of an equi-join key.
+GRAM = 5
 
-    Both inputs have one row per distinct text.  A side's last three characters are an equi-join
-    key on the runs of up to three characters of the calendar's texts, which misses nothing;
-    containment is tested on what is left.
+
+def mentions(events: DataFrame, calendar_titles: DataFrame, gram: int = GRAM) -> DataFrame:
+    """The columns of ``events`` and cal_title: calendar texts that are about an event, by ``verify.told``.
+
+    Both inputs have one row per distinct text (``events``: title and, if there are, tournament and sport).
+    Whatever the kind of an event, a text about it contains at least one of some words or names: an alias of
+    the first side, the tournament or one of its words, or a telling word.  The last characters of each are an
+    equi-join key on the runs of as many characters of the calendar's texts, which misses nothing; the whole
+    predicate is tested on what is left.
     """
-    sides = F.transform(text.participants(F.col("title")), lambda s: text.norm_verify(s))
-    want = titles.select("title", sides.alias("sides")).where((F.size("sides") == 2) & ~F.array_contains("sides", ""))
-    want = want.withColumn("gram", F.right(F.get("sides", F.lit(0)), F.lit(3)))
-    have = calendar_titles.select("cal_title", text.norm_verify(F.col("cal_title")).alias("words")).where("words <> ''")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("words")), lambda i: F.substr("words", i, F.lit(n)))
-    have = have.withColumn("gram", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
-    return want.join(have, "gram").where(F.forall("sides", lambda s: F.col("words").contains(s))).select("title", "cal_title")
+    given = [c for c in EVENT if c in events.columns]
+    for c in EVENT:
+        if c not in given:
+            events = events.withColumn(c, F.lit(""))
+    known = events.select(*EVENT, verify.facts(*map(F.col, EVENT)).alias("of"))
+    named = F.filter(F.array(text.norm_verify(F.col("tournament")), text.norm_verify(text.englished(F.col("tournament")))), lambda x: x != "")
+    by = F.when(F.col("of.kind") == "MATCH", F.get("of.sides", F.lit(0))).when(F.col("of.kind") == "DRAW", F.concat(named, text.significant_tokens(F.col("tournament")))).otherwise(F.col("of.words"))
+    want = known.withColumn("gram", F.explode(F.array_distinct(F.transform(by, lambda x: F.right(x, F.lit(gram))))))
+    have = calendar_titles.select("cal_title", text.norm_verify(F.col("cal_title")).alias("said")).where("said <> ''")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("said")), lambda i: F.substr("said", i, F.lit(n)))
+    have = have.withColumn("gram", F.explode(F.array_distinct(F.concat(*map(runs, range(1, gram + 1))))))
+    return want.join(have, "gram").where(verify.told(F.col("said"), F.col("of"))).select(*given, "cal_title").distinct()
 
 
 def by_calendar(slots: DataFrame, calendar: DataFrame, matched: DataFrame, exact: bool = False) -> DataFrame:
     """One row per slot: ord, state (confirmed, mismatch or unknown), cal_ord, difference (minutes).
 
-    ``slots``: ord, title, sport, start_at; ``calendar``: cal_ord, cal_title, cal_sport, cal_start;
-    ``matched``: title, cal_title.  Starts are whole minutes.  A plausible event wins over others, then
+    ``slots``: ord, title, tournament, sport, start_at; ``calendar``: cal_ord, cal_title, cal_sport, cal_start;
+    ``matched``: cal_title and those of title, tournament and sport that tell an event.  Starts are whole minutes.  A plausible event wins over others, then
     the nearest, then the first in the calendar; a far one makes a mismatch, however far.  ``exact``:
     only the very minute is plausible.
 
@@ -49,11 +63,10 @@ def by_calendar(slots: DataFrame, calendar: DataFrame, matched: DataFrame, exact
     of a title and sport are sorted together by day, and each day gets the last event of earlier days
     and the first of later ones, so that no task sorts more than a day of one title.
     """
-    sports = slots.select("sport").distinct().crossJoin(calendar.select("cal_sport").distinct()).where(sport_compatible(F.col("sport"), F.col("cal_sport")))
-    key = ["title", "sport"]
+    key = [c for c in EVENT if c in matched.columns or c == "sport"]
     minute = lambda c: F.floor(F.unix_timestamp(c) / 60)
     day = F.floor(F.col("m") / 1440)
-    events = calendar.join(matched, "cal_title").join(F.broadcast(sports), "cal_sport").groupBy(*key, minute("cal_start").alias("m")).agg(F.min("cal_ord").alias("cal_ord")).withColumn("day", day)
+    events = calendar.join(matched, "cal_title").join(slots.select(*key).distinct(), [c for c in key if c in matched.columns]).where(sport_compatible(F.col("sport"), F.col("cal_sport"))).groupBy(*key, minute("cal_start").alias("m")).agg(F.min("cal_ord").alias("cal_ord")).withColumn("day", day)
     asked = slots.select("ord", *key, minute("start_at").alias("m")).withColumn("day", day)
 
     ends = events.groupBy(*key, "day").agg(F.min(F.struct("m", "cal_ord")).alias("first"), F.max(F.struct("m", "cal_ord")).alias("last"))
@@ -85,14 +98,12 @@ def outcome(rows: DataFrame) -> DataFrame:
 
 
 def third_party(slots: DataFrame, rows: DataFrame) -> DataFrame:
-    """ord, third_ord, badge_state: the first third-party row of the day and channel that names both sides; null where none does.
+    """ord, third_ord, badge_state: the first third-party row of the day and channel that is about the event; null where none is.
 
     ``rows``: third_ord, date, channel, third_text.
     """
-    sides = F.transform(text.participants(F.col("title")), lambda s: text.norm_verify(s))
-    want = slots.select("ord", "date", "channel", sides.alias("sides"))
-    named = want.join(rows.withColumn("words", text.norm_verify(F.col("third_text"))), ["date", "channel"])
-    named = named.where((F.size("sides") == 2) & F.forall("sides", lambda s: F.col("words").contains(s)))
+    titles = mentions(slots.select(*EVENT).distinct(), rows.select(F.col("third_text").alias("cal_title")).distinct()).withColumnRenamed("cal_title", "third_text")
+    named = slots.select("ord", "date", "channel", *EVENT).join(titles, list(EVENT)).join(rows, ["date", "channel", "third_text"])
     first = named.groupBy("ord").agg(F.min("third_ord").alias("third_ord"))
     return slots.select("ord").join(first, "ord", "left").withColumn("badge_state", F.when(F.col("third_ord").isNotNull(), "third_party_live_unconfirmed").otherwise("unknown"))
 

@@ -108,13 +108,53 @@ def consensus(candidates: DataFrame, keys: list[str], minutes: int = 30) -> Data
     return tally.select(*keys, "organisations", "weight", sure.alias("confirmed"), level.alias("confidence"))
 
 
-def matches(result: Column, title: Column, tournament: Column) -> Column:
-    """Whether a result's text is about an event: both sides of a match, a draw with its tournament, or two telling words."""
-    said = text.norm_verify(result)
-    both = lambda: F.forall(text.participants(title), lambda p: said.contains(text.norm_verify(p)) | said.contains(text.norm_verify(text.englished(p))))
-    tokens = text.significant_tokens(F.concat_ws(" ", title, tournament))
-    hits = F.size(F.filter(tokens, lambda w: said.contains(w)))
-    told = (F.size(tokens) > 0) & (hits >= F.least(F.lit(2), F.size(tokens)))
-    draw = (said.contains("draw") | said.contains("жереб")) & (said.contains(text.norm_verify(tournament)) | said.contains(text.norm_verify(text.englished(tournament))))
-    kind = text.event_kind(title)
-    return F.when(kind == "MATCH", both()).when(kind == "DRAW", draw).otherwise(told)
+def result_text(title: Column, snippet: Column, description: Column | None = None, content: Column | None = None) -> Column:
+    """All that a search result says."""
+    said = [F.coalesce(c, F.lit("")) for c in (title, snippet, description, content) if c is not None]
+    return F.concat_ws(" ", *said)
+
+
+def tournament_told(said: Column, tournament: Column) -> Column:
+    """Whether a normalised text names a tournament, in either language, or has all of its telling words."""
+    names = F.filter(F.array(text.norm_verify(tournament), text.norm_verify(text.englished(tournament))), lambda x: x != "")
+    tokens = text.significant_tokens(tournament)
+    whole = F.exists(names, lambda x: said.contains(x)) | ((F.size(tokens) > 0) & F.forall(tokens, lambda w: said.contains(w)))
+    return (F.btrim(F.coalesce(tournament, F.lit(""))) != "") & whole
+
+
+def telling_words(title: Column, tournament: Column, sport: Column) -> Column:
+    """Words of an event that say which one it is; all of four letters or more where none does."""
+    expected = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (title, tournament, sport)))
+    plain = F.filter(F.array_distinct(F.split(text.norm_verify(text.englished(expected)), " ")), lambda w: F.length(w) >= 4)
+    tokens = text.significant_tokens(expected)
+    return F.when(F.size(tokens) > 0, tokens).otherwise(plain)
+
+
+def facts(title: Column, tournament: Column, sport: Column) -> Column:
+    """What an event is known by: kind, the aliases of each side, telling words, tournament.  Made once for each distinct text."""
+    sides = F.transform(text.participants(title), text.aliases)
+    return F.struct(text.event_kind(title).alias("kind"), sides.alias("sides"), telling_words(title, tournament, sport).alias("words"), F.coalesce(tournament, F.lit("")).alias("tournament"))
+
+
+def told(said: Column, of: Column) -> Column:
+    """Whether a normalised text is about an event of these ``facts``: each side by an alias, a draw with its tournament, or two telling words."""
+    both = F.forall(of["sides"], lambda names: F.exists(names, lambda x: said.contains(x)))
+    draw = (said.contains("draw") | said.contains("жереб")) & tournament_told(said, of["tournament"])
+    hits = F.size(F.filter(of["words"], lambda w: said.contains(w)))
+    some = (F.size(of["words"]) > 0) & (hits >= F.least(F.lit(2), F.size(of["words"])))
+    return F.when(of["kind"] == "MATCH", both).when(of["kind"] == "DRAW", draw).otherwise(some)
+
+
+def matches(result: Column, title: Column, tournament: Column, sport: Column | None = None) -> Column:
+    """Whether a result's text is about an event."""
+    return told(text.norm_verify(result), facts(title, tournament, F.lit("") if sport is None else sport))
+
+
+def relaxed(result: Column, title: Column, tournament: Column, sport: Column) -> Column:
+    """``matches``, or the tournament's name, or two long words that are not common ones."""
+    said = text.norm_verify(text.englished(result))
+    name = text.norm_verify(text.englished(tournament))
+    expected = text.norm_verify(text.englished(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (title, tournament, sport)))))
+    words = F.filter(F.array_except(F.array_distinct(F.split(expected, " ")), F.array(*map(F.lit, lexicon.STOP_WORDS))), lambda w: (F.length(w) >= 5) & ~w.rlike("^[0-9]+$"))
+    hits = F.size(F.filter(words, lambda w: said.contains(w)))
+    return matches(result, title, tournament, sport) | ((F.length(name) >= 5) & said.contains(name)) | ((F.size(words) > 0) & (hits >= F.least(F.lit(2), F.size(words))))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import lexicon
+from ..functions import lexicon, text
 from ..operators import diff, monitor, reconcile, schedule, simulcast, verify
 from . import adapter
 from .adapter import DUCK_CALENDAR, DUCK_RUNS, DUCK_VERSIONS, NOW, bx, duck, table
-from .basic import d_norm, d_verify, q
+from .basic import d_english, d_norm, d_verify, q
 
 QUERIES: dict = {}
 
@@ -42,13 +42,13 @@ def _reconcile_sql(far: str) -> str:
 
 
 def _slots(spark, sf_dir):
-    return bx(spark, sf_dir).select("ord", "title", "sport", "start_at")
+    return bx(spark, sf_dir).select("ord", *reconcile.EVENT, "start_at")
 
 
 def _reconciled(spark, sf_dir, exact):
     rows = bx(spark, sf_dir)
     cal = adapter.calendar(rows)
-    matched = reconcile.mentions(rows.select("title").distinct(), cal.select("cal_title").distinct())
+    matched = reconcile.mentions(rows.select(*reconcile.EVENT).distinct(), cal.select("cal_title").distinct())
     out = reconcile.by_calendar(_slots(spark, sf_dir), cal, matched, exact)
     return out.select("ord", "state", F.coalesce("cal_ord", F.lit(-1)).alias("cal_ord"), F.coalesce("difference", F.lit(0)).alias("difference"))
 
@@ -66,7 +66,63 @@ def calendar_reconcile_exact(spark, sf_dir):
 @query(duck("select title, cal_title from matched", DUCK_CALENDAR, *_MATCHED))
 def calendar_mentions(spark, sf_dir):
     rows = bx(spark, sf_dir)
-    return reconcile.mentions(rows.select("title").distinct(), adapter.calendar(rows).select("cal_title").distinct())
+    return reconcile.mentions(rows.select("title").distinct(), adapter.calendar(rows).select("cal_title").distinct()).select("title", "cal_title")
+
+
+# titles of all kinds: stages, aliases, transliteration, draws and events without sides; texts that name them, or not
+_KINDS = "case ord % 8 when 0 then '1/4 финал. Қайрат – ' || split_part(title, ' – ', 2) when 1 then title when 2 then 'Жеребьёвка' when 3 then 'Дзюдо. ' || split_part(title, ' – ', 1) when 4 then 'Таиланд vs Южная Корея (женщины)' when 5 then 'Кубок' when 6 then 'Өрлеу – Ұлан' else tournament || ' ' || split_part(title, ' – ', 2) end"
+_TOURNAMENTS = "case ord % 3 when 0 then 'Лига чемпионов УЕФА' when 1 then tournament else '' end"
+_SAID = "case ord % 5 when 0 then 'Kairat against ' || lower(split_part(title, ' – ', 2)) || ', Thailand women beat South Korea' when 1 then 'UEFA Champions League draw, ' || lower(title) when 2 then 'орлеу - улан: judo. ' || split_part(title, ' – ', 1) when 3 then upper(tournament) || ' КУБОК ' || title else 'nothing of this kind' end"
+_VARIED = f"varied as (select ord, start_at, {_KINDS} as title, {_TOURNAMENTS} as tournament, sport, {_SAID} as said from bx)"
+_STAGE = "trim(regexp_replace(title, '^\\s*(1[/\\\\][24]|¼|½)\\s*финала?\\s*[-:.–—]?\\s*', '', 'i'))"
+_TRANSLIT = lambda x: f"translate({x}, {q(lexicon.KAZAKH_LETTERS)}, {q(lexicon.RUSSIAN_LETTERS)})"
+_NAME = lambda i: f"trim(regexp_replace(regexp_split_to_array(stage, '\\s+(-|–|—|vs\\.?|v\\.)\\s+')[{i}], '\\s*\\([^)]*\\)', '', 'g'))"
+_ALIASES = lambda n: f"list_filter([{d_verify(n)}, {d_verify(_TRANSLIT(n))}, {d_verify(d_english(n))}, {d_verify(d_english(_TRANSLIT(n)))}], lambda x: x <> '')"
+_LONG = lambda words, drop, n: f"list_distinct(list_filter(string_split({words}, ' '), lambda w: length(w) >= {n} and not list_contains([{','.join(map(q, drop))}], w)))"
+_EXPECTED = "concat_ws(' ', nullif(title, ''), nullif(tournament, ''), nullif(sport, ''))"
+_FACTS = (
+    _VARIED,
+    f"events_text as (select distinct title, tournament, sport, {_STAGE} as stage from varied)",
+    f"sided as (select *, len(regexp_split_to_array(stage, '\\s+(-|–|—|vs\\.?|v\\.)\\s+')) = 2 as two, {_NAME(1)} as a, {_NAME(2)} as b, {d_verify(d_english(_EXPECTED))} as expected, {d_verify('tournament')} as t1, {d_verify(d_english('tournament'))} as t2, {d_verify(d_english('title'))} as en from events_text)",
+    f"known as (select *, case when two and a <> '' and b <> '' then 'MATCH' when contains({d_verify('title')}, 'жереб') or contains(en, 'draw') then 'DRAW' else 'GENERIC' end as kind, {_ALIASES('a')} as as_a, {_ALIASES('coalesce(b, ' + chr(39) * 2 + ')')} as as_b, {_LONG('expected', lexicon.GENERIC_WORDS, 4)} as telling, list_distinct(list_filter(string_split(expected, ' '), lambda w: length(w) >= 4)) as plain, {_LONG('t2', lexicon.GENERIC_WORDS, 4)} as t_words, list_filter({_LONG('expected', lexicon.STOP_WORDS, 5)}, lambda w: not regexp_full_match(w, '[0-9]+')) as long_words from sided)",
+)
+_HITS = lambda words, said: f"len(list_filter({words}, lambda w: contains({said}, w)))"
+_TOLD = f"case kind when 'MATCH' then {_HITS('as_a', 'ns')} > 0 and {_HITS('as_b', 'ns')} > 0 when 'DRAW' then (contains(ns, 'draw') or contains(ns, 'жереб')) and trim(tournament) <> '' and ((t1 <> '' and contains(ns, t1)) or (t2 <> '' and contains(ns, t2)) or (len(t_words) > 0 and {_HITS('t_words', 'ns')} = len(t_words))) else {_HITS('(case when len(telling) > 0 then telling else plain end)', 'ns')} >= least(2, len(case when len(telling) > 0 then telling else plain end)) and len(case when len(telling) > 0 then telling else plain end) > 0 end"
+
+
+def _varied(spark, sf_dir):
+    return bx(spark, sf_dir).select("ord", "start_at", F.expr(_KINDS).alias("title"), F.expr(_TOURNAMENTS).alias("tournament"), "sport", F.expr(_SAID).alias("said"))
+
+
+@query(duck(f"select ord, kind, {_TOLD} as told, coalesce({_TOLD}, false) or (length(t2) >= 5 and contains(es, t2)) or (len(long_words) > 0 and {_HITS('long_words', 'es')} >= least(2, len(long_words))) as relaxed from pairs", *_FACTS, f"texts as (select distinct said, {d_verify('said')} as ns, {d_verify(d_english('said'))} as es from varied)", "pairs as (select v.ord, k.*, t.ns, t.es from varied v join known k using (title, tournament, sport) join texts t using (said))"))
+def matches_event(spark, sf_dir):
+    """Whether a page is about an event, strictly and loosely, over all kinds of titles; distinct pairs of texts are judged once."""
+    rows = _varied(spark, sf_dir)
+    key = [*reconcile.EVENT, "said"]
+    of = [F.col(c) for c in reconcile.EVENT]
+    judged = rows.select(*key).distinct().select(*key, text.event_kind(F.col("title")).alias("kind"), verify.matches(F.col("said"), *of).alias("told"), verify.relaxed(F.col("said"), *of).alias("relaxed"))
+    return rows.join(judged, key).select("ord", "kind", "told", "relaxed")
+
+
+@query(
+    duck(
+        "select ord, case when cal_ord is null then 'unknown' when far then 'mismatch' else 'confirmed' end as state, coalesce(cal_ord, -1) as cal_ord, coalesce(difference, 0) as difference from ranked",
+        *_FACTS,
+        "cal as (select ord as cal_ord, said as cal_title, sport as cal_sport, start_at + to_minutes(cast((ord * 7) % 90 - 30 as integer)) as cal_start from varied where ord % 3 = 0)",
+        f"texts as (select distinct cal_title, {d_verify('cal_title')} as ns from cal)",
+        f"matched as (select title, tournament, sport, cal_title from known, texts where {_TOLD})",
+        "diffs as (select s.ord, j.cal_ord, cast(date_diff('minute', s.start_at, j.cal_start) as bigint) as difference from varied s left join (select m.title, m.tournament, m.sport as of_sport, c.* from matched m join cal c using (cal_title)) j on j.title = s.title and j.tournament = s.tournament and j.of_sport = s.sport and (s.sport = '' or j.cal_sport = '' or s.sport = j.cal_sport))",
+        "ranked as (select *, not (difference between -10 and 45) as far from diffs qualify row_number() over (partition by ord order by not (difference between -10 and 45), abs(difference), cal_ord) = 1)",
+    )
+)
+def calendar_reconcile_texts(spark, sf_dir):
+    """Slots of all kinds of titles against a calendar of texts: aliases, draws and events without sides."""
+    rows = _varied(spark, sf_dir)
+    shift = F.expr("make_dt_interval(0, 0, cast((ord * 7) % 90 - 30 as int), 0)")
+    cal = rows.where("ord % 3 = 0").select(F.col("ord").alias("cal_ord"), F.col("said").alias("cal_title"), F.col("sport").alias("cal_sport"), (F.col("start_at") + shift).alias("cal_start"))
+    matched = reconcile.mentions(rows.select(*reconcile.EVENT).distinct(), cal.select("cal_title").distinct())
+    out = reconcile.by_calendar(rows, cal, matched)
+    return out.select("ord", "state", F.coalesce("cal_ord", F.lit(-1)).alias("cal_ord"), F.coalesce("difference", F.lit(0)).alias("difference"))
 
 
 @query(
