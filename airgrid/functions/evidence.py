@@ -63,3 +63,15 @@ def with_evidence(evidence: Column, method: Column, source: Column, value: Colum
 
 def has_method(evidence: Column, methods) -> Column:
     return F.exists(evidence, lambda e: e["method"].isin(*methods))
+
+
+def claims(evidence: Column) -> Column:
+    """on_air, claimed, third_claimed, strength of all of an event's evidence; an official claim is high, another's medium."""
+    official, third = has_method(evidence, L.OFFICIAL_METHODS), has_method(evidence, L.THIRD_PARTY_METHODS)
+    return F.struct(has_method(evidence, L.ON_AIR_METHODS).alias("on_air"), official.alias("claimed"), third.alias("third_claimed"), F.when(official, "high").when(third, "medium").otherwise("").alias("strength"))
+
+
+def direct_by_marker(title: Column) -> Column:
+    """A live marker and no word of a repeat, anywhere in the title."""
+    t = F.upper(F.coalesce(title, F.lit("")))
+    return contains_any(t, L.LIVE_MARKERS) & ~contains_any(t, L.REPLAY_MARKERS)

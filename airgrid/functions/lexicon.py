@@ -36,9 +36,19 @@ SPORT_HINTS = (
     ("футбол", "Футбол"), ("хоккей", "Хоккей"), ("кхл", "Хоккей"), ("khl", "Хоккей"), ("теннис", "Теннис"), ("снукер", "Снукер"), ("баскетбол", "Баскетбол"), ("волейбол", "Волейбол"), ("ufc", "MMA"), ("mma", "MMA"), ("мма", "MMA"), ("бокс", "Бокс"), ("мотоспорт", "Мотоспорт"), ("формула-1", "Автоспорт"), ("formula 1", "Автоспорт"), ("гран-при", "Автоспорт"), ("grand prix", "Автоспорт"), ("wrc", "Автоспорт"), ("wec", "Автоспорт"), ("дзюдо", "Дзюдо"), ("борьб", "Борьба"), ("бейсбол", "Бейсбол"),
 )
 
-#: Evidence methods that state a direct broadcast by themselves.
-LIVE_METHODS = (
-    "official_live_text", "official_live_asset", "provider_live_text", "provider_live_asset", "guide_live_text", "guide_live_asset", "guide_page_live_text", "guide_page_live_asset", "external_schedule_consensus",
+#: Evidence methods: what a channel or its guide claims, what others claim, and what only says that a programme is on now.
+OFFICIAL_METHODS = ("official_live_badge", "official_live_text", "official_live_asset", "official_live_page_marker", "guide_page_live_text")
+THIRD_PARTY_METHODS = ("third_party_live_badge", "third_party_live_text")
+ON_AIR_METHODS = ("official_on_air_marker",)
+#: Methods by which a provider claims a direct broadcast.
+PROVIDER_METHODS = ("provider_live_text", "provider_live_asset", "official_live_text", "official_live_asset")
+
+#: Words of a provider's listing: of repeats and talk, and of events.
+EPG_REPLAY = (
+    "повтор", "replay", "rerun", "re-run", "архив", "archive", "catch-up", "обзор", "review", "highlights", "лучшее", "итоги", "дневник", "журнал", "классика", "classic", "превью", "preview", "документальный", "новости", "студия", "ток-шоу", "программа", "sport review", "подробно", "трансферы", "best of", "road to", "история", "легенды",
+)
+EPG_EVENT = (
+    "чемпионат", "лига", "кубок", "турнир", "гран-при", "grand prix", "ufc", "khl", "кхл", "финал", "полуфинал", "четвертьфинал", "1/4", "1/2", "теннис", "снукер", "футбол", "хоккей", "баскетбол", "волейбол", "бокс", "mma", "мма", "мотоспорт", "формула-1", "formula 1", "гонк", "дзюдо", "борьб", "биатлон", "атлетик", "гимнастик", "wrc", "wec", "бейсбол",
 )
 
 STUDIO_MARKERS = ("студийная программа", "студиялық бағдарлама", "перед матчем", "матч қарсаңында")

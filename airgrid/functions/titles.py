@@ -68,3 +68,40 @@ def by_segments(rest: Column) -> Column:
     joined = lambda a, n: F.array_join(F.slice(parts, a, n), ". ")
     split = F.struct(F.when(at > 0, joined(F.lit(1), at)).otherwise("").alias("tournament"), joined(at + 1, F.size(parts) - at).alias("title"))
     return F.when(at.isNotNull(), split).otherwise(F.struct(rest.alias("tournament"), rest.alias("title")))
+
+
+#: What a draw of each cup is told by, and its name; beginnings and marks that part a tournament from an event.
+DRAWS_A = ((r"чемпиондар\s+лигас", "Лига чемпионов УЕФА"), (r"еуропа\s+лигас", "Лига Европы УЕФА"), (r"конферен.*лигас|лигас.*конферен", "Лига конференций УЕФА"))
+NATIONAL_A, STUDIO_A, YOUTH_A, SLAM_A = "чемпионат казахстана", "студиялық бағдарлама", "QJ League", "Grand Slam"
+MARKS_A = ("Плей-офф кезеңі", "іріктеу турнирі", "Іріктеу турнирі", "Финал", "(Әйелдер)", "(әйелдер)")
+
+
+def guide_title(raw: Column) -> Column:
+    """sport, tournament, title of a title of the guide of links; the first rule that holds.
+
+    Draws of the three cups; the national championship, cut at its first dot; judo's grand slam; studio
+    programmes, which have no sport; the youth league; a tournament that ends with a mark; else all is title.
+    """
+    first, last = sport_first(raw), sport_last(raw)
+    own = F.when(first["sport"] != "", first).otherwise(last)
+    sport, rest = own["sport"], own["rest"]
+    low = F.lower(rest)
+    say = lambda sport, tournament, title: F.struct(sport.alias("sport"), tournament.alias("tournament"), title.alias("title"))
+    cup = F.coalesce(*(F.when(low.rlike(f"(?u){p}"), F.lit(name)) for p, name in DRAWS_A))
+    drawn = F.when(low.contains("жалпы кезең"), "Жеребьёвка общего этапа").otherwise("Жеребьёвка")
+    parts = F.filter(F.transform(F.split(russian(rest), r"\."), lambda x: F.btrim(x)), lambda x: x != "")
+    later = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), ". ")
+    slam = low.contains(SLAM_A.lower()) & ((sport == "Дзюдо") | low.contains("дзюдо") | low.contains("judo"))
+    bare = russian(F.btrim(F.regexp_replace(rest, r"(?iuU)\b(?:дзюдо|judo)\b", ""), F.lit(EDGES)))
+    end = F.coalesce(*(F.when(F.instr(rest, m) > 0, F.instr(rest, m) + len(m) - 1) for m in MARKS_A))
+    marked = say(sport, russian(F.btrim(F.substr(rest, F.lit(1), end), F.lit(" ."))), russian(F.btrim(F.substr(rest, end + 1), F.lit(EDGES))))
+    none = F.lit("")
+    return (
+        F.when(cup.isNotNull() & low.contains("жеребе"), say(F.when(sport == "", "Футбол").otherwise(sport), cup, drawn))
+        .when(F.lower(russian(rest)).startswith(NATIONAL_A), say(sport, F.get(parts, F.lit(0)), F.when(later == "", F.get(parts, F.lit(0))).otherwise(later)))
+        .when(slam, say(F.lit("Дзюдо"), F.lit(SLAM_A), F.when(bare == "", SLAM_A).otherwise(bare)))
+        .when(low.startswith(STUDIO_A), say(none, none, russian(rest)))
+        .when(low.startswith(YOUTH_A.lower()), say(sport, F.lit(YOUTH_A), russian(F.btrim(F.substr(rest, F.lit(len(YOUTH_A) + 1)), F.lit(EDGES)))))
+        .when(end.isNotNull(), marked)
+        .otherwise(say(sport, none, russian(rest)))
+    )

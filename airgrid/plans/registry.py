@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic, joined, scanned, told
+from . import basic, guided, joined, scanned, told
 
-_ALL = basic.QUERIES | joined.QUERIES | scanned.QUERIES | told.QUERIES
+_ALL = basic.QUERIES | joined.QUERIES | scanned.QUERIES | told.QUERIES | guided.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

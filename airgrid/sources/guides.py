@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clock, evidence, text
+from ..functions import clock, evidence, text, titles
 from ..operators import windows
 from ..operators.schedule import first_by
 from . import html
 
 TIME = r"(?<!\d)([01]\d|2[0-3]):[0-5]\d(?!\d)"
+# What counts as a live mark in attributes and in markup between two times.
 LIVE_TOKEN = r"(^|[/_.-])live([/_.-]|$)"
 LIVE_CLASS = r"(^|[-_ ])live([-_ ]|$)"
-LIVE_MARKUP = r"(?i)(>\s*live\s*<|class=\"[^\"]*\blive\b[^\"]*\"|/live[._-])"
+LIVE_MARKUP = r"(?i)>\s*live\s*<|\b(?:class|alt|title|src|data-[\w-]+)\s*=\s*[\"'][^\"']*(?<![\p{L}\d])live(?![\p{L}\d])[^\"']*[\"']"
 
 
 def page_date(title: Column) -> Column:
@@ -51,7 +52,7 @@ def anchors(pages: DataFrame, key: str = "page_id", markup: str = "html") -> Dat
 
 def live_times(said: Column) -> Column:
     """All times with LIVE before them, each once."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(said, r"\s+", " "), F.lit(r"LIVE (([01]\d|2[0-3]):[0-5]\d)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace(said, r"\s+", " "), F.lit(r"(?i)\bLIVE (([01]\d|2[0-3]):[0-5]\d)"), F.lit(1))))
 
 
 def gap_live_times(markup: Column) -> Column:
@@ -119,15 +120,69 @@ def epg_rows(payloads: DataFrame, channel: str = "channel", date: str = "date",
     return first_by(r, [F.col(channel), F.col(date), F.col("time"), F.col("raw_title")], ["ord"]).drop("ord", "said")
 
 
-VERSUS_TAIL = r"^(.+?[,;.])\s*([^,;]+\s(?:-|–|—|vs\.?|v\.)\s[^,;]+)$"
+def tournament_and_title(rest: Column) -> Column:
+    """tournament, title of a provider's line: parted by a colon that a match follows, or by the last comma, semicolon or dot before a match.
 
+    A match is two sides with a spaced dash or versus between them; without one all is title.
+    """
+    versus = r"(?i)\s(?:[-–—]|vs\.?|v\.)\s"
+    line = F.btrim(rest, F.lit(" .-–—"))
+    edge = F.lit(" .,-–—")
+    colon = F.instr(line, ":")
+    before = F.split(line, versus, 2)[0]
+    # the place of the last mark before the match: what follows it has none
+    marks = F.length(F.regexp_extract(before, r"^(.*[,;.])", 1))
+    at = F.when((colon > 0) & F.substr(line, colon + 1).rlike(versus), colon - 1).when(line.rlike(versus) & (marks > 1) & (F.btrim(F.substr(before, marks + 1)) != ""), marks)
+    skip = F.when((colon > 0) & (at == colon - 1), 1).otherwise(0)
+    parted = F.struct(F.btrim(F.substr(line, F.lit(1), at), edge).alias("tournament"), F.btrim(F.substr(line, at + skip + 1), edge).alias("title"))
+    return F.when(at.isNotNull(), parted).otherwise(F.struct(F.lit("").alias("tournament"), line.alias("title")))
 
-def tournament_and_title(rest: Column) -> Column:
-    """Split at a colon or at the last mark before a match; without a match all is title."""
-    t = F.btrim(rest, F.lit(" .-–—"))
-    left, right = F.substring_index(t, ":", 1), F.substr(t, F.instr(t, ":") + 1)
-    colon = t.contains(":") & right.rlike(r"(?i)\s(?:-|–|—|vs\.?|v\.)\s")
-    marks = F.lit(" .,-–—")
-    said = lambda a, b: F.struct(a.alias("tournament"), b.alias("title"))
-    tail = f"(?i){VERSUS_TAIL}"
-    return F.when(colon, said(F.btrim(left, marks), F.btrim(right, marks))).when(t.rlike(tail), said(F.btrim(F.regexp_extract(t, tail, 1), marks), F.btrim(F.regexp_extract(t, tail, 2), marks))).otherwise(said(F.lit(""), t))
+
+BANNER = r"(?iu)(?:сейчас\s+)?в\s+эфире\s+live\s+(\d\d:\d\d)\s+(\S.*?)\s+смотреть\s+онлайн"
+
+
+def banner(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """key, time, title of what a page's banner says is on now; no row without one."""
+    nodes = html.text_nodes(pages, key, markup)
+    said = nodes.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("said"))
+    return said.select(key, F.regexp_extract("said", BANNER, 1).alias("time"), text.collapsed(F.regexp_extract("said", BANNER, 2)).alias("title")).where("time <> ''")
+
+
+def with_banner(rows: DataFrame, on_now: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, time, title, is_live, has_badge, day_offset, offset) with the banner's programme, unless they have it.
+
+    Its day is the first of three that lies within the rows' span, or else the one nearest to either end of it.
+    """
+    span = rows.groupBy(key).agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    m = clock.minute_of_day(F.col("time"))
+
+    def option(k: int) -> Column:
+        at = m + 1440 * k
+        inside = at.between(F.col("low"), F.col("high"))
+        far = F.when(inside, 0).otherwise(F.least(F.abs(at - F.col("low")), F.abs(at - F.col("high"))))
+        return F.struct((~inside).alias("outside"), far.alias("far"), at.alias("at"))
+
+    best = F.array_min(F.array(*(option(k) for k in range(3))))["at"]
+    placed = on_now.join(span, key, "left").select(key, "time", "title", F.lit(True).alias("is_live"), F.lit(False).alias("has_badge"), F.coalesce(best, m).alias("offset"))
+    placed = placed.withColumn("day_offset", F.floor(F.col("offset") / 1440))
+    new = placed.join(rows, [key, "day_offset", "time", "title"], "left_anti")
+    cols = [key, "time", "title", "is_live", "has_badge", "day_offset", "offset"]
+    return rows.select(*cols).unionByName(new.select(*cols))
+
+
+def confirmed(rows: DataFrame, pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """``rows`` with method and confidence of the page's own word that a time is direct: a badge in a row of that time, or a mark in text or markup.
+
+    What is so marked is parsed anew; without a sport it is on the air but not direct.
+    """
+    badges = rows.where("has_badge").groupBy(key).agg(F.collect_set("time").alias("badge_times"))
+    nodes = html.text_nodes(pages, key, markup).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("said"))
+    told = pages.select(key, gap_live_times(F.col(markup)).alias("gaps")).join(nodes, key, "left").select(key, F.array_union("gaps", F.coalesce(live_times(F.col("said")), F.array().cast("array<string>"))).alias("told_times"))
+    r = rows.join(badges, key, "left").join(told, key, "left")
+    has = lambda c: F.coalesce(F.array_contains(c, F.col("time")), F.lit(False))
+    method = F.when(has("badge_times"), "official_live_badge").when(has("told_times"), "guide_page_live_text")
+    r = r.withColumn("method", method).drop("badge_times", "told_times")
+    named = titles.guide_title(F.col("title"))
+    r = r.withColumn("named", F.when(F.col("method").isNotNull(), named))
+    direct = F.col("method").isNotNull() & (F.col("named.sport") != "")
+    return r.withColumns({"confidence": F.when(F.col("method") == "official_live_badge", "high").when(F.col("method").isNotNull(), "medium"), "direct": F.coalesce(direct, F.lit(False))})
