@@ -10,15 +10,15 @@
    Jaccard similarity says.
 3. Equal texts become one node.  Nodes that agree on all rows of a band share a bucket.
 4. Verification.  Small buckets with the same nodes are looked at once.  In each bucket the node
-   that shares most with others is the first pivot; all others are compared with it.  What is
-   not similar gets the next pivot, which again is compared with the whole bucket, up to
-   ``PIVOTS`` times.  Nodes that the links so far connect, in whatever bucket, need no more
-   comparisons.  The others are dealt into cells: one minus the similarity is a metric, so two
-   nodes whose distances to a pivot differ by more than one minus the threshold cannot be
-   similar, and only nodes of cells that touch are compared, in blocks of bounded size.  So
-   every two nodes of a bucket are compared, proved dissimilar or connected already; a family of
-   copies costs as many links as it has members, and a block writes no more links than connect
-   what it found.
+   that shares most with others is the first pivot; all others are compared with it.  While a
+   bucket has more than ``MANY_APART`` nodes that are not similar to any pivot, one of them is the
+   next pivot and is compared with the whole bucket, up to ``PIVOTS`` times.  Nodes that the links
+   so far connect, in whatever bucket, need no more comparisons.  The others are dealt into cells:
+   one minus the similarity is a metric, so two nodes whose distances to a pivot differ by more
+   than one minus the threshold cannot be similar, and only nodes of cells that touch are compared,
+   in blocks of bounded size.  So every two nodes of a bucket are compared, proved dissimilar or
+   connected already; a family of copies costs as many links as it has members, and a block writes
+   no more links than connect what it found.
 5. Classes are the connected components of the links.
 
 Defined cases: a null text, or one without a word, has a class of its own; shorter texts have
@@ -46,8 +46,11 @@ SIMILARITY = 0.8
 #: Hashed features, as a power of two.
 FEATURE_BITS = 18
 BANDS, ROWS = 14, 4
-#: Pivots of a bucket.
-PIVOTS = 2
+#: Pivots of a bucket at most, and nodes without a similar pivot that ask for one more.
+PIVOTS = 8
+MANY_APART = 1_000
+#: Pivots by whose distances cells are made.
+CELL_PIVOTS = 2
 #: Nodes of a bucket that need no cells.
 SMALL_BUCKET = 64
 #: Shingles of one side in a block of comparisons, about; long texts make blocks of few nodes.
@@ -306,8 +309,8 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return stored(small_or_join(rows, shared, "h", "inner", SLIM_ROWS), "members")
 
 
-def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
-    """a, b: verified links that connect all similar nodes that share a bucket."""
+def _linked(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of nodes with pivots, the labels of what they connect, and links between such parts."""
     members = shared_buckets(nodes)
     centre = members.groupBy("node").agg(F.sum("n").alias("centre"))
 
@@ -319,7 +322,7 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
     # nodes of a bucket that have not been its pivot; near: similar to one of its pivots; at: distances to them
     state = stored(members.join(centre, "node").select("h", "node", "centre", F.lit(False).alias("near"), F.array().cast("array<double>").alias("at")), "starred")
     found, left = [], []
-    for k in range(pivots):
+    for k in range(PIVOTS):
         hubs = state.where("not near").groupBy("h").agg(F.max_by("node", F.struct("centre", -F.col("node"))).alias("hub"))
         others = stored(state.join(hubs, "h").where("node <> hub"), "with-hubs")
         pairs = stored(others.select(F.col("hub").alias("g"), "node", F.col("node").alias("owner")).dropDuplicates(["g", "node"]), "pairs")
@@ -328,23 +331,39 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
         found.append(close.where(F.col("s") >= similarity).select(F.col("hub").alias("a"), F.col("node").alias("b")))
         s = F.coalesce("s", F.lit(0.0))
         state = stored(others.join(close, ["hub", "node"], "left").select("h", "node", "centre", (F.col("near") | (s >= similarity)).alias("near"), F.array_append("at", 1 - s).alias("at")), "after-pivot")
-        # a node that is left alone has been compared with all
-        kinds = stored(state.groupBy("h").agg(F.count("*").alias("n"), F.bool_and("near").alias("all")).where("n > 1"), "kinds")
-        # all near one pivot: all are connected; near different ones, or near none after the last: they may be apart
-        last = k == pivots - 1
-        if k:
-            left.append(state.join(kinds.where("all" if not last else "true").select("h"), "h", "left_semi").select("h", "node", "at"))
-        state = stored(state.join(kinds.where("not all").select("h"), "h", "left_semi"), "open")
-        if last or not state.limit(1).count():
+        # a node that is left alone has been compared with all; where all are near the one pivot, all are connected
+        kinds = stored(state.groupBy("h").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("apart")).where("n > 1" if k else "n > 1 and apart > 0"), "kinds")
+        many = kinds.where(F.col("apart") > MANY_APART)
+        last = k == PIVOTS - 1 or not many.limit(1).count()
+        left.append(state.join((kinds if last else kinds.where(F.col("apart") <= MANY_APART)).select("h"), "h", "left_semi").select("h", "node", "at"))
+        if last:
             break
+        state = stored(state.join(many.select("h"), "h", "left_semi"), "open")
     rest, out = state.limit(0).select("h", "node", "at"), found[0]
     for x in left:
         rest = rest.unionByName(x)
     for x in found[1:]:
         out = out.union(x)
     out = stored(out.distinct(), "pivot-links")
-    owners = rest.join(components(out).withColumnRenamed("label", "owner"), "node", "left").select("h", "node", "at", F.coalesce("owner", "node").alias("owner"))
-    return out.union(across_cells(stored(owners, "mixed"), vecs, idf, similarity).select("a", "b")).distinct()
+    labels = components(out)
+    owners = rest.join(labels.withColumnRenamed("label", "owner"), "node", "left").select("h", "node", "at", F.coalesce("owner", "node").alias("owner"))
+    return out, labels, stored(across_cells(stored(owners, "mixed"), vecs, idf, similarity).select("a", "b").distinct(), "cell-links")
+
+
+def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: verified links that connect all similar nodes that share a bucket."""
+    first, _, second = _linked(nodes, docs, idf, similarity)
+    return first.union(second).distinct()
+
+
+def connected(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """node, label of all nodes with a link.  What the pivots connect is one node already where the cells' links are followed."""
+    _, labels, second = _linked(nodes, docs, idf, similarity)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    lifted = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    above = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("far"))
+    whole = labels.join(above, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    return whole.unionByName(above.join(labels, above["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("far").alias("label")))
 
 
 def across_cells(mixed: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -357,10 +376,10 @@ def across_cells(mixed: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity:
     width = (1 - similarity) * (1 + 1e-9)
     each = mixed.groupBy("h", "owner").agg(F.count("*").alias("k"))
     worth = stored(each.groupBy("h").agg(F.max_by("owner", F.struct("k", "owner")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("owners")).where("owners > 1").drop("owners"), "mixed-buckets")
-    cell = F.transform("at", lambda d: F.floor(d / F.lit(width)).cast("int"))
+    cell = F.transform(F.slice("at", 1, CELL_PIVOTS), lambda d: F.floor(d / F.lit(width)).cast("int"))
     cells = mixed.join(worth, "h").withColumn("cell", F.when(F.col("n") > SMALL_BUCKET, cell).otherwise(F.array().cast("array<int>")))
     around = F.array(F.array().cast("array<int>"))
-    for i in range(PIVOTS):
+    for i in range(CELL_PIVOTS):
         step = lambda have, i=i: F.flatten(F.transform(have, lambda head: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.array_append(head, F.get("cell", F.lit(i)) + d))))
         around = F.when(F.size("cell") > i, step(around)).otherwise(around)
     group = lambda cell: F.xxhash64("h", F.concat_ws(",", F.transform(cell, lambda x: x.cast("string")))).alias("g")
@@ -378,7 +397,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = stored(signatures(docs, idf), "signatures")
     node = signed.where("bands is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = stored(node.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    linked = components(links(nodes, docs, idf, similarity))
+    linked = connected(nodes, docs, idf, similarity)
     named = nodes.join(linked, "node", "left").select("key", "doc_id", F.coalesce("label", "node").alias("label"))
     named = stored(named, "named")
     name = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))

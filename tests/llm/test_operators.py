@@ -151,10 +151,11 @@ def families(m, gap, changed=1):
     return out
 
 
-@pytest.mark.parametrize("gap", [12, 60])
+@pytest.mark.parametrize("gap", [12, 60])  # near enough for pivots not to part them, and not
 def test_families_in_one_bucket_have_links_in_proportion(spark, gap, monkeypatch):
     """All copies share all buckets; links grow with the copies, not with their square."""
-    monkeypatch.setattr(neardup, "ROWS", 1)
+    monkeypatch.setattr(neardup, "MANY_APART", 5)
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
     n_links = {}
     for m in (10, 40):
         docs = spark.createDataFrame(families(m, gap), "doc_id long, text string")
