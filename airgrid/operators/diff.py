@@ -89,3 +89,11 @@ def systemic_shift(moves: DataFrame, least: int = 3) -> DataFrame:
     """
     agg = moves.agg(F.count("*").alias("n"), F.count_distinct("channel").alias("channels"), F.count_distinct("minutes").alias("shifts"), F.min("minutes").alias("minutes"), F.count_distinct("identity").alias("events"))
     return agg.select("n", "events", ((F.col("events") >= least) & (F.col("n") == F.col("events")) & (F.col("channels") == 1) & (F.col("shifts") == 1) & (F.abs("minutes") == 1440)).alias("systemic"))
+
+
+def systemic_changes(changes: DataFrame, least: int = 3) -> DataFrame:
+    """``systemic_shift`` over a whole diff (identity, channel, field, minutes): nothing but moved starts, one for each event, and ends moved as much."""
+    starts = F.col("field") == "time"
+    agg = changes.agg(F.count_if(starts).alias("n"), F.count_distinct("identity").alias("events"), F.count_distinct("channel").alias("channels"), F.count_distinct("minutes").alias("shifts"), F.min("minutes").alias("minutes"), F.bool_and(F.col("field").isin("time", "end")).alias("moves"))
+    sure = F.col("moves") & (F.col("events") >= least) & (F.col("n") == F.col("events")) & (F.col("channels") == 1) & (F.col("shifts") == 1) & (F.abs("minutes") == 1440)
+    return agg.select("n", "events", F.coalesce(sure, F.lit(False)).alias("systemic"))

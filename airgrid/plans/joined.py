@@ -212,23 +212,30 @@ def snapshot_pairs_greedy(spark, sf_dir):
     )
 )
 def channel_diff(spark, sf_dir):
-    from ..functions import text
+    return _channel_diff(*adapter.versions(bx(spark, sf_dir)))
+
 
+def _channel_diff(old, new):
     def one(df):
         named = df.withColumn("identity", text.identity(F.col("sport"), F.col("tournament"), F.col("title"))).select("start_at", "ord", "identity", "channel", "slot_end")
         return schedule.first_by(named, [F.col("identity"), F.col("channel")], ["start_at", "ord"]).select("identity", "channel", F.col("start_at").alias("start"), F.col("slot_end").alias("end"))
 
-    old, new = adapter.versions(bx(spark, sf_dir))
     return diff.channel_changes(one(old), one(new))
 
 
-_SHIFTS = "shifts as (select title as identity, channel, case when channel = 'ch01' then 1440 else 20 end as minutes from bx where ord % 13 = 0 and ord < 1000 and channel = 'ch01' qualify row_number() over (partition by title order by ord) = 1)"
+# all rows before, and all rows after one channel's guide has slipped by a day
+_SLIPPED = QUERIES["channel_diff"][1].replace(DUCK_VERSIONS, "old as (select * from bx), new as (select * replace (case when channel = 'ch01' then start_at + interval 1 day else start_at end as start_at, case when channel = 'ch01' then slot_end + interval 1 day else slot_end end as slot_end) from bx)")
+_GUARD = "count(*) filter (where field = 'time') as n, count(distinct identity) as events, bool_and(field in ('time', 'end')) and count(distinct identity) >= 3 and count(*) filter (where field = 'time') = count(distinct identity) and count(distinct channel) = 1 and count(distinct minutes) = 1 and abs(min(minutes)) = 1440 as systemic"
 
 
-@query(duck("select count(*) as n, count(distinct identity) as events, count(distinct identity) >= 3 and count(*) = count(distinct identity) and count(distinct channel) = 1 and count(distinct minutes) = 1 and abs(min(minutes)) = 1440 as systemic from shifts", _SHIFTS))
+@query(f"select {_GUARD} from (select identity, channel, field, date_diff('minute', strptime(\"old\", '%Y-%m-%d %H:%M'), strptime(\"new\", '%Y-%m-%d %H:%M')) as minutes from ({_SLIPPED}))")
 def systemic_shift(spark, sf_dir):
-    rows = bx(spark, sf_dir).where("ord % 13 = 0 and ord < 1000 and channel = 'ch01'").select("ord", F.col("title").alias("identity"), "channel", F.when(F.col("channel") == "ch01", 1440).otherwise(20).alias("minutes"))
-    return diff.systemic_shift(schedule.first_by(rows, [F.col("identity")], ["ord"]))
+    """The guard over the whole diff of two versions, one channel of which has slipped by a day."""
+    slip = lambda c: F.when(F.col("channel") == "ch01", F.col(c) + F.expr("interval 1 day")).otherwise(F.col(c))
+    rows = bx(spark, sf_dir)
+    moved = _channel_diff(rows, rows.withColumns({"start_at": slip("start_at"), "slot_end": slip("slot_end")}))
+    at = lambda c: F.unix_timestamp(c, "yyyy-MM-dd HH:mm")
+    return diff.systemic_changes(moved.select("identity", "channel", "field", ((at("new") - at("old")) / 60).cast("long").alias("minutes")))
 
 
 @query(f"select count(*) as n, count(distinct identity) as events, count(distinct identity) >= 3 and count(*) = count(distinct identity) and count(distinct channel) = 1 and count(distinct minutes) = 1 and abs(min(minutes)) = 1440 as systemic from (select identity, channel, date_diff('minute', strptime(\"old\", '%Y-%m-%d %H:%M'), strptime(\"new\", '%Y-%m-%d %H:%M')) as minutes from ({QUERIES['channel_diff'][1]}) where field = 'time')")

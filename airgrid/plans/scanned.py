@@ -57,42 +57,44 @@ _BADGE = "case when is_live_broadcast and ord % 3 = 0 then '<span class=\"live\"
 
 
 def _markup(spark, sf_dir):
-    rows = bx(spark, sf_dir).where("ord < 1000000").select("source", "channel", "date", F.struct("time", "ord", F.expr(_BADGE).alias("badge")).alias("r"))
+    rows = bx(spark, sf_dir).select("source", "channel", "date", F.struct("time", "ord", F.expr(_BADGE).alias("badge")).alias("r"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(F.lit("<p>"), r["badge"], F.lit(" "), r["time"], F.lit(" title</p>"))), "")
     return rows.groupBy("source", "channel", "date").agg(body.alias("html"))
 
 
-@query(duck("select source, channel, date, array_to_string(list_sort(list_distinct(list(time) filter (where is_live_broadcast and ord % 3 = 0))), ',') as times from bx where ord < 1000000 group by all having times is not null and times <> ''"))
+@query(duck("select source, channel, date, array_to_string(list_sort(list_distinct(list(time) filter (where is_live_broadcast and ord % 3 = 0))), ',') as times from bx group by all having times is not null and times <> ''"))
 def html_live_gap(spark, sf_dir):
     return _markup(spark, sf_dir).select("source", "channel", "date", F.array_join(guides.gap_live_times(F.col("html")), ",").alias("times")).where("times <> ''")
 
 
-@query(duck("select channel, array_to_string(list_sort(list_distinct(list(time))), ',') as times from bx where is_live_broadcast and ord % 3 = 0 and ord < 1000000 group by channel"))
+@query(duck("select source, channel, date, array_to_string(list_sort(list_distinct(list(time) filter (where is_live_broadcast and ord % 3 = 0))), ',') as times from bx group by all having times is not null and times <> ''"))
 def page_live_times(spark, sf_dir):
-    rows = bx(spark, sf_dir).where("ord < 1000000").select("channel", F.when(F.expr("is_live_broadcast and ord % 3 = 0"), F.concat(F.lit("LIVE  "), "time")).otherwise(F.concat(F.lit("Zapis "), "time")).alias("said"))
-    return rows.groupBy("channel").agg(F.array_join(F.collect_list("said"), " ").alias("said")).select("channel", F.array_join(guides.live_times(F.col("said")), ",").alias("times"))
+    """Pages of plain text, one a guide, channel and day."""
+    said = F.when(F.expr("is_live_broadcast and ord % 3 = 0"), F.concat(F.lit("Live  "), "time")).otherwise(F.concat(F.lit("Alive "), "time"))
+    rows = bx(spark, sf_dir).groupBy("source", "channel", "date").agg(F.array_join(F.collect_list(said), " ").alias("said"))
+    return rows.select("source", "channel", "date", F.array_join(guides.live_times(F.col("said")), ",").alias("times")).where("times <> ''")
 
 
 # json and calendar text --------------------------------------------------------------------
-@query(duck("select channel, date, time, strftime(coalesce(slot_end, start_at + interval 2 hour), '%Y-%m-%d %H:%M') as end_text, title, case when ord % 5 = 0 then 'live' else 'unknown' end as live_state from bx where ord < 1000000 qualify row_number() over (partition by channel, date, time, title order by ord) = 1"))
+@query(duck("select channel, date, time, strftime(coalesce(slot_end, start_at + interval 2 hour), '%Y-%m-%d %H:%M') as end_text, title, case when ord % 5 = 0 then 'live' else 'unknown' end as live_state from bx qualify row_number() over (partition by channel, date, time, title order by ord) = 1"))
 def epg_scan(spark, sf_dir):
     iso = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     said = F.when(F.col("ord") % 5 == 0, "Прямой эфир").otherwise("")
     event = F.struct("ord", F.struct(F.concat(F.lit(" "), F.col("title")).alias("title"), said.alias("eventDescriptionMedium"), F.struct(iso("start_at").alias("begin"), iso(F.coalesce("slot_end", F.col("start_at") + F.expr("interval 2 hours"))).alias("end")).alias("scheduledFor")).alias("e"))
-    rows = bx(spark, sf_dir).where("ord < 1000000").groupBy("channel", "date").agg(F.transform(F.array_sort(F.collect_list(event), lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)), lambda x: x["e"]).alias("events"))
+    rows = bx(spark, sf_dir).groupBy("channel", "date").agg(F.transform(F.array_sort(F.collect_list(event), lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1)), lambda x: x["e"]).alias("events"))
     landed = rows.select("channel", "date", F.to_json(F.struct(F.array(F.struct("events")).alias("pages"))).alias("body"))
     return guides.epg_rows(landed).select("channel", "date", "time", ts("end_at").alias("end_text"), F.col("raw_title").alias("title"), "live_state")
 
 
-@query(duck("select date as page, strftime(start_at at time zone 'Europe/Moscow' at time zone 'Asia/Almaty', '%Y-%m-%d %H:%M') as start_text, sport, tournament, title, status from ev", "lines as (select ord, date, time, sport, tournament, title, start_at, case ord % 3 when 0 then 'Не начался' when 1 then 'Окончен' else '' end as status from bx where sport in ('Футбол', 'Хоккей', 'Теннис') and ord < 1000000)", "ev as (select * from lines where status <> '' qualify row_number() over (partition by date, start_at, sport, lower(title) order by tournament, ord) = 1)"))
+@query(duck("select date as page, strftime(start_at at time zone 'Europe/Moscow' at time zone 'Asia/Almaty', '%Y-%m-%d %H:%M') as start_text, sport, tournament, title, status from ev", "lines as (select ord, date, time, case sport when 'Бокс' then 'MMA' else sport end as sport, case when sport = '' then '' else tournament end as tournament, title, start_at, case ord % 3 when 0 then 'Не начался' when 1 then 'Окончен' else '' end as status from bx)", "ev as (select * from lines where status <> '' qualify row_number() over (partition by date, start_at, sport, lower(title) order by tournament, ord) = 1)"))
 def calendar_text_scan(spark, sf_dir):
-    rows = bx(spark, sf_dir).where("sport in ('Футбол', 'Хоккей', 'Теннис') and ord < 1000000")
+    rows = bx(spark, sf_dir)
     status = F.expr("case ord % 3 when 0 then ' Не начался' when 1 then ' Окончен' else '' end")
     line = F.concat(F.lit("* "), F.col("time"), F.lit(" **"), F.col("title"), F.lit("**"), status)
     first = F.row_number().over(schedule_window("date", "sport", "tournament")) == 1
     new_sport = F.row_number().over(schedule_window("date", "sport")) == 1
     said = rows.withColumns({"line": line, "t": first, "s": new_sport})
-    full = F.concat(F.when(F.col("s"), F.concat(F.lit("## "), F.col("sport"), F.lit("\n"))).otherwise(""), F.when(F.col("t"), F.concat("tournament", F.lit("\n"))).otherwise(""), "line")
+    full = F.concat(F.when(F.expr("s and sport <> ''"), F.concat(F.lit("## "), F.col("sport"), F.lit("\n"))).otherwise(""), F.when(F.col("t"), F.concat("tournament", F.lit("\n"))).otherwise(""), "line")
     pages = said.groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sport", "tournament", "ord", full.alias("x")))), lambda x: x["x"]), "\n").alias("body"))
     got = calendars.calendar_rows(pages, "date", "body", F.col("date").cast("date"))
     return got.select(F.col("date").alias("page"), ts("start_at").alias("start_text"), "sport", "tournament", "title", "status")
@@ -180,7 +182,7 @@ def stream_refresh_diff(spark, sf_dir):
     folder = _folder(spark, "refresh")
     rows = bx(spark, sf_dir)
     for v, part in ((1, rows.where("ord % 7 <> 0")), (2, rows.where("ord % 11 <> 0"))):
-        _stored(part).select("storage_id").distinct().withColumn("version", F.lit(v)).coalesce(1).write.parquet(f"{folder}/landing/v{v}")
+        _stored(part).select("storage_id").distinct().withColumn("version", F.lit(v)).write.parquet(f"{folder}/landing/v{v}")
     landing = spark.readStream.schema("storage_id string, version int").parquet(f"{folder}/landing/*")
 
     def diff(old, new):
