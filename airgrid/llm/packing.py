@@ -35,7 +35,7 @@ END_TOKEN = 1
 #: Pieces that one task packs.
 GROUP_ROWS = 100_000
 #: Chunks of text whose ids a Python worker keeps.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

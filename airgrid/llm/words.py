@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows that are worked on at a time.
 SLICE_ROWS = 60_000
 _BASE = 0x9E3779B97F4A7C15 | 1
