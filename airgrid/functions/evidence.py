@@ -72,6 +72,6 @@ def claims(evidence: Column) -> Column:
 
 
 def direct_by_marker(title: Column) -> Column:
-    """A live marker and no word of a repeat, anywhere in the title."""
+    """A phrase of a direct broadcast and no word of a repeat, anywhere in a title of the guide of strings."""
     t = F.upper(F.coalesce(title, F.lit("")))
-    return contains_any(t, L.LIVE_MARKERS) & ~contains_any(t, L.REPLAY_MARKERS)
+    return contains_any(t, L.LIVE_MARKERS[:-1]) & ~contains_any(t, L.REPEATS_B)

@@ -10,6 +10,9 @@ REPLAY_MARKERS = (
     "ПОВТОР", "ЗАПИСЬ", "REPLAY", "RE-RUN", "RERUN", "ARCHIVE", "АРХИВ", "CATCH-UP", "REVIEW", "ОБЗОР", "ШОЛУ", "HIGHLIGHTS", "ПРЕВЬЮ", "PREVIEW", "КЛАССИКА", "CLASSIC",
 )
 
+#: Words of a repeat in the guide of strings.
+REPEATS_B = ("ПОВТОР", "ЗАПИСЬ", "REPLAY", "АРХИВ")
+
 EDITORIAL_MARKERS = REPLAY_MARKERS + (
     "СТУДИЯ", "СТУДИЙНАЯ ПРОГРАММА", "ТОК-ШОУ", "ЖУРНАЛ", "НОВОСТИ", "SPORT REVIEW", "АРНАЙЫ РЕПОРТАЖ", "СҰХБАТ", "ӘНҰРАН", "ПРОГРАММА ТУР ПО ТУРУ", "КХЛ. ПОДРОБНО", "КХЛ. ТРАНСФЕРЫ", "ДНЕВНИК", "ИТОГИ",
 )

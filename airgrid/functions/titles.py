@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _quoted, first_equal
+from .text import _quoted, first_equal, strip_live
 
 #: Sports as the guide of links names them.
 SPORTS_A = {"Футбол": "Футбол", "Волейбол": "Волейбол", "Баскетбол": "Баскетбол", "Хоккей": "Хоккей", "Теннис": "Теннис", "Бокс": "Бокс", "Биатлон": "Биатлон", "Дзюдо": "Дзюдо", "Judo": "Дзюдо", "Шаңғы спорты": "Лыжный спорт", "Жеңіл атлетика": "Лёгкая атлетика"}
@@ -105,3 +105,31 @@ def guide_title(raw: Column) -> Column:
         .when(end.isNotNull(), marked)
         .otherwise(say(sport, none, russian(rest)))
     )
+
+
+#: Sports, words and phrases of the guide of strings.
+SPORTS_B = {
+    "ФУТБОЛ": "Футбол", "ВОЛЕЙБОЛ": "Волейбол", "БАСКЕТБОЛ": "Баскетбол", "БАСКЕТБОЛ 3Х3": "Баскетбол", "БАСКЕТБОЛ 3X3": "Баскетбол", "ХОККЕЙ": "Хоккей", "ТЕННИС": "Теннис", "БОКС": "Бокс", "КӘСІПҚОЙ БОКС": "Бокс", "ММА": "MMA", "ДЗЮДО": "Дзюдо", "JUDO": "Дзюдо", "КАРАТЕ": "Карате", "ТАЕКВОНДО": "Таеквондо", "БОРЬБА": "Борьба", "КҮРЕС": "Борьба", "ПАДЕЛ": "Падел", "НАСТОЛЬНЫЙ ТЕННИС": "Настольный теннис", "ҮСТЕЛ ТЕННИСІ": "Настольный теннис", "БӘЙГЕ": "Конный спорт", "АТ СПОРТЫ": "Конный спорт", "ЖЕҢІЛ АТЛЕТИКА": "Лёгкая атлетика", "ЛЕГКАЯ АТЛЕТИКА": "Лёгкая атлетика", "MEDIA BASKET ALMATY": "Баскетбол", "КИБЕРСПОРТ": "Киберспорт", "ПАРАСПОРТ": "Параспорт",
+}
+WORDS_B = (("1\\4", "1/4"), ("1\\2", "1/2"), ("ҚАЙРАТ", "Кайрат"), ("Қайрат", "Кайрат"), ("АҚТӨБЕ", "Актобе"), ("Ақтөбе", "Актобе"), ("ЕРТІС", "Иртыш"), ("Ертіс", "Иртыш"), ("ҚПЛ", "КПЛ"), ("ҚАЗАҚСТАН", "Казахстан"), ("Қазақстан", "Казахстан"))
+PHRASES_B = (("АТ ЖАРЫСЫ МАУСЫМЫ", "Сезон конных скачек"), ("ҚАЗАҚСТАН ЧЕМПИОНАТЫ", "Чемпионат Казахстана"), ("КАЗАХСТАН ЧЕМПИОНАТЫ", "Чемпионат Казахстана"), ("[ІI]Р[ІI]КТЕУ КЕЗЕҢ[ІI]", "Отборочный этап"), ("[ІI]Р[ІI]КТЕУ", "Отборочный этап"), ("БІРІНШІ МАТЧ", "Первый матч"), ("АЛМАТЫДАН", "Алматы"), ("ШЫМКЕНТТЕН", "Шымкент"))
+RACES_B = "сезон конных скачек"
+
+
+def normal_b(x: Column) -> Column:
+    """Known words and phrases of the guide of strings in Russian, one space behind a dot."""
+    t = reduce(lambda a, p: F.regexp_replace(a, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){p[0]}(?![\p{{L}}\p{{N}}_])", p[1]), PHRASES_B, _replaced(F.coalesce(x, F.lit("")), WORDS_B))
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\s*\.\s*", ". "), F.lit(EDGES))
+
+
+def string_title(raw: Column) -> Column:
+    """sport, tournament, title of a title of the guide of strings; without a sport all is title, and a season of races is both."""
+    t = normal_b(strip_live(raw))
+    p = rf"(?iu)^({_names(SPORTS_B)})\s*\.\s*"
+    sport = _known(F.regexp_extract(t, p, 1), SPORTS_B)
+    rest = F.btrim(F.regexp_replace(t, p, ""), F.lit(EDGES))
+    first = F.btrim(F.split(rest, r"\.")[0])
+    races = (sport == "Конный спорт") & F.lower(first).startswith(RACES_B)
+    cut = by_segments(rest)
+    say = lambda sport, tournament, title: F.struct(sport.alias("sport"), normal_b(tournament).alias("tournament"), normal_b(title).alias("title"))
+    return F.when(sport == "", say(F.lit(""), F.lit(""), t)).when(races, say(sport, first, rest)).otherwise(say(sport, cut["tournament"], cut["title"]))

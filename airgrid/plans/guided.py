@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, lexicon, titles
 from ..operators import epg, reconcile
-from ..sources import guides
+from ..sources import calendars, guides, listings
 from .adapter import bx, duck
 from .basic import alternation, q
 from .told import _FIRST, _LAST, _SPORT
@@ -126,7 +126,7 @@ def evidence_union(spark, sf_dir):
 _LINE = "case ord % 6 when 0 then title || ' LIVE' when 1 then 'Повтор. ' || title || ' Прямой эфир' when 2 then 'Тікелей эфир ' || title when 3 then 'ОБЗОР live' when 4 then 'Прямая трансляция' else title end"
 
 
-@query(duck("select ord, ord % 6 in (0, 2, 4) as direct from bx"))
+@query(duck("select ord, ord % 6 in (2, 4) as direct from bx"))
 def marker_direct(spark, sf_dir):
     return bx(spark, sf_dir).select("ord", evidence.direct_by_marker(F.expr(_LINE)).alias("direct"))
 
@@ -179,3 +179,71 @@ def epg_fan_out(spark, sf_dir):
     payloads = scopes.where(day % 5 != 0).withColumn("body", F.when(day % 7 == 0, "<html>").otherwise('{"pages":[]}'))
     good, bad = epg.fetched(scopes, payloads, F.from_json("body", guides.EPG)["pages"].isNotNull())
     return good.select("channel", "date", F.lit("").alias("error")).unionByName(bad)
+
+
+# the guide of strings -----------------------------------------------------------------------
+_B_TITLE = "case when ord % 9 = 0 then 'АТ СПОРТЫ. АТ ЖАРЫСЫ МАУСЫМЫ. 3 күн' when sport = '' then 'Новости' else upper(sport) || '. ' || tournament || ' . Қазақстан чемпионаты. ' || title end || case ord % 4 when 0 then '. Прямая трансляция из Алматы' when 1 then '. ТІКЕЛЕЙ ЭФИР' when 2 then ' Повтор. Прямой эфир' else '' end"
+_B_KEEP = "ord % 4 in (0, 1) and (sport <> '' or ord % 9 = 0)"
+
+
+def _pages_b(spark, sf_dir):
+    """A page for each channel and day, from the morning on: two day labels, then clocks and titles; one row a minute."""
+    rows = bx(spark, sf_dir).where("time >= '07:00'").groupBy("channel", "date", "time").agg(F.min(F.struct("ord", F.expr(_B_TITLE).alias("said"))).alias("r"))
+    line = lambda r: F.concat(F.lit("<li><span>"), r["time"], F.lit("</span>"), F.when(r["ord"] % 5 == 0, '<div class="x blink"><a title="LIVE" href="#"></a></div>').otherwise(""), F.lit("<p>"), r["said"], F.lit("</p></li>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "r.ord", "r.said"))), line), "")
+    label = lambda d: F.concat(F.lit("<b>день "), F.date_format(d, "dd.MM"), F.lit("</b>"))
+    day = F.col("date").cast("date")
+    return rows.groupBy("channel", "date").agg(body.alias("body")).select(F.concat_ws("/", "channel", "date").alias("page"), F.concat(label(day), label(F.date_add(day, 1)), F.lit("<ul>"), F.col("body"), F.lit("</ul>")).alias("html"))
+
+
+_PAGE_B = (f"minutes_b as (select channel || '/' || date as page, date, time, ord, {_B_TITLE} as said, sport, tournament, title, {_B_KEEP} as kept from bx where time >= '07:00' qualify row_number() over (partition by channel, date, time order by ord) = 1)",)
+
+
+@query(duck("select page, date, time, case when ord % 9 = 0 then 'Конный спорт' else sport end as sport, case when ord % 9 = 0 then 'Сезон конных скачек' else tournament || '. Чемпионат Казахстана' end as tournament, case when ord % 9 = 0 then 'Сезон конных скачек. 3 күн' else case when title = upper(title) then title else title end end as title from minutes_b where kept", *_PAGE_B))
+def guide_b_scan(spark, sf_dir):
+    rows = guides.direct_rows(guides.string_rows(_pages_b(spark, sf_dir), "page", "html", "2024-01-15"))
+    return rows.select("page", F.col("date").cast("string").alias("date"), "time", "sport", "tournament", F.col("name").alias("title"))
+
+
+@query(duck("select page, time from minutes_b where ord % 5 = 0", *_PAGE_B))
+def guide_b_on_air(spark, sf_dir):
+    return guides.on_air_times(_pages_b(spark, sf_dir), "page", "html")
+
+
+# third-party weeks and calendar cards -------------------------------------------------------
+_LIVE_ICON = "is_live_broadcast and ord % 3 = 0"
+
+
+def _pages_week(spark, sf_dir):
+    months = "element_at(array(" + ",".join(q(m) for m in lexicon.MONTHS) + "), month(cast(date as date)))"
+    cell = F.expr(f"struct(time, ord, concat('<div class=\"row\"><div class=\"time\">', case when time like '0%' then substr(time, 2) else time end, '</div><div class=\"prname2\">', title, case when ord % 2 = 0 then ' прямая  трансляция' else '' end, case when {_LIVE_ICON} then '<img src=\"/i/ico_live.gif?1\">' when ord % 5 = 1 then '<img src=\"/i/ico_old.gif\">' else '' end, '</div></div>') as x) as r")
+    days = bx(spark, sf_dir).select("channel", "date", cell).groupBy("channel", "date").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), "").alias("body"))
+    week = F.date_format(F.date_trunc("week", F.col("date").cast("date")), "yyyy-MM-dd")
+    head = F.expr(f"concat('<h3>День, ', day(cast(date as date)), ' ', {months}, '</h3>')")
+    return days.withColumn("week", week).groupBy("channel", "week").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", F.concat(head, "body").alias("x")))), lambda r: r["x"]), "").alias("html")).select(F.concat_ws("/", "channel", "week").alias("page"), "week", "html")
+
+
+# a day of up to 125 rows is within reach of its heading: a row has a clock and a title
+@query(duck("select channel || '/' || strftime(date_trunc('week', cast(date as date)), '%Y-%m-%d') as page, date, time, title || case when ord % 2 = 0 then ' прямая трансляция' else '' end as title, ord % 2 = 0 as explicit from (select *, row_number() over (partition by channel, date order by time, ord) as i from bx) where is_live_broadcast and ord % 3 = 0 and 2 * i + 1 <= 250 qualify row_number() over (partition by channel, date, time, lower(title), ord % 2 order by ord) = 1"))
+def third_party_week(spark, sf_dir):
+    return listings.live_rows(_pages_week(spark, sf_dir), "page", "html", F.col("week").cast("date"))
+
+
+_CARD_URL = "case ord % 4 when 0 then 'https://x.example/football/_a/match/' when 1 then '/stat/hockey/match/' when 2 then '/other/match/' else '/unknown/match/' end || (ord // 2) || '/'"
+_CARD_TIME = "case ord % 3 when 0 then strftime(start_at, '%d.%m.%Y %H:%M') when 1 then strftime(start_at, '%d.%m %H:%M') else strftime(start_at, '%H:%M') end"
+
+
+@query(
+    duck(
+        "select url, strftime(start_at + case when start_at < timestamp '2024-02-29 21:00:00' then interval 3 hour else interval 2 hour end, '%Y-%m-%d %H:%M') as start_text, case when url like '%/football/%' then 'Футбол' when url like '%/hockey/%' then 'Хоккей' when url like '/other/%' then 'Прочее' else '' end as sport, title, raw, case ord % 3 when 0 then 'Окончен' when 1 then 'Идёт' else '' end as status from carded qualify row_number() over (partition by date, url order by length(raw) desc, time, ord) = 1",
+        f"carded as (select *, {_CARD_URL} as url, {_CARD_TIME} || ' ' || title || case ord % 3 when 0 then ' Окончен' when 1 then ' 2-й тайм' else '' end as raw from bx)",
+    )
+)
+def calendar_cards(spark, sf_dir):
+    """Cards of matches, one page a day: clock, link and status; some matches are linked twice."""
+    at = F.expr("case ord % 3 when 0 then date_format(start_at, 'dd.MM.yyyy HH:mm') when 1 then date_format(start_at, 'dd.MM HH:mm') else date_format(start_at, 'HH:mm') end")
+    url = F.expr(_CARD_URL.replace("//", "div").replace("https:div", "https://"))
+    card = F.concat(F.lit('<div class="card"><div>'), at, F.lit('</div><p><a href="'), url, F.lit('#x">'), F.col("title"), F.lit("</a></p>"), F.expr("case ord % 3 when 0 then '<span>Окончен</span>' when 1 then '<span>2-й тайм</span>' else '' end"), F.lit("</div>"))
+    pages = bx(spark, sf_dir).select("date", F.struct("time", "ord", card.alias("x")).alias("r")).groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), "").alias("html"))
+    got = calendars.match_cards(pages, "date", "html", F.col("date").cast("date"))
+    return got.select("url", F.date_format("start_at", "yyyy-MM-dd HH:mm").alias("start_text"), "sport", "title", F.col("raw_title").alias("raw"), "status")

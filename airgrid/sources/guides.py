@@ -104,6 +104,30 @@ def string_rows(pages: DataFrame, key: str, markup: str, reference: str) -> Data
     return rolled.select(key, F.date_add(F.get("dates", F.col("block").cast("int")), F.col("day_offset").cast("int")).alias("date"), "ord", "time", "title").where("date is not null")
 
 
+def direct_rows(rows: DataFrame) -> DataFrame:
+    """Of a guide of strings' rows, those said to be direct and of a known sport, with sport, tournament and name."""
+    named = rows.where(evidence.direct_by_marker(F.col("title"))).withColumn("_t", titles.string_title(F.col("title")))
+    return named.where("_t.sport <> ''").withColumns({"sport": F.col("_t.sport"), "tournament": F.col("_t.tournament"), "name": F.col("_t.title")}).drop("_t")
+
+
+def without_dates(pages: DataFrame, key: str, markup: str, reference: str) -> DataFrame:
+    """key, error of pages that have no day label before their first clock: an error, not an empty day."""
+    return pages.select(key).join(string_rows(pages, key, markup, reference).select(key).distinct(), key, "left_anti").withColumn("error", F.lit("no day labels"))
+
+
+def on_air_times(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """key, time of list items with a blinking link that says live: what is on now, which is no claim of a direct broadcast."""
+    every = html.elements(pages, key, markup)
+    token = F.array_contains(F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+"), "blink")
+    blinks = every.where((F.col("tag") == "div") & token).select(key, F.col("ord").alias("b"), F.col("last").alias("b_last"))
+    links = every.where("tag = 'a'").select(key, F.col("ord").alias("l"), F.lower(F.concat_ws(" ", F.try_element_at("attrs", F.lit("title")), "text")).alias("said"))
+    first = blinks.join(links, key).where("l > b and l <= b_last").groupBy(key, "b").agg(F.min_by("said", "l").alias("said")).where(F.col("said").contains("live"))
+    items = every.where("tag = 'li'").select(key, F.col("ord").alias("i"), F.col("last").alias("i_last"))
+    inside = first.join(items, key).where("i < b and b <= i_last").groupBy(key, "b").agg(F.max(F.struct("i", "i_last")).alias("item")).select(key, "item.*")
+    spans = every.where("tag = 'span'").where(F.col("text").rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")).select(key, F.col("ord").alias("s"), "text")
+    return inside.join(spans, key).where("s > i and s <= i_last").groupBy(key, "i").agg(F.min_by("text", "s").alias("time")).select(key, "time").distinct()
+
+
 EPG = "pages array<struct<events array<struct<title string, eventDescriptionMedium string, scheduledFor struct<begin string, end string>>>>>"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ class Tree(HTMLParser):
         self.rows: list[list] = []
         self.open: list[int] = []
         self.nodes: list[tuple[int, str]] = []
+        self.before: list[int] = []
 
     def handle_starttag(self, tag, attrs):
         n = len(self.rows)
@@ -46,6 +48,7 @@ class Tree(HTMLParser):
         text = " ".join(data.split())
         if text and not any(self.rows[o][3] in HIDDEN for o in self.open):
             self.nodes.append((self.open[-1] if self.open else -1, text))
+            self.before.append(len(self.rows))
             for o in self.open:
                 self.rows[o][5].append(text)
 
@@ -92,6 +95,51 @@ def text_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInArrow(work, schema)
 
 
+def placed_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, node, text, after: the visible text nodes in order; ``after`` is how many elements were opened before each."""
+    schema = T.StructType([pages.schema[key], T.StructField("node", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("after", T.IntegerType())])
+
+    def work(batches):
+        for batch in batches:
+            rows = [(i, k, t, n) for i, page in enumerate(batch.column(1).to_pylist()) for tree in [parsed(page)] for k, ((_, t), n) in enumerate(zip(tree.nodes, tree.before, strict=True))]
+            at, node, text, after = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(node, pa.int32()), pa.array(text, pa.string()), pa.array(after, pa.int32())], names=schema.names)
+
+    return pages.select(key, html).mapInArrow(work, schema)
+
+
+def cards(pages: DataFrame, key: str, html: str, href: str, clock: str, status: str, levels: int = 8, longest: int = 1400) -> DataFrame:
+    """key, ord, href, label, said: links whose target matches, each with the text of the element around it that has a clock.
+
+    Of up to ``levels`` elements around a link, those of at most ``longest`` characters that have a clock count, up to the
+    first with a status; the last of them is its text, or its own where none counts.
+    """
+    schema = T.StructType([pages.schema[key], T.StructField("ord", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("href", "label", "said"))])
+
+    def around(tree: Tree, row: list) -> str:
+        best, at = " ".join(row[5]), row[1]
+        for _ in range(levels):
+            if at < 0:
+                break
+            text, at = " ".join(tree.rows[at][5]), tree.rows[at][1]
+            if text and len(text) <= longest and re.search(clock, text):
+                best = text
+                if re.search(status, text, re.I):
+                    break
+        return best
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for i, page in enumerate(batch.column(1).to_pylist()):
+                tree = parsed(page)
+                rows += [(i, r[0], dict(r[4])["href"], " ".join(r[5]), around(tree, r)) for r in tree.rows if r[3] == "a" and re.search(href, dict(r[4]).get("href", ""))]
+            at, *rest = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.string(), pa.string(), pa.string()), strict=True))], names=schema.names)
+
+    return pages.select(key, html).mapInArrow(work, schema)
+
+
 def signature(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, signature: a digest of the visible text, blind to markup."""
     nodes = text_nodes(pages, key, html)
