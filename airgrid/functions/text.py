@@ -140,3 +140,34 @@ def display(title: Column) -> Column:
     t = collapsed(F.regexp_replace(title, r"\s+[-–—]\s+", " — "))
     words = F.transform(F.split(t, " "), lambda w: F.when(w.rlike(r"^\p{Lu}{5,}$"), F.concat(F.substring(w, 1, 1), F.lower(F.substr(w, F.lit(2))))).otherwise(w))
     return F.array_join(words, " ")
+
+
+def display_title(title: Column, sport: Column, tournament: Column) -> Column:
+    """A title alone if it has two sides or begins with its tournament; else sport, tournament and title, each once."""
+    t, s, c = display(title), display(sport), display(tournament)
+    alone = t.rlike(" [–—-] ") | ((c != "") & F.lower(t).startswith(F.lower(c)))
+    parts = F.array(s, c, t)
+    first = F.filter(parts, lambda x, i: (x != "") & ~F.exists(F.slice(parts, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    return F.when(alone, t).when(F.size(first) > 0, F.array_join(first, ". ")).otherwise("Без названия")
+
+
+#: What a change is called.
+CHANGES = {"added": "➕ Новое LIVE-событие", "removed": "➖ Событие исчезло из расписания", "updated": "🔔 Изменение расписания"}
+
+
+def change_text(change: Column, title: Column, lines: Column) -> Column:
+    """A message of a change: its kind, the title, and a line for each broadcast or field."""
+    head = F.coalesce(*(F.when(change == k, F.lit(v)) for k, v in CHANGES.items()), F.lit(CHANGES["updated"]))
+    return F.array_join(F.concat(F.array(head, F.coalesce(F.nullif(title, F.lit("")), F.lit("Без названия"))), lines), "\n")
+
+
+def change_line(change: Column, field: Column, channel: Column, old: Column, new: Column) -> Column:
+    """One broadcast that came or went, or one field that changed."""
+    moved = F.concat(channel, F.lit(": "), old, F.lit(" → "), new)
+    return (
+        F.when(change == "added", F.concat(F.lit("🕐 "), new, F.lit(" · 📺 "), channel))
+        .when(change == "removed", F.concat(F.lit("Было: "), old, F.lit(" · "), channel))
+        .when(field == "channels", F.concat(F.lit("📺 Канал: "), F.coalesce(F.nullif(old, F.lit("")), F.lit("нет")), F.lit(" → "), F.coalesce(F.nullif(new, F.lit("")), F.lit("нет"))))
+        .when(field == "end", F.concat(F.lit("🏁 "), moved))
+        .otherwise(F.concat(F.lit("🕐 "), moved))
+    )

@@ -74,3 +74,43 @@ def channel_health(channels: DataFrame, runs: DataFrame, rows: DataFrame) -> Dat
     last = latest_run(runs)
     counts = rows.join(F.broadcast(last.select("source", F.col("scope_date").alias("date"))), ["source", "date"], "left_semi").groupBy("source", "channel").agg(F.count("*").alias("n"))
     return channels.join(last.select("source", "status", "scope_date"), "source", "left").join(counts, ["source", "channel"], "left").select("source", "channel", F.coalesce("status", F.lit("never")).alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def incidents(assessments: DataFrame) -> DataFrame:
+    """A row for each scope (source, scope_date, seq, verdict) that is blocked or failed: opened, and never resolved by itself."""
+    bad = assessments.where(F.col("verdict.status").isin("blocked", "error"))
+    return bad.select("source", "scope_date", "seq", F.col("verdict.status").alias("severity"), F.col("verdict.reason").alias("reason"), F.lit(None).cast("string").alias("resolved_at"))
+
+
+def unresolved(found: DataFrame, n: int) -> DataFrame:
+    """The n newest incidents that nobody has resolved."""
+    return found.where("resolved_at is null").orderBy(F.col("seq").desc(), "source").limit(n)
+
+
+def run_states(log: DataFrame) -> DataFrame:
+    """run, status, started, finished: a run's rows of an append-only log (run, at, status, summary) as one; it runs until a row says otherwise."""
+    last = log.groupBy("run").agg(F.max_by(F.struct("status", "summary"), F.struct("at", F.when(F.col("status") == "running", 0).otherwise(1))).alias("r"), F.min("at").alias("started"), F.max(F.when(F.col("status") != "running", F.col("at"))).alias("finished"))
+    return last.select("run", "r.status", "r.summary", "started", "finished")
+
+
+def latest_agent_run(log: DataFrame) -> DataFrame:
+    return run_states(log).orderBy(F.col("started").desc(), F.col("run").desc()).limit(1)
+
+
+def scope_outcome(failed: Column, required: Column, stored: Column) -> Column:
+    """status, event_count of a scope: a required one that fails is an error; another falls back on what is stored with a warning that counts nothing, or is unavailable."""
+    say = lambda s, n: F.struct(F.lit(s).alias("status"), n.cast("long").alias("event_count"), (F.lit(s) == "error").alias("incident"))
+    none = F.lit(0)
+    return F.when(~failed, say("ok", stored)).when(required, say("error", none)).when(stored > 0, say("warning", none)).otherwise(say("unavailable", none))
+
+
+def toggled(subscriptions: DataFrame, changes: DataFrame) -> DataFrame:
+    """reader: who is subscribed after the changes (reader, ord): each is a switch, so an even number of them changes nothing."""
+    flips = changes.groupBy("reader").agg((F.count("*") % 2 == 1).alias("flip"))
+    j = subscriptions.select("reader", F.lit(True).alias("was")).distinct().join(flips, "reader", "full")
+    return j.where(F.coalesce("was", F.lit(False)) != F.coalesce("flip", F.lit(False))).select("reader")
+
+
+def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Every message to every reader of its source; ``subscriptions``: reader, source."""
+    return messages.join(subscriptions, "source")

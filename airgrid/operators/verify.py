@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
@@ -158,3 +158,65 @@ def relaxed(result: Column, title: Column, tournament: Column, sport: Column) ->
     words = F.filter(F.array_except(F.array_distinct(F.split(expected, " ")), F.array(*map(F.lit, lexicon.STOP_WORDS))), lambda w: (F.length(w) >= 5) & ~w.rlike("^[0-9]+$"))
     hits = F.size(F.filter(words, lambda w: said.contains(w)))
     return matches(result, title, tournament, sport) | ((F.length(name) >= 5) & said.contains(name)) | ((F.size(words) > 0) & (hits >= F.least(F.lit(2), F.size(words))))
+
+
+def query_strings(title: Column, tournament: Column, sport: Column, day: Column) -> Column:
+    """Two searches for an event: all that names it in English with its date, and the same with words for its start."""
+    said = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (title, tournament, sport)), F.date_format(day, "MMMM dd yyyy"))
+    english = F.btrim(text.englished(said))
+    return F.array(english, F.concat(english, F.lit(" start time schedule")))
+
+
+def with_pages(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """Results (url, title, ...) that a page with content was read for; the page's own address and title win.
+
+    ``pages``: url, page_url, page_title, content.
+    """
+    read = pages.where(F.btrim(F.coalesce("content", F.lit(""))) != "")
+    own = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), F.col(b), F.lit(""))
+    return results.join(read, "url").withColumns({"url": own(F.col("page_url"), "url"), "title": own(F.col("page_title"), "title")}).drop("page_url", "page_title")
+
+
+def best_per_key(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of candidates (keys, ord, score) with equal keys the best, of equally good ones the first."""
+    rest = [c for c in candidates.columns if c not in keys]
+    best = candidates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("score", -F.col("ord"))).alias("b"))
+    return best.select(*keys, "b.*")
+
+
+def unique_sources(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """One candidate of each organisation, the one of most weight, numbered by weight."""
+    best = candidates.groupBy(*keys, "organisation").agg(F.max_by(F.struct("weight", "ord", "at"), F.struct("weight", -F.col("ord"))).alias("b")).select(*keys, "organisation", "b.*")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("weight").desc(), "ord"))  # a question's organisations are few
+    return best.withColumn("place", place)
+
+
+def verdict(candidates: DataFrame, slots: DataFrame, keys: list[str], seconds: int = 600, minutes: int = 30) -> DataFrame:
+    """Per slot (keys, start in epoch seconds): state, difference and organisations of the time that most weight stands for.
+
+    Times are clustered, the cluster with most weight wins, and its candidate of most weight and score speaks for
+    it; further than ``minutes`` from the slot it is rejected, without candidates the slot is unknown.
+    """
+    grouped = clusters(candidates, keys, seconds)
+    won = vote(grouped, keys)
+    mine = grouped.join(won.select(*keys, "cluster", "organisations"), [*keys, "cluster"])
+    spoken = mine.groupBy(*keys).agg(F.max_by("at", F.struct("weight", "score", -F.col("ord"))).alias("at"), F.first("organisations").alias("organisations"))
+    out = slots.join(spoken, keys, "left").withColumn("difference", ((F.col("at") - F.col("start")) / 60).cast("long"))
+    state = F.when(F.col("at").isNull(), "unknown").when(F.abs("difference") <= minutes, "verified").otherwise("rejected")
+    return out.select(*keys, state.alias("state"), "difference", F.coalesce("organisations", F.lit(0)).alias("organisations"))
+
+
+def is_official(domains: Column) -> Column:
+    """Whether any of a verdict's sources holds the events itself."""
+    return F.exists(domains, lambda d: d.isin(*lexicon.OFFICIAL_EVENT_DOMAINS))
+
+
+def calendar_first(calendar: DataFrame, searched: DataFrame, key: str = "ord") -> DataFrame:
+    """Per slot: state and where it comes from.  What the calendar says holds; else a search's verdict, if an official source stands behind it; else unknown.
+
+    ``calendar``: key, state (confirmed, mismatch, unknown); ``searched``: key, state, domains.
+    """
+    j = calendar.join(searched.select(key, F.col("state").alias("found"), "domains"), key, "left")
+    known = F.col("state") != "unknown"
+    fallback = F.coalesce(is_official(F.col("domains")) & (F.col("found") != "unknown"), F.lit(False))
+    return j.select(key, F.when(known, F.col("state")).when(fallback, F.col("found")).otherwise("unknown").alias("state"), F.when(known, "calendar").when(fallback, "official").otherwise("none").alias("by"))
