@@ -50,8 +50,10 @@ def norm_verify(x: Column) -> Column:
 def englished(x: Column) -> Column:
     """Known names in English, longest first, also inside words."""
     longest_first = sorted(L.ALIASES.items(), key=lambda p: (-len(p[0]), p[0]))
-    out = reduce(lambda t, p: F.regexp_replace(t, f"(?iu){_quoted(p[0])}", p[1]), longest_first, F.coalesce(x, F.lit("")))
-    return collapsed(out)
+    plain = F.coalesce(x, F.lit(""))
+    out = reduce(lambda t, p: F.regexp_replace(t, f"(?iu){_quoted(p[0])}", p[1]), longest_first, plain)
+    # most texts have none of the names; one look tells
+    return collapsed(F.when(plain.rlike("(?iu)" + "|".join(_quoted(p[0]) for p in longest_first)), out).otherwise(plain))
 
 
 def title_of(title: Column, raw_event_title: Column, raw_title: Column) -> Column:

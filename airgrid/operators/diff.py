@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +27,15 @@ def paired(old: DataFrame, new: DataFrame, key: str = "identity") -> DataFrame:
 
     def greedy(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(["old_start", "old_ord"]), b.sort_values(["new_start", "new_ord"])
-        left, out = list(zip(b.new_start, b.new_ord, strict=True)), []
+        starts, ords, out = b.new_start.tolist(), b.new_ord.tolist(), []
         name = (a if len(a) else b)[key].iloc[0]
         for start, ord_ in zip(a.old_start, a.old_ord, strict=True):
-            if not left:
-                out.append((name, ord_, None))
-                continue
-            i = min(range(len(left)), key=lambda k: abs(left[k][0] - start))
-            out.append((name, ord_, left.pop(i)[1]))
-        out += [(name, None, x) for _, x in left]
+            i = bisect_left(starts, start)
+            if i and (i == len(starts) or start - starts[i - 1] <= starts[i] - start):
+                i = bisect_left(starts, starts[i - 1])  # the first of equal starts
+            out.append((name, ord_, ords[i] if starts else None))
+            del starts[i : i + 1], ords[i : i + 1]
+        out += [(name, None, x) for x in ords]
         return pd.DataFrame(out, columns=[key, "old_ord", "new_ord"]).astype({"old_ord": "Int64", "new_ord": "Int64"})
 
     both = o.join(many, key, "left_semi").groupBy(key).cogroup(n.join(many, key, "left_semi").groupBy(key)).applyInPandas(greedy, f"{key} string, old_ord long, new_ord long")

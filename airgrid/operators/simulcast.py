@@ -43,7 +43,9 @@ def groups(rows: DataFrame, minutes: int = MINUTES) -> DataFrame:
 
     Rows of one group have equal titles and follow each other within ``minutes``; where a title
     is silent for longer, no group goes across.  So titles are first cut at such gaps, and each
-    piece is grouped on its own: a title on the air all year is many small pieces.
+    piece is grouped on its own: a title on the air all year is many small pieces.  Within a piece only
+    groups and broadcasts of the last ``minutes`` are looked at, so a title that is never silent costs
+    as much a row as one that is.
     """
     k = keyed(rows).select("ord", "channel", "date", "time", "start_at", "norm_title", "norm_sport", "norm_tournament")
     w = Window.partitionBy("norm_title").orderBy("start_at", "ord")
@@ -54,20 +56,20 @@ def groups(rows: DataFrame, minutes: int = MINUTES) -> DataFrame:
     def first_fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["norm_title", "piece", "date", "time", "channel", "ord"])
         out = []
-        made: list[list[tuple]] = []
+        made: list[tuple[int, list[tuple]]] = []  # groups that a row may still join: their name, and what in them is recent
         last = None
         for title, piece, ord_, channel, t, sport, tournament in zip(p.norm_title, p.piece, p["ord"], p.channel, p["at"], p.norm_sport, p.norm_tournament, strict=True):
             if (title, piece) != last:
                 made, last = [], (title, piece)
-            row = (ord_, channel, t, sport, tournament)
-            for g in made:
-                if any(x[1] != channel and abs(t - x[2]) // 60 <= minutes and (not sport or not x[3] or sport == x[3]) and (not tournament or not x[4] or tournament == x[4]) for x in g):
-                    g.append(row)
-                    out.append((ord_, g[0][0]))
+            made = [(name, recent) for name, g in made if (recent := [x for x in g if (t - x[1]) // 60 <= minutes])]
+            for name, g in made:
+                if any(x[0] != channel and (not sport or not x[2] or sport == x[2]) and (not tournament or not x[3] or tournament == x[3]) for x in g):
                     break
             else:
-                made.append([row])
-                out.append((ord_, ord_))
+                name, g = ord_, []
+                made.append((name, g))
+            g.append((channel, t, sport, tournament))
+            out.append((ord_, name))
         return pd.DataFrame(out, columns=["ord", "group_ord"])
 
     # most pieces are one row; the others go to Python many pieces at a time

@@ -122,10 +122,9 @@ def subscription_toggle(spark, sf_dir):
 _DISPLAYED = "case ord % 4 when 0 then title when 1 then tournament || ' финал' when 2 then sport else 'Финал' end"
 
 
-@query(duck("select ord, case when ord % 4 = 0 then replace(title, ' – ', ' — ') when ord % 4 = 1 then tournament || ' финал' when ord % 4 = 2 then array_to_string(list_filter([sport, tournament], lambda x: x <> ''), '. ') else array_to_string(list_filter([sport, tournament, 'Финал'], lambda x: x <> ''), '. ') end as shown from bx where ord < 1000000 or ord % 4 <> 0"))
+@query(duck("select ord, case when ord % 4 = 0 then replace(replace(title, ' – ', ' — '), 'КОМАНДА', 'Команда') when ord % 4 = 1 then tournament || ' финал' when ord % 4 = 2 then array_to_string(list_filter([sport, tournament], lambda x: x <> ''), '. ') else array_to_string(list_filter([sport, tournament, 'Финал'], lambda x: x <> ''), '. ') end as shown from bx"))
 def display_titles(spark, sf_dir):
-    rows = bx(spark, sf_dir).where("ord < 1000000 or ord % 4 <> 0")  # shouted titles are the matter of display_text
-    return rows.select("ord", text.display_title(F.expr(_DISPLAYED), F.col("sport"), F.col("tournament")).alias("shown"))
+    return bx(spark, sf_dir).select("ord", text.display_title(F.expr(_DISPLAYED), F.col("sport"), F.col("tournament")).alias("shown"))
 
 
 @query("select identity, channel, field, case field when 'channel_added' then '➕ Новое LIVE-событие' || chr(10) || identity || chr(10) || '🕐 ' || channel || ' · 📺 ' || channel when 'channel_removed' then '➖ Событие исчезло из расписания' || chr(10) || identity || chr(10) || 'Было: ' || channel || ' · ' || channel when 'end' then '🔔 Изменение расписания' || chr(10) || identity || chr(10) || '🏁 ' || channel || ': ' || \"old\" || ' → ' || \"new\" else '🔔 Изменение расписания' || chr(10) || identity || chr(10) || '🕐 ' || channel || ': ' || \"old\" || ' → ' || \"new\" end as body from (" + joined.QUERIES["channel_diff"][1] + ")")

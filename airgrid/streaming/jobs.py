@@ -72,6 +72,11 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def _last_before(spark: SparkSession, folder: str, version: int) -> int | None:
+    """The newest stored version below ``version``; versions may leave numbers out."""
+    return spark.read.parquet(folder).where(F.col("version") < version).agg(F.max("version")).first()[0]
+
+
 def refresh(versions: DataFrame, folder: str, diff) -> DataFrame:
     """Snapshots that come one after another, each compared with the one before it.
 
@@ -84,8 +89,8 @@ def refresh(versions: DataFrame, folder: str, diff) -> DataFrame:
         for (v,) in sorted(batch.select("version").distinct().collect()):  # as many as files in the batch
             new = batch.where(F.col("version") == v).drop("version")
             new.write.mode("overwrite").parquet(f"{folder}/snapshots/version={v}")
-            if v > 1:
-                old = spark.read.parquet(f"{folder}/snapshots/version={v - 1}")
+            if (before := _last_before(spark, f"{folder}/snapshots", v)) is not None:
+                old = spark.read.parquet(f"{folder}/snapshots/version={before}")
                 diff(old, spark.read.parquet(f"{folder}/snapshots/version={v}")).write.mode("overwrite").parquet(f"{folder}/changes/version={v}")
 
     versions.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
