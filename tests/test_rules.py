@@ -281,3 +281,54 @@ def test_message_packing_packs_all_rows(spark, sf):
     got = scanned.message_packing(spark, sf).collect()
     assert {(r.source, r.date) for r in got} == {(r.source, r.date) for r in rows}
     assert sum(r.n_chars for r in got) == sum(len(f"{r.time} {r.channel} {r.title}") for r in rows) + 2 * (len(rows) - len(got))
+
+
+SAID = [
+    ("Kick-off 2026-09-12 at 15:30 UTC", None, [("2026-09-12 15:30", True, True)]),
+    ("12.09.2026 в 18:30 МСК", None, [("2026-09-12 15:30", True, False)]),
+    ("2026-01-12 15:30 EST", None, []),  # an American clock without am or pm is none
+    ("Main card 9:00 PM ET on September 12, 2026", None, [("2026-09-13 01:00", True, True)]),
+    ("9 pm est, 12 January 2026", None, [("2026-01-13 02:00", True, False)]),
+    ("2026-06-01 10:00 pm CEST", None, []),  # a Central European one with pm neither
+    ("2026-06-01 20:00 CEST", None, [("2026-06-01 18:00", True, False)]),
+    ("12 September 2026", "Europe/Moscow", [("2026-09-12 09:00", False, False)]),  # bare numbers are clocks of the page's zone
+    ("Sept 3, 2026 starts 19:00", "America/New_York", [("2026-09-03 07:00", False, True), ("2026-09-03 23:00", False, True)]),
+    ("сентябрь 3 2026, 10:61", "Asia/Almaty", [("2026-09-02 22:00", False, False)]),
+    ("19:00 UTC", None, []),  # no date
+]
+
+
+@pytest.mark.parametrize(("said", "home", "want"), SAID)
+def test_clocks_of_pages(said, home, want):
+    from airgrid.operators import occurrence
+
+    assert [(f"{at:%Y-%m-%d %H:%M}", zone, cue) for at, zone, cue in occurrence.clocks_in(said, home)] == want
+
+
+def test_dates_of_pages():
+    from airgrid.operators import occurrence
+
+    found = occurrence.dates_in("1.02.03.2024, 2024-13-01, 31/12/2023 and 5th; May 5th, 2024; 7 мая 2024; 2024-05-07 again")
+    assert [(str(d), at) for d, at in found] == [("2023-12-31", 26), ("2024-03-02", 2), ("2024-05-05", 46), ("2024-05-07", 61)]
+
+
+def test_names_in_other_letters_and_languages(spark):
+    said = F.lit("Kairat beat Orleu; draw: UEFA Champions League")
+    assert one(spark, text.aliases(F.lit("Қайрат"))) == ["қайрат", "кайрат", "kairat"]
+    assert one(spark, text.participants(F.lit("1/4 финала: Қайрат – Өрлеу (U19)"))) == ["Қайрат", "Өрлеу"]
+    e = F.lit("")
+    assert one(spark, verify.matches(F.lit("кайрат орлеу"), F.lit("1\\4 финал. Қайрат – Өрлеу"), e)) is True
+    assert one(spark, verify.matches(said, F.lit("Жеребьёвка"), F.lit("Лига чемпионов УЕФА"))) is True
+    assert one(spark, verify.matches(said, F.lit("Жеребьёвка"), e)) is False
+    assert one(spark, verify.matches(F.lit("Tour de France stage"), F.lit("Tour de France"), e)) is True
+    assert one(spark, verify.relaxed(F.lit("news of the Premier League"), F.lit("A – B"), F.lit("английская премьер-лига"), e)) is True
+    assert one(spark, verify.relaxed(F.lit("nothing"), F.lit("A – B"), e, e)) is False
+
+
+def test_first_fit_looks_back_half_an_hour_only(spark):
+    """A title that is never silent: every group takes what is near its last broadcasts, none grows over its old ones."""
+    rows = broadcasts(spark, [(i, "abc"[i % 3], "2026-07-01", f"{8 + i // 6:02d}:{i % 6 * 10:02d}", "", "", "X – Y", True) for i in range(60)])
+    got = {r.ord: r.group_ord for r in simulcast.groups(rows).collect()}
+    assert set(got.values()) == {0}  # each is within ten minutes of another channel's
+    far = broadcasts(spark, [(0, "a", "2026-07-01", "08:00", "", "", "X – Y", True), (1, "a", "2026-07-01", "08:20", "", "", "X – Y", True), (2, "b", "2026-07-01", "08:31", "", "", "X – Y", True), (3, "c", "2026-07-01", "08:50", "", "", "X – Y", True)])
+    assert {r.ord: r.group_ord for r in simulcast.groups(far).collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
