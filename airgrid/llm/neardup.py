@@ -33,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,14 +274,13 @@ def _connecting(left: pd.DataFrame, right: pd.DataFrame, idf: np.ndarray, simila
 
 
 def compared(probes: DataFrame, members: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float | None = None, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """g, a, b, s: of ``probes`` and ``members`` (both g, node, owner) of the same g, all similarities, or only links enough to connect those of ``similarity`` or more.
+    """g, a, b, s: of ``probes`` and ``members`` (both g, node, owner, n: shingles) of the same g, all similarities, or only links enough to connect those of ``similarity`` or more.
 
     Both sides are dealt into blocks of about ``block`` shingles, and each task compares one
     block of either.
     """
     sent = vecs.sparkSession.sparkContext.broadcast(idf)
-    lengths = vecs.select("node", "n")
-    blocks = lambda df, name: df.join(lengths, "node").groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block)), F.lit(1)).cast("int").alias(name))
+    blocks = lambda df, name: df.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block)), F.lit(1)).cast("int").alias(name))
     sizes = stored(blocks(probes, "np").join(blocks(members, "nm"), "g"), "block-sizes")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -312,41 +311,41 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
 def _linked(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links (a, b) of nodes with pivots, the labels of what they connect, and links between such parts."""
     members = shared_buckets(nodes)
-    centre = members.groupBy("node").agg(F.sum("n").alias("centre"))
-
-    active = stored(nodes.join(centre.select("node"), "node").select("node", "key", F.col("doc_id").alias("_first")), "active")
+    active = stored(nodes.join(members.select("node"), "node", "left_semi").select("node", "key", F.col("doc_id").alias("_first")), "active")
     text = docs.select(F.col("doc_id").alias("_first"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32).alias("key"), "text")
     of_key = small_or_join(text, active.withColumnRenamed("_first", "_want"), "key", "inner", SLIM_ROWS).where(F.col("_first").eqNullSafe(F.col("_want")))
     vecs = stored(vectors(of_key).dropDuplicates(["node"]), "vectors")
 
     # nodes of a bucket that have not been its pivot; near: similar to one of its pivots; at: distances to them
-    state = stored(members.join(centre, "node").select("h", "node", "centre", F.lit(False).alias("near"), F.array().cast("array<double>").alias("at")), "starred")
+    centre = F.sum("n").over(Window.partitionBy("node"))  # a node is in as many buckets as there are bands at most
+    central = members.select("h", "node", centre.alias("centre")).join(vecs.select("node", "n"), "node")
+    state = stored(central.select("h", "node", "n", "centre", F.lit(False).alias("near"), F.array().cast("array<double>").alias("at")), "starred")
     found, left = [], []
     for k in range(PIVOTS):
         hubs = state.where("not near").groupBy("h").agg(F.max_by("node", F.struct("centre", -F.col("node"))).alias("hub"))
         others = stored(state.join(hubs, "h").where("node <> hub"), "with-hubs")
-        pairs = stored(others.select(F.col("hub").alias("g"), "node", F.col("node").alias("owner")).dropDuplicates(["g", "node"]), "pairs")
-        hub = pairs.select("g").distinct().select("g", F.col("g").alias("node"), F.col("g").alias("owner"))
+        pairs = stored(others.select(F.col("hub").alias("g"), "node", F.col("node").alias("owner"), "n").dropDuplicates(["g", "node"]), "pairs")
+        hub = pairs.select("g").distinct().select("g", F.col("g").alias("node"), F.col("g").alias("owner"), F.lit(1).alias("n"))  # a block by itself
         close = stored(compared(hub, pairs, vecs, idf).select(F.col("a").alias("hub"), F.col("b").alias("node"), "s"), "similarities")
         found.append(close.where(F.col("s") >= similarity).select(F.col("hub").alias("a"), F.col("node").alias("b")))
         s = F.coalesce("s", F.lit(0.0))
-        state = stored(others.join(close, ["hub", "node"], "left").select("h", "node", "centre", (F.col("near") | (s >= similarity)).alias("near"), F.array_append("at", 1 - s).alias("at")), "after-pivot")
+        state = stored(others.join(close, ["hub", "node"], "left").select("h", "node", "n", "centre", (F.col("near") | (s >= similarity)).alias("near"), F.array_append("at", 1 - s).alias("at")), "after-pivot")
         # a node that is left alone has been compared with all; where all are near the one pivot, all are connected
         kinds = stored(state.groupBy("h").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("apart")).where("n > 1" if k else "n > 1 and apart > 0"), "kinds")
         many = kinds.where(F.col("apart") > MANY_APART)
         last = k == PIVOTS - 1 or not many.limit(1).count()
-        left.append(state.join((kinds if last else kinds.where(F.col("apart") <= MANY_APART)).select("h"), "h", "left_semi").select("h", "node", "at"))
+        left.append(state.join((kinds if last else kinds.where(F.col("apart") <= MANY_APART)).select("h"), "h", "left_semi").select("h", "node", "n", "at"))
         if last:
             break
         state = stored(state.join(many.select("h"), "h", "left_semi"), "open")
-    rest, out = state.limit(0).select("h", "node", "at"), found[0]
+    rest, out = state.limit(0).select("h", "node", "n", "at"), found[0]
     for x in left:
         rest = rest.unionByName(x)
     for x in found[1:]:
         out = out.union(x)
     out = stored(out.distinct(), "pivot-links")
     labels = components(out)
-    owners = rest.join(labels.withColumnRenamed("label", "owner"), "node", "left").select("h", "node", "at", F.coalesce("owner", "node").alias("owner"))
+    owners = rest.join(labels.withColumnRenamed("label", "owner"), "node", "left").select("h", "node", "n", "at", F.coalesce("owner", "node").alias("owner"))
     return out, labels, stored(across_cells(stored(owners, "mixed"), vecs, idf, similarity).select("a", "b").distinct(), "cell-links")
 
 
@@ -359,6 +358,8 @@ def links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float
 def connected(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """node, label of all nodes with a link.  What the pivots connect is one node already where the cells' links are followed."""
     _, labels, second = _linked(nodes, docs, idf, similarity)
+    if not second.limit(1).count():
+        return labels
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     lifted = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     above = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("far"))
@@ -367,24 +368,24 @@ def connected(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: fl
 
 
 def across_cells(mixed: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """Links between nodes (h, node, owner, at: distances to the bucket's pivots) of a bucket that have different owners.
+    """Links between nodes (h, node, n, owner, at: distances to the bucket's pivots) of a bucket that have different owners.
 
     Distances are cut into steps of one minus ``similarity``; similar nodes are in the same step or in
     neighbours, for every pivot.  Members stay in their cell, probes (all but those of the bucket's
-    commonest owner) go to all cells around theirs.  A small bucket is one cell.
+    first owner) go to all cells around theirs.  A small bucket is one cell.
     """
     width = (1 - similarity) * (1 + 1e-9)
-    each = mixed.groupBy("h", "owner").agg(F.count("*").alias("k"))
-    worth = stored(each.groupBy("h").agg(F.max_by("owner", F.struct("k", "owner")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("owners")).where("owners > 1").drop("owners"), "mixed-buckets")
+    sizes = mixed.groupBy("h").agg(F.min("owner").alias("main"), F.max("owner").alias("most"), F.count("*").alias("size"))
+    worth = stored(sizes.where("main <> most").drop("most"), "mixed-buckets")
     cell = F.transform(F.slice("at", 1, CELL_PIVOTS), lambda d: F.floor(d / F.lit(width)).cast("int"))
-    cells = mixed.join(worth, "h").withColumn("cell", F.when(F.col("n") > SMALL_BUCKET, cell).otherwise(F.array().cast("array<int>")))
+    cells = mixed.join(worth, "h").withColumn("cell", F.when(F.col("size") > SMALL_BUCKET, cell).otherwise(F.array().cast("array<int>")))
     around = F.array(F.array().cast("array<int>"))
     for i in range(CELL_PIVOTS):
         step = lambda have, i=i: F.flatten(F.transform(have, lambda head: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.array_append(head, F.get("cell", F.lit(i)) + d))))
         around = F.when(F.size("cell") > i, step(around)).otherwise(around)
     group = lambda cell: F.xxhash64("h", F.concat_ws(",", F.transform(cell, lambda x: x.cast("string")))).alias("g")
-    members = stored(cells.select(group(F.col("cell")), "node", "owner"), "cell-members")
-    probes = cells.where("owner <> main").select("h", "node", "owner", F.explode(around).alias("cell")).select(group(F.col("cell")), "node", "owner")
+    members = stored(cells.select(group(F.col("cell")), "node", "owner", "n"), "cell-members")
+    probes = cells.where("owner <> main").select("h", "node", "owner", "n", F.explode(around).alias("cell")).select(group(F.col("cell")), "node", "owner", "n")
     # a probe stays where a member of another owner is
     kinds = stored(members.groupBy("g").agg(F.min("owner").alias("least"), F.max("owner").alias("most")), "cells")
     probes = stored(probes.join(kinds, "g").where("owner <> least or owner <> most").drop("least", "most"), "cell-probes")
