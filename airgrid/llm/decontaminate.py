@@ -35,7 +35,7 @@ WINDOW = 10
 #: Bytes of test texts in one broadcast block.
 BLOCK_BYTES = 16 << 20
 #: Bytes of training text in one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Shards that a task searches with one block after the other.
 GROUP_SHARDS = 8
 
