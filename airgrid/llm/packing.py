@@ -9,8 +9,10 @@ themselves.  Each group leaves at most a few sequences with slack, so the groups
 cost next to nothing against one large group, and any number of them run at once.
 
 Defined cases: a null or empty text is one piece that holds the end token only;
-repeated rows are packed as often as they stand there; null ids are kept; an
-empty table gives no sequences.
+a very long text is cut into as many pieces as it needs; pieces of equal length are
+taken in the order in which they came to the task; repeated rows are packed as often as
+they stand there; null ids are kept; other columns are not read; an empty table gives no
+sequences.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ interval.  A token that crosses a boundary counts, by the rule given,
 Line breaks are a section's tail: they belong to the section before
 them, or to the first one.  So the sections' counts sum to the document's.
 
-Defined cases: a null or empty text has one section without tokens; repeated rows give repeated
-results; an empty table gives no rows.
+Defined cases: a null or empty text has one section without tokens; of sections with equally much
+of a token the first gets it (``most``); a very long text is encoded whole; repeated rows give
+repeated results; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
