@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of documents.
+
+Defined cases, for every stage: columns of any name are kept as they are; null and empty texts and
+null ids are rows like others (the rules reject texts without words, the last stage packs their end
+token); repeated rows are judged alike, and near duplicates keep one of them; very long texts are
+worked on whole; an empty table gives no rows.  What an operator does with ties is told there.
 """
 
 from __future__ import annotations
