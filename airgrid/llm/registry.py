@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, neardup, packing, pii, quality, sharding, tokencount, warc
+from . import bpe, decontaminate, langid, licenses, neardup, packing, pii, quality, resample, search, sharding, tokencount, warc
 from .common import table
 
 
@@ -50,6 +50,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -62,6 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_tokencount": op9_tokencount,
         "op10_decontaminate": op10_decontaminate,
+        "op11_resample": op11_resample,
+        "op12_search": op12_search,
+        "op13_bpe": op13_bpe,
     }
 
 
@@ -69,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.ORACLE_SQL,
         "op4_quality": quality.oracle_sql(),
+        "op11_resample": resample.ORACLE_SQL,
+        "op12_search": search.ORACLE_SQL,
     }

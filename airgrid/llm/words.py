@@ -36,6 +36,15 @@ ALNUM = byte_table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 VISIBLE = byte_table([(0x20, 0x20), (0x09, 0x0D)])
 
 
+#: ASCII letters in lower case, digits and all bytes beyond ASCII as they are; all else is a blank.
+_FOLDED = bytes((b + 32 if 65 <= b <= 90 else b) if ALNUM[b] else 32 for b in range(256))
+
+
+def folded_words(text: bytes) -> list[bytes]:
+    """The runs of letters, digits and bytes beyond ASCII, A-Z as a-z."""
+    return text.translate(_FOLDED).split()
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
