@@ -71,6 +71,16 @@ def aligned(base_date: Column, clock_minutes: Column, hours_east: Column, event_
     return F.array_min(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), candidate))["at"]
 
 
+def aligned_in(day: Column, clock_minutes: Column, source_zone: Column, zone: str = L.ZONE) -> Column:
+    """As ``aligned``, for a clock of a zone by name, with that zone's summer time."""
+
+    def candidate(shift: Column) -> Column:
+        at = F.from_utc_timestamp(F.to_utc_timestamp(F.date_add(day, shift).cast("timestamp") + minutes(clock_minutes), source_zone), zone)
+        return F.struct(F.abs(F.date_diff(F.to_date(at), day)).alias("days"), F.abs(shift).alias("far"), shift.alias("shift"), at.alias("at"))
+
+    return F.array_min(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), candidate))["at"]
+
+
 def week_key(day: Column) -> Column:
     return F.to_date(F.date_trunc("week", day))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic, checked, guided, joined, scanned, told
+from . import basic, checked, guided, joined, scanned, told, web
 
-_ALL = basic.QUERIES | joined.QUERIES | scanned.QUERIES | told.QUERIES | guided.QUERIES | checked.QUERIES
+_ALL = basic.QUERIES | joined.QUERIES | scanned.QUERIES | told.QUERIES | guided.QUERIES | checked.QUERIES | web.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

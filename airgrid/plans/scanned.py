@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -25,12 +23,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark, name: str) -> str:
-    """A folder that all executors share: the cluster's, or in tests the warehouse's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # html --------------------------------------------------------------------------------------
 @query("select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) as label from pages")
 def html_anchors(spark, sf_dir):
@@ -156,19 +148,19 @@ def _events(spark, sf_dir):
 
 @query("select event_type, count(*) as n from events group by event_type")
 def stream_status_counts(spark, sf_dir):
-    return jobs.run_once(jobs.status_counts(_events(spark, sf_dir)), _folder(spark, "counts"), "complete")
+    return jobs.run_once(jobs.status_counts(_events(spark, sf_dir)), store.folder(spark, "counts"), "complete")
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n from events group by all")
 def stream_windowed_counts(spark, sf_dir):
-    out = jobs.run_once(jobs.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), _folder(spark, "windows"), "complete")
+    out = jobs.run_once(jobs.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), store.folder(spark, "windows"), "complete")
     return out.select(ts("hour").alias("hour"), "event_type", "n")
 
 
 @query()
 def stream_debounce(spark, sf_dir):
     seen = _events(spark, sf_dir).select((F.col("user_id") % 5).cast("string").alias("source"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 7 < 4, "a").when(F.col("event_id") % 7 == 4, "b").otherwise("c").alias("signature"))
-    return jobs.run_once(jobs.debounced(seen), _folder(spark, "debounce"))
+    return jobs.run_once(jobs.debounced(seen), store.folder(spark, "debounce"))
 
 
 _REFRESH = duck(
@@ -179,7 +171,7 @@ _REFRESH = duck(
 
 @query(_REFRESH)
 def stream_refresh_diff(spark, sf_dir):
-    folder = _folder(spark, "refresh")
+    folder = store.folder(spark, "refresh")
     rows = bx(spark, sf_dir)
     for v, part in ((1, rows.where("ord % 7 <> 0")), (2, rows.where("ord % 11 <> 0"))):
         _stored(part).select("storage_id").distinct().withColumn("version", F.lit(v)).write.parquet(f"{folder}/landing/v{v}")
