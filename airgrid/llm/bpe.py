@@ -42,6 +42,7 @@ OVERLAP = 1_024
 #: More characters than the pattern looks ahead.
 AHEAD = 8
 
+
 _IDS = pa.list_(pa.int32())
 
 
@@ -166,7 +167,7 @@ def _encoded(pieces: DataFrame, path: str, ids: str) -> DataFrame:
             for a, b in W.row_slices(text):
                 found = [one.encode_to_numpy(t or "", disallowed_special=()) for t in text.slice(a, b - a).to_pylist()]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = pa.array(np.concatenate(found).astype(np.int32))
+                flat = pa.array(np.concatenate(found).view(np.int32))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.ListArray.from_arrays(pa.array(off), flat)], names=schema.names)
 
     return pieces.mapInArrow(work, schema)
@@ -182,7 +183,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
     row = fresh(docs.columns, "row")
     chunks = cut_texts(docs.where(long).withColumn(row, F.monotonically_increasing_id()), row, chunk, overlap)
     # chunks of one long text go to many tasks
-    ready = stored(pretokenised(stored(chunks, "chunks").repartition("row", "k"), chunk, overlap), "pretokens")
+    ready = stored(pretokenised(chunks.repartition("row", "k"), chunk, overlap), "pretokens")
     pieces = _encoded(stitched(ready, chunk), path, "ids")
     whole = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
     return short.unionByName(whole.select("doc_id", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids")))
@@ -199,7 +200,8 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", column
             lists = batch.column(schema.names.index(ids))
             for a in range(0, batch.num_rows, 1_000):
                 part = lists.slice(a, 1_000)
-                found = pa.array([b"".join(map(token, x)) for x in part.to_pylist()], pa.binary())
+                ids_, ends = part.flatten().to_numpy().tolist(), np.cumsum(part.value_lengths().fill_null(0).to_numpy()).tolist()
+                found = pa.array([b"".join(map(token, ids_[x:y])) for x, y in zip([0, *ends], ends, strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, 1_000) for c in batch.columns), found], names=schema.names)
 
     return encoded.mapInArrow(work, schema)
