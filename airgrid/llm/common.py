@@ -54,6 +54,11 @@ def fresh(taken, base: str) -> str:
     return name
 
 
+def named(columns) -> list[Column]:
+    """Columns by their very names, whatever signs are in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def small_or_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a stored ``right``; it is broadcast only if its counted rows and the bytes of its strings fit."""
     wide = [F.octet_length(f.name) for f in right.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh
+from .common import fresh, named
 
 WINDOW = 10
 #: Bytes of test texts in one broadcast block.
@@ -276,7 +276,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those that hold a window of a test text; their columns as they were."""
     found, name = find_matches(docs, benchmark, **options)
-    return found.where(F.size(F.col(name)["spans"]) == 0).select(*docs.columns)
+    return found.where(F.size(F.col(name)["spans"]) == 0).select(*named(docs.columns))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

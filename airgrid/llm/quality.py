@@ -3,23 +3,27 @@
 Each document is measured; four rules say whether it fails.  Failures are summed by
 host (``source``), partial sums first, so that a host with a third of all rows is no
 burden.  Each rule's rate is shrunk by a beta prior that is fitted to all hosts by
-moments (``shrunk_rates``): a host with few documents stays near the corpus rate.
+moments (``shrunk_rates``) and worth an average host's documents at most: a host with few documents
+stays near the corpus rate, and one with many is known by its own.
 
 Verdicts compare a host with the corpus, never with a fixed rate:
 
 * A host is bad where the odds that its documents fail a rule are more than ``BAD_ODDS`` times
   the corpus's, even at the lower bound of its posterior (``DEVIATIONS`` standard deviations
   below the mean).  All of its documents go.
-* For the rules that a lone document may break by chance (symbols, repeated lines) each
-  host has a limit of its own: the rule's limit, times the corpus's rate over the host's
-  shrunk one, between half and twice.  Documents over their host's limit go.
+* For the rules that a lone document may break by chance (symbols, repeated lines) the host decides
+  on doubtful documents.  Where the mean of its posterior is under the prior's quantile of 0.4, the
+  host is trusted with a rule, and a document stays up to ``LENIENT`` times the rule's limit; where it is
+  over the quantile of 0.6, a document goes from ``STRICT`` times the limit on; between them the limit
+  is the rule's own.
 
-Where hosts differ no more than chance explains, the prior outweighs every host: none is
-bad, and all have the rule's own limit.
+Where hosts hardly differ, so do their posteriors, but not in order: those that did worse than most are still
+the ones whose doubtful documents go.
 
 Defined cases: a null text has no words and fails the length rule; a null source is a
 host of its own; repeated rows and equal hosts count each; very long texts are measured
-whole; columns of any name are kept as they are; an empty table gives no rows.
+whole; a table without a source column is of one host; columns of any name are kept as
+they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_by_share, let, stored
+from .common import fresh, join_by_share, let, named, stored
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in windows found twice
@@ -37,8 +41,10 @@ MAX_DUP_LINES = 30  # per cent of lines with a word
 BAD_ODDS = 20.0
 #: Standard deviations of the posterior that a bad host must be above that.
 DEVIATIONS = 2.0
-#: A host's limit is the rule's, this many times more or less at most.
-LIMIT_RANGE = 2.0
+#: What a rule's limit is multiplied by for hosts that are trusted with it, and for hosts that are not.
+LENIENT, STRICT = 2.0, 2 / 3
+#: The prior's quantiles of 0.4 and 0.6, in its standard deviations from the mean.
+QUANTILE = 0.2533471
 #: Documents that the prior is worth at least: those of a uniform one.
 UNIFORM = 2.0
 RULES = ("short", "repeated", "symbols", "dup_lines")
@@ -106,10 +112,11 @@ def failures(q: str) -> dict[str, Column]:
 
 
 def shrunk_rates(hosts: DataFrame, rules=RULES) -> DataFrame:
-    """``hosts`` (n and a count for each rule) with, for each rule, rate_<rule> and low_<rule> (mean of the posterior under a beta prior, and DEVIATIONS below it) and pooled_<rule>.
+    """``hosts`` (n and a count for each rule) with, for each rule, rate_<rule> and low_<rule> (mean of the posterior under a beta prior, and DEVIATIONS below it), pooled_<rule> and prior_sd_<rule>.
 
     The prior has the pooled rate m and, by the moments of the hosts' rates r (weighted by n),
-    the strength s = m (1 - m) / v - 1, with v their variance beyond what binomial draws explain.
+    the strength s = m (1 - m) / v - 1, with v their variance beyond what binomial draws explain; it is
+    worth an average host's documents at most.
     """
     total, more = [F.sum("n").alias("_n"), F.count("*").alias("_hosts"), F.sum(F.col("n") * F.col("n")).alias("_nn")], []
     for r in rules:
@@ -123,9 +130,9 @@ def shrunk_rates(hosts: DataFrame, rules=RULES) -> DataFrame:
         chance = m * (1 - m) * (F.col("_hosts") - 1) / F.col("_n")
         scale = 1 - F.col("_nn") / (F.col("_n") * F.col("_n"))
         v = F.greatest((spread - chance) / F.greatest(scale, F.lit(1e-9)), F.lit(1e-9))
-        s = F.greatest(m * (1 - m) / v - 1, F.lit(UNIFORM))
+        s = F.greatest(F.least(m * (1 - m) / v - 1, F.col("_n") / F.col("_hosts")), F.lit(UNIFORM))
         mean = (F.col(r) + m * s) / (F.col("n") + s)
-        more += [mean.alias(f"rate_{r}"), (mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (F.col("n") + s + 1))).alias(f"low_{r}"), m.alias(f"pooled_{r}")]
+        more += [mean.alias(f"rate_{r}"), (mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (F.col("n") + s + 1))).alias(f"low_{r}"), m.alias(f"pooled_{r}"), F.sqrt(m * (1 - m) / (s + 1)).alias(f"prior_sd_{r}")]
     return out.select(*hosts.columns, *more)
 
 
@@ -138,7 +145,9 @@ def host_verdicts(rows: DataFrame, host_col: str, quality_col: str, bad_odds: fl
     bad = worse(RULES[0])
     for r in RULES[1:]:
         bad = bad | worse(r)
-    times = lambda r: F.when(F.col(f"rate_{r}") > 0, F.least(F.greatest(F.col(f"pooled_{r}") / F.col(f"rate_{r}"), F.lit(1 / LIMIT_RANGE)), F.lit(LIMIT_RANGE))).otherwise(1.0)
+    off = lambda r: F.col(f"rate_{r}") - F.col(f"pooled_{r}")
+    edge = lambda r: QUANTILE * F.col(f"prior_sd_{r}")
+    times = lambda r: F.when(off(r) < -edge(r), LENIENT).when(off(r) > edge(r), STRICT).otherwise(1.0)
     return stored(rated.withColumn("bad", bad).withColumns({f"limit_{r}": times(r) * limit for r, limit in SOFT.items()}), "host-verdicts")
 
 
@@ -170,7 +179,8 @@ def rejected(q: str, verdict: str) -> Column:
 
 def judged(docs: DataFrame, host_col: str = "source", bad_odds: float = BAD_ODDS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad, kept."""
-    rows, q = measured(docs.select("doc_id", "text", F.col(host_col).alias("host")))
+    host = F.col(host_col) if host_col in docs.columns else F.lit(None).cast("string")
+    rows, q = measured(docs.select("doc_id", "text", host.alias("host")))
     rows = stored(rows.drop("text"), "quality")
     out = _joined(rows, host_verdicts(rows, "host", q, bad_odds), "host", "verdict")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -184,9 +194,11 @@ def keep_good(docs: DataFrame, host_col: str = "source", bad_odds: float = BAD_O
     The measures are stored with the documents once, so that the text is not measured twice.
     """
     rows, q = measured(docs)
+    if host_col not in docs.columns:
+        rows = rows.withColumn(host_col, F.lit(None).cast("string"))
     rows = stored(rows, "quality")
     verdict = fresh(rows.columns, "_verdict")
-    return _joined(rows.where(~base_failed(q)), host_verdicts(rows, host_col, q, bad_odds), host_col, verdict).where(~rejected(q, verdict)).select(*docs.columns)
+    return _joined(rows.where(~base_failed(q)), host_verdicts(rows, host_col, q, bad_odds), host_col, verdict).where(~rejected(q, verdict)).select(*named(docs.columns))
 
 
 def oracle_sql(host_col: str = "source") -> str:
@@ -199,11 +211,12 @@ def oracle_sql(host_col: str = "source") -> str:
     }
     rules, sums = list(fails), "sum(n)"
     pooled = ", ".join(f"sum({r}) / {sums} AS m_{r}, sum(n * (cast({r} AS DOUBLE) / n) * (cast({r} AS DOUBLE) / n)) / {sums} AS q_{r}" for r in rules)
-    strength = ", ".join(f"greatest(m_{r} * (1 - m_{r}) / greatest((q_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * (hosts - 1) / total) / greatest(1 - nn / (total * total), 1e-9), 1e-9) - 1, {UNIFORM}) AS s_{r}" for r in rules)
+    strength = ", ".join(f"greatest(least(m_{r} * (1 - m_{r}) / greatest((q_{r} - m_{r} * m_{r} - m_{r} * (1 - m_{r}) * (hosts - 1) / total) / greatest(1 - nn / (total * total), 1e-9), 1e-9) - 1, total / hosts), {UNIFORM}) AS s_{r}" for r in rules)
     rate = ", ".join(f"({r} + m_{r} * s_{r}) / (n + s_{r}) AS r_{r}" for r in rules)
     low = ", ".join(f"r_{r} - {DEVIATIONS} * sqrt(r_{r} * (1 - r_{r}) / (n + s_{r} + 1)) AS l_{r}" for r in rules)
     bad = " OR ".join(f"l_{r} * (1 - m_{r}) > {BAD_ODDS} * m_{r} * (1 - l_{r})" for r in rules)
-    limit = ", ".join(f"{n} * CASE WHEN r_{r} > 0 THEN least(greatest(m_{r} / r_{r}, {1 / LIMIT_RANGE}), {LIMIT_RANGE}) ELSE 1.0 END AS limit_{r}" for r, n in SOFT.items())
+    edge = lambda r: f"{QUANTILE} * sqrt(m_{r} * (1 - m_{r}) / (s_{r} + 1))"
+    limit = ", ".join(f"{n} * CASE WHEN r_{r} - m_{r} < -({edge(r)}) THEN {LENIENT} WHEN r_{r} - m_{r} > {edge(r)} THEN {STRICT} ELSE 1.0 END AS limit_{r}" for r, n in SOFT.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, {host_col} AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),

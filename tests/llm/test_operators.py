@@ -4,11 +4,13 @@ import collections
 import gzip
 import hashlib
 import re
+import statistics
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from airgrid.llm import common, components, decontaminate, langid, licenses, neardup, packing, pii, quality, sharding, tokencount, warc
 from airgrid.llm.common import shared_dir, table
@@ -288,16 +290,31 @@ def test_host_rates_and_limits(spark, docs, rows):
         m = sum(count.values()) / total
         spread = sum(len(v) * (count[h] / len(v)) ** 2 for h, v in hosts.items()) / total - m * m
         v = max((spread - m * (1 - m) * (len(hosts) - 1) / total) / (1 - sum(len(x) ** 2 for x in hosts.values()) / total**2), 1e-9)
-        s = max(m * (1 - m) / v - 1, 2)
+        s = max(min(m * (1 - m) / v - 1, total / len(hosts)), 2)
         for h, x in hosts.items():
             mean = (count[h] + m * s) / (len(x) + s)
             low = mean - 2 * math.sqrt(mean * (1 - mean) / (len(x) + s + 1))
             assert math.isclose(got[h][f"rate_{rule}"], mean, rel_tol=1e-9) and math.isclose(got[h][f"low_{rule}"], low, rel_tol=1e-9, abs_tol=1e-12)
             if rule in quality.SOFT:
-                assert math.isclose(got[h][f"limit_{rule}"], quality.SOFT[rule] * (min(max(m / mean, 0.5), 2) if mean else 1), rel_tol=1e-9)
+                edge = statistics.NormalDist().inv_cdf(0.6) * math.sqrt(m * (1 - m) / (s + 1))
+                assert math.isclose(got[h][f"limit_{rule}"], quality.SOFT[rule] * (2 if mean - m < -edge else 2 / 3 if mean - m > edge else 1), rel_tol=1e-9)
     assert sorted(got, key=str) == sorted(hosts, key=str)
 
 
+def test_hosts_decide(spark, sf):
+    """With sources dealt anew among the documents, some that were kept go and some that went are kept: no rule without the source gives this verdict."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    before = {r.doc_id: r for r in quality.judged(docs).collect()}
+    sources = sorted({r.source for r in docs.select("source").distinct().collect()})
+    moved = collections.Counter()
+    for seed in range(1, 4):
+        other = docs.withColumn("source", F.element_at(F.array(*map(F.lit, sources)), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(len(sources))) + 1).cast("int")))
+        for r in quality.judged(other).collect():
+            assert (r.n_words, r.n_symbols, r.base_failed) == (before[r.doc_id].n_words, before[r.doc_id].n_symbols, before[r.doc_id].base_failed)
+            moved[before[r.doc_id].kept, r.kept] += 1
+    assert moved[True, False] > 0 and moved[False, True] > 0
+
+
 def test_hosts_have_limits_of_their_own(spark, monkeypatch):
     """The same document passes on a host that is better than the corpus and is rejected on a worse one; many hosts give what few give."""
     plain = " ".join(f"w{i}" for i in range(80))
