@@ -39,11 +39,34 @@ def classified(text: Column) -> Column:
     )
 
 
+def classified_with_assets(text: Column, hints: Column, patterns: tuple[str, ...]) -> Column:
+    """As ``classified``; where a text says neither, the first pattern, in order, that a hint contains (without case) tells a direct broadcast, and the first such hint is its value."""
+    said = classified(text)
+    wanted = [p.strip().lower() for p in patterns if p.strip()]
+    hit = lambda p: F.get(F.filter(hints, lambda h: F.lower(h).contains(p)), F.lit(0))
+    hint = F.coalesce(*map(hit, wanted)) if wanted else F.lit(None).cast("string")
+    asset = F.struct(F.lit("live").alias("state"), F.lit("official_live_asset").alias("method"), hint.alias("value"), F.lit("medium").alias("confidence"))
+    return F.when((said["state"] == "unknown") & hint.isNotNull(), asset).otherwise(said)
+
+
 def is_direct(editorial: Column, flag: Column, legacy: Column) -> Column:
     """Not editorial, and flagged; a missing flag (null) falls back on the legacy one."""
     return ~editorial & F.coalesce(flag, legacy, F.lit(False))
 
 
+def is_direct_by_method(editorial: Column, flag: Column, source: Column, legacy: Column, state: Column, method: Column) -> Column:
+    """As ``is_direct``; without a flag, a provider's listing must also state so by a method that counts."""
+    stated = (state == "live") & method.isin(*L.EXPLICIT_METHODS)
+    own = F.when(F.lower(F.coalesce(source, F.lit(""))) == L.PROVIDER, F.coalesce(legacy & stated, F.lit(False))).otherwise(legacy)
+    return is_direct(editorial, flag, own)
+
+
+def is_official(editorial: Column, direct: Column, source: Column, state: Column, method: Column) -> Column:
+    """Stated live by a method that counts and not editorial; by any other method direct, but not in a provider's listing."""
+    counts = F.coalesce(method.isin(*L.EXPLICIT_METHODS), F.lit(False))
+    return F.when(counts, F.coalesce(state == "live", F.lit(False)) & ~editorial).otherwise(direct & (F.coalesce(source, F.lit("")) != L.PROVIDER))
+
+
 def is_candidate(editorial: Column, sport_event: Column, direct: Column, sport: Column, tournament: Column, text: Column) -> Column:
     named = (F.btrim(F.coalesce(sport, F.lit(""))) != "") | (F.btrim(F.coalesce(tournament, F.lit(""))) != "")
     return ~editorial & F.coalesce(sport_event, direct | named | contains_any(text, L.SPORT_MARKERS))

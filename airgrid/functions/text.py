@@ -137,11 +137,32 @@ def strip_live(title: Column) -> Column:
     return F.btrim(F.regexp_replace(title, r"(?iu)[\s.,-]*(прямая трансляция|прямой эфир|тікелей эфир|live)(\s+из\s+.*)?[\s.!]*$", ""), F.lit(" .,-"))
 
 
+#: Runs of signs that a name may stand in, and what is between them; the same for words of letters.
+_NAMES, _WORDS = r"([\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+)", r"([A-Za-zА-Яа-яЁё]+(?:-[A-Za-zА-Яа-яЁё]+)*|[^A-Za-zА-Яа-яЁё]+)"
+
+
+def _by_piece(x: Column, pattern: str, shown) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), shown), "")
+
+
 def display(title: Column) -> Column:
-    """Spaced dashes and single spaces; shouted words of five letters or more are let down."""
-    t = collapsed(F.regexp_replace(title, r"\s+[-–—]\s+", " — "))
-    words = F.transform(F.split(t, " "), lambda w: F.when(w.rlike(r"^\p{Lu}{5,}$"), F.concat(F.substring(w, 1, 1), F.lower(F.substr(w, F.lit(2))))).otherwise(w))
-    return F.array_join(words, " ")
+    """A title for readers: known phrases and Kazakh letters in Russian, clubs by their usual names, shouting let down but for known short names, spaced dashes.
+
+    Names are looked up whole: a name stands between signs that are no letters, digits or hyphens, so each such
+    run of a text is looked up once, however many names there are.
+    """
+    t = collapsed(F.translate(title, "\u00a0", " "))
+    phrases = reduce(lambda x, p: F.regexp_replace(x, f"(?iu){_quoted(p[0])}", p[1]), L.DISPLAY_PHRASES, t)
+    t = F.when(t.rlike("(?iu)" + "|".join(_quoted(p[0]) for p in L.DISPLAY_PHRASES)), phrases).otherwise(t)
+    names = F.create_map(*(F.lit(v) for p in L.DISPLAY_NAMES.items() for v in p))
+    t = _by_piece(transliterated(t), _NAMES, lambda w: F.coalesce(F.try_element_at(names, F.lower(w)), w))
+
+    def let_down(w: Column) -> Column:
+        shouted = w.rlike(r"^[A-Za-zА-Яа-яЁё]") & (w == F.upper(w)) & (F.length(F.translate(w, "-", "")) >= 2)
+        return F.when(F.upper(w).isin(*L.KEPT_UPPER), F.upper(w)).when(shouted, F.concat(F.substring(w, 1, 1), F.lower(F.substr(w, F.lit(2))))).otherwise(w)
+
+    t = F.regexp_replace(_by_piece(t, _WORDS, let_down), r"\s+[–—-]\s+", " – ")
+    return collapsed(F.regexp_replace(t, r"(?<=[\p{L}\p{N}_])[–—](?=[\p{L}\p{N}_])", " – "))
 
 
 def display_title(title: Column, sport: Column, tournament: Column) -> Column:

@@ -4,42 +4,88 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+from . import ordered
+
 END_MINUTES = 15
 
 
+def nearest_left(olds: list[tuple[int, int]], news: list[tuple[int, int]]) -> list[tuple[int | None, int | None]]:
+    """Pairs of (start, ord) rows, both sorted: each old one in turn takes the nearest new one left, the earlier of two equally near, the first of equal ones; then those left over.
+
+    Places that are taken point on to the next that are not, so a search takes no longer the more are taken.
+    """
+    starts = [s for s, _ in news]
+    after, before = list(range(len(news) + 1)), list(range(-1, len(news)))  # before[i]: the place of a free one below i
+
+    def free(at: list[int], i: int, shift: int) -> int:
+        while at[i] != i - shift:
+            j = at[i] + shift
+            at[i] = at[j]
+            i = j
+        return i - shift
+
+    out = []
+    for start, ord_ in olds:
+        i = bisect_left(starts, start)
+        up, down = free(after, i, 0), free(before, i, 1)
+        if up == len(news) and down < 0:
+            out.append((ord_, None))
+            continue
+        take = up
+        if down >= 0 and (up == len(news) or start - starts[down] <= starts[up] - start):
+            take = free(after, bisect_left(starts, starts[down]), 0)
+        out.append((ord_, news[take][1]))
+        after[take], before[take + 1] = take + 1, take - 1
+    return out + [(None, news[i][1]) for i in range(len(news)) if after[i] == i]
+
+
+class _Run:
+    """Rows of one identity that may still contend for each other."""
+
+    def __init__(self, key: str):
+        self.key, self.sides = key, ([], [])
+        self.first = self.last = None
+
+    def take(self, start: int, ord_: int, side: int):
+        """One more row; first the pairs of those before it, if it cannot contend with them."""
+        olds, news = self.sides
+        if self.first is not None and len(olds) == len(news) and start > self.last and start - self.last >= self.last - self.first:
+            yield from self.pairs()
+        if self.first is None:
+            self.first = start
+        self.last = start
+        self.sides[side].append((start, ord_))
+
+    def pairs(self):
+        for a, b in nearest_left(*self.sides):
+            yield self.key, a, b
+        self.sides, self.first = ([], []), None
+
+
 def paired(old: DataFrame, new: DataFrame, key: str = "identity") -> DataFrame:
     """Full outer: old_ord, new_ord of events with one identity.
 
-    ``old`` and ``new``: identity, ord, start.  Old events, by start, each take the nearest new
-    one left (greedy, ties to the earlier).  Identities with one row on either side, by far the
-    most, are a plain join; only the rest go through Python, one identity at a time.
+    ``old`` and ``new``: identity, ord, start (a number).  Old events, by start, each take the nearest new
+    one left (greedy, ties to the earlier).  An identity's rows are walked in order of start and cut
+    into runs that cannot contend for one partner: as many old as new ones, and no further apart than the
+    next row is away.  Each finds its partner within, whatever comes after; so only a run is held, and
+    an event that is told every day is a run a day.
     """
-    count = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
-    sizes = count(old, "n_old").join(count(new, "n_new"), key, "full")
-    single = sizes.where("coalesce(n_old, 0) <= 1 and coalesce(n_new, 0) <= 1").select(key)
-    many = sizes.where("coalesce(n_old, 0) > 1 or coalesce(n_new, 0) > 1").select(key)
-    o, n = old.select(key, F.col("ord").alias("old_ord"), F.col("start").alias("old_start")), new.select(key, F.col("ord").alias("new_ord"), F.col("start").alias("new_start"))
-    plain = o.join(single, key, "left_semi").join(n.join(single, key, "left_semi"), key, "full").select(key, "old_ord", "new_ord")
-
-    def greedy(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["old_start", "old_ord"]), b.sort_values(["new_start", "new_ord"])
-        starts, ords, out = b.new_start.tolist(), b.new_ord.tolist(), []
-        name = (a if len(a) else b)[key].iloc[0]
-        for start, ord_ in zip(a.old_start, a.old_ord, strict=True):
-            i = bisect_left(starts, start)
-            if i and (i == len(starts) or start - starts[i - 1] <= starts[i] - start):
-                i = bisect_left(starts, starts[i - 1])  # the first of equal starts
-            out.append((name, ord_, ords[i] if starts else None))
-            del starts[i : i + 1], ords[i : i + 1]
-        out += [(name, None, x) for x in ords]
-        return pd.DataFrame(out, columns=[key, "old_ord", "new_ord"]).astype({"old_ord": "Int64", "new_ord": "Int64"})
-
-    both = o.join(many, key, "left_semi").groupBy(key).cogroup(n.join(many, key, "left_semi").groupBy(key)).applyInPandas(greedy, f"{key} string, old_ord long, new_ord long")
-    return plain.unionByName(both)
+    side = lambda df, n: df.select(key, "ord", "start", F.lit(n).alias("side"))
+    single = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"n_{n}"), F.first("ord").alias(f"{n}_ord"))
+    # identities with one row on either side, by far the most, are a plain join of counts
+    sizes = settled(single(old, "old").join(single(new, "new"), key, "full"), "identities")
+    lone = (F.coalesce("n_old", F.lit(0)) <= 1) & (F.coalesce("n_new", F.lit(0)) <= 1)
+    both = side(old, 0).unionByName(side(new, 1)).join(sizes.where(~lone).select(key), key, "left_semi")
+
+    kind = new.schema["ord"].dataType.simpleString()
+    fields = f"{key} {new.schema[key].dataType.simpleString()}, old_ord {kind}, new_ord {kind}"
+    walked = ordered.walked(both, [key], ["start", "ord", "side"], ["start", "ord", "side"], fields, _Run, _Run.take, _Run.pairs)
+    return sizes.where(lone).select(key, "old_ord", "new_ord").unionByName(walked)
 
 
 def still_relevant(ends: Column, now: str) -> Column:

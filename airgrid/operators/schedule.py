@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, evidence, text
+from . import ordered
 
 
 def first_by(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
@@ -119,17 +120,62 @@ def scopes(sources: DataFrame, today: str) -> DataFrame:
 def packed(lines: DataFrame, keys: list[str], limit: int = 3900, gap: int = 2) -> DataFrame:
     """Texts joined into messages in order: keys, message (from 0), body.
 
-    ``lines`` has keys, ord, text.  A fold over each key's ordered texts; a text goes into the
-    open message if it fits.  Keys are one reader's pages, so their arrays are short.
+    ``lines`` has keys, ord, text.  A text goes into the open message if it fits, and opens the next if not;
+    a longer one is a message by itself.  Only the open message is held.
     """
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     sep = "\n" * gap
-    start = F.array().cast("array<string>")
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        both = F.concat(last, F.lit(sep), t)
-        return F.when((F.size(acc) > 0) & (F.length(both) <= limit), F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), both)).otherwise(F.array_append(acc, t))
+    def begin(*key):
+        return [key, 0, None]
 
-    folded = lines.groupBy(*keys).agg(F.aggregate(texts, start, step).alias("messages"))
-    return folded.select(*keys, F.posexplode("messages").alias("message", "body"))
+    def step(state: list, text: str):
+        key, n, open_ = state
+        if open_ is None:
+            state[2] = text
+        elif len(both := open_ + sep + text) <= limit:
+            state[2] = both
+        else:
+            yield *key, n, open_
+            state[1:] = n + 1, text
+
+    def end(state: list):
+        key, n, open_ = state
+        yield *key, n, open_
+
+    kinds = ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.walked(lines.where("text is not null"), keys, ["ord", "text"], ["text"], f"{kinds}, message int, body string", begin, step, end)
+
+
+#: Fixed value: what a view without rows says.
+NOTHING = "Событий нет."
+
+
+def views(headers: DataFrame, blocks: DataFrame, keys: list[str], limit: int = 3900) -> DataFrame:
+    """Messages of a view: keys, message (from 0), body; the header is repeated in each, the footer stands in the last if it fits there.
+
+    ``headers``: keys, header, footer, one row for each view; ``blocks``: keys, ord, text.  A block that
+    does not fit behind the header alone stays with it; a view without blocks is one message that says so.
+    """
+    rows = headers.join(blocks.where("text is not null").select(*keys, "ord", "text"), keys, "left")
+
+    def begin(*key):
+        return [key, 0, None, "", ""]
+
+    def step(state: list, text: str | None, header: str, footer: str | None):
+        key, n, open_, _, _ = state
+        state[3:] = header, footer or ""
+        if text is None:
+            state[2] = f"{header}\n\n{NOTHING}{footer or ''}"
+            state[4] = ""
+        elif len(both := f"{header if open_ is None else open_}\n\n{text}") > limit and open_ is not None:
+            yield *key, n, open_
+            state[1:3] = n + 1, f"{header}\n\n{text}"
+        else:
+            state[2] = both
+
+    def end(state: list):
+        key, n, open_, _, footer = state
+        yield *key, n, open_ + footer if len(open_) + len(footer) <= limit else open_
+
+    kinds = ", ".join(f"`{k}` {headers.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.walked(rows, keys, ["ord", "text"], ["text", "header", "footer"], f"{kinds}, message int, body string", begin, step, end)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ordered
 from .reconcile import minutes_between
 
 MINUTES = 30
-#: Rows that one call groups, about.
-BUCKET_ROWS = 5000
 
 
 def _wild(a: Column, b: Column) -> Column:
@@ -43,43 +41,29 @@ def groups(rows: DataFrame, minutes: int = MINUTES) -> DataFrame:
 
     Rows of one group have equal titles and follow each other within ``minutes``; where a title
     is silent for longer, no group goes across.  So titles are first cut at such gaps, and each
-    piece is grouped on its own: a title on the air all year is many small pieces.  Within a piece only
-    groups and broadcasts of the last ``minutes`` are looked at, so a title that is never silent costs
-    as much a row as one that is.
+    piece is walked on its own: a title on the air all year is many small pieces.  Only groups and
+    broadcasts of the last ``minutes`` are kept, so a title that is never silent takes no more memory
+    or time a row than one that is; it is one task's, as each of its groups depends on those before.
     """
-    k = keyed(rows).select("ord", "channel", "date", "time", "start_at", "norm_title", "norm_sport", "norm_tournament")
-    w = Window.partitionBy("norm_title").orderBy("start_at", "ord")
-    gap = F.coalesce((minutes_between(F.lag("start_at").over(w), F.col("start_at")) > minutes).cast("int"), F.lit(0))
-    cut = k.withColumn("gap", gap).withColumn("piece", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    alone = cut.where("norm_title = ''").select("ord", F.col("ord").alias("group_ord"))
-
-    def first_fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["norm_title", "piece", "date", "time", "channel", "ord"])
-        out = []
-        made: list[tuple[int, list[tuple]]] = []  # groups that a row may still join: their name, and what in them is recent
-        last = None
-        for title, piece, ord_, channel, t, sport, tournament in zip(p.norm_title, p.piece, p["ord"], p.channel, p["at"], p.norm_sport, p.norm_tournament, strict=True):
-            if (title, piece) != last:
-                made, last = [], (title, piece)
-            made = [(name, recent) for name, g in made if (recent := [x for x in g if (t - x[1]) // 60 <= minutes])]
-            for name, g in made:
-                if any(x[0] != channel and (not sport or not x[2] or sport == x[2]) and (not tournament or not x[3] or tournament == x[3]) for x in g):
-                    break
-            else:
-                name, g = ord_, []
-                made.append((name, g))
-            g.append((channel, t, sport, tournament))
-            out.append((ord_, name))
-        return pd.DataFrame(out, columns=["ord", "group_ord"])
-
-    # most pieces are one row; the others go to Python many pieces at a time
-    sized = cut.where("norm_title <> ''").withColumn("n", F.count("*").over(Window.partitionBy("norm_title", "piece")))
-    single = sized.where("n = 1").select("ord", F.col("ord").alias("group_ord"))
-    buckets = max(1, rows.count() // BUCKET_ROWS)
-    many = sized.where("n > 1").select("ord", "channel", "date", "time", F.unix_timestamp("start_at").alias("at"), "norm_title", "norm_sport", "norm_tournament", "piece")
-    bucket = F.pmod(F.xxhash64("norm_title", "piece"), F.lit(buckets))
-    found = many.groupBy(bucket.alias("bucket")).applyInPandas(first_fit, "ord long, group_ord long")
-    return found.unionByName(single).unionByName(alone)
+    k = keyed(rows).select("ord", "channel", "date", "time", F.unix_timestamp("start_at").alias("at"), "norm_title", "norm_sport", "norm_tournament")
+    alone = k.where("norm_title = ''").select("ord", F.col("ord").alias("group_ord"))
+    pieces = ordered.runs(k.where("norm_title <> ''"), "norm_title", "at", "ord", minutes * 60 + 59, "piece")
+
+    def fit(made: list[tuple[int, list[tuple]]], ord_: int, channel: str, t: int, sport: str, tournament: str):
+        """``made``: groups that a row may still join: their name, and what in them is recent."""
+        made[:] = [(name, recent) for name, g in made if (recent := [x for x in g if (t - x[1]) // 60 <= minutes])]
+        for name, g in made:
+            if any(x[0] != channel and (not sport or not x[2] or sport == x[2]) and (not tournament or not x[3] or tournament == x[3]) for x in g):
+                break
+        else:
+            name, g = ord_, []
+            made.append((name, g))
+        g.append((channel, t, sport, tournament))
+        yield ord_, name
+
+    columns = ["ord", "channel", "at", "norm_sport", "norm_tournament"]
+    found = ordered.walked(pieces, ["norm_title", "piece"], ["date", "time", "channel", "ord"], columns, "ord long, group_ord long", lambda *key: [], fit)
+    return found.unionByName(alone)
 
 
 def snapshot(rows: DataFrame, minutes: int = MINUTES) -> DataFrame:

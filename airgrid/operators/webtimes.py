@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import clock, lexicon, text
-from ..sources.store import settled
+from ..sources.shared import settled
 from . import verify
 
 # How far a window reaches, how much of a text without names is read, how windows are told apart.

@@ -49,6 +49,11 @@ def duck(body: str, *more: str) -> str:
     return "with " + ",\n".join([DUCK.strip(), *more]) + "\n" + body
 
 
+def recursive(body: str, *more: str) -> str:
+    """``duck``, with common tables that read themselves."""
+    return duck(body, *more).replace("with ", "with recursive ", 1)
+
+
 def calendar(rows: DataFrame) -> DataFrame:
     """A calendar of real events: a part of the broadcasts, shifted by up to an hour."""
     kept = rows.where("ord % 3 = 0 and not (title like '%18' or title like '%19')")

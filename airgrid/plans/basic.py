@@ -191,9 +191,23 @@ def storage_id(spark, sf_dir):
     return bx(spark, sf_dir).select("ord", text.storage_id(*map(F.col, ("source", "date", "date", "time", "channel", "title"))).alias("storage_id"))
 
 
-@query(duck("select ord, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(title, '\\s+[-–—]\\s+', ' — ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: case when regexp_matches(w, '^\\p{Lu}{5,}$') then w[1:1] || lower(w[2:]) else w end), ' ') as shown from bx"))
+_SHOWN = "case ord % 8 when 0 then title when 1 then 'ШАХТЕР 2010 – ОРДАБАСЫ ' || cast(ord % 100 as {string}) when 2 then 'Қайрат – ТОБЫЛ' when 3 then 'Футбол.  УЕФА Чемпиондар Лигасы. Жалпы кезең. ' || cast(ord % 9 as {string}) || ' тур' when 4 then 'Хоккей. Фонбет Чемпионат кхл. \"СИБИРЬ\" - \"АВТОМОБИЛИСТ\"' when 5 then 'Иртыш–ОҚЖЕТПЕС, ХАН-ТЕНГИРИ (KHL, Uefa), САНКТ-ПЕТЕРБУРГ' when 6 then upper(title) || ' GRAND SLAM f1, формула 1' else 'тобыл-2 и тобыл, ЕРТИС' end"
+
+
+def d_display(x: str) -> str:
+    t = f"trim(regexp_replace(replace({x}, chr(160), ' '), '\\s+', ' ', 'g'))"
+    for a, b in lexicon.DISPLAY_PHRASES:
+        t = f"regexp_replace({t}, {q(text._quoted(a))}, {q(b)}, 'gi')"
+    names = " ".join(f"when {q(a)} then {q(b)}" for a, b in lexicon.DISPLAY_NAMES.items())
+    t = f"array_to_string(list_transform(regexp_extract_all(translate({t}, {q(lexicon.KAZAKH_LETTERS)}, {q(lexicon.RUSSIAN_LETTERS)}), '[\\p{{L}}\\p{{N}}_-]+|[^\\p{{L}}\\p{{N}}_-]+'), lambda w: case lower(w) {names} else w end), '')"
+    kept = "(" + ", ".join(map(q, lexicon.KEPT_UPPER)) + ")"
+    t = f"array_to_string(list_transform(regexp_extract_all({t}, '[A-Za-zА-Яа-яЁё]+(?:-[A-Za-zА-Яа-яЁё]+)*|[^A-Za-zА-Яа-яЁё]+'), lambda w: case when upper(w) in {kept} then upper(w) when regexp_matches(w, '^[A-Za-zА-Яа-яЁё]') and w = upper(w) and length(replace(w, '-', '')) >= 2 then w[1:1] || lower(w[2:]) else w end), '')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({t}, '\\s+[–—-]\\s+', ' – ', 'g'), '([\\p{{L}}\\p{{N}}_])[–—]([\\p{{L}}\\p{{N}}_])', '\\1 – \\2', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(duck(f"select ord, {d_display(_SHOWN.format(string='varchar'))} as shown from bx"))
 def display_text(spark, sf_dir):
-    return bx(spark, sf_dir).select("ord", text.display(F.col("title")).alias("shown"))
+    return bx(spark, sf_dir).select("ord", text.display(F.expr(_SHOWN.format(string="string"))).alias("shown"))
 
 
 @query(duck("select ord, coalesce(nullif(case when ord % 3 = 0 then '' else title end, ''), nullif(tournament, ''), nullif(sport, ''), '') as picked from bx"))

@@ -122,7 +122,7 @@ def subscription_toggle(spark, sf_dir):
 _DISPLAYED = "case ord % 4 when 0 then title when 1 then tournament || ' финал' when 2 then sport else 'Финал' end"
 
 
-@query(duck("select ord, case when ord % 4 = 0 then replace(replace(title, ' – ', ' — '), 'КОМАНДА', 'Команда') when ord % 4 = 1 then tournament || ' финал' when ord % 4 = 2 then array_to_string(list_filter([sport, tournament], lambda x: x <> ''), '. ') else array_to_string(list_filter([sport, tournament, 'Финал'], lambda x: x <> ''), '. ') end as shown from bx"))
+@query(duck("select ord, case when ord % 4 = 0 then replace(title, 'КОМАНДА', 'Команда') when ord % 4 = 1 then tournament || ' финал' when ord % 4 = 2 then array_to_string(list_filter([sport, tournament], lambda x: x <> ''), '. ') else array_to_string(list_filter([sport, tournament, 'Финал'], lambda x: x <> ''), '. ') end as shown from bx"))
 def display_titles(spark, sf_dir):
     return bx(spark, sf_dir).select("ord", text.display_title(F.expr(_DISPLAYED), F.col("sport"), F.col("tournament")).alias("shown"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, text
 from ..operators import diff, monitor, reconcile, schedule, simulcast, verify
 from . import adapter
-from .adapter import DUCK_CALENDAR, DUCK_RUNS, DUCK_VERSIONS, NOW, bx, duck, table
+from .adapter import bx, duck, DUCK_CALENDAR, DUCK_RUNS, DUCK_VERSIONS, NOW, recursive, table
 from .basic import d_english, d_norm, d_verify, q
 
 QUERIES: dict = {}
@@ -151,12 +151,23 @@ def simulcast_pairs(spark, sf_dir):
     return simulcast.pairs(bx(spark, sf_dir))
 
 
-@query()
+# first fit: groups are numbered as they are made, and a row joins the first that has a broadcast of the same event in its last half hour
+_FIT = (
+    f"kb as (select ord, channel, date, time, cast(epoch(start_at) as bigint) as t, {d_norm('title')} as nt, {d_norm('sport')} as ns, {d_norm('tournament')} as nc from bx)",
+    "seq as (select *, row_number() over (partition by nt order by date, time, channel, ord) as i from kb where nt <> '')",
+    "fit as (select nt, i, ord, ord as group_ord, 1 as g, [{'g': 1, 'name': ord, 'channel': channel, 't': t, 'ns': ns, 'nc': nc}] as held from seq where i = 1 union all "
+    "select nt, i, ord, case when hit.g is null then ord else hit.name end, case when hit.g is null then made + 1 else made end, list_append(recent, {'g': coalesce(hit.g, made + 1), 'name': case when hit.g is null then ord else hit.name end, 'channel': channel, 't': t, 'ns': ns, 'nc': nc}) from ("
+    "select s.nt, s.i, s.ord, s.channel, s.t, s.ns, s.nc, f.g as made, list_filter(f.held, lambda x: (s.t - x.t) // 60 <= 30) as recent, list_min(list_filter(f.held, lambda x: (s.t - x.t) // 60 <= 30 and x.channel <> s.channel and (s.ns = '' or x.ns = '' or s.ns = x.ns) and (s.nc = '' or x.nc = '' or s.nc = x.nc))) as hit from fit f join seq s on s.nt = f.nt and s.i = f.i + 1))",
+    "fitted as (select ord, group_ord from fit union all select ord, ord from kb where nt = '')",
+)
+
+
+@query(recursive("select ord, group_ord from fitted", *_FIT))
 def simulcast_groups(spark, sf_dir):
     return simulcast.groups(bx(spark, sf_dir))
 
 
-@query()
+@query(recursive("select group_ord, sha1(concat_ws('|', arg_min({0}, k), arg_min({1}, k), arg_min({2}, k)))[1:16] as identity, arg_min(title, k) as title, cast(count(*) as int) as n, strftime(min(start_at), '%Y-%m-%d %H:%M') as first_start from (select *, row(date, time, channel, ord) as k from bx join fitted using (ord)) group by group_ord".format(d_norm("sport"), d_norm("tournament"), d_norm("title")), *_FIT))
 def snapshot_build(spark, sf_dir):
     return simulcast.snapshot(bx(spark, sf_dir)).select("group_ord", "identity", "title", F.size("broadcasts").alias("n"), F.date_format(F.get("broadcasts", F.lit(0))["start"], "yyyy-MM-dd HH:mm").alias("first_start"))
 
@@ -193,13 +204,24 @@ def snapshot_diff(spark, sf_dir):
     return diff.changes(old, new, p, NOW).select("identity", F.coalesce("old_ord", F.lit(-1)).alias("old_ord"), F.coalesce("new_ord", F.lit(-1)).alias("new_ord"), "change", "start_moved", "end_moved")
 
 
-@query()
+# each old one in order of start takes the nearest new one left; those left are told at the end
+_NEAREST = (
+    DUCK_VERSIONS,
+    f"os as (select {_IDENTITY} as identity, ord, cast(epoch(start_at) as bigint) as s from old)",
+    f"ns as (select {_IDENTITY} as identity, list(row(cast(epoch(start_at) as bigint), ord) order by start_at, ord) as news from new group by all)",
+    "turns as (select *, row_number() over (partition by identity order by s, ord) as i, count(*) over (partition by identity) as n from os)",
+    "taken as (select identity, cast(0 as bigint) as i, cast(null as bigint) as old_ord, cast(null as bigint) as new_ord, coalesce(news, []) as news_left from (select distinct identity from os) left join ns using (identity) union all "
+    "select identity, i, ord, best.o, list_filter(news_left, lambda x: x[2] is distinct from best.o) from (select t.identity, u.i, u.ord, t.news_left, list_min(list_transform(t.news_left, lambda x: {'d': abs(x[1] - u.s), 's': x[1], 'o': x[2]})) as best from taken t join turns u on u.identity = t.identity and u.i = t.i + 1))",
+)
+
+
+@query(recursive("select identity, coalesce(old_ord, -1) as old_ord, coalesce(new_ord, -1) as new_ord from (select identity, old_ord, new_ord from taken where i > 0 union all select identity, null, unnest(list_transform(news_left, lambda x: x[2])) from taken t where i = (select count(*) from os where os.identity = t.identity) union all select identity, null, unnest(list_transform(news, lambda x: x[2])) from ns where identity not in (select identity from os))", *_NEAREST))
 def snapshot_pairs_greedy(spark, sf_dir):
     from ..functions import text
 
     named = lambda df: df.select(text.identity(F.col("sport"), F.col("tournament"), F.col("title")).alias("identity"), "ord", F.unix_timestamp("start_at").alias("start"))
     old, new = adapter.versions(bx(spark, sf_dir))
-    return diff.paired(named(old), named(new))
+    return diff.paired(named(old), named(new)).select("identity", F.coalesce("old_ord", F.lit(-1)).alias("old_ord"), F.coalesce("new_ord", F.lit(-1)).alias("new_ord"))
 
 
 @query(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import schedule
-from ..sources import calendars, guides, html, store
+from ..operators import diff, schedule
+from ..sources import calendars, guides, html, shared, store
 from ..streaming import jobs
 from . import adapter
-from .adapter import DUCK_VERSIONS, bx, duck, table
-from .basic import ts
+from .adapter import DUCK_VERSIONS, bx, duck, recursive, table
+from .basic import d_norm, ts
 
 QUERIES: dict = {}
 
@@ -135,12 +135,36 @@ def last_good_fallback(spark, sf_dir):
     return store.published(rows.where("ord % 11 <> 0"), rows.where("ord % 7 <> 0"), verdicts).select("ord", "source", F.col("scope_date").alias("date"), "fallback")
 
 
-@query()
+_PACKED = (
+    "lined as (select source, date, row_number() over (partition by source, date order by ord) as i, length(concat_ws(' ', time, channel, title)) as n from bx)",
+    "folded as (select source, date, i, 0 as message, n as open_n from lined where i = 1 union all select l.source, l.date, l.i, case when f.open_n + 2 + l.n <= 300 then f.message else f.message + 1 end, case when f.open_n + 2 + l.n <= 300 then f.open_n + 2 + l.n else l.n end from folded f join lined l on l.source = f.source and l.date = f.date and l.i = f.i + 1)",
+)
+
+
+@query(recursive("select source, date, message, max(open_n) as n_chars from folded group by all", *_PACKED))
 def message_packing(spark, sf_dir):
     rows = bx(spark, sf_dir).select("source", "date", "ord", F.concat_ws(" ", "time", "channel", "title").alias("text"))
     return schedule.packed(rows, ["source", "date"], 300).select("source", "date", "message", F.length("body").alias("n_chars"))
 
 
+_VIEWED = (
+    "heads as (select date, '📅 ' || date as header, chr(10) || chr(10) || '🔴 LIVE · 🟡 SOON · ⚪ OVER' as footer from (select distinct date from bx union all select '2024-03-01'))",
+    "blocked as (select date, row_number() over (partition by date order by ord) as i, length(concat_ws(' ', time, title, channel)) as n from bx)",
+    "viewed as (select h.date, b.i, 0 as message, length(header) + 2 + b.n as open_n from heads h join blocked b on b.date = h.date and b.i = 1 union all select h.date, b.i, case when v.open_n + 2 + b.n > 300 then v.message + 1 else v.message end, case when v.open_n + 2 + b.n > 300 then length(h.header) + 2 + b.n else v.open_n + 2 + b.n end from viewed v join blocked b on b.date = v.date and b.i = v.i + 1 join heads h on h.date = v.date)",
+    "filled as (select date, message, max(open_n) as n from viewed group by all)",
+)
+
+
+@query(recursive("select date, message, n + case when message = (select max(message) from filled g where g.date = f.date) and n + length(footer) <= 300 then length(footer) else 0 end as n_chars from filled f join heads using (date) union all select date, 0, length(header) + 2 + length('Событий нет.') + length(footer) from heads where date not in (select date from blocked)", *_VIEWED))
+def view_messages(spark, sf_dir):
+    """A view for each day, and one for a day without rows."""
+    rows = bx(spark, sf_dir)
+    days = rows.select("date").distinct().union(spark.createDataFrame([("2024-03-01",)], "date string"))
+    heads = days.select("date", F.concat(F.lit("📅 "), "date").alias("header"), F.lit("\n\n🔴 LIVE · 🟡 SOON · ⚪ OVER").alias("footer"))
+    blocks = rows.select("date", "ord", F.concat_ws(" ", "time", "title", "channel").alias("text"))
+    return schedule.views(heads, blocks, ["date"], 300).select("date", "message", F.length("body").alias("n_chars"))
+
+
 # streams -----------------------------------------------------------------------------------
 def _events(spark, sf_dir):
     return jobs.landed(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
@@ -148,19 +172,48 @@ def _events(spark, sf_dir):
 
 @query("select event_type, count(*) as n from events group by event_type")
 def stream_status_counts(spark, sf_dir):
-    return jobs.run_once(jobs.status_counts(_events(spark, sf_dir)), store.folder(spark, "counts"), "complete")
+    return jobs.run_once(jobs.status_counts(_events(spark, sf_dir)), shared.folder(spark, "counts"), "complete")
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as n from events group by all")
 def stream_windowed_counts(spark, sf_dir):
-    out = jobs.run_once(jobs.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), store.folder(spark, "windows"), "complete")
+    out = jobs.run_once(jobs.windowed_counts(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), shared.folder(spark, "windows"), "complete")
     return out.select(ts("hour").alias("hour"), "event_type", "n")
 
 
-@query()
+_SEEN = (
+    "seen as (select user_id, event_id, case when event_id % 7 < 4 then 'a' when event_id % 7 = 4 then 'b' else 'c' end as s, row_number() over (partition by user_id order by event_id) as i from events)",
+    "told as (select user_id, i, event_id, s as stable, '' as candidate, 0 as times, true as served from seen where i = 1 union all "
+    "select n.user_id, n.i, n.event_id, case when n.s <> t.stable and n.s = t.candidate and t.times + 1 >= 2 then n.s else t.stable end, "
+    "case when n.s = t.stable or (n.s = t.candidate and t.times + 1 >= 2) then '' else n.s end, case when n.s = t.stable or (n.s = t.candidate and t.times + 1 >= 2) then 0 when n.s = t.candidate then t.times + 1 else 1 end, "
+    "n.s = t.stable or (n.s = t.candidate and t.times + 1 >= 2) from told t join seen n on n.user_id = t.user_id and n.i = t.i + 1)",
+)
+
+
+@query("with recursive " + ",\n".join(_SEEN) + " select cast(user_id as varchar) as source, event_id as ord, stable, served from told")
 def stream_debounce(spark, sf_dir):
-    seen = _events(spark, sf_dir).select((F.col("user_id") % 5).cast("string").alias("source"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 7 < 4, "a").when(F.col("event_id") % 7 == 4, "b").otherwise("c").alias("signature"))
-    return jobs.run_once(jobs.debounced(seen), store.folder(spark, "debounce"))
+    """Every user's observations, a thing of two or three signatures."""
+    seen = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 7 < 4, "a").when(F.col("event_id") % 7 == 4, "b").otherwise("c").alias("signature"))
+    return jobs.debounced(seen, shared.folder(spark, "debounce"))
+
+
+def _loads(spark, sf_dir):
+    """Two loads of the same guide, with some rows missing from either."""
+    rows = bx(spark, sf_dir)
+    place = F.concat_ws(" ", "date", "time", F.lpad(F.col("ord").cast("string"), 12, "0"))
+    part = lambda n, keep: rows.where(keep).select(F.lit(n).cast("long").alias("load"), place.alias("place"), "ord", "channel", "title")
+    return part(1, "ord % 7 <> 0"), part(2, "ord % 11 <> 0")
+
+
+@query(duck("select load, ord, row_number() over (partition by load, channel, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) order by date, time, ord) > 1 as repeated from (select 1 as load, * from bx where ord % 7 <> 0 union all select 2, * from bx where ord % 11 <> 0)"))
+def stream_replay_flag(spark, sf_dir):
+    """Repeats within each load, told by a stream that is stopped and started again between the loads."""
+    folder = shared.folder(spark, "replays")
+    for load in _loads(spark, sf_dir):
+        load.write.mode("append").parquet(f"{folder}/landing")
+        landing = spark.readStream.schema(load.schema).parquet(f"{folder}/landing")
+        flags = jobs.run_once(jobs.replay_flags(landing), f"{folder}/out")
+    return flags.select("load", "ord", "repeated")
 
 
 _REFRESH = duck(
@@ -171,7 +224,7 @@ _REFRESH = duck(
 
 @query(_REFRESH)
 def stream_refresh_diff(spark, sf_dir):
-    folder = store.folder(spark, "refresh")
+    folder = shared.folder(spark, "refresh")
     rows = bx(spark, sf_dir)
     for v, part in ((1, rows.where("ord % 7 <> 0")), (2, rows.where("ord % 11 <> 0"))):
         _stored(part).select("storage_id").distinct().withColumn("version", F.lit(v)).write.parquet(f"{folder}/landing/v{v}")
@@ -182,3 +235,31 @@ def stream_refresh_diff(spark, sf_dir):
         return j.select("storage_id", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").alias("change")).where("change is not null")
 
     return jobs.refresh(landing, f"{folder}/out", diff).select("storage_id", "change")
+
+
+# a guide that changes, slips by a day on one channel, and changes again
+_ID = f"sha1(concat_ws('|', {d_norm('sport')}, {d_norm('tournament')}, {d_norm('title')}))[1:16]"
+_VERSIONS = (
+    DUCK_VERSIONS,
+    f"v1 as (select identity, channel, start_at as s, slot_end as e from (select *, {_ID} as identity from old) qualify row_number() over (partition by identity, channel order by start_at, ord) = 1)",
+    f"v2 as (select identity, channel, start_at as s, slot_end as e from (select *, {_ID} as identity from new) qualify row_number() over (partition by identity, channel order by start_at, ord) = 1)",
+    "v3 as (select identity, channel, s + case when channel = 'ch01' then interval 1 day else interval 0 day end as s, e + case when channel = 'ch01' then interval 1 day else interval 0 day end as e from v2)",
+    "v4 as (select * from v3 where left(identity, 1) <> '0')",
+    "steps as (select 2 as version, coalesce(o.identity, n.identity) as identity, coalesce(o.channel, n.channel) as channel, o.identity is null as fresh, n.identity is null as gone, o.s as os, n.s as ns, o.e as oe, n.e as ne from v1 o full join v2 n on o.identity = n.identity and o.channel = n.channel union all select 4, o.identity, o.channel, false, true, o.s, null, o.e, null from v3 o where left(o.identity, 1) = '0')",
+)
+
+
+@query(duck("select version, identity, channel, field from (select version, identity, channel, unnest(list_filter([case when fresh then 'channel_added' end, case when gone then 'channel_removed' end, case when os <> ns then 'time' end, case when not fresh and not gone and abs(date_diff('second', oe, ne)) >= 900 then 'end' end], lambda x: x is not null)) as field from steps)", *_VERSIONS))
+def stream_refresh_notify(spark, sf_dir):
+    """Changes of four snapshots that land one after another; that of one channel by a whole day is suppressed."""
+    folder = shared.folder(spark, "notify")
+    identity = text.identity(F.col("sport"), F.col("tournament"), F.col("title"))
+    old, new = (schedule.first_by(v.select(identity.alias("identity"), "channel", "start_at", "slot_end", "ord"), [F.col("identity"), F.col("channel")], ["start_at", "ord"]).select("identity", "channel", F.col("start_at").alias("start"), F.col("slot_end").alias("end")) for v in adapter.versions(bx(spark, sf_dir)))
+    day = F.when(F.col("channel") == "ch01", F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))
+    slipped = new.withColumns({"start": F.col("start") + day, "end": F.col("end") + day})
+    for v, rows in enumerate((old, new, slipped, slipped.where("left(identity, 1) <> '0'")), 1):
+        rows.withColumn("version", F.lit(v)).write.parquet(f"{folder}/landing/v{v}")
+    landing = spark.readStream.schema("identity string, channel string, start timestamp, end timestamp, version int").option("maxFilesPerTrigger", 1000).parquet(f"{folder}/landing/*")
+    moved = F.when(F.col("field").isin("time", "end"), (F.unix_timestamp("new", "yyyy-MM-dd HH:mm") - F.unix_timestamp("old", "yyyy-MM-dd HH:mm")) / 60).cast("long")
+    slip = lambda found: diff.systemic_changes(found.withColumn("minutes", moved))
+    return jobs.refresh(landing, f"{folder}/out", diff.channel_changes, slip).select("version", "identity", "channel", "field")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import webtimes
-from .adapter import bx, duck
+from .adapter import bx, duck, recursive
 from .basic import d_english, q, ts
 from .joined import _FACTS, _KINDS, _TOURNAMENTS, _TRANSLIT
 
@@ -124,14 +124,13 @@ _VERIFIED = (
     "judged as (select ord as event, case when \"at\" is not null and abs(difference) <= 30 then 'verified' when \"at\" is not null then 'rejected' when matching > 0 then 'no_time' else 'none' end as state, * from joined_up)",
 )
 _VERDICT_COLUMNS = "event, state, method, coalesce(strftime(make_timestamp(\"at\" * 1000000), '%Y-%m-%d %H:%M'), '') as at_text, coalesce(difference, -99999) as difference, case when state = 'verified' then organisations else 0 end as organisations, case when state = 'verified' then weight else 0 end as weight, case when state <> 'verified' then '' when organisations >= 2 and weight >= 120 then 'high' when organisations >= 2 or weight >= 70 then 'medium' else 'low' end as confidence, case when state <> 'verified' then '' when abs(difference) <= 10 then 'agrees' when abs(difference) <= 20 then 'soft' else 'differs' end as agreement, matching, n_results, n_read"
-_recursive = lambda body, *more: duck(body, *more).replace("with ", "with recursive ", 1)
 
 
 def _verified(spark, sf_dir):
     return webtimes.verified(_events(spark, sf_dir), _results(spark, sf_dir), _pages(spark, sf_dir))
 
 
-@query(_recursive(f"select {_VERDICT_COLUMNS} from judged", *_VERIFIED))
+@query(recursive(f"select {_VERDICT_COLUMNS} from judged", *_VERIFIED))
 def verify_from_texts(spark, sf_dir):
     """From the texts of results and pages to a verdict on each slot."""
     v = _verified(spark, sf_dir)
@@ -141,7 +140,7 @@ def verify_from_texts(spark, sf_dir):
 _D_VERDICT = "case when n_results = 0 then {unavailable} when state = 'rejected' then {rejected} when state <> 'verified' then {none} when abs(difference) <= 10 then {agrees} when abs(difference) <= 20 then {soft} else {differs} end".format(**{k: q(v) for k, v in webtimes.VERDICTS.items()})
 
 
-@query(_recursive(f"select event, {_D_VERDICT} as verdict from judged", *_VERIFIED))
+@query(recursive(f"select event, {_D_VERDICT} as verdict from judged", *_VERIFIED))
 def verdict_texts(spark, sf_dir):
     """What a reader is told of each verdict; a search without any result has failed."""
     v = _verified(spark, sf_dir)

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lexicon
+from .shared import settled
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
 _ELEMENT = [("ord", pa.int32(), "int"), ("parent", pa.int32(), "int"), ("last", pa.int32(), "int"), ("tag", pa.string(), "string"), ("attrs", pa.map_(pa.string(), pa.string()), "map<string,string>"), ("text", pa.string(), "string")]
@@ -140,6 +143,21 @@ def cards(pages: DataFrame, key: str, html: str, href: str, clock: str, status:
     return pages.select(key, html).mapInArrow(work, schema)
 
 
+def asset_hints(pages: DataFrame, key: str, html: str, tags: tuple[str, ...]) -> DataFrame:
+    """key, ord, tag, hints: for each element of the given tags the hints in attributes of itself and of all below it, in order, each once.
+
+    An element's descendants are those with numbers from its own to its last; a class is as many hints as it has names.
+    """
+    every = settled(elements(pages, key, html).select(key, "ord", "last", "tag", "attrs"), "elements")
+    named = F.filter(F.map_entries("attrs"), lambda a: a["key"].isin(*lexicon.HINT_ATTRIBUTES) | a["key"].startswith("data-"))
+    values = F.flatten(F.transform(named, lambda a: F.when(a["key"] == "class", F.split(F.btrim(F.regexp_replace(a["value"], r"\s+", " ")), " ")).otherwise(F.array(a["value"]))))
+    below = every.select(F.col(key).alias("_key"), F.col("ord").alias("_ord"), F.filter(values, lambda x: x != "").alias("_hints")).where(F.size("_hints") > 0)
+    outer = every.where(F.col("tag").isin(*tags)).select(key, "ord", "last", "tag")
+    within = outer.join(below, (F.col(key) == F.col("_key")) & F.col("_ord").between(F.col("ord"), F.col("last")), "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_hints"))), lambda x: x["_hints"])
+    return within.groupBy(key, "ord", "tag").agg(F.array_distinct(F.flatten(F.filter(ordered, lambda x: x.isNotNull()))).alias("hints"))
+
+
 def signature(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, signature: a digest of the visible text, blind to markup."""
     nodes = text_nodes(pages, key, html)

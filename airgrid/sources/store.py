@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.schedule import first_by
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir``, or where that is unset, as in tests, under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table of its own in the shared folder: what is read several times is worked out once, and survives lost executors."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def upserted(stored: DataFrame, batch: DataFrame, run: str, at: str) -> DataFrame:
     """The scopes of ``batch`` after it: storage_id, source, scope_date, first_seen, last_seen, run, active.
 

@@ -233,18 +233,6 @@ def test_a_change_must_be_seen_twice():
     assert [x[1] for x in seen] == [True, True, False, True, False, False, False, True, False, False]
 
 
-def test_debounce_stream_is_its_fold(spark, sf, tmp_path):
-    from airgrid.plans import scanned
-
-    got = {(r.source, r.ord): (r.stable, r.served) for r in scanned.stream_debounce(spark, sf).collect()}
-    state = {}
-    rows = sorted((r.event_id, str(r.user_id % 5)) for r in adapter.table(spark, sf, "events").select("event_id", "user_id").collect())
-    for i, source in rows:
-        seen = "a" if i % 7 < 4 else "b" if i % 7 == 4 else "c"
-        state[source], served = jobs.settle(state.get(source), seen)
-        assert got[source, i] == (state[source][0], served)
-
-
 def test_upsert_keeps_first_sight(spark):
     old = spark.createDataFrame([("x", "s", "d", "t1", "t1", "r1"), ("y", "s", "d", "t1", "t1", "r1")], "storage_id string, source string, scope_date string, first_seen string, last_seen string, run string")
     new = spark.createDataFrame([(1, "x", "s", "d"), (2, "z", "s", "d"), (3, "z", "s", "e")], "ord long, storage_id string, source string, scope_date string")
