@@ -129,6 +129,35 @@ def channel_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("identity", "channel", F.explode(found).alias("c")).select("identity", "channel", "c.*")
 
 
+#: What a change is told of where an event has left all its channels for others.
+AIR = "Эфир"
+
+
+def channel_updates(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changes of events on both sides: identity, channel, field (channels, time, end), old, new.
+
+    ``old`` and ``new``: identity, channel, start, end, one row for each identity and channel.  A changed set of channels is one
+    change with both sets; starts and ends are compared channel by channel, or, where no channel is
+    common, between the earliest broadcasts of either side.
+    """
+    name = lambda p, df: df.select("identity", "channel", F.struct("start", F.col("channel").alias("on"), "end").alias(p))
+    j = name("o", old).join(name("n", new), ["identity", "channel"], "full")
+    channels = lambda p: F.array_sort(F.collect_set(F.when(F.col(p).isNotNull(), F.col("channel")))).alias(f"{p}_set")
+    events = j.groupBy("identity").agg(channels("o"), channels("n"), F.min("o").alias("o"), F.min("n").alias("n")).where((F.size("o_set") > 0) & (F.size("n_set") > 0))
+    change = lambda field, channel, a, b: F.struct(F.lit(field).alias("field"), channel.alias("channel"), a.alias("old"), b.alias("new"))
+    said = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm")
+    far = F.coalesce(F.abs(F.unix_timestamp("o.end") - F.unix_timestamp("n.end")) >= END_MINUTES * 60, F.lit(False))
+
+    def moved(channel: Column) -> Column:
+        return F.array_compact(F.array(F.when(F.col("o.start") != F.col("n.start"), change("time", channel, said("o.start"), said("n.start"))), F.when(far, change("end", channel, said("o.end"), said("n.end")))))
+
+    sets = F.array_compact(F.array(F.when(F.col("o_set") != F.col("n_set"), change("channels", F.lit(""), F.array_join("o_set", ","), F.array_join("n_set", ",")))))
+    apart = F.when(~F.arrays_overlap("o_set", "n_set"), moved(F.lit(AIR))).otherwise(F.array().cast("array<struct<field:string,channel:string,old:string,new:string>>"))
+    of_event = events.select("identity", F.explode(F.concat(sets, apart)).alias("c"))
+    of_channel = j.where(F.col("o").isNotNull() & F.col("n").isNotNull()).select("identity", F.explode(moved(F.col("channel"))).alias("c"))
+    return of_event.unionByName(of_channel).select("identity", "c.channel", "c.field", "c.old", "c.new")
+
+
 def systemic_shift(moves: DataFrame, least: int = 3) -> DataFrame:
     """One row: whether a batch of updates is a guide's slip of one whole day and not news.
 

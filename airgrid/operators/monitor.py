@@ -22,6 +22,41 @@ def contract_errors(row_end: str = "slot_end") -> Column:
     return F.array_compact(F.array(*missing, *empty, *formats))
 
 
+def findings(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ord, level, finding: all that a check of a batch has to say, a row each.
+
+    Errors are those of ``contract_errors``.  Of rows whose fields can be read, a direct broadcast without a sport or a title is
+    warned of; and of each batch (ord is null) how many good rows repeat others.
+    """
+    errors = contract_errors()
+    readable = ~F.exists("errors", lambda e: e.startswith("missing:") | e.startswith("format:"))
+    blank = lambda c: F.btrim(F.coalesce(c, F.lit(""))) == ""
+    direct = F.coalesce(F.col("is_live_broadcast"), F.lit(False)) & readable
+    warnings = F.array_compact(F.array(F.when(direct & blank(F.col("sport")), F.lit("live_event_without_sport")), F.when(direct & blank(F.col("title")), F.lit("live_event_without_normalized_title"))))
+    each = rows.withColumn("errors", errors)
+    said = lambda found, level: each.select(*keys, "ord", F.lit(level).alias("level"), F.explode(found).alias("finding"))
+    repeats = batch_check(rows, keys).where("repeats > 0").select(*keys, F.lit(None).cast("long").alias("ord"), F.lit("warning").alias("level"), F.concat(F.lit("duplicate_broadcasts="), "repeats").alias("finding"))
+    return said(F.col("errors"), "error").unionByName(said(warnings, "warning")).unionByName(repeats)
+
+
+def built(rows: DataFrame) -> DataFrame:
+    """Rows of any adapter as one contract: fields without blanks at their ends, the title or the raw one for either, one flag for direct broadcasts, and what is wrong with the row.
+
+    ``rows``: source, source_url, channel, date, time, sport, tournament, title, raw_title, is_live_broadcast, is_live, and, if
+    they are there, timezone, end_method, end_confidence, slot_end.
+    """
+    have = set(rows.columns)
+    own = lambda c: F.btrim(F.coalesce(c, F.lit("")))
+    either = lambda a, b: own(F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b)))
+    direct = F.coalesce("is_live_broadcast", "is_live", F.lit(False))
+    plain = {c: own(F.col(c)) for c in ("source", "source_url", "channel", "date", "time", "sport", "tournament")}
+    more = {"timezone": F.coalesce(F.nullif(own(F.col("timezone")), F.lit("")), F.lit(clock.L.ZONE)) if "timezone" in have else F.lit(clock.L.ZONE)}
+    more["end_confidence"] = F.coalesce("end_confidence", F.lit("unknown")) if "end_confidence" in have else F.lit("unknown")
+    more |= {c: F.lit(None).cast(t) for c, t in (("end_method", "string"), ("slot_end", "timestamp")) if c not in have}
+    done = rows.withColumns(plain | {"title": either("title", "raw_title"), "raw_title": either("raw_title", "title"), "is_live_broadcast": direct, "is_live": direct} | more)
+    return done.withColumn("errors", contract_errors())
+
+
 def batch_check(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: rows, bad rows, errors by name, repeats among good rows, ok."""
     bad = contract_errors()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import verify
-from .reconcile import minutes_between
+from .reconcile import EARLIEST, LATEST, minutes_between
 
 # Months by name, cue words, zones by the letters after a clock, and which of them want am or pm.
 MONTH_NAMES = {
@@ -153,8 +153,8 @@ def candidates(results: DataFrame, key: str = "ord", url: str = "url", said: str
     return got.select(key, F.col("at").cast("timestamp").alias("at"), "explicit", score.alias("score"), "organisation", verify.occurrence_weight(F.col("organisation")).alias("weight"))
 
 
-def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int = CONFIRM_MINUTES, stated: DataFrame | None = None) -> DataFrame:
-    """Per slot: state, difference of the time it rests on, organisations.
+def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int = CONFIRM_MINUTES, stated: DataFrame | None = None, sources: bool = False) -> DataFrame:
+    """Per slot: state, difference of the time it rests on, organisations; with ``sources`` the domains that stand behind it (all that confirm, or the one that told the nearest time).
 
     ``slots``: keys, start_at; ``found``: keys, at, weight, score, organisation; ``stated``: keys, date.
     Confirmed by one source of weight 100, or by two with 100 together, each organisation heard once; else
@@ -163,9 +163,10 @@ def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int =
     """
     diff = slots.join(found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
     near = F.abs(F.col("difference")) <= minutes
+    most = [F.array_sort(F.collect_set("organisation")).alias("said_by")] if sources else []
     heard = diff.where(near).groupBy(*keys, "organisation").agg(F.max(F.struct("weight", "score", (-F.abs("difference")).alias("close"), "difference")).alias("v"))
-    tally = heard.groupBy(*keys).agg(F.count("*").alias("organisations"), F.sum("v.weight").alias("weight"), F.max("v").alias("best"))
-    close = diff.groupBy(*keys).agg(F.min(F.struct(F.abs("difference").alias("far"), "difference")).alias("nearest"))
+    tally = heard.groupBy(*keys).agg(F.count("*").alias("organisations"), F.sum("v.weight").alias("weight"), F.max("v").alias("best"), *most)
+    close = diff.groupBy(*keys).agg(F.min(F.struct(F.abs("difference").alias("far"), "difference", *(["organisation"] if sources else []))).alias("nearest"))
     out = slots.select(*keys, "start_at").join(tally, keys, "left").join(close, keys, "left")
     sure: Column = (F.col("best.weight") >= 100) | ((F.col("organisations") >= 2) & (F.col("weight") >= 100))
     elsewhere = F.lit(False)
@@ -175,4 +176,39 @@ def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int =
     state = F.when(F.coalesce(sure, F.lit(False)), "confirmed_direct").when(F.col("nearest").isNotNull() | elsewhere, "mismatch").otherwise("unknown")
     told = F.when(state == "confirmed_direct", F.col("best.difference")).otherwise(F.col("nearest.difference"))
     reason = F.when(F.col("nearest").isNull() & elsewhere, "external_event_date_mismatch")
+    if sources:
+        domains = F.when(state == "confirmed_direct", F.col("said_by")).when(F.col("nearest").isNotNull(), F.array("nearest.organisation")).otherwise(F.array().cast("array<string>"))
+        return out.select(*keys, state.alias("state"), told.alias("difference"), F.coalesce("organisations", F.lit(0)).alias("organisations"), reason.alias("reason"), domains.alias("domains"))
     return out.select(*keys, state.alias("state"), told.alias("difference"), F.coalesce("organisations", F.lit(0)).alias("organisations"), reason.alias("reason"))
+
+
+def by_site(slots: DataFrame, found: DataFrame, keys: list[str], stated: DataFrame) -> DataFrame:
+    """Per slot: state (confirmed, mismatch, unknown) and difference by what one trusted calendar's pages tell.
+
+    A time from EARLIEST to LATEST minutes after the slot's start confirms it, the nearest of several, of equally near the one told
+    most plainly; else any time is a mismatch, told by the nearest; without times, dates that are all more
+    than a day off are one too.
+    """
+    diff = slots.join(found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
+    one = lambda d: F.struct(F.abs(d).alias("far"), (-F.col("score")).alias("plain"), d.alias("difference"))
+    plausible = F.col("difference").between(EARLIEST, LATEST)
+    told = diff.groupBy(*keys).agg(F.min(F.when(plausible, one(F.col("difference")))).alias("good"), F.min(one(F.col("difference"))).alias("nearest"))
+    days = slots.join(stated, keys).groupBy(*keys).agg(F.min(F.abs(F.date_diff("date", F.col("start_at").cast("date")))).alias("days"))
+    out = slots.select(*keys).join(told, keys, "left").join(days, keys, "left")
+    state = F.when(F.col("good").isNotNull(), "confirmed").when(F.col("nearest").isNotNull() | F.coalesce(F.col("days") > 1, F.lit(False)), "mismatch").otherwise("unknown")
+    return out.select(*keys, state.alias("state"), F.coalesce("good.difference", "nearest.difference").alias("difference"))
+
+
+def site_first(slots: DataFrame, pages: DataFrame, site: str, key: str = "ord") -> DataFrame:
+    """Per slot: state, by (site, official, none), difference: what the calendar's own pages tell; where they tell nothing, what all pages tell, if an official source stands behind it; else unknown.
+
+    ``slots``: key, start_at; ``pages``: key (of the slot that it was found for), url, said.
+    """
+    of_site = pages.where(verify.base_domain(verify.host(F.col("url"))) == site)
+    own = by_site(slots, candidates(of_site, key), [key], dates(of_site, key))
+    others = verdicts(slots, candidates(pages, key), [key], stated=dates(pages, key), sources=True)
+    searched = others.select(key, F.when(F.col("state") == "confirmed_direct", "confirmed").otherwise(F.col("state")).alias("state"), "domains", F.col("difference").alias("_found"))
+    verdict = verify.calendar_first(own.select(key, "state"), searched, key)
+    told = verdict.join(own.select(key, "difference"), key).join(searched.select(key, "_found"), key, "left")
+    difference = F.when(F.col("by") == "calendar", F.col("difference")).when(F.col("by") == "official", F.col("_found"))
+    return told.select(key, "state", F.when(F.col("by") == "calendar", "site").otherwise(F.col("by")).alias("by"), difference.alias("difference"))

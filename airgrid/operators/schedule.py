@@ -61,6 +61,12 @@ def first_failed(now: str, day: str | None = None) -> Column:
     return out
 
 
+def skipped(now: str) -> Column:
+    """Why a refreshed row is not kept: the first reason that holds, null for rows that are.  By the old flag alone, before anything is judged; needs status."""
+    user = evidence.is_user_event(F.col("title"), F.col("sport"), F.col("tournament"))
+    return F.when(~F.coalesce("is_live", F.lit(False)), "not_direct").when(~user, "non_sport_studio").when((F.col("date") < now[:10]) & (F.col("status") != "live"), "past_not_live")
+
+
 def visible(rows: DataFrame, now: str, day: str | None = None) -> DataFrame:
     """What a user sees: of one day, or from today on, where past days have only what is still on the air."""
     if day is not None:

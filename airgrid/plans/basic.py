@@ -163,9 +163,10 @@ def horizon_dates(spark, sf_dir):
     return schedule.horizon(bx(spark, sf_dir), NOW[:10]).select(F.col("day").cast("string").alias("day"))
 
 
-@query("select source, cast(date '2024-01-15' + k as varchar) as scope_date from (select 'guide_a' as source, unnest(range(-1, 4)) as k union all select 'guide_b', unnest(range(-1, 15)) union all select 'guide_c', unnest(range(-1, 8)))".replace("+ k", "+ cast(k as integer)"))
+@query("select source, cast(date '2024-01-15' + cast(k as integer) as varchar) as scope_date from (select source, unnest(range(-1, ahead + 1)) as k from (select event_type as source, count(*) % 15 as ahead from events group by 1))")
 def scope_product(spark, sf_dir):
-    ahead = spark.createDataFrame([("guide_a", 3), ("guide_b", 14), ("guide_c", 7)], "source string, lookahead int")
+    """Scopes of each type of event, which is read as many days ahead as its count tells."""
+    ahead = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg((F.count("*") % 15).cast("int").alias("lookahead"))
     return schedule.scopes(ahead, NOW[:10]).select("source", F.col("scope_date").cast("string").alias("scope_date"))
 
 

@@ -65,14 +65,6 @@ def verify_verdict(spark, sf_dir):
     return verify.verdict(c, slots, ["user_id", "day"], 7200).withColumn("difference", F.coalesce("difference", F.lit(-99999)))
 
 
-@query(duck("select ord, case when ord % 3 <> 2 then case ord % 3 when 0 then 'confirmed' else 'mismatch' end when ord % 4 in (0, 1) then case ord % 4 when 0 then 'confirmed' else 'mismatch' end else 'unknown' end as state, case when ord % 3 <> 2 then 'calendar' when ord % 4 in (0, 1) then 'official' else 'none' end as by from bx"))
-def calendar_first_verdict(spark, sf_dir):
-    rows = bx(spark, sf_dir)
-    cal = rows.select("ord", F.expr("case ord % 3 when 0 then 'confirmed' when 1 then 'mismatch' else 'unknown' end").alias("state"))
-    found = rows.where("ord % 4 <> 3").select("ord", F.expr("case ord % 4 when 0 then 'confirmed' when 1 then 'mismatch' else 'confirmed' end").alias("state"), F.expr("case when ord % 4 = 2 then array('sports.ru') else array('sports.ru', 'uefa.com') end").alias("domains"))
-    return verify.calendar_first(cal, found)
-
-
 # incidents, runs and scopes ----------------------------------------------------------------
 _INCIDENTS = f"found as (select source, scope_date, seq, {_ASSESS} as v from previous)"
 

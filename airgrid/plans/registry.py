@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic, checked, claims, guided, joined, scanned, told, web
+from . import basic, checked, claims, composed, guided, joined, scanned, told, web
 
-_ALL = basic.QUERIES | joined.QUERIES | scanned.QUERIES | told.QUERIES | guided.QUERIES | checked.QUERIES | claims.QUERIES | web.QUERIES
+_ALL = basic.QUERIES | joined.QUERIES | scanned.QUERIES | told.QUERIES | guided.QUERIES | checked.QUERIES | claims.QUERIES | composed.QUERIES | web.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, titles
-from ..operators import occurrence
+from ..functions import lexicon, text, titles
+from ..operators import occurrence, verify
+from . import joined
 from .adapter import bx, duck, table
 from .basic import q, ts
 
@@ -118,3 +119,64 @@ def occurrence_dates(spark, sf_dir):
     stated = occurrence.dates(pages)
     out = occurrence.verdicts(pages.select("ord", "start_at"), occurrence.candidates(pages), ["ord"], stated=stated)
     return out.join(stated.groupBy("ord").agg(F.count("*").cast("int").alias("n_dates")), "ord").select("ord", "state", F.coalesce("reason", F.lit("")).alias("reason"), "n_dates")
+
+
+# the calendar first, then official pages: both verdicts are those of the queries above and of calendar_reconcile_texts
+_SLOTTED = (
+    "slots as (select ord, start_at from bx)",
+    "d as (select s.ord, t.organisation, t.weight, t.score, cast(trunc(date_diff('second', s.start_at, t.\"at\") / 60) as bigint) as difference from slots s join told t using (ord))",
+    "heard as (select ord, organisation, max(weight) as weight from d where abs(difference) <= 30 group by all)",
+    "tally as (select ord, count(*) as organisations, sum(weight) as total, max(weight) as top, list(organisation) as said_by from heard group by ord)",
+    "close as (select ord, arg_min(organisation, row(abs(difference), difference, organisation)) as nearest from d group by ord)",
+    "searched as (select ord, case when coalesce(top >= 100 or (organisations >= 2 and total >= 100), false) then 'confirmed' when nearest is not null then 'mismatch' else 'unknown' end as found, case when coalesce(top >= 100 or (organisations >= 2 and total >= 100), false) then said_by when nearest is not null then [nearest] else [] end as domains from slots left join tally using (ord) left join close using (ord))",
+    "gated as (select ord, found, found <> 'unknown' and len(list_filter(domains, lambda x: x in ({0}))) > 0 as official from searched)".format(", ".join(map(q, lexicon.OFFICIAL_EVENT_DOMAINS))),
+)
+
+
+@query(
+    duck(
+        "select ord, case when c.state <> 'unknown' then c.state when official then found else 'unknown' end as state, case when c.state <> 'unknown' then 'calendar' when official then 'official' else 'none' end as by from reconciled c join gated using (ord)",
+        f"reconciled as ({joined.QUERIES['calendar_reconcile_texts'][1]})",
+        _CANDIDATES,
+        *_SLOTTED,
+    )
+)
+def calendar_first_verdict(spark, sf_dir):
+    """Every slot by the calendar's texts, and where they tell nothing by pages about it, if an official source stands behind them."""
+    cal = joined.calendar_reconcile_texts(spark, sf_dir).select("ord", "state")
+    found = occurrence.candidates(_told(spark, sf_dir))
+    slots = bx(spark, sf_dir).select("ord", "start_at")
+    searched = occurrence.verdicts(slots, found, ["ord"], sources=True)
+    return verify.calendar_first(cal, searched.withColumn("state", F.when(F.col("state") == "confirmed_direct", "confirmed").otherwise(F.col("state"))))
+
+
+# pages of the calendar's site for some slots: a clock some minutes off, or another day; pages of other sites for all
+_SITE_SAID = "case when event_id % 4 = 0 then 'The match, ' || {at} || ' UTC' else 'A match on ' || {on} end"
+
+
+@query(
+    "with "
+    + _CANDIDATES
+    + ", site as (select event_id as ord, mi, event_id % 4 as k, mi + to_minutes(cast((event_id % 7) * 15 as integer)) as told_at, cast(mi as date) + cast(event_id % 3 as integer) as on_day from minutes where event_id % 4 < 2), "
+    # on the site's pages, whose clocks are Moscow's, the month and day of a date are hours too
+    "site_clocks as (select ord, mi, told_at as \"at\", 100 as score from site where k = 0 union all select ord, mi, date_trunc('day', told_at) + to_hours(cast(month(told_at) as integer) - 3), 0 from site where k = 0 union all select ord, mi, date_trunc('day', told_at) + to_hours(cast(day(told_at) as integer) - 3), 0 from site where k = 0 and day(told_at) <= 23 "
+    "union all select ord, mi, cast(on_day as timestamp) + to_hours(cast(month(on_day) as integer) - 3), 0 from site where k = 1 union all select ord, mi, cast(on_day as timestamp) + to_hours(cast(day(on_day) as integer) - 3), 0 from site where k = 1 and day(on_day) <= 23), "
+    "slots as (select event_id as ord, mi as start_at from minutes), "
+    "sd as (select ord, score, cast(trunc(date_diff('second', mi, \"at\") / 60) as bigint) as difference from site_clocks), "
+    "own as (select ord, min(row(abs(difference), -score, difference)) filter (where difference between -10 and 45) as good, min(row(abs(difference), -score, difference)) as nearest from sd group by ord), "
+    "d as (select s.ord, t.organisation, t.weight, t.score, cast(trunc(date_diff('second', s.start_at, t.\"at\") / 60) as bigint) as difference from slots s join told t using (ord) union all select ord, 'championat.com', 70, score, difference from sd), "
+    "heard as (select ord, organisation, weight, score, difference from d where abs(difference) <= 30 qualify row_number() over (partition by ord, organisation order by weight desc, score desc, abs(difference), difference desc) = 1), "
+    "tally as (select ord, count(*) as organisations, sum(weight) as total, max(weight) as top, list(organisation) as said_by, arg_max(difference, row(weight, score, -abs(difference), difference)) as best from heard group by ord), "
+    "close as (select ord, min(row(abs(difference), difference, organisation)) as nearest from d group by ord), "
+    "searched as (select ord, coalesce(top >= 100 or (organisations >= 2 and total >= 100), false) as sure, nearest, said_by, best from slots left join tally using (ord) left join close using (ord)), "
+    "gated as (select ord, case when sure then 'confirmed' when nearest is not null then 'mismatch' else 'unknown' end as found, case when sure then best else nearest[2] end as away, len(list_filter(case when sure then said_by when nearest is not null then [nearest[3]] else [] end, lambda x: x in ({0}))) > 0 as official from searched) ".format(", ".join(map(q, lexicon.OFFICIAL_EVENT_DOMAINS)))
+    + "select ord, case when good is not null then 'confirmed' when own.nearest is not null then 'mismatch' when official and found <> 'unknown' then found else 'unknown' end as state, case when own.nearest is not null then 'site' when official and found <> 'unknown' then 'official' else 'none' end as by, coalesce(case when good is not null then good[3] when own.nearest is not null then own.nearest[3] when official and found <> 'unknown' then away end, -99999) as difference from gated left join own using (ord)"
+)
+def site_first_verdict(spark, sf_dir):
+    """Every slot by the pages of one trusted calendar, and where it has none by official pages."""
+    e = table(spark, sf_dir, "events").withColumn("mi", F.date_trunc("minute", "ts"))
+    at = "date_format(mi + make_dt_interval(0, 0, cast((event_id % 7) * 15 as int), 0), 'yyyy-MM-dd HH:mm')"
+    on = "date_format(date_add(cast(mi as date), cast(event_id % 3 as int)), 'yyyy-MM-dd')"
+    site = e.where("event_id % 4 < 2").select(F.col("event_id").alias("ord"), F.lit("https://www.championat.com/match/").alias("url"), F.expr(_SITE_SAID.format(at=at, on=on)).alias("said"))
+    pages = _told(spark, sf_dir).select("ord", "url", "said").unionByName(site)
+    return occurrence.site_first(e.select(F.col("event_id").alias("ord"), F.col("mi").alias("start_at")), pages, "championat.com").withColumn("difference", F.coalesce("difference", F.lit(-99999)))
