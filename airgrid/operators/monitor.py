@@ -106,7 +106,7 @@ def rollup(assessments: DataFrame, keys: list[str]) -> DataFrame:
 
 def channel_health(channels: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
     """Per channel of the dimension: its source's last run, and its rows in that run's scope."""
-    last = latest_run(runs)
+    last = latest_run(runs)  # one row a source, of the newest hundred runs: no more than those
     counts = rows.join(F.broadcast(last.select("source", F.col("scope_date").alias("date"))), ["source", "date"], "left_semi").groupBy("source", "channel").agg(F.count("*").alias("n"))
     return channels.join(last.select("source", "status", "scope_date"), "source", "left").join(counts, ["source", "channel"], "left").select("source", "channel", F.coalesce("status", F.lit("never")).alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
 

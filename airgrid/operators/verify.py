@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
+from . import ordered
 
 
 def host(url: Column) -> Column:
@@ -70,18 +71,17 @@ def extraction_choice(results: DataFrame, n: int = 5) -> DataFrame:
 def clusters(candidates: DataFrame, keys: list[str], seconds: int = 600) -> DataFrame:
     """Candidates with cluster: start of the group whose first member is at most ``seconds`` before.
 
-    Anchored on the first member, so a chain of near times does not grow without end.  A fold
-    over the ordered instants of one question; ``candidates`` has keys, ord, at (epoch seconds).
+    Anchored on the first member, so a chain of near times does not grow without end.  The different
+    instants of a question are walked in order, one at a time; ``candidates`` has keys, ord, at (epoch seconds).
     """
-    times = F.array_sort(F.collect_set("at"))
-    pair = lambda at, anchor: F.struct(at.alias("at"), anchor.alias("cluster"))
-    start = F.array().cast("array<struct<at:long,cluster:long>>")
+    kinds = ", ".join(f"`{k}` {candidates.schema[k].dataType.simpleString()}" for k in keys)
 
-    def step(acc: Column, t: Column) -> Column:
-        anchor = F.coalesce(F.try_element_at(acc, F.lit(-1))["cluster"], t)
-        return F.array_append(acc, pair(t, F.when(t - anchor <= seconds, anchor).otherwise(t)))
+    def step(state: list, at: int):
+        if state[1] is None or at - state[1] > seconds:
+            state[1] = at
+        yield *state[0], at, state[1]
 
-    folded = candidates.groupBy(*keys).agg(F.aggregate(times, start, step).alias("f")).select(*keys, F.explode("f").alias("f")).select(*keys, "f.at", "f.cluster")
+    folded = ordered.walked(candidates.select(*keys, "at").distinct(), keys, ["at"], ["at"], f"{kinds}, at long, cluster long", lambda *key: [key, None], step)
     return candidates.join(folded, [*keys, "at"])
 
 

@@ -129,7 +129,7 @@ def guide_a_dated(spark, sf_dir):
     return good.select("page", F.col("date").cast("string").alias("date"), "time", "title", none.alias("error")).unionByName(bad.select("page", none.alias("date"), none.alias("time"), none.alias("title"), "error"))
 
 
-@query(duck("select distinct channel || '/' || date as page, 'no day labels' as error from bx where time >= '07:00' and channel in ('ch02', 'ch05')"))
+@query(duck("select distinct page, 'no day labels' as error from minutes_b where substr(page, 1, 4) in ('ch02', 'ch05')", *guided._PAGE_B))
 def guide_b_errors(spark, sf_dir):
     """Pages without day labels are errors, not empty days."""
     bare = F.substring("page", 1, 4).isin("ch02", "ch05")

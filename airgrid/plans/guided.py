@@ -187,16 +187,21 @@ _B_KEEP = "ord % 4 in (0, 1) and (sport <> '' or ord % 9 = 0)"
 
 
 def _pages_b(spark, sf_dir):
-    """A page for each channel and day, from the morning on: two day labels, then clocks and titles; one row a minute."""
-    rows = bx(spark, sf_dir).where("time >= '07:00'").groupBy("channel", "date", "time").agg(F.min(F.struct("ord", F.expr(_B_TITLE).alias("said"))).alias("r"))
+    """A page for each channel and day, from seven in the morning to seven: two day labels, then clocks and titles of all rows in order."""
+    rows = bx(spark, sf_dir).withColumn("day", F.to_date(F.col("start_at") - F.expr("interval 7 hours")))
     line = lambda r: F.concat(F.lit("<li><span>"), r["time"], F.lit("</span>"), F.when(r["ord"] % 5 == 0, '<div class="x blink"><a title="LIVE" href="#"></a></div>').otherwise(""), F.lit("<p>"), r["said"], F.lit("</p></li>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "r.ord", "r.said"))), line), "")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_at", "ord", "time", F.expr(_B_TITLE).alias("said")))), line), "")
     label = lambda d: F.concat(F.lit("<b>день "), F.date_format(d, "dd.MM"), F.lit("</b>"))
-    day = F.col("date").cast("date")
-    return rows.groupBy("channel", "date").agg(body.alias("body")).select(F.concat_ws("/", "channel", "date").alias("page"), F.concat(label(day), label(F.date_add(day, 1)), F.lit("<ul>"), F.col("body"), F.lit("</ul>")).alias("html"))
+    day = F.col("day")
+    return rows.groupBy("channel", "day").agg(body.alias("body")).select(F.concat_ws("/", "channel", day.cast("string")).alias("page"), F.concat(label(day), label(F.date_add(day, 1)), F.lit("<ul>"), F.col("body"), F.lit("</ul>")).alias("html"))
 
 
-_PAGE_B = (f"minutes_b as (select channel || '/' || date as page, date, time, ord, {_B_TITLE} as said, sport, tournament, title, {_B_KEEP} as kept from bx where time >= '07:00' qualify row_number() over (partition by channel, date, time order by ord) = 1)",)
+# A row's date is its own, but on pages that have nothing from seven on and so do not show that midnight has passed: there it is the page's, until six.
+_PAGE_B = (
+    f"rows_b as (select channel || '/' || strftime(start_at - interval 7 hour, '%Y-%m-%d') as page, strftime(start_at - interval 7 hour, '%Y-%m-%d') as page_day, date as own_day, time, ord, {_B_TITLE} as said, sport, tournament, title, {_B_KEEP} as kept from bx)",
+    "known_b as (select *, bool_or(time >= '07:00') over (partition by page) as late, bool_or(time < '06:00') over (partition by page) as early from rows_b)",
+    "minutes_b as (select * exclude (own_day), case when late or (time >= '06:00' and early) then own_day else page_day end as date from known_b)",
+)
 
 
 @query(duck("select page, date, time, case when ord % 9 = 0 then 'Конный спорт' else sport end as sport, case when ord % 9 = 0 then 'Сезон конных скачек' else tournament || '. Чемпионат Казахстана' end as tournament, case when ord % 9 = 0 then 'Сезон конных скачек. 3 күн' else case when title = upper(title) then title else title end end as title from minutes_b where kept", *_PAGE_B))
@@ -205,7 +210,7 @@ def guide_b_scan(spark, sf_dir):
     return rows.select("page", F.col("date").cast("string").alias("date"), "time", "sport", "tournament", F.col("name").alias("title"))
 
 
-@query(duck("select page, time from minutes_b where ord % 5 = 0", *_PAGE_B))
+@query(duck("select distinct page, time from minutes_b where ord % 5 = 0", *_PAGE_B))
 def guide_b_on_air(spark, sf_dir):
     return guides.on_air_times(_pages_b(spark, sf_dir), "page", "html")
 
