@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import settled
 from . import verify
 
 EARLIEST, LATEST = -10, 45
@@ -32,23 +33,32 @@ def mentions(events: DataFrame, calendar_titles: DataFrame, gram: int = GRAM) ->
     """The columns of ``events`` and cal_title: calendar texts that are about an event, by ``verify.told``.
 
     Both inputs have one row per distinct text (``events``: title and, if there are, tournament and sport).
-    Whatever the kind of an event, a text about it contains at least one of some words or names: an alias of
-    the first side, the tournament or one of its words, or a telling word.  The last characters of each are an
-    equi-join key on the runs of as many characters of the calendar's texts, which misses nothing; the whole
-    predicate is tested on what is left.
+    A text about an event contains a word or name of each of some sets: an alias of either side, the tournament
+    or any one of its words, or one of its telling words even without the commonest, as two must be there.  Of an event's sets
+    the one that is found least often in the calendar, by counted runs of letters, is looked for; the last
+    characters of its members are an equi-join key on the runs of as many characters of the
+    texts, which misses nothing, and the whole predicate is tested on what is left.
     """
     given = [c for c in EVENT if c in events.columns]
     for c in EVENT:
         if c not in given:
             events = events.withColumn(c, F.lit(""))
-    known = events.select(*EVENT, verify.facts(*map(F.col, EVENT)).alias("of"))
+    known = settled(events.select(*EVENT, verify.facts(*map(F.col, EVENT)).alias("of")).withColumn("event", F.monotonically_increasing_id()), "events")
     named = F.filter(F.array(text.norm_verify(F.col("tournament")), text.norm_verify(text.englished(F.col("tournament")))), lambda x: x != "")
-    by = F.when(F.col("of.kind") == "MATCH", F.get("of.sides", F.lit(0))).when(F.col("of.kind") == "DRAW", F.concat(named, text.significant_tokens(F.col("tournament")))).otherwise(F.col("of.words"))
-    want = known.withColumn("gram", F.explode(F.array_distinct(F.transform(by, lambda x: F.right(x, F.lit(gram))))))
-    have = calendar_titles.select("cal_title", text.norm_verify(F.col("cal_title")).alias("said")).where("said <> ''")
+    tokens, words = text.significant_tokens(F.col("tournament")), F.col("of.words")
+    draw = F.when(F.size(tokens) > 0, F.transform(tokens, lambda t: F.concat(named, F.array(t)))).otherwise(F.array(named))
+    some = F.when(F.size(words) > 1, F.transform(words, lambda w: F.array_remove(words, w))).otherwise(F.array(words))
+    sets = F.when(F.col("of.kind") == "MATCH", F.col("of.sides")).when(F.col("of.kind") == "DRAW", draw).otherwise(some)
+    want = settled(known.select("event", F.posexplode(sets).alias("choice", "any_of")).select("event", "choice", F.explode(F.array_distinct(F.transform("any_of", lambda x: F.right(x, F.lit(gram))))).alias("gram")), "grams")
+    texts = calendar_titles.select("cal_title", text.norm_verify(F.col("cal_title")).alias("said")).where("said <> ''")
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("said")), lambda i: F.substr("said", i, F.lit(n)))
-    have = have.withColumn("gram", F.explode(F.array_distinct(F.concat(*map(runs, range(1, gram + 1))))))
-    return want.join(have, "gram").where(verify.told(F.col("said"), F.col("of"))).select(*given, "cal_title").distinct()
+    asked = want.select("gram").distinct()
+    have = settled(texts.withColumn("gram", F.explode(F.array_distinct(F.concat(*map(runs, range(1, gram + 1)))))).join(asked, "gram", "left_semi"), "runs")
+    often = have.groupBy("gram").agg(F.count("*").alias("n"))
+    cost = want.join(often, "gram", "left").groupBy("event", "choice").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"))
+    rarest = cost.groupBy("event").agg(F.min(F.struct("cost", "choice")).alias("b")).select("event", F.col("b.choice").alias("choice"))
+    pairs = want.join(rarest, ["event", "choice"]).join(have, "gram").select("event", "cal_title", "said").distinct()
+    return pairs.join(known, "event").where(verify.told(F.col("said"), F.col("of"))).select(*given, "cal_title").distinct()
 
 
 def by_calendar(slots: DataFrame, calendar: DataFrame, matched: DataFrame, exact: bool = False) -> DataFrame:

@@ -240,15 +240,15 @@ _CARD_TIME = "case ord % 3 when 0 then strftime(start_at, '%d.%m.%Y %H:%M') when
 
 @query(
     duck(
-        "select url, strftime(start_at + case when start_at < timestamp '2024-02-29 21:00:00' then interval 3 hour else interval 2 hour end, '%Y-%m-%d %H:%M') as start_text, case when url like '%/football/%' then 'Футбол' when url like '%/hockey/%' then 'Хоккей' when url like '/other/%' then 'Прочее' else '' end as sport, title, raw, case ord % 3 when 0 then 'Окончен' when 1 then 'Идёт' else '' end as status from carded qualify row_number() over (partition by date, url order by length(raw) desc, time, ord) = 1",
+        "select url, strftime(start_at + case when start_at < timestamp '2024-02-29 21:00:00' then interval 3 hour else interval 2 hour end, '%Y-%m-%d %H:%M') as start_text, case when url like '%/football/%' then 'Футбол' when url like '%/hockey/%' then 'Хоккей' when url like '/other/%' then 'Прочее' else '' end as sport, title, raw, case ord % 3 when 0 then 'Окончен' when 1 then 'Идёт' else '' end as status from carded qualify row_number() over (partition by date, channel, url order by length(raw) desc, time, ord) = 1",
         f"carded as (select *, {_CARD_URL} as url, {_CARD_TIME} || ' ' || title || case ord % 3 when 0 then ' Окончен' when 1 then ' 2-й тайм' else '' end as raw from bx)",
     )
 )
 def calendar_cards(spark, sf_dir):
-    """Cards of matches, one page a day: clock, link and status; some matches are linked twice."""
+    """Cards of matches, one page a day and channel: clock, link and status."""
     at = F.expr("case ord % 3 when 0 then date_format(start_at, 'dd.MM.yyyy HH:mm') when 1 then date_format(start_at, 'dd.MM HH:mm') else date_format(start_at, 'HH:mm') end")
     url = F.expr(_CARD_URL.replace("//", "div").replace("https:div", "https://"))
     card = F.concat(F.lit('<div class="card"><div>'), at, F.lit('</div><p><a href="'), url, F.lit('#x">'), F.col("title"), F.lit("</a></p>"), F.expr("case ord % 3 when 0 then '<span>Окончен</span>' when 1 then '<span>2-й тайм</span>' else '' end"), F.lit("</div>"))
-    pages = bx(spark, sf_dir).select("date", F.struct("time", "ord", card.alias("x")).alias("r")).groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), "").alias("html"))
-    got = calendars.match_cards(pages, "date", "html", F.col("date").cast("date"))
+    pages = bx(spark, sf_dir).select("date", "channel", F.struct("time", "ord", card.alias("x")).alias("r")).groupBy("date", "channel").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), "").alias("html"))
+    got = calendars.match_cards(pages.withColumn("page", F.concat_ws("/", "date", "channel")), "page", "html", F.col("date").cast("date"))
     return got.select("url", F.date_format("start_at", "yyyy-MM-dd HH:mm").alias("start_text"), "sport", "title", F.col("raw_title").alias("raw"), "status")

@@ -78,18 +78,18 @@ def epg_scan(spark, sf_dir):
     return guides.epg_rows(landed).select("channel", "date", "time", ts("end_at").alias("end_text"), F.col("raw_title").alias("title"), "live_state")
 
 
-@query(duck("select date as page, strftime(start_at at time zone 'Europe/Moscow' at time zone 'Asia/Almaty', '%Y-%m-%d %H:%M') as start_text, sport, tournament, title, status from ev", "lines as (select ord, date, time, case sport when 'Бокс' then 'MMA' else sport end as sport, case when sport = '' then '' else tournament end as tournament, title, start_at, case ord % 3 when 0 then 'Не начался' when 1 then 'Окончен' else '' end as status from bx)", "ev as (select * from lines where status <> '' qualify row_number() over (partition by date, start_at, sport, lower(title) order by tournament, ord) = 1)"))
+@query(duck("select date || '/' || channel as page, strftime(start_at at time zone 'Europe/Moscow' at time zone 'Asia/Almaty', '%Y-%m-%d %H:%M') as start_text, sport, tournament, title, status from ev", "lines as (select ord, date, channel, time, case sport when 'Бокс' then 'MMA' else sport end as sport, case when sport = '' then '' else tournament end as tournament, title, start_at, case ord % 3 when 0 then 'Не начался' when 1 then 'Окончен' else '' end as status from bx)", "ev as (select * from lines where status <> '' qualify row_number() over (partition by date, channel, start_at, sport, lower(title) order by tournament, ord) = 1)"))
 def calendar_text_scan(spark, sf_dir):
     rows = bx(spark, sf_dir)
     status = F.expr("case ord % 3 when 0 then ' Не начался' when 1 then ' Окончен' else '' end")
     line = F.concat(F.lit("* "), F.col("time"), F.lit(" **"), F.col("title"), F.lit("**"), status)
-    first = F.row_number().over(schedule_window("date", "sport", "tournament")) == 1
-    new_sport = F.row_number().over(schedule_window("date", "sport")) == 1
+    first = F.row_number().over(schedule_window("date", "channel", "sport", "tournament")) == 1
+    new_sport = F.row_number().over(schedule_window("date", "channel", "sport")) == 1
     said = rows.withColumns({"line": line, "t": first, "s": new_sport})
     full = F.concat(F.when(F.expr("s and sport <> ''"), F.concat(F.lit("## "), F.col("sport"), F.lit("\n"))).otherwise(""), F.when(F.col("t"), F.concat("tournament", F.lit("\n"))).otherwise(""), "line")
-    pages = said.groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sport", "tournament", "ord", full.alias("x")))), lambda x: x["x"]), "\n").alias("body"))
-    got = calendars.calendar_rows(pages, "date", "body", F.col("date").cast("date"))
-    return got.select(F.col("date").alias("page"), ts("start_at").alias("start_text"), "sport", "tournament", "title", "status")
+    pages = said.groupBy("date", "channel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sport", "tournament", "ord", full.alias("x")))), lambda x: x["x"]), "\n").alias("body"))
+    got = calendars.calendar_rows(pages.withColumn("page", F.concat_ws("/", "date", "channel")), "page", "body", F.col("date").cast("date"))
+    return got.select("page", ts("start_at").alias("start_text"), "sport", "tournament", "title", "status")
 
 
 def schedule_window(*keys):
