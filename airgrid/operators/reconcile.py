@@ -124,3 +124,40 @@ def within_budget(rows: DataFrame, now: str, n: int = 20, back_hours: int = 6, a
     near = rows.where(F.col("start_at").between(at - F.expr(f"interval {back_hours} hours"), at + F.expr(f"interval {ahead_hours} hours")))
     first = near.orderBy("date", "time", "channel", "ord").limit(n).select("ord", F.lit(True).alias("chosen"))
     return near.join(F.broadcast(first), "ord", "left").withColumn("turn", F.when(F.col("chosen"), "checked").otherwise("pending")).drop("chosen")
+
+
+#: Minutes for which a stored verdict is used again, by its state; all others for the last.
+KEPT_MINUTES = {"confirmed": 720, "mismatch": 720, "unknown": 30}
+KEPT_OTHERS = 5
+
+
+def verdict_key(channel: Column, date: Column, time: Column, title: Column) -> Column:
+    """By what a stored verdict is found again."""
+    return F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in (channel, date, time)), F.lower(text.collapsed(title)))
+
+
+def still_valid(state: Column, checked_at: Column, now: str) -> Column:
+    minutes = F.coalesce(*(F.when(state == k, F.lit(v)) for k, v in KEPT_MINUTES.items()), F.lit(KEPT_OTHERS))
+    return minutes_between(checked_at, F.lit(now).cast("timestamp")) < minutes
+
+
+def driven(rows: DataFrame, near: DataFrame, exact: DataFrame, stored: DataFrame, strict: tuple[str, ...], now: str, n: int = 20) -> DataFrame:
+    """ord, turn, state of every sport event's reconciliation.
+
+    ``rows``: ord, channel, date, time, title, start_at, is_sport_event; ``near`` and ``exact``: ord, state by the calendar, of which
+    channels in ``strict`` want the very minute; ``stored``: key, state, checked_at of earlier slow checks.
+
+    What the calendar knows holds (turn: calendar).  A strict channel's event that it does not know waits for it (strict).  For others a
+    stored verdict that is still valid is used again (cached); of the rest, those near the instant go to the slow check, the first ``n`` of
+    them now (checked), and all others wait (pending).  Only what is checked now has no state yet.
+    """
+    asked = rows.where("is_sport_event").withColumns({"is_strict": F.col("channel").isin(*strict), "key": verdict_key(*map(F.col, ("channel", "date", "time", "title")))})
+    by = lambda df, name: df.select("ord", F.col("state").alias(name))
+    told = asked.join(by(near, "near"), "ord", "left").join(by(exact, "exact"), "ord", "left").withColumn("state", F.coalesce(F.when(F.col("is_strict"), F.col("exact")).otherwise(F.col("near")), F.lit("unknown")))
+    last = stored.groupBy("key").agg(F.max(F.struct("checked_at", "state")).alias("v")).select("key", F.col("v.state").alias("kept"), F.col("v.checked_at").alias("checked_at"))
+    j = told.join(last.where(still_valid(F.col("kept"), F.col("checked_at"), now)), "key", "left")
+    known = F.col("state").isin("confirmed", "mismatch")
+    first = settled(j.withColumn("turn", F.when(known, "calendar").when(F.col("is_strict"), "strict").when(F.col("kept").isNotNull(), "cached")), "turns")
+    slow = within_budget(first.where("turn is null").select("ord", "date", "time", "channel", "start_at"), now, n).select("ord", F.col("turn").alias("slow"))
+    out = first.join(slow, "ord", "left").withColumn("turn", F.coalesce("turn", "slow", F.lit("pending")))
+    return out.select("ord", "turn", F.when(F.col("turn") == "cached", F.col("kept")).when(F.col("turn") != "checked", F.col("state")).alias("state"))

@@ -234,6 +234,14 @@ def third_party_week(spark, sf_dir):
     return listings.live_rows(_pages_week(spark, sf_dir), "page", "html", F.col("week").cast("date"))
 
 
+@query(duck("select channel || '/' || date as page, date, time, title || case when ord % 2 = 0 then ' прямая трансляция' else '' end as title, ord % 2 = 0 as explicit from bx where is_live_broadcast and ord % 3 = 0 qualify row_number() over (partition by channel, date, time, lower(title || case when ord % 2 = 0 then ' прямая трансляция' else '' end) order by ord) = 1"))
+def third_party_day(spark, sf_dir):
+    """Pages of one day each, without headings: all rows are of the day that was asked for."""
+    cell = F.expr(f"struct(time, ord, concat('<div class=\"row\"><div class=\"time\">', case when time like '0%' then substr(time, 2) else time end, '</div><div class=\"prname2\">', title, case when ord % 2 = 0 then ' прямая  трансляция' else '' end, case when {_LIVE_ICON} then '<img src=\"/i/ico_live.gif?1\">' when ord % 5 = 1 then '<img src=\"/i/ico_old.gif\">' else '' end, '</div></div>') as x) as r")
+    pages = bx(spark, sf_dir).select("channel", "date", cell).groupBy("channel", "date").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), "").alias("html"))
+    return listings.live_rows(pages.select(F.concat_ws("/", "channel", "date").alias("page"), "html", "date"), "page", "html", F.col("date").cast("date"), week=False)
+
+
 _CARD_URL = "case ord % 4 when 0 then 'https://x.example/football/_a/match/' when 1 then '/stat/hockey/match/' when 2 then '/other/match/' else '/unknown/match/' end || (ord // 2) || '/'"
 _CARD_TIME = "case ord % 3 when 0 then strftime(start_at, '%d.%m.%Y %H:%M') when 1 then strftime(start_at, '%d.%m %H:%M') else strftime(start_at, '%H:%M') end"
 

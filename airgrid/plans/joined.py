@@ -142,6 +142,34 @@ def fallback_budget(spark, sf_dir):
     return reconcile.within_budget(bx(spark, sf_dir), NOW).select("ord", "turn")
 
 
+_STRICT = ("ch03", "ch05")
+_KEY = "concat_ws('|', channel, date, time, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))))"
+_STORED_STATE = "case ord % 8 when 1 then 'confirmed' when 5 then 'unknown' else 'unavailable' end"
+
+
+@query(
+    duck(
+        "select ord, turn, case when turn = 'checked' then '' when turn = 'cached' then kept else state end as state from turned",
+        f"near as ({QUERIES['calendar_reconcile'][1]})",
+        f"exact as ({QUERIES['calendar_reconcile_exact'][1]})",
+        f"stored as (select key, state, checked_at from (select {_KEY} as key, {_STORED_STATE} as state, timestamp '{NOW}' - to_minutes(cast(ord % 900 as integer)) as checked_at from bx where ord % 4 = 1 or ord % 8 = 2) qualify row_number() over (partition by key order by checked_at desc, state desc) = 1)",
+        f"asked as (select b.ord, b.channel, b.date, b.time, b.start_at, {_KEY} as key, case when channel in ('ch03', 'ch05') then e.state else n.state end as state from bx b join near n using (ord) join exact e using (ord) where b.ord % 6 <> 5)",
+        f"kept as (select a.*, s.state as kept, case when a.state <> 'unknown' then 'calendar' when channel in ('ch03', 'ch05') then 'strict' when s.state is not null then 'cached' end as first_turn from asked a left join (select * from stored where date_diff('second', checked_at, timestamp '{NOW}') // 60 < case state when 'confirmed' then 720 when 'mismatch' then 720 when 'unknown' then 30 else 5 end) s using (key))",
+        f"slow as (select ord, row_number() over (order by date, time, channel, ord) as i from kept where first_turn is null and start_at between timestamp '{NOW}' - interval 6 hour and timestamp '{NOW}' + interval 36 hour)",
+        "turned as (select k.*, coalesce(first_turn, case when i <= 20 then 'checked' else 'pending' end) as turn from kept k left join slow using (ord))",
+    )
+)
+def reconcile_driven(spark, sf_dir):
+    """Every sport event's way through the calendar, stored verdicts and the budget of slow checks."""
+    rows = bx(spark, sf_dir)
+    near, exact = calendar_reconcile(spark, sf_dir), calendar_reconcile_exact(spark, sf_dir)
+    age = F.expr("make_dt_interval(0, 0, cast(ord % 900 as int), 0)")
+    key = reconcile.verdict_key(*map(F.col, ("channel", "date", "time", "title")))
+    stored = rows.where("ord % 4 = 1 or ord % 8 = 2").select(key.alias("key"), F.expr(_STORED_STATE).alias("state"), (F.lit(NOW).cast("timestamp") - age).alias("checked_at"))
+    out = reconcile.driven(rows.withColumn("is_sport_event", F.expr("ord % 6 <> 5")), near, exact, stored, _STRICT, NOW)
+    return out.withColumn("state", F.coalesce("state", F.lit("")))
+
+
 # simulcasts and snapshots ------------------------------------------------------------------
 _KEYED = f"keyed as (select *, {d_norm('title')} as nt, {d_norm('sport')} as ns, {d_norm('tournament')} as nn from bx)"
 
