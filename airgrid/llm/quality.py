@@ -216,7 +216,8 @@ def oracle_sql(host_col: str = "source") -> str:
     low = ", ".join(f"r_{r} - {DEVIATIONS} * sqrt(r_{r} * (1 - r_{r}) / (n + s_{r} + 1)) AS l_{r}" for r in rules)
     bad = " OR ".join(f"l_{r} * (1 - m_{r}) > {BAD_ODDS} * m_{r} * (1 - l_{r})" for r in rules)
     edge = lambda r: f"{QUANTILE} * sqrt(m_{r} * (1 - m_{r}) / (s_{r} + 1))"
-    limit = ", ".join(f"{n} * CASE WHEN r_{r} - m_{r} < -({edge(r)}) THEN {LENIENT} WHEN r_{r} - m_{r} > {edge(r)} THEN {STRICT} ELSE 1.0 END AS limit_{r}" for r, n in SOFT.items())
+    double = lambda x: f"CAST({x!r} AS DOUBLE)"  # noqa: E731  a bare number is a decimal there
+    limit = ", ".join(f"CASE WHEN r_{r} - m_{r} < -({edge(r)}) THEN {double(LENIENT * n)} WHEN r_{r} - m_{r} > {edge(r)} THEN {double(STRICT * n)} ELSE {double(1.0 * n)} END AS limit_{r}" for r, n in SOFT.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, {host_col} AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
