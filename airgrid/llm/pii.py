@@ -107,9 +107,11 @@ def terms_of(text: Column) -> Column:
 
 def near_terms(before: Column, after: Column, near: int) -> Column:
     """The distinct terms at most ``near`` words before or after, and for each spelling whether more than a few small letters."""
+    # what holds the first words is cut off before words are told apart, so that a long line is not scanned whole for each of its entities
+    sign = TERM.removesuffix("+").removeprefix("[").removesuffix("]")
+    head = lambda x: F.regexp_extract(x, rf"^(?:[^{sign}]*+[{sign}]++){{0,{near}}}", 0)
     words = lambda x: F.regexp_extract_all(x, F.lit(TERM), F.lit(0))
-    last = let(words(before), lambda w: F.slice(w, F.greatest(F.size(w) - near + 1, F.lit(1)), F.lit(near)))
-    first = let(words(after), lambda w: F.slice(w, F.lit(1), F.lit(near)))
+    last, first = words(F.reverse(head(F.reverse(before)))), words(head(after))
     return F.array_distinct(F.transform(F.concat(last, first), lambda w: F.struct(F.lower(w).alias("term"), (~w.rlike(SMALL)).alias("named"))))
 
 
