@@ -256,11 +256,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     name = fresh(docs.columns, column)
     sent = [docs.sparkSession.sparkContext.broadcast(x) for x in test_blocks(benchmark, id_col, bench_text, block_bytes)]
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, MATCH)])
+    # any signs may be in the columns' names, but not in those that go through Arrow
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+    text_at = plain.columns[docs.columns.index(text_col)]
+    schema = T.StructType([*plain.schema.fields, T.StructField("_found", MATCH)])
 
     def work(batches):
         only = TestBlock(*sent[0].value, window) if len(sent) == 1 else None
-        for group in _groups(batches, text_col, window, 1 if only else GROUP_SHARDS):
+        for group in _groups(batches, text_at, window, 1 if only else GROUP_SHARDS):
             for one in sent:
                 block = only or TestBlock(*one.value, window)
                 for shard in group:
@@ -270,7 +273,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for shard in group:
                 yield pa.RecordBatch.from_arrays([*shard.part.columns, shard.result()], names=schema.names)
 
-    return docs.mapInArrow(work, schema), name
+    return plain.mapInArrow(work, schema).toDF(*docs.columns, name), name
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
