@@ -76,19 +76,22 @@ def by_calendar(slots: DataFrame, calendar: DataFrame, matched: DataFrame, exact
     key = [c for c in EVENT if c in matched.columns or c == "sport"]
     minute = lambda c: F.floor(F.unix_timestamp(c) / 60)
     day = F.floor(F.col("m") / 1440)
-    events = calendar.join(matched, "cal_title").join(slots.select(*key).distinct(), [c for c in key if c in matched.columns]).where(sport_compatible(F.col("sport"), F.col("cal_sport"))).groupBy(*key, minute("cal_start").alias("m")).agg(F.min("cal_ord").alias("cal_ord")).withColumn("day", day)
+    # equal texts of a minute are one event, before each is told apart into all that it is about
+    once = calendar.groupBy("cal_title", "cal_sport", minute("cal_start").alias("m")).agg(F.min("cal_ord").alias("cal_ord"))
+    events = once.join(matched, "cal_title").join(slots.select(*key).distinct(), [c for c in key if c in matched.columns]).where(sport_compatible(F.col("sport"), F.col("cal_sport"))).groupBy(*key, "m").agg(F.min("cal_ord").alias("cal_ord")).withColumn("day", day)
     asked = slots.select("ord", *key, minute("start_at").alias("m")).withColumn("day", day)
 
     ends = events.groupBy(*key, "day").agg(F.min(F.struct("m", "cal_ord")).alias("first"), F.max(F.struct("m", "cal_ord")).alias("last"))
     days = asked.select(*key, "day").distinct().join(ends, [*key, "day"], "full")
-    w = Window.partitionBy(*key).orderBy("day")
-    carried = days.withColumns({"before": F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    # a frame that ends at the last row is gone through anew for each row: what follows is looked for backwards
+    w, back_w = (Window.partitionBy(*key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("day", F.desc("day")))
+    carried = days.withColumns({"before": F.last("last", ignorenulls=True).over(w), "after": F.last("first", ignorenulls=True).over(back_w)})
     event = F.struct("m", "cal_ord")
     none = F.lit(None).cast("struct<m:long,cal_ord:long>")
     rows = asked.select(*key, "day", "m", "ord", none.alias("e")).unionByName(events.select(*key, "day", "m", F.lit(None).cast("long").alias("ord"), event.cast("struct<m:long,cal_ord:long>").alias("e")))
     back = Window.partitionBy(*key, "day").orderBy("m").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*key, "day").orderBy("m").rangeBetween(0, Window.unboundedFollowing)
-    seen = rows.withColumns({"b": F.last("e", ignorenulls=True).over(back), "a": F.first("e", ignorenulls=True).over(ahead)}).where("ord is not null")
+    ahead = Window.partitionBy(*key, "day").orderBy(F.desc("m")).rangeBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"b": F.last("e", ignorenulls=True).over(back), "a": F.last("e", ignorenulls=True).over(ahead)}).where("ord is not null")
     seen = seen.join(carried.select(*key, "day", "before", "after"), [*key, "day"], "left")
 
     def candidate(e: Column) -> Column:
@@ -98,7 +101,7 @@ def by_calendar(slots: DataFrame, calendar: DataFrame, matched: DataFrame, exact
 
     best = F.array_min(F.array_compact(F.array(*(candidate(F.coalesce(F.col(x), F.col(y))) for x, y in (("b", "before"), ("a", "after"))))))
     state = F.when(F.col("best").isNull(), "unknown").when(F.col("best.far"), "mismatch").otherwise("confirmed")
-    return seen.select("ord", best.alias("best")).select("ord", state.alias("state"), F.col("best.cal_ord").alias("cal_ord"), F.col("best.difference").alias("difference"))
+    return seen.groupBy("ord").agg(F.min(best).alias("best")).select("ord", state.alias("state"), F.col("best.cal_ord").alias("cal_ord"), F.col("best.difference").alias("difference"))
 
 
 def outcome(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import lexicon as L
 from ..operators import windows
 from ..operators.schedule import first_by
 from . import html
+from .shared import settled
 
 TIME = r"(?<!\d)([01]\d|2[0-3]):[0-5]\d(?!\d)"
 # What counts as a live mark in attributes and in markup between two times.
@@ -42,10 +43,11 @@ def anchors(pages: DataFrame, key: str = "page_id", markup: str = "html") -> Dat
     for attr in ("title", "alt", "src"):
         badge = badge | F.coalesce(F.lower(F.try_element_at("attrs", F.lit(attr))).rlike(LIVE_TOKEN), F.lit(False))
     badge = badge | F.coalesce(F.lower(F.try_element_at("attrs", F.lit("class"))).rlike(LIVE_CLASS), F.lit(False))
-    marks = every.where(badge).select(key, F.col("ord").alias("badge_at"))
-    links = every.where("tag = 'a'").withColumn("time", F.regexp_extract("text", TIME, 0)).where("time <> ''")
-    inside = links.join(marks, key).where((F.col("badge_at") > F.col("ord")) & (F.col("badge_at") <= F.col("last"))).select(key, "ord", F.lit(True).alias("has_badge")).distinct()
-    rows = links.join(inside, [key, "ord"], "left").select(key, "ord", "time", clean_title(F.col("text"), F.col("time")).alias("title"), F.upper("text").contains("LIVE").alias("is_live"), F.coalesce("has_badge", F.lit(False)).alias("has_badge"), clock.minute_of_day(F.col("time")).alias("minute"))
+    seen = every.withColumn("badge", badge).where("badge or tag = 'a'").select(key, "ord", "last", "tag", "badge", F.when(F.col("tag") == "a", F.col("text")).alias("text"))
+    seen = html.following(seen, key, badge_at=(F.col("badge"), F.col("ord")))
+    links = seen.where("tag = 'a'").withColumn("time", F.regexp_extract("text", TIME, 0)).where("time <> ''")
+    has_badge = F.coalesce(F.col("badge_at") <= F.col("last"), F.lit(False)).alias("has_badge")
+    rows = links.select(key, "ord", "time", clean_title(F.col("text"), F.col("time")).alias("title"), F.upper("text").contains("LIVE").alias("is_live"), has_badge, clock.minute_of_day(F.col("time")).alias("minute"))
     rolled = windows.rollover(rows, [key], "ord", "minute")
     once = first_by(rolled.select("ord", key, "time", "title", "is_live", "has_badge", "day_offset", (F.col("day_offset") * 1440 + F.col("minute")).alias("offset")), [F.col(key), F.col("day_offset"), F.col("time"), F.col("title")], ["ord"])
     return windows.next_end(once, [key], ["offset", "ord"], "offset").withColumnRenamed("next_start", "next_offset")
@@ -126,15 +128,17 @@ def without_dates(pages: DataFrame, key: str, markup: str, reference: str) -> Da
 
 def on_air_times(pages: DataFrame, key: str, markup: str) -> DataFrame:
     """key, time of list items with a blinking link that says live: what is on now, which is no claim of a direct broadcast."""
-    every = html.elements(pages, key, markup)
+    every = html.elements(pages, key, markup, ("div", "a", "li", "span"), "li")
+    tag, clock_ = F.col("tag"), F.col("text").rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")
     token = F.array_contains(F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+"), "blink")
-    blinks = every.where((F.col("tag") == "div") & token).select(key, F.col("ord").alias("b"), F.col("last").alias("b_last"))
-    links = every.where("tag = 'a'").select(key, F.col("ord").alias("l"), F.lower(F.concat_ws(" ", F.try_element_at("attrs", F.lit("title")), "text")).alias("said"))
-    first = blinks.join(links, key).where("l > b and l <= b_last").groupBy(key, "b").agg(F.min_by("said", "l").alias("said")).where(F.col("said").contains("live"))
-    items = every.where("tag = 'li'").select(key, F.col("ord").alias("i"), F.col("last").alias("i_last"))
-    inside = first.join(items, key).where("i < b and b <= i_last").groupBy(key, "b").agg(F.max(F.struct("i", "i_last")).alias("item")).select(key, "item.*")
-    spans = every.where("tag = 'span'").where(F.col("text").rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")).select(key, F.col("ord").alias("s"), "text")
-    return inside.join(spans, key).where("s > i and s <= i_last").groupBy(key, "i").agg(F.min_by("text", "s").alias("time")).select(key, "time").distinct()
+    said = F.when(tag == "a", F.lower(F.concat_ws(" ", F.try_element_at("attrs", F.lit("title")), "text")))
+    told = every.select(key, "ord", "last", "tag", "within", token.alias("blink"), said.alias("said"), F.when((tag == "span") & clock_, F.col("text")).alias("time"))
+    told = told.where("tag = 'a' or tag = 'li' or (tag = 'div' and blink) or time is not null")
+    at = lambda c: F.struct("ord", F.col(c).alias("x"))
+    told = html.following(told, key, link=(tag == "a", at("said")), clock=(F.col("time").isNotNull(), at("time")))
+    blinks = told.where("tag = 'div' and blink and link.ord <= last and within >= 0").where(F.col("link.x").contains("live")).select(key, F.col("within").alias("ord")).distinct()
+    items = told.where("tag = 'li' and clock.ord <= last").select(key, "ord", F.col("clock.x").alias("time"))
+    return items.join(blinks, [key, "ord"], "left_semi").select(key, "time").distinct()
 
 
 EPG = "pages array<struct<events array<struct<title string, eventDescriptionMedium string, scheduledFor struct<begin string, end string>>>>>"
@@ -227,6 +231,7 @@ def with_banner(rows: DataFrame, on_now: DataFrame, key: str) -> DataFrame:
 
     Its day is the first of three that lies within the rows' span, or else the one nearest to either end of it.
     """
+    rows = settled(rows, "rows")
     span = rows.groupBy(key).agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
     m = clock.minute_of_day(F.col("time"))
 
@@ -249,13 +254,13 @@ def confirmed(rows: DataFrame, pages: DataFrame, key: str, markup: str) -> DataF
 
     What is so marked is parsed anew; without a sport it is on the air but not direct.
     """
-    badges = rows.where("has_badge").groupBy(key).agg(F.collect_set("time").alias("badge_times"))
+    badges = rows.where("has_badge").select(key, "time").distinct().withColumn("_badge", F.lit(True))
     nodes = html.text_nodes(pages, key, markup).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("said"))
-    told = pages.select(key, gap_live_times(F.col(markup)).alias("gaps")).join(nodes, key, "left").select(key, F.array_union("gaps", F.coalesce(live_times(F.col("said")), F.array().cast("array<string>"))).alias("told_times"))
-    r = rows.join(badges, key, "left").join(told, key, "left")
-    has = lambda c: F.coalesce(F.array_contains(c, F.col("time")), F.lit(False))
-    method = F.when(has("badge_times"), "official_live_badge").when(has("told_times"), "guide_page_live_text")
-    r = r.withColumn("method", method).drop("badge_times", "told_times")
+    told = pages.select(key, gap_live_times(F.col(markup)).alias("gaps")).join(nodes, key, "left").select(key, F.explode(F.array_union("gaps", F.coalesce(live_times(F.col("said")), F.array().cast("array<string>")))).alias("time")).withColumn("_told", F.lit(True))
+    # by page and time, one row each: a page's times beside each of its rows would make the rows as many times larger
+    r = rows.join(badges, [key, "time"], "left").join(told, [key, "time"], "left")
+    method = F.when(F.col("_badge"), "official_live_badge").when(F.col("_told"), "guide_page_live_text")
+    r = r.withColumn("method", method).drop("_badge", "_told")
     named = titles.guide_title(F.col("title"))
     r = r.withColumn("named", F.when(F.col("method").isNotNull(), named))
     direct = F.col("method").isNotNull() & (F.col("named.sport") != "")

@@ -38,15 +38,17 @@ def live_rows(pages: DataFrame, key: str, markup: str, anchor: Column, week: boo
     day before it, not further than ``REACH`` texts.  ``week`` false: the page is of the anchor's day and has no headings.
     """
     every = html.elements(pages, key, markup)
-    cells = every.where((F.col("tag") == "div") & has_class("prname2")).select(key, "ord", "parent", "last", text.collapsed(F.col("text")).alias("title"))
-    icons = every.where("tag = 'img'").where(F.try_element_at("attrs", F.lit("src")).rlike(ICON)).select(key, F.col("ord").alias("icon"))
-    live = cells.join(icons, key).where("icon > ord and icon <= last").select(key, "ord", "parent", "title").distinct()
-    times = every.where((F.col("tag") == "div") & has_class("time")).select(key, F.col("ord").alias("t"), F.col("parent").alias("p"), F.regexp_extract("text", r"(?<![\p{L}\d])([0-2]?\d:[0-5]\d)(?![\p{L}\d])", 1).alias("clock"))
-    parents = every.select(key, F.col("ord").alias("parent"), F.col("last").alias("parent_last"))
-    near = live.join(parents, [key, "parent"], "left").join(times, key).where("t > parent and t <= parent_last")
-    sibling = (F.col("p") == F.col("parent")) & (F.col("t") < F.col("ord"))
-    rank = F.struct(F.when(sibling, 1).otherwise(0), F.when(sibling, F.col("t")).otherwise(-F.col("t")))
-    rows = near.groupBy(key, "ord", "title").agg(F.max_by("clock", rank).alias("clock")).where("clock <> '' and title <> ''")
+    is_cell, is_time = (F.col("tag") == "div") & has_class("prname2"), (F.col("tag") == "div") & has_class("time")
+    is_icon = (F.col("tag") == "img") & F.coalesce(F.try_element_at("attrs", F.lit("src")).rlike(ICON), F.lit(False))
+    clock = F.regexp_extract("text", r"(?<![\p{L}\d])([0-2]?\d:[0-5]\d)(?![\p{L}\d])", 1)
+    told = every.select(key, "ord", "parent", "last", is_icon.alias("is_icon"), F.when(is_cell, text.collapsed(F.col("text"))).alias("title"), F.when(is_time, clock).alias("clock"))
+    times = (F.col("clock").isNotNull(), F.struct("ord", "clock"))
+    told = html.following(told, key, icon=(F.col("is_icon"), F.col("ord")), first=times)
+    before = Window.partitionBy(key, "parent").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    cells = told.where("parent >= 0 and (title is not null or clock is not null)").withColumn("own", F.last(F.when(*times), ignorenulls=True).over(before))
+    live = cells.where("title is not null and icon <= last").select(key, "ord", "parent", "title", "own")
+    parents = told.where("first.ord <= last").select(key, F.col("ord").alias("parent"), "first")
+    rows = live.join(parents, [key, "parent"]).select(key, "ord", "title", F.coalesce("own.clock", "first.clock").alias("clock")).where("clock <> '' and title <> ''")
     rows = rows.join(pages.select(key, anchor.alias("anchor")), key)
     if week:
         nodes = html.placed_nodes(pages, key, markup).join(pages.select(key, anchor.alias("anchor")), key)
