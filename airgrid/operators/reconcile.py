@@ -73,13 +73,19 @@ def by_calendar(slots: DataFrame, calendar: DataFrame, matched: DataFrame, exact
     of a title and sport are sorted together by day, and each day gets the last event of earlier days
     and the first of later ones, so that no task sorts more than a day of one title.
     """
-    key = [c for c in EVENT if c in matched.columns or c == "sport"]
+    texts = [c for c in EVENT if c in matched.columns or c == "sport"]
     minute = lambda c: F.floor(F.unix_timestamp(c) / 60)
     day = F.floor(F.col("m") / 1440)
-    # equal texts of a minute are one event, before each is told apart into all that it is about
-    once = calendar.groupBy("cal_title", "cal_sport", minute("cal_start").alias("m")).agg(F.min("cal_ord").alias("cal_ord"))
-    events = once.join(matched, "cal_title").join(slots.select(*key).distinct(), [c for c in key if c in matched.columns]).where(sport_compatible(F.col("sport"), F.col("cal_sport"))).groupBy(*key, "m").agg(F.min("cal_ord").alias("cal_ord")).withColumn("day", day)
-    asked = slots.select("ord", *key, minute("start_at").alias("m")).withColumn("day", day)
+    # a number for each different text of slots: rows by the minute carry that, and whether sports go together is judged once for each pair of texts
+    known = settled(slots.select(*texts).distinct().withColumn("k", F.monotonically_increasing_id()), "keys")
+    once = settled(calendar.groupBy("cal_title", "cal_sport", minute("cal_start").alias("m")).agg(F.min("cal_ord").alias("cal_ord")), "once")
+    about = once.select("cal_title", "cal_sport").distinct().join(matched, "cal_title").join(known, [c for c in texts if c in matched.columns]).where(sport_compatible(F.col("sport"), F.col("cal_sport"))).select("k", "cal_title", "cal_sport")
+    # null sports or titles of the calendar go with what they went with in ``about``
+    same = F.expr("o.cal_title <=> a.cal_title and o.cal_sport <=> a.cal_sport")
+    events = once.alias("o").join(settled(about, "about").alias("a"), same).groupBy("k", "m").agg(F.min("cal_ord").alias("cal_ord")).withColumn("day", day)
+    own = known.withColumnsRenamed({c: f"_{c}" for c in texts})
+    asked = slots.join(own, F.expr(" and ".join(f"{c} <=> _{c}" for c in texts))).select("ord", "k", minute("start_at").alias("m")).withColumn("day", day)
+    key = ["k"]
 
     ends = events.groupBy(*key, "day").agg(F.min(F.struct("m", "cal_ord")).alias("first"), F.max(F.struct("m", "cal_ord")).alias("last"))
     days = asked.select(*key, "day").distinct().join(ends, [*key, "day"], "full")
