@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import settled
 from . import verify
 from .reconcile import EARLIEST, LATEST, minutes_between
 
@@ -45,7 +46,7 @@ ZONES = {
 HALF_DAY_ZONES = ("edt", "et", "est", "pdt", "pt", "pst")
 FULL_DAY_ZONES = ("cest", "cet")
 
-_MONTH_WORD = re.compile(rf"\b({'|'.join(sorted(MONTH_NAMES, key=len, reverse=True))})\b", re.I)
+_WORD = re.compile(r"\b([^\W\d_]{3,9})\b")  # a month's name is one of these; a look into the table is quicker than trying all names everywhere
 _NUMBERS = re.compile(r"(?<!\d)(?=(\d{1,4})([-./])(\d\d?)([-./])(\d{1,4})(?!\d))")
 _DAY_AFTER = re.compile(r"\s+(\d\d?)(?:st|nd|rd|th)?,?\s+(20\d\d)\b", re.I)
 _DAY_BEFORE = re.compile(r"\b(\d\d?)\s+$")
@@ -62,8 +63,10 @@ def _stated(said: str) -> Iterator[tuple[int, int, int, int]]:
             yield int(a), int(b), int(c), m.start()
         elif len(a) <= 2 and len(c) == 4 and c.startswith("20") and "-" not in (one, two):
             yield int(c), int(b), int(a), m.start()
-    for m in _MONTH_WORD.finditer(said):
-        month = MONTH_NAMES[m[1].lower()]
+    for m in _WORD.finditer(said):
+        month = MONTH_NAMES.get(m[1].lower())
+        if month is None:
+            continue
         if after := _DAY_AFTER.match(said, m.end()):
             yield int(after[2]), month, int(after[1]), m.start()
         before, year = _DAY_BEFORE.search(said, max(0, m.start() - 40), m.start()), _YEAR_AFTER.match(said, m.end())
@@ -93,14 +96,14 @@ def _zone_of(m: re.Match, said: str, home) -> tuple[bool, object]:
     return bool(fits), ZONES[name]
 
 
-def clocks_in(said: str, home: str | int | None) -> list[tuple[dt.datetime, bool, bool]]:
+def clocks_in(said: str, home: str | int | None, dates: list[tuple[dt.date, int]] | None = None) -> list[tuple[dt.datetime, bool, bool]]:
     """instant (UTC, no zone), zone stated, cue near, of each clock; bare numbers are clocks of the page's own zone, if that is known.
 
     ``home``: the page's zone, by name or in hours east.  American zones go with am or pm only, Central
     European ones without, and a clock beside a zone it does not go with is none.  A clock is of the date
-    that stands nearest to it.
+    that stands nearest to it.  ``dates``: those of the text, if they are known.
     """
-    dates = dates_in(said)
+    dates = dates_in(said) if dates is None else dates
     out = []
     for m in _CLOCK.finditer(said) if dates else ():
         is_clock, zone = _zone_of(m, said, home)
@@ -119,38 +122,46 @@ def clocks_in(said: str, home: str | int | None) -> list[tuple[dt.datetime, bool
     return out
 
 
-def dates(results: DataFrame, key: str = "ord", said: str = "said") -> DataFrame:
-    """key, date: every date that a page states, each once."""
-    schema = T.StructType([results.schema[key], T.StructField("date", T.DateType())])
-
-    def work(batches):
-        for batch in batches:
-            found = [(i, d) for i, x in enumerate(batch.column(1).to_pylist()) for d, _ in dates_in(x or "")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([d for _, d in found], pa.date32())], names=schema.names)
-
-    return results.select(key, said).mapInArrow(work, schema)
-
+def told(results: DataFrame, key: str = "ord", url: str = "url", said: str = "said") -> DataFrame:
+    """key, organisation, date, at (UTC), explicit, cue: a row for each date that a page states (without at), each once, and for each of its clocks (without date).
 
-def candidates(results: DataFrame, key: str = "ord", url: str = "url", said: str = "said") -> DataFrame:
-    """key, at (UTC), explicit, score, organisation, weight of every clock in every page."""
-    name = verify.host(F.col(url))
-    zoned = results.select(key, F.coalesce(said, F.lit("")).alias("said"), verify.zone_name(name).alias("zone"), verify.base_domain(name).alias("organisation"))
-    schema = T.StructType([results.schema[key], *(T.StructField(n, t) for n, t in (("at", T.TimestampNTZType()), ("explicit", T.BooleanType()), ("cue", T.BooleanType()), ("organisation", T.StringType())))])
+    Pages are read once for both; ``settled``, this serves all that is asked of them.
+    """
+    page = results.select(key, F.coalesce(said, F.lit("")).alias("said"), verify.host(F.col(url)).alias("_host"))
+    page = page.select(key, "said", verify.base_domain(F.col("_host")).alias("organisation"))
+    zoned = page.select(key, "said", verify.zone_name(F.col("organisation")).alias("zone"), "organisation")
+    kinds = {"organisation": T.StringType(), "date": T.DateType(), "at": T.TimestampNTZType(), "explicit": T.BooleanType(), "cue": T.BooleanType()}
+    schema = T.StructType([results.schema[key], *(T.StructField(n, t) for n, t in kinds.items())])
 
     def work(batches):
         for batch in batches:
             row, found = [], []
             for i, (text, zone) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for c in clocks_in(text, zone):
-                    row.append(i)
-                    found.append(c)
+                stated = dates_in(text)
+                here = [(d, None, None, None) for d, _ in stated] + [(None, *c) for c in clocks_in(text, zone, stated)]
+                row.extend([i] * len(here))
+                found.extend(here)
             take = pa.array(row, pa.int64())
-            columns = [pa.array([c[k] for c in found], t) for k, t in ((0, pa.timestamp("us")), (1, pa.bool_()), (2, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *columns, batch.column(3).take(take)], names=schema.names)
+            columns = [pa.array([c[k] for c in found], t) for k, t in enumerate((pa.date32(), pa.timestamp("us"), pa.bool_(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(3).take(take), *columns], names=schema.names)
 
-    got = zoned.mapInArrow(work, schema)
+    return zoned.mapInArrow(work, schema).withColumn("at", F.col("at").cast("timestamp"))
+
+
+def dates(found: DataFrame, key: str = "ord") -> DataFrame:
+    """key, date: every date that a page states, each once.  ``found``: of ``told``."""
+    return found.where("date is not null").select(key, "date")
+
+
+def clocks(found: DataFrame, key: str = "ord") -> DataFrame:
+    """key, at (UTC), explicit, score, organisation, weight of every clock in every page.  ``found``: of ``told``."""
     score = F.when(F.col("explicit"), 100).otherwise(0) + F.when(F.col("cue"), 80).otherwise(0)
-    return got.select(key, F.col("at").cast("timestamp").alias("at"), "explicit", score.alias("score"), "organisation", verify.occurrence_weight(F.col("organisation")).alias("weight"))
+    return found.where("at is not null").select(key, "at", "explicit", score.alias("score"), "organisation", verify.occurrence_weight(F.col("organisation")).alias("weight"))
+
+
+def candidates(results: DataFrame, key: str = "ord", url: str = "url", said: str = "said") -> DataFrame:
+    """``clocks`` of pages of which no more is asked."""
+    return clocks(told(results, key, url, said), key)
 
 
 def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int = CONFIRM_MINUTES, stated: DataFrame | None = None, sources: bool = False) -> DataFrame:
@@ -163,11 +174,13 @@ def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int =
     """
     diff = slots.join(found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
     near = F.abs(F.col("difference")) <= minutes
-    most = [F.array_sort(F.collect_set("organisation")).alias("said_by")] if sources else []
-    heard = diff.where(near).groupBy(*keys, "organisation").agg(F.max(F.struct("weight", "score", (-F.abs("difference")).alias("close"), "difference")).alias("v"))
-    tally = heard.groupBy(*keys).agg(F.count("*").alias("organisations"), F.sum("v.weight").alias("weight"), F.max("v").alias("best"), *most)
-    close = diff.groupBy(*keys).agg(F.min(F.struct(F.abs("difference").alias("far"), "difference", *(["organisation"] if sources else []))).alias("nearest"))
-    out = slots.select(*keys, "start_at").join(tally, keys, "left").join(close, keys, "left")
+    most = [F.array_sort(F.collect_set(F.when(F.col("v").isNotNull(), F.col("organisation")))).alias("said_by")] if sources else []
+    voice = F.struct("weight", "score", (-F.abs("difference")).alias("close"), "difference")
+    away = F.struct(F.abs("difference").alias("far"), "difference", *(["organisation"] if sources else []))
+    # each organisation's best time near the slot (null if it has none) and its nearest of all, in one go
+    heard = diff.groupBy(*keys, "organisation").agg(F.max(F.when(near, voice)).alias("v"), F.min(away).alias("n"))
+    tally = heard.groupBy(*keys).agg(F.count("v").alias("organisations"), F.sum("v.weight").alias("weight"), F.max("v").alias("best"), F.min("n").alias("nearest"), *most)
+    out = slots.select(*keys, "start_at").join(tally, keys, "left")
     sure: Column = (F.col("best.weight") >= 100) | ((F.col("organisations") >= 2) & (F.col("weight") >= 100))
     elsewhere = F.lit(False)
     if stated is not None:
@@ -204,11 +217,11 @@ def site_first(slots: DataFrame, pages: DataFrame, site: str, key: str = "ord")
 
     ``slots``: key, start_at; ``pages``: key (of the slot that it was found for), url, said.
     """
-    of_site = pages.where(verify.base_domain(verify.host(F.col("url"))) == site)
-    own = by_site(slots, candidates(of_site, key), [key], dates(of_site, key))
-    others = verdicts(slots, candidates(pages, key), [key], stated=dates(pages, key), sources=True)
+    found = settled(told(pages, key), "told")
+    of_site = found.where(F.col("organisation") == site)
+    own = by_site(slots, clocks(of_site, key), [key], dates(of_site, key))
+    others = verdicts(slots, clocks(found, key), [key], stated=dates(found, key), sources=True)
     searched = others.select(key, F.when(F.col("state") == "confirmed_direct", "confirmed").otherwise(F.col("state")).alias("state"), "domains", F.col("difference").alias("_found"))
-    verdict = verify.calendar_first(own.select(key, "state"), searched, key)
-    told = verdict.join(own.select(key, "difference"), key).join(searched.select(key, "_found"), key, "left")
+    verdict = verify.calendar_first(own, searched, key, keep=("difference", "_found"))
     difference = F.when(F.col("by") == "calendar", F.col("difference")).when(F.col("by") == "official", F.col("_found"))
-    return told.select(key, "state", F.when(F.col("by") == "calendar", "site").otherwise(F.col("by")).alias("by"), difference.alias("difference"))
+    return verdict.select(key, "state", F.when(F.col("by") == "calendar", "site").otherwise(F.col("by")).alias("by"), difference.alias("difference"))

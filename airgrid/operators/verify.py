@@ -40,9 +40,8 @@ def zone_hours(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), F.try_element_at(table, base_domain(name)), F.try_element_at(ends, F.element_at(F.split(name, r"\."), -1)))
 
 
-def zone_name(name: Column) -> Column:
+def zone_name(domain: Column) -> Column:
     """The zone of a page's bare clocks, by name: by base domain, then by country, else null."""
-    domain = base_domain(name)
     table = F.create_map(*(F.lit(v) for p in lexicon.DOMAIN_ZONES.items() for v in p))
     ends = F.create_map(*(F.lit(v) for p in lexicon.SUFFIX_ZONES.items() for v in p))
     return F.coalesce(F.try_element_at(table, domain), F.try_element_at(ends, F.element_at(F.split(domain, r"\."), -1)))
@@ -211,12 +210,13 @@ def is_official(domains: Column) -> Column:
     return F.exists(domains, lambda d: d.isin(*lexicon.OFFICIAL_EVENT_DOMAINS))
 
 
-def calendar_first(calendar: DataFrame, searched: DataFrame, key: str = "ord") -> DataFrame:
+def calendar_first(calendar: DataFrame, searched: DataFrame, key: str = "ord", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per slot: state and where it comes from.  What the calendar says holds; else a search's verdict, if an official source stands behind it; else unknown.
 
-    ``calendar``: key, state (confirmed, mismatch, unknown); ``searched``: key, state, domains.
+    ``calendar``: key, state (confirmed, mismatch, unknown); ``searched``: key, state, domains; ``keep``: further columns of either that stay.
     """
-    j = calendar.join(searched.select(key, F.col("state").alias("found"), "domains"), key, "left")
+    mine, theirs = ([c for c in keep if c in df.columns] for df in (calendar, searched))
+    j = calendar.select(key, "state", *mine).join(searched.select(key, F.col("state").alias("found"), "domains", *(c for c in theirs if c not in mine)), key, "left")
     known = F.col("state") != "unknown"
     fallback = F.coalesce(is_official(F.col("domains")) & (F.col("found") != "unknown"), F.lit(False))
-    return j.select(key, F.when(known, F.col("state")).when(fallback, F.col("found")).otherwise("unknown").alias("state"), F.when(known, "calendar").when(fallback, "official").otherwise("none").alias("by"))
+    return j.select(key, F.when(known, F.col("state")).when(fallback, F.col("found")).otherwise("unknown").alias("state"), F.when(known, "calendar").when(fallback, "official").otherwise("none").alias("by"), *keep)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text, titles
 from ..operators import occurrence, verify
+from ..sources.shared import settled
 from . import joined
 from .adapter import bx, duck, table
 from .basic import q, ts
@@ -116,8 +117,9 @@ def occurrence_dates(spark, sf_dir):
     shift = "date_add(cast(ts as date), cast(event_id % 4 as int))"
     said = F.expr(f"'The final is on ' || date_format({shift}, 'd MMMM yyyy') || case when event_id % 2 = 1 then ' or ' || date_format(date_add({shift}, 7), 'dd/MM/yyyy') || ', not 99.99.2024' else ' (' || date_format({shift}, 'yyyy-MM-dd') || ')' end")
     pages = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.date_trunc("minute", "ts").alias("start_at"), F.lit("http://example.com/").alias("url"), said.alias("said"))
-    stated = occurrence.dates(pages)
-    out = occurrence.verdicts(pages.select("ord", "start_at"), occurrence.candidates(pages), ["ord"], stated=stated)
+    found = settled(occurrence.told(pages), "told")
+    stated = occurrence.dates(found)
+    out = occurrence.verdicts(pages.select("ord", "start_at"), occurrence.clocks(found), ["ord"], stated=stated)
     return out.join(stated.groupBy("ord").agg(F.count("*").cast("int").alias("n_dates")), "ord").select("ord", "state", F.coalesce("reason", F.lit("")).alias("reason"), "n_dates")
 
 
