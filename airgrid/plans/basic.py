@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, evidence, lexicon, text
-from ..operators import schedule, windows
+from ..operators import schedule, texts, windows
 from .adapter import NOW, bx, duck, table
 
 
@@ -208,7 +208,8 @@ def d_display(x: str) -> str:
 
 @query(duck(f"select ord, {d_display(_SHOWN.format(string='varchar'))} as shown from bx"))
 def display_text(spark, sf_dir):
-    return bx(spark, sf_dir).select("ord", text.display(F.expr(_SHOWN.format(string="string"))).alias("shown"))
+    rows = bx(spark, sf_dir).select("ord", F.expr(_SHOWN.format(string="string")).alias("said"))
+    return texts.made_once(rows, ["said"], {"shown": text.display(F.col("said"))}).select("ord", "shown")
 
 
 @query(duck("select ord, coalesce(nullif(case when ord % 3 = 0 then '' else title end, ''), nullif(tournament, ''), nullif(sport, ''), '') as picked from bx"))

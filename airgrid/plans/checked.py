@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, text
-from ..operators import monitor, schedule, verify
+from ..operators import monitor, schedule, texts, verify
 from ..sources import calendars
 from . import adapter, joined
 from .adapter import DUCK_RUNS, NOW, bx, duck, table
@@ -117,7 +117,9 @@ _DISPLAYED = "case ord % 4 when 0 then title when 1 then tournament || ' фин
 
 @query(duck("select ord, case when ord % 4 = 0 then replace(title, 'КОМАНДА', 'Команда') when ord % 4 = 1 then tournament || ' финал' when ord % 4 = 2 then array_to_string(list_filter([sport, tournament], lambda x: x <> ''), '. ') else array_to_string(list_filter([sport, tournament, 'Финал'], lambda x: x <> ''), '. ') end as shown from bx"))
 def display_titles(spark, sf_dir):
-    return bx(spark, sf_dir).select("ord", text.display_title(F.expr(_DISPLAYED), F.col("sport"), F.col("tournament")).alias("shown"))
+    rows = bx(spark, sf_dir).select("ord", F.expr(_DISPLAYED).alias("said"), "sport", "tournament")
+    shown = text.display_title(F.col("said"), F.col("sport"), F.col("tournament"))
+    return texts.made_once(rows, ["said", "sport", "tournament"], {"shown": shown}).select("ord", "shown")
 
 
 @query("select identity, channel, field, case field when 'channel_added' then '➕ Новое LIVE-событие' || chr(10) || identity || chr(10) || '🕐 ' || channel || ' · 📺 ' || channel when 'channel_removed' then '➖ Событие исчезло из расписания' || chr(10) || identity || chr(10) || 'Было: ' || channel || ' · ' || channel when 'end' then '🔔 Изменение расписания' || chr(10) || identity || chr(10) || '🏁 ' || channel || ': ' || \"old\" || ' → ' || \"new\" else '🔔 Изменение расписания' || chr(10) || identity || chr(10) || '🕐 ' || channel || ': ' || \"old\" || ' → ' || \"new\" end as body from (" + joined.QUERIES["channel_diff"][1] + ")")

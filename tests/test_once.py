@@ -23,3 +23,26 @@ def test_an_organisation_near_and_one_far(spark):
     found = spark.sql("select ord, timestamp '2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, 0, m) as at, w as weight, 0 as score, o as organisation from values (1L, 20, 70, 'b'), (1L, 10, 70, 'a'), (1L, 600, 100, 'c'), (2L, 90, 100, 'c'), (2L, -80, 40, 'a') v(ord, m, w, o)")
     got = occurrence.verdicts(slots, found, ["ord"], sources=True).orderBy("ord").collect()
     assert [(r.state, r.difference, r.organisations, r.domains) for r in got] == [("confirmed_direct", 10, 2, ["a", "b"]), ("mismatch", -80, 0, ["a"]), ("unknown", None, 0, [])]
+
+
+def test_texts_are_made_once(spark):
+    """One look for each different text, nulls among them; every row is there, and no other."""
+    from pyspark.sql import functions as F
+
+    from airgrid.operators import texts
+
+    rows = spark.sql("select id, case id % 3 when 0 then 'a' when 1 then 'b' end as x, id % 2 as y from range(12)")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def dear(x, y):
+        asked.add(1)
+        return f"{x}{y}"
+
+    got = texts.made_once(rows, ["x", "y"], {"z": dear("x", "y")})
+    assert sorted(map(tuple, got.collect())) == sorted((r.id, r.x, r.y, f"{r.x}{r.y}") for r in rows.collect())
+    assert asked.value == 6
+
+
+def test_titles_are_shown_once_for_each_text(spark, sf):
+    assert "regexp" not in plan(QUERIES["display_titles"](spark, sf)).lower()
