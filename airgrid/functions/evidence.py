@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import collapsed, contains_any
+from .text import bound, collapsed, contains_any
 
 EVIDENCE = "array<struct<method:string,source:string,value:string,confidence:string>>"
 
@@ -26,17 +26,21 @@ def _first_marker(x: Column, markers) -> Column:
 
 def classified(text: Column) -> Column:
     """state, method, value, confidence of a provider's text: replay words win, then phrases, then a bare LIVE as a word of its own."""
-    t = F.upper(collapsed(text))
-    replay = _first_marker(t, L.REPLAY_MARKERS)
-    phrase = _first_marker(t, L.LIVE_MARKERS[:-1])
-    word = F.concat(F.lit(" "), F.translate(t, "/-", "  "), F.lit(" ")).contains(" LIVE ")
     say = lambda state, method, value, confidence: F.struct(F.lit(state).alias("state"), F.lit(method).alias("method"), value.alias("value"), F.lit(confidence).alias("confidence"))
-    return (
-        F.when(replay.isNotNull(), say("not_live", "official_replay_text", replay, "high"))
-        .when(phrase.isNotNull(), say("live", "official_live_text", phrase, "high"))
-        .when(word, say("live", "official_live_text", F.lit("LIVE"), "high"))
-        .otherwise(say("unknown", "no_explicit_live_marker", F.lit(""), "unknown"))
-    )
+
+    def marked(t: Column) -> Column:
+        word = F.concat(F.lit(" "), F.translate(t, "/-", "  "), F.lit(" ")).contains(" LIVE ")
+        return F.struct(_first_marker(t, L.REPLAY_MARKERS).alias("replay"), _first_marker(t, L.LIVE_MARKERS[:-1]).alias("phrase"), word.alias("word"))
+
+    def told(m: Column) -> Column:
+        return (
+            F.when(m["replay"].isNotNull(), say("not_live", "official_replay_text", m["replay"], "high"))
+            .when(m["phrase"].isNotNull(), say("live", "official_live_text", m["phrase"], "high"))
+            .when(m["word"], say("live", "official_live_text", F.lit("LIVE"), "high"))
+            .otherwise(say("unknown", "no_explicit_live_marker", F.lit(""), "unknown"))
+        )
+
+    return bound(bound(F.upper(collapsed(text)), marked), told)
 
 
 def classified_with_assets(text: Column, hints: Column, patterns: tuple[str, ...]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import diff, monitor, schedule
+from ..operators import diff, monitor, schedule, texts
 from ..sources import guides, shared, store
 from . import adapter, basic, guided, joined
 from .adapter import DUCK_VERSIONS, NOW, bx, duck
@@ -87,7 +87,7 @@ def _epg(spark, sf_dir):
 
     raw = F.expr(_RAW)
     rows = bx(spark, sf_dir).select("ord", "channel", "date", "time", F.col("slot_end").alias("end_at"), text.collapsed(raw).alias("raw_title"))
-    return rows.withColumn("claim", evidence.classified(F.col("raw_title"))).withColumn("live_state", F.col("claim.state"))
+    return texts.made_once(rows, ["raw_title"], {"claim": evidence.classified(F.col("raw_title"))}).withColumn("live_state", F.col("claim.state"))
 
 
 _EPG_SQL = "case ord % 6 when 0 then 'Футбол' when 1 then 'Хоккей' when 2 then 'Теннис' when 4 then 'Пляжный волейбол' else '' end as sport, case ord % 6 when 0 then tournament when 1 then 'Кубок' when 2 then 'Турнир' when 4 then tournament || ';' else '' end as tournament, case ord % 6 when 5 then 'Новости спорта' else title end as title, ord % 6 in (0, 2) as is_live, case when ord % 6 in (0, 2) then 'provider_live_text' else 'no_explicit_live_marker' end as method, case ord % 6 when 0 then 'ПРЯМОЙ ЭФИР' when 2 then 'LIVE' else '' end as value"

@@ -9,6 +9,7 @@ from ..functions import clock, evidence, text, titles
 from ..functions import lexicon as L
 from ..operators import windows
 from ..operators.schedule import first_by
+from ..operators.texts import made_once
 from . import html
 from .shared import settled
 
@@ -163,16 +164,23 @@ def tournament_and_title(rest: Column) -> Column:
     A match is two sides with a spaced dash or versus between them; without one all is title.
     """
     versus = r"(?i)\s(?:[-–—]|vs\.?|v\.)\s"
-    line = F.btrim(rest, F.lit(" .-–—"))
     edge = F.lit(" .,-–—")
-    colon = F.instr(line, ":")
-    before = F.split(line, versus, 2)[0]
-    # the place of the last mark before the match: what follows it has none
-    marks = F.length(F.regexp_extract(before, r"^(.*[,;.])", 1))
-    at = F.when((colon > 0) & F.substr(line, colon + 1).rlike(versus), colon - 1).when(line.rlike(versus) & (marks > 1) & (F.btrim(F.substr(before, marks + 1)) != ""), marks)
-    skip = F.when((colon > 0) & (at == colon - 1), 1).otherwise(0)
-    parted = F.struct(F.btrim(F.substr(line, F.lit(1), at), edge).alias("tournament"), F.btrim(F.substr(line, at + skip + 1), edge).alias("title"))
-    return F.when(at.isNotNull(), parted).otherwise(F.struct(F.lit("").alias("tournament"), line.alias("title")))
+
+    def placed(line: Column) -> Column:
+        colon = F.instr(line, ":")
+        before = F.split(line, versus, 2)[0]
+        # the place of the last mark before the match: what follows it has none
+        marks = F.length(F.regexp_extract(before, r"^(.*[,;.])", 1))
+        at = F.when((colon > 0) & F.substr(line, colon + 1).rlike(versus), colon - 1).when(line.rlike(versus) & (marks > 1) & (F.btrim(F.substr(before, marks + 1)) != ""), marks)
+        return F.struct(line.alias("line"), colon.alias("colon"), at.alias("at"))
+
+    def parted(v: Column) -> Column:
+        line, at = v["line"], v["at"]
+        skip = F.when((v["colon"] > 0) & (at == v["colon"] - 1), 1).otherwise(0)
+        both = F.struct(F.btrim(F.substr(line, F.lit(1), at), edge).alias("tournament"), F.btrim(F.substr(line, at + skip + 1), edge).alias("title"))
+        return F.when(at.isNotNull(), both).otherwise(F.struct(F.lit("").alias("tournament"), line.alias("title")))
+
+    return text.bound(text.bound(F.btrim(rest, F.lit(" .-–—")), placed), parted)
 
 
 # Sports that a provider's titles begin with, in order, and what may stand behind one.
@@ -188,16 +196,24 @@ def provider_title(raw: Column, hint: Column | None = None) -> Column:
     edge = F.lit(" .-–—")
     clean = F.btrim(F.regexp_replace(text.collapsed(raw), r"(?iu)\s*[.·-]?\s*(?:" + "|".join(L.LIVE_MARKERS) + r")\s*$", ""), edge)
     known = rf"(?iu)^({'|'.join(text._quoted(n) for n, _ in PROVIDER_SPORTS)}){BEHIND_SPORT}"
-    sport = text.first_equal(F.lower(F.regexp_extract(clean, known, 1)), {n.lower(): s for n, s in PROVIDER_SPORTS})
-    rest = F.when(sport.isNotNull(), F.btrim(F.regexp_replace(clean, known, ""), edge)).otherwise(clean)
-    parted = tournament_and_title(rest)
-    return F.struct(F.coalesce(sport, F.lit("") if hint is None else hint).alias("sport"), parted["tournament"].alias("tournament"), F.coalesce(F.nullif(parted["title"], F.lit("")), clean).alias("title"))
+
+    def named(v: Column) -> Column:
+        clean, sport = v["clean"], v["sport"]
+        rest = F.when(sport.isNotNull(), F.btrim(F.regexp_replace(clean, known, ""), edge)).otherwise(clean)
+        say = lambda p: F.struct(F.coalesce(sport, F.lit("") if hint is None else hint).alias("sport"), p["tournament"].alias("tournament"), F.coalesce(F.nullif(p["title"], F.lit("")), clean).alias("title"))
+        return text.bound(tournament_and_title(rest), say)
+
+    def told(clean: Column) -> Column:
+        sport = text.first_equal(F.lower(F.regexp_extract(clean, known, 1)), {n.lower(): s for n, s in PROVIDER_SPORTS})
+        return F.struct(clean.alias("clean"), sport.alias("sport"))
+
+    return text.bound(text.bound(clean, told), named)
 
 
 def projected(rows: DataFrame) -> DataFrame:
     """``epg_rows`` as events: with sport, tournament and title, and the provider's own claim (state, method, value, confidence)."""
     method = F.regexp_replace(F.col("claim.method"), "^official_", "provider_")
-    named = rows.withColumn("_t", provider_title(F.col("raw_title")))
+    named = made_once(rows, ["raw_title"], {"_t": provider_title(F.col("raw_title"))})
     return named.select("channel", "date", "time", "end_at", "raw_title", "_t.sport", "_t.tournament", "_t.title", (F.col("claim.state") == "live").alias("is_live"), "live_state", method.alias("method"), F.col("claim.value").alias("value"), F.col("claim.confidence").alias("confidence"))
 
 

@@ -46,3 +46,8 @@ def test_texts_are_made_once(spark):
 
 def test_titles_are_shown_once_for_each_text(spark, sf):
     assert "regexp" not in plan(QUERIES["display_titles"](spark, sf)).lower()
+
+
+def test_a_providers_lines_are_parted_once_for_each_text(spark, sf):
+    told = plan(QUERIES["epg_projected"](spark, sf)).lower()
+    assert "regexp_extract" not in told and "contains(" not in told
