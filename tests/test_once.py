@@ -51,3 +51,21 @@ def test_titles_are_shown_once_for_each_text(spark, sf):
 def test_a_providers_lines_are_parted_once_for_each_text(spark, sf):
     told = plan(QUERIES["epg_projected"](spark, sf)).lower()
     assert "regexp_extract" not in told and "contains(" not in told
+
+
+def test_a_row_is_not_held_against_all_before_it(spark, sf, monkeypatch):
+    """Many broadcasts of a title at once: those of one channel fit no group, those of another the first."""
+    from airgrid.operators import simulcast
+
+    asked = []
+    fits = simulcast._Heard.fits
+    monkeypatch.setattr(simulcast._Heard, "fits", lambda self, *of: asked.append(1) or fits(self, *of))
+    walk = simulcast._Walk("title")
+    for i in range(3000):
+        walk.forget(i // 100, 30)
+        assert walk.join(i, i // 100, "a", "s", "") == i
+    assert walk.join(3000, 30, "b", "", "t") == 0
+    assert len(asked) < 3010
+    walk.forget(31 * 60 + 30, 30)
+    assert not walk.groups and not walk.recent and not walk.all.n
+    assert "regexp" not in plan(QUERIES["simulcast_pairs"](spark, sf)).lower()
