@@ -69,3 +69,14 @@ def test_a_row_is_not_held_against_all_before_it(spark, sf, monkeypatch):
     walk.forget(31 * 60 + 30, 30)
     assert not walk.groups and not walk.recent and not walk.all.n
     assert "regexp" not in plan(QUERIES["simulcast_pairs"](spark, sf)).lower()
+
+
+def test_pages_are_read_once_for_dates_and_clocks(spark, sf):
+    assert "MapInArrow" not in plan(QUERIES["occurrence_dates"](spark, sf))
+
+
+def test_months_are_whole_words():
+    from airgrid.operators import occurrence
+
+    said = "mayor 5 2024, May 5 2024, 7_may 2024, 8may 2024, SEPT 9, 2024, септября 3 2024, 4 марта 2024"
+    assert [str(d) for d, _ in occurrence.dates_in(said)] == ["2024-03-04", "2024-05-05", "2024-09-09"]
