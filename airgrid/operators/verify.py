@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
 from . import ordered
+from .texts import made_once
 
 
 def host(url: Column) -> Column:
@@ -159,11 +160,16 @@ def relaxed(result: Column, title: Column, tournament: Column, sport: Column) ->
     return matches(result, title, tournament, sport) | ((F.length(name) >= 5) & said.contains(name)) | ((F.size(words) > 0) & (hits >= F.least(F.lit(2), F.size(words))))
 
 
-def query_strings(title: Column, tournament: Column, sport: Column, day: Column) -> Column:
-    """Two searches for an event: all that names it in English with its date, and the same with words for its start."""
-    said = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (title, tournament, sport)), F.date_format(day, "MMMM dd yyyy"))
-    english = F.btrim(text.englished(said))
-    return F.array(english, F.concat(english, F.lit(" start time schedule")))
+def query_strings(rows: DataFrame, day: str = "start_at") -> DataFrame:
+    """``rows`` (title, tournament, sport and a day) with two searches for the event, first and second: all that names it in English with its date, and the same with words for its start.
+
+    Names are put into English once for each different event.  A date is English as it is: it begins with a month's
+    name, and no known name has such letters, so none reaches into it.
+    """
+    said = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "tournament", "sport")))
+    named = made_once(rows.withColumn("_said", said), ["_said"], {"_english": text.englished(F.col("_said"))})
+    first = F.btrim(F.concat_ws(" ", "_english", F.date_format(day, "MMMM dd yyyy")))
+    return named.withColumn("first", first).withColumn("second", F.concat("first", F.lit(" start time schedule"))).drop("_said", "_english")
 
 
 def with_pages(results: DataFrame, pages: DataFrame) -> DataFrame:

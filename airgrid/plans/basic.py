@@ -269,7 +269,8 @@ _GENERIC = "[" + ",".join(map(q, lexicon.GENERIC_WORDS)) + "]"
 
 @query(duck(f"select ord, array_to_string(list_sort(list_distinct(list_filter(string_split({d_verify(d_english('tournament || chr(32) || title'))}, ' '), lambda w: length(w) >= 4 and not list_contains({_GENERIC}, w)))), ' ') as tokens from bx"))
 def tokens_significant(spark, sf_dir):
-    return bx(spark, sf_dir).select("ord", F.array_join(F.array_sort(text.significant_tokens(F.concat_ws(" ", "tournament", "title"))), " ").alias("tokens"))
+    rows = bx(spark, sf_dir).select("ord", F.concat_ws(" ", "tournament", "title").alias("said"))
+    return texts.made_once(rows, ["said"], {"tokens": F.array_join(F.array_sort(text.significant_tokens(F.col("said"))), " ")}).select("ord", "tokens")
 
 
 _KIND = "case ord % 5 when 0 then 'Жеребьёвка. ' || tournament when 1 then tournament when 2 then title || ' (Женщины)' else title end"

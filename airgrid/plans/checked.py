@@ -26,8 +26,7 @@ def query(sql: str | None = None):
 # verdicts ----------------------------------------------------------------------------------
 @query(duck(f"select ord, {d_english('title || chr(32) || tournament || chr(32) || sport || chr(32) || strftime(start_at, ' + q('%B %d %Y') + ')')} as first, {d_english('title || chr(32) || tournament || chr(32) || sport || chr(32) || strftime(start_at, ' + q('%B %d %Y') + ')')} || ' start time schedule' as second from bx"))
 def query_strings(spark, sf_dir):
-    got = bx(spark, sf_dir).select("ord", verify.query_strings(F.col("title"), F.col("tournament"), F.col("sport"), F.col("start_at")).alias("s"))
-    return got.select("ord", F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"))
+    return verify.query_strings(bx(spark, sf_dir).select("ord", "title", "tournament", "sport", "start_at")).select("ord", "first", "second")
 
 
 @query("select case when page_id % 3 = 0 then url || '?read' else url end as url, case when page_id % 2 = 0 then 'Page ' || page_id else 'Result ' || page_id end as title, length(html) as n from pages where page_id % 5 <> 0 and length(trim(coalesce(html, ''))) > 0")

@@ -80,3 +80,18 @@ def test_months_are_whole_words():
 
     said = "mayor 5 2024, May 5 2024, 7_may 2024, 8may 2024, SEPT 9, 2024, септября 3 2024, 4 марта 2024"
     assert [str(d) for d, _ in occurrence.dates_in(said)] == ["2024-03-04", "2024-05-05", "2024-09-09"]
+
+
+def test_names_are_put_into_english_once_and_dates_left(spark, sf):
+    """As before, when the whole line was put into English: with nulls, empty texts and a name at the end."""
+    from pyspark.sql import functions as F
+
+    from airgrid.functions import text
+    from airgrid.operators import verify
+
+    assert "regexp" not in plan(QUERIES["query_strings"](spark, sf)).lower()
+    rows = spark.sql("select * from values (1, 'Қайрат –  Андерлехт', 'Лига 1', '', timestamp '2024-05-01 10:00:00'), (2, '', null, '', timestamp '2024-11-30 10:00:00'), (3, 'Россия', '1/2', 'финал', null), (4, null, 'Серия А', 'Лига', timestamp '2024-01-09 10:00:00') v(ord, title, tournament, sport, start_at)")
+    whole = F.btrim(text.englished(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "tournament", "sport")), F.date_format("start_at", "MMMM dd yyyy"))))
+    got = {r.ord: (r.first, r.second) for r in verify.query_strings(rows).collect()}
+    assert got == {r.ord: (r.first, f"{r.first} start time schedule") for r in rows.select("ord", whole.alias("first")).collect()}
+    assert got[1][0] == "Kairat – Anderlecht Ligue 1 May 01 2024" and got[2][0] == "November 30 2024"
