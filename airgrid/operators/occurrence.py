@@ -1,8 +1,8 @@
 """When an event takes place, by pages that were found about it.
 
 Built-in expressions give matches of a pattern but not where they stand, and a clock belongs to
-the nearest date.  So pages go through Arrow batches once, which emit dates and clocks as rows;
-all that follows is relational.
+the nearest date.  So each different text goes through Arrow batches once, which tell its dates and
+clocks; all that follows is relational.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.shared import settled
-from . import verify
+from . import texts, verify
 from .reconcile import EARLIEST, LATEST, minutes_between
 
 # Months by name, cue words, zones by the letters after a clock, and which of them want am or pm.
@@ -122,30 +123,33 @@ def clocks_in(said: str, home: str | int | None, dates: list[tuple[dt.date, int]
     return out
 
 
+FOUND = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in {"date": T.DateType(), "at": T.TimestampNTZType(), "explicit": T.BooleanType(), "cue": T.BooleanType()}.items()]))
+
+
+@F.arrow_udf(FOUND)
+def _found(said: pa.Array, zone: pa.Array) -> pa.Array:
+    """The dates of each text (each once, without at) and its clocks (without date)."""
+    ends, found = [0], []
+    for text, home in zip(said.to_pylist(), zone.to_pylist(), strict=True):
+        stated = dates_in(text)
+        found.extend((d, None, None, None) for d, _ in stated)
+        found.extend((None, *c) for c in clocks_in(text, home, stated))
+        ends.append(len(found))
+    kinds = to_arrow_type(FOUND).value_type
+    columns = [pa.array([x[k] for x in found], kinds.field(k).type) for k in range(kinds.num_fields)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kinds)))
+
+
 def told(results: DataFrame, key: str = "ord", url: str = "url", said: str = "said") -> DataFrame:
     """key, organisation, date, at (UTC), explicit, cue: a row for each date that a page states (without at), each once, and for each of its clocks (without date).
 
-    Pages are read once for both; ``settled``, this serves all that is asked of them.
+    Equal texts of one zone are read once, and for both; ``settled``, this serves all that is asked of them.
     """
     page = results.select(key, F.coalesce(said, F.lit("")).alias("said"), verify.host(F.col(url)).alias("_host"))
     page = page.select(key, "said", verify.base_domain(F.col("_host")).alias("organisation"))
     zoned = page.select(key, "said", verify.zone_name(F.col("organisation")).alias("zone"), "organisation")
-    kinds = {"organisation": T.StringType(), "date": T.DateType(), "at": T.TimestampNTZType(), "explicit": T.BooleanType(), "cue": T.BooleanType()}
-    schema = T.StructType([results.schema[key], *(T.StructField(n, t) for n, t in kinds.items())])
-
-    def work(batches):
-        for batch in batches:
-            row, found = [], []
-            for i, (text, zone) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                stated = dates_in(text)
-                here = [(d, None, None, None) for d, _ in stated] + [(None, *c) for c in clocks_in(text, zone, stated)]
-                row.extend([i] * len(here))
-                found.extend(here)
-            take = pa.array(row, pa.int64())
-            columns = [pa.array([c[k] for c in found], t) for k, t in enumerate((pa.date32(), pa.timestamp("us"), pa.bool_(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(3).take(take), *columns], names=schema.names)
-
-    return zoned.mapInArrow(work, schema).withColumn("at", F.col("at").cast("timestamp"))
+    read = texts.made_once(zoned, ["said", "zone"], {"found": _found("said", "zone")})
+    return read.select(key, "organisation", F.inline("found")).withColumn("at", F.col("at").cast("timestamp"))
 
 
 def dates(found: DataFrame, key: str = "ord") -> DataFrame:
@@ -164,6 +168,11 @@ def candidates(results: DataFrame, key: str = "ord", url: str = "url", said: str
     return clocks(told(results, key, url, said), key)
 
 
+def _of_slots(slots: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
+    """What was said of each slot.  Never by broadcast: both have as many rows as there are events, and take far more memory than files, whose size the choice would go by."""
+    return slots.join(said.hint("merge"), keys)
+
+
 def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int = CONFIRM_MINUTES, stated: DataFrame | None = None, sources: bool = False) -> DataFrame:
     """Per slot: state, difference of the time it rests on, organisations; with ``sources`` the domains that stand behind it (all that confirm, or the one that told the nearest time).
 
@@ -172,7 +181,7 @@ def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int =
     any time at all is a mismatch, told by the nearest; without times, dates that are all more than a day
     from the slot's are a mismatch too; else unknown.
     """
-    diff = slots.join(found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
+    diff = _of_slots(slots, found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
     near = F.abs(F.col("difference")) <= minutes
     most = [F.array_sort(F.collect_set(F.when(F.col("v").isNotNull(), F.col("organisation")))).alias("said_by")] if sources else []
     voice = F.struct("weight", "score", (-F.abs("difference")).alias("close"), "difference")
@@ -184,7 +193,7 @@ def verdicts(slots: DataFrame, found: DataFrame, keys: list[str], minutes: int =
     sure: Column = (F.col("best.weight") >= 100) | ((F.col("organisations") >= 2) & (F.col("weight") >= 100))
     elsewhere = F.lit(False)
     if stated is not None:
-        days = slots.join(stated, keys).groupBy(*keys).agg(F.min(F.abs(F.date_diff("date", F.col("start_at").cast("date")))).alias("days"))
+        days = _of_slots(slots, stated, keys).groupBy(*keys).agg(F.min(F.abs(F.date_diff("date", F.col("start_at").cast("date")))).alias("days"))
         out, elsewhere = out.join(days, keys, "left"), F.coalesce(F.col("days") > 1, F.lit(False))
     state = F.when(F.coalesce(sure, F.lit(False)), "confirmed_direct").when(F.col("nearest").isNotNull() | elsewhere, "mismatch").otherwise("unknown")
     told = F.when(state == "confirmed_direct", F.col("best.difference")).otherwise(F.col("nearest.difference"))
@@ -202,11 +211,11 @@ def by_site(slots: DataFrame, found: DataFrame, keys: list[str], stated: DataFra
     most plainly; else any time is a mismatch, told by the nearest; without times, dates that are all more
     than a day off are one too.
     """
-    diff = slots.join(found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
+    diff = _of_slots(slots, found, keys).withColumn("difference", minutes_between(F.col("start_at"), F.col("at")))
     one = lambda d: F.struct(F.abs(d).alias("far"), (-F.col("score")).alias("plain"), d.alias("difference"))
     plausible = F.col("difference").between(EARLIEST, LATEST)
     told = diff.groupBy(*keys).agg(F.min(F.when(plausible, one(F.col("difference")))).alias("good"), F.min(one(F.col("difference"))).alias("nearest"))
-    days = slots.join(stated, keys).groupBy(*keys).agg(F.min(F.abs(F.date_diff("date", F.col("start_at").cast("date")))).alias("days"))
+    days = _of_slots(slots, stated, keys).groupBy(*keys).agg(F.min(F.abs(F.date_diff("date", F.col("start_at").cast("date")))).alias("days"))
     out = slots.select(*keys).join(told, keys, "left").join(days, keys, "left")
     state = F.when(F.col("good").isNotNull(), "confirmed").when(F.col("nearest").isNotNull() | F.coalesce(F.col("days") > 1, F.lit(False)), "mismatch").otherwise("unknown")
     return out.select(*keys, state.alias("state"), F.coalesce("good.difference", "nearest.difference").alias("difference"))

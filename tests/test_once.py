@@ -95,3 +95,34 @@ def test_names_are_put_into_english_once_and_dates_left(spark, sf):
     got = {r.ord: (r.first, r.second) for r in verify.query_strings(rows).collect()}
     assert got == {r.ord: (r.first, f"{r.first} start time schedule") for r in rows.select("ord", whole.alias("first")).collect()}
     assert got[1][0] == "Kairat – Anderlecht Ligue 1 May 01 2024" and got[2][0] == "November 30 2024"
+
+
+def test_equal_pages_are_read_once(spark, monkeypatch):
+    """One look for each different text and zone, whatever sites say it; rows are those of the texts, with nulls, empty pages and pages that state nothing."""
+    from airgrid.operators import occurrence, texts
+
+    asked, settled = [], texts.settled
+    monkeypatch.setattr(texts, "settled", lambda df, name: asked.append(settled(df, name)) or asked[-1])
+    said = ["May 5 2024 or 06/05/2024, kick-off 18:30 UTC", "2024-05-05 at 21:30", "nothing of a date, 18:30 UTC", "", None]
+    urls = ["https://news.sports.ru/a", "https://www.uefa.com/m/", "https://example.com/", None]
+    rows = spark.createDataFrame([(i, urls[i % 4], said[i % 5]) for i in range(400)], "ord long, url string, said string")
+    found = sorted(occurrence.told(rows).collect(), key=str)
+    assert [df.count() for df in asked] == [8]  # four texts (null is empty) in Moscow's zone and in none
+    zones, names = ["Europe/Moscow", None, None, None], ["sports.ru", "uefa.com", "example.com", "unknown"]
+    want = []
+    for i in range(400):
+        text = said[i % 5] or ""
+        stated = occurrence.dates_in(text)
+        want += [(i, names[i % 4], d, None, None, None) for d, _ in stated] + [(i, names[i % 4], None, *c) for c in occurrence.clocks_in(text, zones[i % 4], stated)]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str) and len(want) > 400
+
+
+def test_no_python_on_every_page(spark, sf):
+    told = plan(QUERIES["dated_candidates"](spark, sf)).lower()
+    assert "mapinarrow" not in told and "python" not in told
+
+
+def test_slots_are_not_sent_to_all(spark, sf):
+    """Slots are as many as events, so a broadcast of them does not fit at any size."""
+    for name, n in (("occurrence_dates", 2), ("site_first_verdict", 4)):
+        assert plan(QUERIES[name](spark, sf)).count("strategy=merge") == n
