@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _quoted, first_equal, strip_live
+from .text import _quoted, bound, first_equal, strip_live
 
 #: Sports as the guide of links names them.
 SPORTS_A = {"Футбол": "Футбол", "Волейбол": "Волейбол", "Баскетбол": "Баскетбол", "Хоккей": "Хоккей", "Теннис": "Теннис", "Бокс": "Бокс", "Биатлон": "Биатлон", "Дзюдо": "Дзюдо", "Judo": "Дзюдо", "Шаңғы спорты": "Лыжный спорт", "Жеңіл атлетика": "Лёгкая атлетика"}
@@ -124,12 +124,17 @@ def normal_b(x: Column) -> Column:
 
 def string_title(raw: Column) -> Column:
     """sport, tournament, title of a title of the guide of strings; without a sport all is title, and a season of races is both."""
-    t = normal_b(strip_live(raw))
     p = rf"(?iu)^({_names(SPORTS_B)})\s*\.\s*"
-    sport = _known(F.regexp_extract(t, p, 1), SPORTS_B)
-    rest = F.btrim(F.regexp_replace(t, p, ""), F.lit(EDGES))
-    first = F.btrim(F.split(rest, r"\.")[0])
-    races = (sport == "Конный спорт") & F.lower(first).startswith(RACES_B)
-    cut = by_segments(rest)
     say = lambda sport, tournament, title: F.struct(sport.alias("sport"), normal_b(tournament).alias("tournament"), normal_b(title).alias("title"))
-    return F.when(sport == "", say(F.lit(""), F.lit(""), t)).when(races, say(sport, first, rest)).otherwise(say(sport, cut["tournament"], cut["title"]))
+
+    def parted(t: Column) -> Column:
+        return F.struct(t.alias("t"), _known(F.regexp_extract(t, p, 1), SPORTS_B).alias("sport"), F.btrim(F.regexp_replace(t, p, ""), F.lit(EDGES)).alias("rest"))
+
+    def told(v: Column) -> Column:
+        sport, rest = v["sport"], v["rest"]
+        first = F.btrim(F.split(rest, r"\.")[0])
+        races = (sport == "Конный спорт") & F.lower(first).startswith(RACES_B)
+        cut = bound(by_segments(rest), lambda c: say(sport, c["tournament"], c["title"]))
+        return F.when(sport == "", say(F.lit(""), F.lit(""), v["t"])).when(races, say(sport, first, rest)).otherwise(cut)
+
+    return bound(bound(normal_b(strip_live(raw)), parted), told)

@@ -99,10 +99,10 @@ def string_rows(pages: DataFrame, key: str, markup: str, reference: str) -> Data
     label or arrow, unless a time comes first; blocks of rows, cut at the anthem or in the
     morning, take the dates in turn; rows after midnight are of the next day.
     """
-    nodes = html.text_nodes(pages, key, markup)
     is_time = F.col("text").rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")
     label = F.regexp_extract("text", r"^(?:[\p{L}.]+,?\s*)?(\d{1,2}\.\d{1,2})(?:\s*[\p{L}.,]+)?$", 1)
-    n = nodes.withColumns({"is_time": is_time, "label": label})
+    # a page is read once, and its strings are asked for clocks and labels once
+    n = settled(html.text_nodes(pages, key, markup).withColumns({"is_time": is_time, "label": label}), "strings")
     first = n.where("is_time").groupBy(key).agg(F.min("ord").alias("first_time"))
     heads = n.join(first, key, "left").where("label <> '' and (first_time is null or ord < first_time)")
     value = F.struct("ord", F.split("label", r"\.")[0].cast("int").alias("day"), F.split("label", r"\.")[1].cast("int").alias("month"))
@@ -118,8 +118,9 @@ def string_rows(pages: DataFrame, key: str, markup: str, reference: str) -> Data
 
 def direct_rows(rows: DataFrame) -> DataFrame:
     """Of a guide of strings' rows, those said to be direct and of a known sport, with sport, tournament and name."""
-    named = rows.where(evidence.direct_by_marker(F.col("title"))).withColumn("_t", titles.string_title(F.col("title")))
-    return named.where("_t.sport <> ''").withColumns({"sport": F.col("_t.sport"), "tournament": F.col("_t.tournament"), "name": F.col("_t.title")}).drop("_t")
+    made = {"_direct": evidence.direct_by_marker(F.col("title")), "_t": titles.string_title(F.col("title"))}
+    named = made_once(settled(rows, "rows"), ["title"], made).where("_direct and _t.sport <> ''")
+    return named.withColumns({"sport": F.col("_t.sport"), "tournament": F.col("_t.tournament"), "name": F.col("_t.title")}).drop("_direct", "_t")
 
 
 def without_dates(pages: DataFrame, key: str, markup: str, reference: str) -> DataFrame:

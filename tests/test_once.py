@@ -126,3 +126,21 @@ def test_slots_are_not_sent_to_all(spark, sf):
     """Slots are as many as events, so a broadcast of them does not fit at any size."""
     for name, n in (("occurrence_dates", 2), ("site_first_verdict", 4)):
         assert plan(QUERIES[name](spark, sf)).count("strategy=merge") == n
+
+
+def test_a_guide_of_strings_is_read_once(spark, sf):
+    """Its strings and its titles are stored by the time they are asked for."""
+    told = plan(QUERIES["guide_b_scan"](spark, sf)).lower()
+    assert "mapinarrow" not in told and "regexp" not in told
+
+
+def test_a_title_of_strings_is_normalised_once(spark):
+    """A title's parts are worked out from one normal form, not each from its own."""
+    from pyspark.sql import functions as F
+
+    from airgrid.functions import titles
+
+    said = spark.createDataFrame([("ФУТБОЛ. ҚПЛ . Қайрат – Ертіс. Тікелей эфир",), ("АТ СПОРТЫ. АТ ЖАРЫСЫ МАУСЫМЫ. 3 күн",), ("Новости",), (None,), ("БОКС.",)], "x string")
+    got = said.select("x", titles.string_title(F.col("x")).alias("t")).select("x", "t.*")
+    assert [tuple(r)[1:] for r in got.collect()] == [("Футбол", "КПЛ", "Кайрат – Иртыш"), ("Конный спорт", "Сезон конных скачек", "Сезон конных скачек. 3 күн"), ("", "", "Новости"), ("", "", ""), ("", "", "БОКС")]
+    assert plan(said.select(titles.string_title(F.col("x")).alias("t"))).count("прямая трансляция") == 1
