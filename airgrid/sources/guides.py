@@ -138,9 +138,12 @@ def on_air_times(pages: DataFrame, key: str, markup: str) -> DataFrame:
     told = told.where("tag = 'a' or tag = 'li' or (tag = 'div' and blink) or time is not null")
     at = lambda c: F.struct("ord", F.col(c).alias("x"))
     told = html.following(told, key, link=(tag == "a", at("said")), clock=(F.col("time").isNotNull(), at("time")))
-    blinks = told.where("tag = 'div' and blink and link.ord <= last and within >= 0").where(F.col("link.x").contains("live")).select(key, F.col("within").alias("ord")).distinct()
-    items = told.where("tag = 'li' and clock.ord <= last").select(key, "ord", F.col("clock.x").alias("time"))
-    return items.join(blinks, [key, "ord"], "left_semi").select(key, "time").distinct()
+    live = (tag == "div") & F.col("blink") & (F.col("link.ord") <= F.col("last")) & F.col("link.x").contains("live")
+    first = F.when((tag == "li") & (F.col("clock.ord") <= F.col("last")), F.col("clock.x"))
+    # an item's first clock is told by the item's row, that it blinks by rows within it
+    of = told.select(key, F.when(tag == "li", F.col("ord")).otherwise(F.col("within")).alias("item"), live.alias("live"), first.alias("time")).where("item >= 0 and (live or time is not null)")
+    items = of.groupBy(key, "item").agg(F.max("live").alias("live"), F.max("time").alias("time"))
+    return items.where("live and time is not null").select(key, "time").distinct()
 
 
 EPG = "pages array<struct<events array<struct<title string, eventDescriptionMedium string, scheduledFor struct<begin string, end string>>>>>"

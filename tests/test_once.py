@@ -129,9 +129,10 @@ def test_slots_are_not_sent_to_all(spark, sf):
 
 
 def test_a_guide_of_strings_is_read_once(spark, sf):
-    """Its strings and its titles are stored by the time they are asked for."""
+    """Its strings and its titles are stored by the time they are asked for; a blinking item needs its page once more."""
     told = plan(QUERIES["guide_b_scan"](spark, sf)).lower()
     assert "mapinarrow" not in told and "regexp" not in told
+    assert plan(QUERIES["guide_b_complete"](spark, sf)).count("MapInArrow") == 1
 
 
 def test_a_title_of_strings_is_normalised_once(spark):
