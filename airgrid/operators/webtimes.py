@@ -38,12 +38,23 @@ CLOCKS = (
     ("local", re.compile(r"(?<![\d:])(\d{1,2}):(\d{2})(?::\d{2})?\s*(am|pm)?", re.I)),
     ("local", re.compile(r"(?<![\d:])(\d{1,2})()\s*(am|pm)(?!\w)", re.I)),
 )
+#: The last of them has no colon.
+HALVES = len(CLOCKS) - 1
 ZONE_STATED, ZONE_REACH = re.compile(r"\s*(?:UTC|GMT|MSK|МСК|Moscow time)", re.I), 15
 ZONES = {"UTC": "UTC", "MSK": "Europe/Moscow"}
+#: All forms of the letters that cues begin with.
+FORMS = {"k": "kK\u212a", "s": "sS\u017f", "b": "bB", "t": "tT", "н": "нН", "с": "сС\u1c83", "в": "вВ\u1c80", "э": "эЭ"}
+
+
+def _cue(*words: str) -> re.Pattern:
+    """Any of the words in any case.  Each begins with a plain letter, so a text is looked through for those letters and only there for words."""
+    return re.compile("|".join(f"{form}(?i:{w[1:]})" for w in words for form in FORMS[w[0]]))
+
+
 # Words beside a clock, the most they are worth, and how far they are heard.
 CUES = (
-    (re.compile(r"(?:kick[\s-]?off|start(?:s|ing)?|begins?|начал[оа]?|старт|начн[её]тся)", re.I), 180, 120),
-    (re.compile(r"(?:scheduled|schedule|time|время|эфир)", re.I), 60, 80),
+    (_cue(r"kick[\s-]?off", "start(?:s|ing)?", "begins?", "начал[оа]?", "старт", "начн[её]тся"), 180, 120),
+    (_cue("scheduled", "schedule", "time", "время", "эфир"), 60, 80),
 )
 STATED = 100
 # Minutes from the slot up to which a time agrees, agrees softly, and is taken at all.
@@ -68,9 +79,12 @@ def windows_in(said: str, terms: list[str]) -> list[tuple[int, int, str]]:
     low = said.casefold()
     found: dict[tuple[int, int], tuple[int, int, str]] = {}
     for term in terms:
-        for m in re.finditer(re.escape(term.casefold()), low):
-            left, right = max(0, m.start() - RADIUS), min(len(said), m.start() + len(term) + RADIUS)
+        folded = term.casefold()
+        at = low.find(folded)
+        while at >= 0:
+            left, right = max(0, at - RADIUS), min(len(said), at + len(term) + RADIUS)
             found.setdefault((left // GRAIN, right // GRAIN), (left, right, term))
+            at = low.find(folded, at + len(folded))
     if not found and said:
         return [(0, min(len(said), UNNAMED), "")]
     return list(found.values())
@@ -83,19 +97,36 @@ def _minutes(h: str, m: str, half: str | None) -> int | None:
     return hour * 60 + minute if hour < 24 and minute < 60 else None
 
 
+def _told(pattern: re.Pattern, window: str, halves: bool) -> Iterator[re.Match]:
+    """``pattern.finditer(window)``, looked for only where a clock can begin: at the digits before a colon, or (``halves``: hours with am or pm alone) in texts with either."""
+    if halves:
+        low = window.lower()
+        yield from pattern.finditer(window) if "am" in low or "pm" in low else ()
+        return
+    end, colon = 0, window.find(":")
+    while colon >= 0:
+        at = colon - 2 if colon >= 2 and window[colon - 2].isdecimal() and window[colon - 1].isdecimal() else colon - 1
+        if at >= end and (m := pattern.match(window, at)):
+            yield m
+            end = m.end()
+        colon = window.find(":", colon + 1)
+
+
 def clocks_in(window: str, zoned: bool) -> Iterator[tuple[int, str, int]]:
     """Minute of the day, zone and worth of each clock; clocks without a zone only on pages that have one (``zoned``).
 
     A stated zone is worth 100; of the cue words near a clock the one that is worth most counts, less a point for each character between.
     """
-    cues = [([m.span() for m in cue.finditer(window)], most, reach) for cue, most, reach in CUES]
-    for zone, pattern in CLOCKS:
+    cues = None
+    for k, (zone, pattern) in enumerate(CLOCKS):
         if zone == "local" and not zoned:
             continue
-        for m in pattern.finditer(window):
+        for m in _told(pattern, window, k == HALVES):
             at = _minutes(*m.groups())
             if at is None or zone == "local" and ZONE_STATED.match(window[m.end() : m.end() + ZONE_REACH]):
                 continue
+            if cues is None:
+                cues = [([c.span() for c in cue.finditer(window)], most, reach) for cue, most, reach in CUES]
             worth = 0
             for spans, most, reach in cues:
                 near = min((min(abs(m.start() - b), abs(m.end() - a)) for a, b in spans), default=reach + 1)
@@ -176,6 +207,17 @@ def named(events: DataFrame) -> DataFrame:
     return events.join(known.withColumnsRenamed({c: f"_{c}" for c in of}), F.expr(" and ".join(f"{c} <=> _{c}" for c in of))).drop(*(f"_{c}" for c in of))
 
 
+def _sourced(rows: DataFrame) -> DataFrame:
+    """``rows`` (url) with the source's organisation and weight."""
+    organisation = text.bound(verify.host(F.col("url")), verify.base_domain)
+    return rows.withColumn("organisation", organisation).withColumn("weight", verify.source_weight(F.col("organisation")))
+
+
+def _is_about(said: Column, facts: Column) -> Column:
+    """Whether a text is about an event; it is normalised once, however many names are looked for."""
+    return F.coalesce(text.bound(text.norm_verify(said), lambda x: verify.told(x, facts)), F.lit(False))
+
+
 def matching(events: DataFrame, results: DataFrame) -> DataFrame:
     """Results that are about their event, with what they say, the event's names, its day and the source's organisation and weight.
 
@@ -184,35 +226,33 @@ def matching(events: DataFrame, results: DataFrame) -> DataFrame:
     told = verify.result_text(F.col("title"), F.col("snippet"), None, F.col("content") if "content" in results.columns else None)
     own = events.select("event", "facts", "terms", F.to_date("start_at").alias("day"))
     pairs = results.withColumn("said", told).join(own, "event")
-    about = pairs.where(verify.told(text.norm_verify(F.col("said")), F.col("facts"))).drop("facts")
-    return about.withColumn("organisation", verify.base_domain(verify.host(F.col("url")))).withColumn("weight", verify.source_weight(F.col("organisation")))
+    return _sourced(pairs.where(_is_about(F.col("said"), F.col("facts"))).drop("facts"))
 
 
-def collected(about: DataFrame) -> DataFrame:
-    """One candidate of each of the ``matching`` results that tell a time: event, place, organisation, weight, at, original, explicit, score."""
-    return extracted_times(about, ["event", "place", "organisation", "weight"], best=True).drop("read")
+def collected(about: DataFrame, key: str = "event") -> DataFrame:
+    """One candidate of each of the ``matching`` results that tell a time: event (or another ``key``), place, organisation, weight, at, original, explicit, score."""
+    return extracted_times(about, [key, "place", "organisation", "weight"], best=True).drop("read")
 
 
 def once(results: DataFrame) -> DataFrame:
-    """Results without repeats (equal address and title, without case); of equal ones the first of the first search."""
-    first = results.groupBy("event", F.lower("url").alias("u"), F.lower("title").alias("t")).agg(F.min(F.struct("tier", "place", "rank", "url", "title", "snippet")).alias("r"))
-    return first.select("event", "r.*")
+    """Results without repeats (equal address and title, without case); of equal ones the first of the first search.  An event's are few, and in one task already where they were joined by event."""
+    same = Window.partitionBy("event", F.lower("url"), F.lower("title")).orderBy("tier", "place", "rank", "url", "title", "snippet")
+    return results.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
 
 
-def heard(results: DataFrame, about: DataFrame) -> DataFrame:
-    """Results (or those about their event) that count: of the second search only where the first found none about the event."""
-    answered = about.where("tier = 0").select("event").distinct()
-    return results.where("tier = 0").unionByName(results.where("tier <> 0").join(answered, "event", "left_anti"))
+def heard(results: DataFrame) -> DataFrame:
+    """Results (about: whether they are about their event) that count: of the second search only where the first found none about the question's events."""
+    answered = results.where("about and tier = 0").select("question").distinct()
+    return results.where("tier = 0").unionByName(results.where("tier <> 0").join(answered, "question", "left_anti"))
 
 
 def to_read(about: DataFrame, n: int = PAGES_READ) -> DataFrame:
-    """The pages of an event to read: one of each organisation by weight and rank, the ``n`` best of those.
-
-    An event's organisations are cut to ``n`` before they are shuffled a second time, as only first places are asked for.
-    """
-    rank = F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(9999)).alias("rank")
-    best = about.where("url <> ''").groupBy("event", "organisation").agg(F.min(F.struct((-F.col("weight")).alias("light"), rank, "place", "url", "title", "snippet")).alias("b")).select("event", "b.*")
-    order = Window.partitionBy("event").orderBy("light", "rank", "place")
+    """The pages of a question to read: one of each organisation by rank, the ``n`` best of those by weight and rank."""
+    rank = F.coalesce(F.nullif(F.col("rank"), F.lit(0)), F.lit(9999))
+    rows = about.where("url <> ''").withColumns({"light": -F.col("weight"), "rank": rank})
+    of_each = Window.partitionBy("question", "organisation").orderBy("light", "rank", "place", "url", "title", "snippet")
+    best = rows.repartition("question").withColumn("_n", F.row_number().over(of_each)).where("_n = 1")
+    order = Window.partitionBy("question").orderBy("light", "rank", "place")
     return best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "light")
 
 
@@ -223,24 +263,37 @@ def verified(events: DataFrame, results: DataFrame, pages: DataFrame, minutes: i
     wins, its candidate of most weight and score speaks for it, and only then is it compared with the slot:
     state is verified, or rejected if further than ``minutes`` from it; no_time if results are about the event
     but tell none; none if no result is.
+
+    ``events`` may have a ``question``: those that share one are asked about together, and what is found for
+    any of them speaks for all, each by its own slot; else each event is a question of its own.
     """
-    known = settled(named(events), "events")
-    every_result = settled(once(results), "results")
-    matched = settled(matching(known, every_result), "matching")
-    all_results, about = heard(every_result, matched), settled(heard(matched, matched), "about")
-    read = settled(verify.with_pages(to_read(about), pages), "read")
-    snippets, told = collected(about), settled(collected(matching(known, read)), "told")
-    by_page = told.select("event").distinct()
-    every = settled(told.withColumn("method", F.lit("page_extract")).unionByName(snippets.join(by_page, "event", "left_anti").withColumn("method", F.lit("search_snippet"))), "candidates")
-    each = every.select("event", F.col("place").alias("ord"), F.unix_timestamp("at").alias("at"), "score", "organisation", F.col("weight").cast("long").alias("weight"), "method")
-    grouped = settled(verify.clusters(each, ["event"], seconds), "clusters")
-    won = settled(verify.vote(grouped, ["event"]), "won")
-    mine = grouped.join(won, ["event", "cluster"], "left_semi")
-    spoken = mine.groupBy("event").agg(F.max_by("at", F.struct("weight", "score", -F.col("at"), -F.col("ord"))).alias("at"), F.first("method").alias("method"))
-    counts = all_results.groupBy("event").agg(F.count("*").alias("n_results"))
-    counts = counts.join(about.groupBy("event").agg(F.count("*").alias("matching")), "event", "left")
-    n_read = read.groupBy("event").agg(F.count("*").alias("n_read"))
-    out = events.select("event", "start_at").join(counts, "event", "left").join(n_read, "event", "left").join(spoken, "event", "left").join(won.select("event", "organisations", "weight"), "event", "left")
+    of = ["title", "tournament", "sport"]
+    slots = events if "question" in events.columns else events.withColumn("question", F.col("event"))
+    # what is known by texts alone is stored once for each different text and looked up by number, not carried along
+    facts = verify.facts(*map(F.col, of)).alias("facts")
+    known = settled(slots.select(*of).distinct().select(*of, F.monotonically_increasing_id().alias("text"), facts, anchors(F.col("title"), F.col("tournament")).alias("terms")), "texts")
+    names = known.select("text", *(F.col(c).alias(f"_{c}") for c in of))
+    own = slots.join(names, F.expr(" and ".join(f"{c} <=> _{c}" for c in of))).select("event", "question", F.to_date("start_at").alias("day"), "text")
+    said = verify.result_text(F.col("title"), F.col("snippet"))
+    found = once(results.select("event", "place", "tier", "rank", "url", "title", "snippet").join(own, "event"))
+    judged = found.join(known.select("text", "facts"), "text").withColumn("about", _is_about(said, F.col("facts"))).drop("facts")
+    all_results = settled(heard(settled(_sourced(judged), "judged")), "heard")
+    about = all_results.where("about")
+    read = settled(verify.with_pages(to_read(about).drop("organisation", "weight"), pages).select("question", "place", "url", "day", "text", verify.result_text(F.col("title"), F.col("snippet"), None, F.col("content")).alias("said")), "read")
+    pages_about = _sourced(read.join(known.select("text", "facts", "terms"), "text").where(_is_about(F.col("said"), F.col("facts"))).drop("facts"))
+    told = settled(collected(pages_about, "question"), "told")
+    # snippets are read only where no page tells a time
+    unread = about.join(told.select("question").distinct(), "question", "left_anti").withColumn("said", said).join(known.select("text", "terms"), "text")
+    every = told.withColumn("method", F.lit("page_extract")).unionByName(collected(unread, "question").withColumn("method", F.lit("search_snippet")))
+    each = settled(every.select("question", F.col("place").alias("ord"), F.unix_timestamp("at").alias("at"), "score", "organisation", F.col("weight").cast("long").alias("weight"), "method"), "candidates")
+    grouped = settled(verify.clusters(each, ["question"], seconds), "clusters")
+    won = settled(verify.vote(grouped, ["question"]), "won")
+    mine = grouped.join(won, ["question", "cluster"], "left_semi")
+    spoken = mine.groupBy("question").agg(F.max_by("at", F.struct("weight", "score", -F.col("at"), -F.col("ord"))).alias("at"), F.first("method").alias("method"))
+    counts = all_results.groupBy("question").agg(F.count("*").alias("n_results"), F.count_if("about").alias("matching"))
+    n_read = read.groupBy("question").agg(F.count("*").alias("n_read"))
+    of_each = counts.join(n_read, "question", "left").join(spoken, "question", "left").join(won.select("question", "organisations", "weight"), "question", "left")
+    out = slots.select("event", "question", "start_at").join(of_each, "question", "left")
     gap = F.expr("(at - unix_timestamp(start_at)) div 60")
     found = F.col("at").isNotNull() & (F.abs(gap) <= minutes)
     state = F.when(found, "verified").when(F.col("at").isNotNull(), "rejected").when(F.col("matching") > 0, "no_time").otherwise("none")

@@ -89,3 +89,19 @@ def test_verdicts(told):
     assert (told[7].n_results, told[8].n_results, told[8].n_read) == (2, 1, 1)
     # the page has the snippet's time as well; both are stated plainly, the first read of equal scores speaks
     assert told[8].method == "page_extract"
+
+
+def test_cues_in_all_forms_of_their_first_letter():
+    """A cue's first letter is looked for by its forms; they are those that the pattern engine takes for equal."""
+    import re
+
+    for letter, forms in webtimes.FORMS.items():
+        assert set(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), forms)) == {chr(c) for c in range(0x20000) if re.fullmatch(letter, chr(c), re.I)}
+    assert webtimes.CUES[0][0].search("KICK OFF") and webtimes.CUES[0][0].search("НАЧНЁТСЯ") and webtimes.CUES[1][0].match("Scheduled")[0] == "Scheduled"
+
+
+def test_clocks_are_looked_for_at_colons_only():
+    """As by a search through the whole window, in order and without overlap."""
+    for said in ("1:12:30", "12:30:45:10 UTC", "112:30 GMT", ":30", "7:5", "23:59 pm GMT 3:00", "10:00 UTC11:00 UTC", "7 pm 8:00 am", "Team 7 am", "١٢:٣٠ UTC"):
+        for k, (_, pattern) in enumerate(webtimes.CLOCKS):
+            assert [m.span() for m in webtimes._told(pattern, said, k == webtimes.HALVES)] == [m.span() for m in pattern.finditer(said)]
