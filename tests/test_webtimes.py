@@ -105,3 +105,13 @@ def test_clocks_are_looked_for_at_colons_only():
     for said in ("1:12:30", "12:30:45:10 UTC", "112:30 GMT", ":30", "7:5", "23:59 pm GMT 3:00", "10:00 UTC11:00 UTC", "7 pm 8:00 am", "Team 7 am", "١٢:٣٠ UTC"):
         for k, (_, pattern) in enumerate(webtimes.CLOCKS):
             assert [m.span() for m in webtimes._told(pattern, said, k == webtimes.HALVES)] == [m.span() for m in pattern.finditer(said)]
+
+
+def test_broadcasts_of_one_question_are_asked_about_together(spark):
+    """Two broadcasts of one number: what is found for either speaks for both, one page of an organisation is read, each slot has its own difference."""
+    events = spark.sql("select * from values (2L, 1L, 'Кайрат – Андерлехт', 'Лига', 'Футбол', timestamp '2024-01-15 19:00:00'), (3L, 1L, 'ТОБОЛ – АСТАНА', 'Лига', 'Футбол', timestamp '2024-01-15 19:10:00'), (4L, 2L, 'Кайрат – Андерлехт', 'Лига', 'Футбол', timestamp '2024-01-15 19:00:00') v(event, question, title, tournament, sport, start_at)")
+    rows = [(2, "http://uefa.com/2", "Kairat v Anderlecht 13:05 UTC"), (3, "http://uefa.com/3", "Тобол – Астана, скоро"), (3, "http://news.sports.ru/3", "Kairat v Anderlecht 15:00 UTC")]
+    results = spark.createDataFrame([(e, p, 0, p + 1, u, "", s) for p, (e, u, s) in enumerate(rows)], "event long, place int, tier int, rank int, url string, title string, snippet string")
+    pages = spark.createDataFrame([(u, None, "", "at 13:05 UTC") for _, u, _ in rows], "url string, page_url string, page_title string, content string")
+    got = {r.event: (r.state, r.difference, r.organisations, r.matching, r.n_results, r.n_read) for r in webtimes.verified(events, results, pages).collect()}
+    assert got == {2: ("verified", 5, 1, 2, 3, 1), 3: ("verified", -5, 1, 2, 3, 1), 4: ("none", None, 0, 0, 0, 0)}
