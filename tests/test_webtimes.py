@@ -115,3 +115,15 @@ def test_broadcasts_of_one_question_are_asked_about_together(spark):
     pages = spark.createDataFrame([(u, None, "", "at 13:05 UTC") for _, u, _ in rows], "url string, page_url string, page_title string, content string")
     got = {r.event: (r.state, r.difference, r.organisations, r.matching, r.n_results, r.n_read) for r in webtimes.verified(events, results, pages).collect()}
     assert got == {2: ("verified", 5, 1, 2, 3, 1), 3: ("verified", -5, 1, 2, 3, 1), 4: ("none", None, 0, 0, 0, 0)}
+
+
+def test_a_text_is_normalised_once_for_all_names(spark):
+    import re
+
+    from airgrid.sources.shared import settled
+
+    events = spark.sql("select 1L as event, 'Кайрат – Андерлехт' as title, 'Лига' as tournament, 'Футбол' as sport, timestamp '2024-01-15 19:00:00' as start_at")
+    results = spark.sql("select 1L as event, id as place, 'http://uefa.com/' as url, concat('x', id) as title, concat('Kairat v Anderlecht ', id) as snippet from range(3)")
+    told = webtimes.matching(settled(webtimes.named(events), "events"), results)
+    assert told.count() == 3
+    assert len(re.findall(r"lower\((?:said|concat_ws)", told._jdf.queryExecution().optimizedPlan().toString())) == 1
